@@ -14,8 +14,8 @@ def check_split(text, limit, overlap):
     assert all(0 < len(p) <= limit for p, _ in got)
     whole = got[0][0]
     for piece, _ in got[1:]:
-        assert piece[:overlap] == whole[-overlap:] if len(whole) >= overlap else whole
-        whole += piece[min(overlap, len(whole)) :]
+        assert piece[:overlap] == whole[len(whole) - overlap :]
+        whole += piece[overlap:]
     assert whole == text
 
 

@@ -81,7 +81,7 @@ def cut_points(text: str, limit: int, overlap: int) -> tuple[list[int], list[flo
         for i in range(1, pieces):
             target = i * n / pieces
             high = min(n - 1, before + (limit if i == 1 else room))
-            low = max(before + 1, n - (pieces - i) * room)
+            low = max(before + max(1, overlap), n - (pieces - i) * room)
             if low > high:
                 break
             lo, hi = np.searchsorted(at, low), np.searchsorted(at, high, side="right")
@@ -120,8 +120,8 @@ def split_oversized(df: DataFrame, item_id: str, text: str, limit: int, overlap:
     ``forced`` if the text has a stretch longer than the limit without any place
     to cut. Each row is worked on alone: nothing is gathered over rows.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be less than limit")
+    if not 0 <= 2 * overlap < limit:
+        raise ValueError("overlap must be less than half the limit")
     rows = (
         df.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("t"))
         .where(F.col("item_id").isNotNull() & (F.length("t") > limit))

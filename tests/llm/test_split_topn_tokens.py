@@ -67,7 +67,7 @@ def brute_top(rows, default_n):
 def test_top_n_against_brute_force(spark, parts):
     rng = random.Random(7)
     rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([*range(15), None]), rng.choice([0.0, -0.0, 0.5, 0.25, 1.5, None, float("nan")]), 4) for _ in range(1500)]
-    rows += [(9, 1, 0.1, 0), (8, 5, 0.2, None), (8, 6, 0.2, None)] * 3
+    rows += [(9, 1, 0.125, 0), (8, 5, 0.25, None), (8, 6, 0.25, None)] * 3
     df = spark.createDataFrame(rows, "q long, d long, s float, n int").repartition(parts).withColumn("rank", F.lit(0)).withColumn("g", F.lit(0))
     got = topn.top_n_per_group(df, "q", "d", "s", F.col("n"), default_n=1, buckets=3)
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import split, tokens, topn
+from vectide.llm import knn, neardup, split, tokens, topn
 
 VALID_DISTANCE = "distance is not null and not isnan(distance) and distance >= 0 and distance <= 4"
 
@@ -16,6 +16,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# -- problem 1 ---------------------------------------------------------------
+#: table: (id, vector, numbers, their type)
+VECTORS = {
+    "chunks": ("id", "vector", 64, "<f4"),
+    "dense_vectors": ("id", "emb_fp16", 64, "<f2"),
+    "late_vectors": ("id", "mean_emb", 32, "<f4"),
+}
+
+
+def _similar(spark: SparkSession, folder: str, min_sim: float | None) -> DataFrame:
+    out = None
+    for name, (key, vector, dim, dtype) in VECTORS.items():
+        one = knn.most_similar(table(spark, folder, name), key, vector, dim, dtype, k=5, min_sim=min_sim).withColumn("vec_table", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _similar(spark, folder, None)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _similar(spark, folder, 0.98)
+    return pairs.select("vec_table", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 # -- problem 2 ---------------------------------------------------------------
 DOC_LIMIT, CHUNK_LIMIT, OVERLAP = 1500, 400, 60
 
@@ -52,16 +78,33 @@ ranked as (select *, row_number() over (partition by query_id order by d, doc_id
 """
 
 
+# -- problem 5 ---------------------------------------------------------------
+def _near_duplicates(spark: SparkSession, folder: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, folder, "doc_records"), "_id", ["title", "text"], threshold=0.7)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_duplicates(spark, folder).pairs()
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_duplicates(spark, folder).groups()
+
+
 # -- problem 7 ---------------------------------------------------------------
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_top": p3_top,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_ids": p7_ids,
 }
 

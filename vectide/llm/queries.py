@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import knn, neardup, split, tokens, topn
+from vectide.llm import clusters, knn, neardup, split, tokens, topn
 
 VALID_DISTANCE = "distance is not null and not isnan(distance) and distance >= 0 and distance <= 4"
 
@@ -91,6 +91,37 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near_duplicates(spark, folder).groups()
 
 
+# -- problem 6 ---------------------------------------------------------------
+def _chunk_clusters(spark: SparkSession, folder: str) -> clusters.BisectingClusters:
+    return clusters.BisectingClusters(table(spark, folder, "chunks"), "id", "vector", 64, min_cos=0.68)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    members = _chunk_clusters(spark, folder).members.withColumn("id", F.col("id").cast("bigint"))
+    size = members.groupBy("cluster").agg(F.min("id").alias("first_id"), F.count("*").alias("size")).where("size >= 3")
+    return members.join(size, "cluster").select("first_id", "id")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters with size, most typical chunks and the error of the stored codebook on them."""
+    made = _chunk_clusters(spark, folder)
+    return made.report(3)
+
+
+def p6_codebook(spark: SparkSession, folder: str) -> DataFrame:
+    """Per cluster the mean similarity of its chunks with their rebuilding from the
+    stored codebook, beside that with the cluster's typical chunk."""
+    made = _chunk_clusters(spark, folder)
+    # a fixed table of 256 rows
+    book = [(r.subspace, r.centroid, bytes(r.vector)) for r in table(spark, folder, "codebook").where("vector is not null").orderBy("subspace", "centroid").collect()]
+    rebuilt = clusters.codebook_similarity(made.vecs, book, 64)
+    return (
+        made.members.join(rebuilt, "id")
+        .groupBy("cluster")
+        .agg(F.count("*").alias("size"), F.avg("to_typical").alias("to_typical"), F.avg("to_codebook").alias("to_codebook"))
+    )
+
+
 # -- problem 7 ---------------------------------------------------------------
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
@@ -105,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_top": p3_top,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p6_codebook": p6_codebook,
     "p7_ids": p7_ids,
 }
 

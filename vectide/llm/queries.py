@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import clusters, knn, neardup, split, tokens, topn
+from vectide.llm import clusters, knn, neardup, rankwalk, split, tokens, topn
 
 VALID_DISTANCE = "distance is not null and not isnan(distance) and distance >= 0 and distance <= 4"
 
@@ -78,6 +78,42 @@ ranked as (select *, row_number() over (partition by query_id order by d, doc_id
 """
 
 
+# -- problem 4 ---------------------------------------------------------------
+def p4_order(spark: SparkSession, folder: str) -> DataFrame:
+    """One order of documents per query of ``search_results``; the damping is 1 / (rrf_k + 1)."""
+    results = table(spark, folder, "search_results")
+    hits = table(spark, folder, "scan_hits")
+    params = table(spark, folder, "cascade_params").select("params_id", "rrf_k")
+    asked = results.select("query_id").where("query_id is not null").distinct()
+    # a smaller fts5 score is better
+    lists = results.select("query_id", "channel", F.col("id").alias("doc_id"), F.when(F.col("channel") == "fts5", -F.col("score")).otherwise(F.col("score")).alias("value"))
+    near = hits.where(VALID_DISTANCE).join(asked, "query_id", "left_semi")
+    near = near.select("query_id", F.lit("distance").alias("channel"), "doc_id", (-F.col("distance").cast("double")).alias("value"))
+    damping = hits.groupBy("query_id").agg(F.max("params_id").alias("params_id")).join(params, "params_id").select("query_id", "rrf_k")
+    rows = lists.unionByName(near).groupBy("query_id", "channel", "doc_id").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("value"))
+    rows = rows.join(damping, "query_id", "left")
+    return rankwalk.combine_rankings(rows, "query_id", "channel", "doc_id", "value", "rrf_k")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_order(spark, folder).where("in_lists = lists and worst_rank <= 3").select("query_id", "doc_id")
+
+
+P4_SQL = """
+with lists as (
+  select query_id, channel, id as doc_id, max(case when channel = 'fts5' then -score else score end + 0.0) as v
+  from search_results where score is not null and not isnan(score) and query_id is not null and channel is not null group by 1, 2, 3
+  union all
+  select query_id, 'distance', doc_id, max(-cast(distance as double) + 0.0) from scan_hits
+  where distance is not null and not isnan(distance) and distance >= 0 and distance <= 4
+    and query_id in (select query_id from search_results) group by 1, 2, 3),
+ranked as (select *, row_number() over (partition by query_id, channel order by v desc, doc_id) as r from lists),
+n as (select query_id, count(distinct channel) as lists from lists group by 1)
+select r.query_id, r.doc_id from ranked r join n on r.query_id = n.query_id
+group by r.query_id, r.doc_id, n.lists having count(*) = n.lists and max(r.r) <= 3
+"""
+
+
 # -- problem 5 ---------------------------------------------------------------
 def _near_duplicates(spark: SparkSession, folder: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(table(spark, folder, "doc_records"), "_id", ["title", "text"], threshold=0.7)
@@ -134,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_top": p3_top,
+    "p4_found": p4_found,
+    "p4_order": p4_order,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -143,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "p4_found": P4_SQL,
     "p3_found": P3_SQL + "select query_id, doc_id from ranked where r <= n",
     "p3_top": P3_SQL + "select query_id, doc_id, d as distance, cast(r as int) as rank from ranked where r <= n",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import clusters, knn, neardup, rankwalk, split, tokens, topn
+from vectide.llm import clusters, knn, mixing, neardup, rankwalk, split, tokens, topn
 
 VALID_DISTANCE = "distance is not null and not isnan(distance) and distance >= 0 and distance <= 4"
 
@@ -163,6 +163,19 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+# -- problem 8 ---------------------------------------------------------------
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).report()
+
+
+def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).copies.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -178,6 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_report": p6_report,
     "p6_codebook": p6_codebook,
     "p7_ids": p7_ids,
+    "p8_report": p8_report,
+    "p8_copies": p8_copies,
 }
 
 ORACLES: dict[str, str] = {

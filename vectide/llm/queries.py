@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import clusters, knn, mixing, neardup, rankwalk, split, tokens, topn
+from vectide.llm import clusters, knn, mixing, neardup, rankwalk, split, stuffing, tokens, topn
 
 VALID_DISTANCE = "distance is not null and not isnan(distance) and distance >= 0 and distance <= 4"
 
@@ -176,6 +176,15 @@ def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).copies.withColumnRenamed("id", "doc_id")
 
 
+# -- problem 9 ---------------------------------------------------------------
+def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text", "portal").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_pages(spark, folder).where("stuffed").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -193,6 +202,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_report": p8_report,
     "p8_copies": p8_copies,
+    "p9_found": p9_found,
+    "p9_pages": p9_pages,
 }
 
 ORACLES: dict[str, str] = {

@@ -69,6 +69,32 @@ def cloud_to_centroid(q, p, starts, spec, kernel=PLAIN):
     return (d.mean(axis=1) + d.min(axis=1)).mean(axis=0)
 
 
+def centroid_cosine(q, p, starts, spec, kernel=CLAMPED):
+    """Full cosine distance, within [0, 2], of the query's first vector and the document's centroid."""
+    centre = np.add.reduceat(p, starts, axis=0) / _sizes(starts, len(p))[:, None]
+    return np.clip(sub_distances(q[:1], centre, SubspaceSpec(1, q.shape[1]), kernel)[0, 0], 0.0, 2.0)
+
+
+def max_point_cosine(q, p, starts, spec, kernel=PLAIN):
+    """As a similarity: largest over query points of the mean subspace cosine with the
+    document's representative, the mean of its three points farthest from the centroid."""
+    rep = np.stack([far_points(x, 3) for x in np.split(p, starts[1:])])
+    return (1.0 - sub_distances(q, rep, spec, kernel)).mean(axis=0).max(axis=0)
+
+
+def far_points(x: np.ndarray, k: int) -> np.ndarray:
+    """Mean of the k points of the largest cosine distance to the centroid (ties: first)."""
+    d = sub_distances(x.mean(axis=0)[None, :], x, SubspaceSpec(1, x.shape[1]), CLAMPED)[0, 0]
+    return x[np.argsort(-d, kind="stable")[:k]].mean(axis=0)
+
+
+def sampled_chamfer(q, p, starts, spec, kernel=PLAIN, n: int = 3):
+    """Subspace-first Chamfer of at most n evenly spaced points of either side."""
+    pick = lambda x: x[np.unique(np.minimum((np.arange(n) * len(x)) // n, len(x) - 1))] if len(x) > n else x
+    parts = [pick(x) for x in np.split(p, starts[1:])]
+    return subspace_first(pick(q), np.concatenate(parts), np.cumsum([0, *[len(x) for x in parts[:-1]]]), spec, kernel)
+
+
 def plain_chamfer(q, p, starts, spec, kernel=CLAMPED):
     """Chamfer of the full cosine distance."""
     return _two_sided(sub_distances(q, p, SubspaceSpec(1, q.shape[1]), kernel)[0], starts)
@@ -113,12 +139,12 @@ def density_weights(x: np.ndarray, k: int, spec: SubspaceSpec) -> np.ndarray:
     return w / w.sum() if w.sum() > 1e-8 else w
 
 
-def density_chamfer(q, p, starts, spec, kernel=PLAIN, k: int = 3, weight_query: bool = False):
+def density_chamfer(q, p, starts, spec, kernel=PLAIN, near: int = 3, weight_query: bool = False):
     """Subspace-first Chamfer in which document points count by their density."""
     d = sub_distances(q, p, spec, kernel)
-    w = np.concatenate([density_weights(x, k, spec) for x in np.split(p, starts[1:])])
+    w = np.concatenate([density_weights(x, near, spec) for x in np.split(p, starts[1:])])
     there = np.minimum.reduceat(d, starts, axis=2)
-    there = (there * density_weights(q, k, spec)[None, :, None]).sum(axis=1) if weight_query else there.mean(axis=1)
+    there = (there * density_weights(q, near, spec)[None, :, None]).sum(axis=1) if weight_query else there.mean(axis=1)
     back = np.add.reduceat(d.min(axis=1) * w[None, :], starts, axis=1)
     return (there + back).mean(axis=0)
 
@@ -147,11 +173,11 @@ METRICS: dict[str, Callable] = {
     f.__name__: f
     for f in (
         pair_first, scan_pair_first, subspace_first, query_to_cloud, cloud_to_centroid, plain_chamfer, unaligned, max_sim, max_sim_distance,
-        symmetric_max_sim_distance, header_chamfer, density_chamfer, softmax_dual, hierarchical_dual,
+        symmetric_max_sim_distance, header_chamfer, centroid_cosine, max_point_cosine, sampled_chamfer, density_chamfer, softmax_dual, hierarchical_dual,
     )
 }
 #: Metrics of which more is better.
-SIMILARITIES = {"max_sim"}
+SIMILARITIES = {"max_sim", "max_point_cosine"}
 
 
 def cloud_matrix(points: list[np.ndarray], spec: SubspaceSpec, kernel: Kernel = PLAIN) -> np.ndarray:

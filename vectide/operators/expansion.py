@@ -111,7 +111,7 @@ def _probe(c: retrieval.Corpus, pool: DataFrame, per_query: int, add: int, seen:
     best = scan.top_k(pool, per_query, "score", ascending=False)
     moved = (
         best.join(c.docs, "doc_id")
-        .join(c.queries.select("query_id", F.element_at("points", 1).alias("q")), "query_id")
+        .join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q")), "query_id")
         .select("query_id", "rank", F.zip_with("q", mean_of(F.col("points"), dim), lambda a, b: 0.7 * a + 0.3 * b).alias("v"))
     )
     # each probe is a query of its own: ids are query_id * 64 + rank

@@ -68,11 +68,13 @@ def intrinsic_residuals(chunks: DataFrame, dim: int, rank: int = 8, most: int =
     file of any size sends only ``most`` + 1 rows to each block of its own rows. Files
     with fewer than ``least`` others give no row; nulls and other lengths drop out.
     """
-    rows = chunks.where((F.size("vec") == dim) & F.col("file_id").isNotNull()).dropDuplicates(["id"])
+    from vectide.shared import stored
+
+    rows = stored(chunks.where((F.size("vec") == dim) & F.col("file_id").isNotNull()).select("id", "file_id", "vec").dropDuplicates(["id"]), "residual-rows")
     heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("id"))).where(F.col("r") <= most + 1).select("file_id", F.col("id").alias("nid"), F.col("vec").alias("nvec"))
     blocks = rows.groupBy("file_id").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("blocks"))
-    left = rows.join(blocks, "file_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("file_id", "block", "id", "vec")
-    right = heads.join(blocks, "file_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("file_id", "block", "nid", "nvec")
+    left = rows.join(blocks, "file_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("file_id", F.col("block").alias("part"), "id", "vec")
+    right = heads.join(blocks, "file_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("file_id").alias("fid"), "block", "nid", "nvec")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("nid")
@@ -96,9 +98,7 @@ def intrinsic_residuals(chunks: DataFrame, dim: int, rank: int = 8, most: int =
             out.append((i, float(np.linalg.norm(v - vt.T @ (vt @ v))), len(near)))
         return pd.DataFrame(out, columns=["id", "residual_raw", "neighbors"])
 
-    raw = left.groupBy("file_id", "block").cogroup(right.groupBy("file_id", "block")).applyInPandas(work, "id bigint, residual_raw double, neighbors bigint")
-    from vectide.shared import stored
-
+    raw = left.groupBy("file_id", "part").cogroup(right.groupBy("fid", "block")).applyInPandas(work, "id bigint, residual_raw double, neighbors bigint")
     raw = stored(raw, "residuals")
     ends = raw.agg(F.min("residual_raw").alias("lo"), F.max("residual_raw").alias("hi"))
     span = F.col("hi") - F.col("lo")

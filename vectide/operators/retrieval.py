@@ -138,7 +138,7 @@ def multi_probe_two_stage(c: Corpus, book: DataFrame, per_probe: int, merged: in
 # -- graph pipelines -------------------------------------------------------------
 def fetch(c: Corpus, cands: DataFrame, c0: DataFrame | None = None) -> DataFrame:
     """Candidates with their clouds, the query's vector and the start field."""
-    rows = cands.select("query_id", "doc_id").join(c.docs, "doc_id").join(c.queries.select("query_id", F.element_at("points", 1).alias("q"), F.col("points").alias("qp")), "query_id")
+    rows = cands.select("query_id", "doc_id").join(c.docs, "doc_id").join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q"), F.col("points").alias("qp")), "query_id")
     return rows.join(c0, ["query_id", "doc_id"], "left") if c0 is not None else rows
 
 

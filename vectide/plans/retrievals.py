@@ -138,7 +138,7 @@ def graph_edges(spark, folder):
 def graph_advection(spark, folder):
     c, rows = _cands(spark, folder)
     edges = graph.knn_edges(graph.pair_distances(rows, SPEC), 3)
-    u = graph.advection_edges(edges, centroids(base.points(spark, folder)), c.queries.select("query_id", F.element_at("points", 1).alias("q")))
+    u = graph.advection_edges(edges, centroids(base.points(spark, folder)), c.queries.select("query_id", F.get("points", F.lit(0)).alias("q")))
     return u.select("query_id", "src", "dst", (F.round("u", 6) + 0.0).alias("u"))
 
 

@@ -246,7 +246,7 @@ ORACLES["fid_doc_only"] = _FID.format(pts=PTS, term="b.v[i]") + top_sql("value",
 def shape_boost(spark, folder):
     """Document cosine with the largest and the three largest point cosines, and the mixed start field of the largest and the mean."""
     c = base.corpus(spark, folder)
-    q = c.queries.select("query_id", F.element_at("points", 1).alias("q"))
+    q = c.queries.select("query_id", F.get("points", F.lit(0)).alias("q"))
     if q.count() > 10_000:
         raise ValueError("at most 10,000 queries at once")
     rows = c.docs.crossJoin(F.broadcast(q))

@@ -6,25 +6,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f32(blob: pd.Series) -> pd.Series:
     """Null for null and for a length that is no multiple of 4."""
     return blob.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) % 4 == 0 else None)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f16(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: np.frombuffer(b, "<f2").astype("<f4") if b is not None and len(b) % 2 == 0 else None)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_f32(vec: pd.Series) -> pd.Series:
     return vec.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<array<float>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
 def reshape_f32(blob: pd.Series, n: pd.Series) -> pd.Series:
     """A block of n vectors; null where the length does not fit n."""
 

@@ -48,8 +48,8 @@ def titled(title: Column, text: Column, joint: str = ". ") -> Column:
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, term, tf`` and the document's ``len`` in terms."""
-    rows = docs.select("doc_id", terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
-    return rows.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select("doc_id", F.explode(F.transform(F.array(terms(F.col(text))), lambda t: F.struct(F.size(t).alias("len"), t.alias("t")))).alias("x"))
+    return rows.select("doc_id", F.col("x.len").alias("len"), F.explode("x.t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, pool: DataFrame | None = None, distinct_terms: bool = True) -> DataFrame:
@@ -63,19 +63,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("text")) if distinct_terms else terms(F.col("text"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tf = term_counts(docs)
-    lengths = docs.select("doc_id", F.coalesce(F.size(terms(F.col("text"))), F.lit(0)).alias("len"))
+    from vectide.shared import stored
+
+    tf = stored(term_counts(docs), "term-counts")  # texts are cut into terms once
+    lengths = tf.groupBy("doc_id").agg(F.first("len").alias("len"))
     norm = lambda: F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     if pool is None:
-        stats = lengths.agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("len"), F.lit(0))).alias("avgdl"))
+        stats = tf.agg(F.sum("tf").alias("total")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))  # one row each
         wanted = asked.select("term").distinct()
         postings = tf.join(wanted, "term", "left_semi")
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         rows = postings.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # one row
     else:
         cand = pool.select("query_id", "doc_id").distinct()
-        stats = cand.join(lengths, "doc_id").groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("len"), F.lit(0))).alias("avgdl"))
+        stats = cand.join(lengths, "doc_id", "left").groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avgdl"))
         postings = cand.join(tf, "doc_id").join(asked, ["query_id", "term"])
         df = postings.groupBy("query_id", "term").agg(F.count("*").alias("df"))
         rows = postings.join(df, ["query_id", "term"]).join(stats, "query_id")

@@ -134,19 +134,19 @@ class Mixture:
             F.pmod(F.xxhash64("id", F.lit(seed)), "buckets").alias("bucket"),
         )
         first = stored(first, "mix-chances")
-        level, taken, depth = first.select("row", "id", "source", "tokens", "p", "bucket"), None, 0
+        level, taken, depth = first, None, 0
         kind = dict(first.dtypes)["id"]
         while True:
             depth += 1
             last = level.agg(F.max("bucket")).first()[0] in (None, 0)
 
-            out = stored(level.groupBy("source", "bucket").applyInPandas(_meeting(last, seed * 1000 + depth), f"row long, id {kind}, source string, tokens long, p double, bucket long, take int"), "mix-level")
-            closed = out.where("take >= 0").select("row", "take")
+            out = stored(level.groupBy("source", "bucket").applyInPandas(_meeting(last, seed * 1000 + depth), f"row long, id {kind}, source string, tokens long, sure int, p double, bucket long, take int"), "mix-level")
+            closed = out.where("take >= 0").select("id", "source", "tokens", (F.col("sure") + F.col("take")).alias("copies"))
             taken = closed if taken is None else taken.unionByName(closed)
             if last:
                 break
             level = out.where("take < 0").drop("take").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
-        self.copies = first.join(taken, "row").select("id", "source", "tokens", (F.col("sure") + F.col("take")).alias("copies"))
+        self.copies = taken
 
     def report(self) -> DataFrame:
         """``source, target_share, reached_share, tokens, held_tokens, texts_used,

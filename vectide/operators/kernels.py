@@ -169,15 +169,61 @@ def hierarchical_dual(q, p, starts, spec, kernel=PLAIN, near: int = 8, share: fl
     return share * aligned + (1 - share) * out
 
 
+def _moments(p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = _sizes(starts, len(p))[:, None]
+    mean = np.add.reduceat(p, starts, axis=0) / n
+    spread = (p - np.repeat(mean, n[:, 0], axis=0)) ** 2
+    return mean, np.add.reduceat(spread, starts, axis=0) / n
+
+
+def diagonal_fid(q, p, starts, spec, kernel=None, weight: float = 0.5):
+    """Squared distance of the means plus ``weight`` times that of the standard deviations."""
+    mean, var = _moments(p, starts)
+    return ((mean - q.mean(axis=0)) ** 2).sum(axis=1) + weight * ((np.sqrt(var) - np.sqrt(q.var(axis=0))) ** 2).sum(axis=1)
+
+
+def diagonal_fid_document(q, p, starts, spec, kernel=None, weight: float = 0.5):
+    """The same with the document's variances alone."""
+    mean, var = _moments(p, starts)
+    return ((mean - q.mean(axis=0)) ** 2).sum(axis=1) + weight * var.sum(axis=1)
+
+
+def _point_cosines(q, p):
+    return 1 - sub_distances(q[:1], p, SubspaceSpec(1, q.shape[1]), CLAMPED)[0, 0]
+
+
+def _top_mean(x, starts, k):
+    return np.array([np.sort(c)[::-1][:k].mean() for c in np.split(x, starts[1:])])
+
+
+def shape_boost(q, p, starts, spec, kernel=None, share: float = 0.6):
+    """As a similarity: ``share`` of the centroid's cosine, the rest of the largest and the three largest point cosines."""
+    s = _point_cosines(q, p)
+    points = 0.5 * np.maximum.reduceat(s, starts) + 0.5 * _top_mean(s, starts, 3)
+    return share * (1 - centroid_cosine(q, p, starts, spec)) + (1 - share) * points
+
+
+def mixed_field(q, p, starts, spec, kernel=None, share: float = 0.7):
+    """As a similarity: ``share`` of the largest and the rest of the mean point cosine."""
+    s = _point_cosines(q, p)
+    return share * np.maximum.reduceat(s, starts) + (1 - share) * np.add.reduceat(s, starts) / _sizes(starts, len(s))
+
+
+def code_difference(q, p, starts, spec, kernel=None):
+    """Points are code words: mean over query points of the least number of differing codes."""
+    d = (q[:, None, :] != p[None, :, :]).sum(axis=2)
+    return np.minimum.reduceat(d, starts, axis=1).mean(axis=0)
+
+
 METRICS: dict[str, Callable] = {
     f.__name__: f
     for f in (
         pair_first, scan_pair_first, subspace_first, query_to_cloud, cloud_to_centroid, plain_chamfer, unaligned, max_sim, max_sim_distance,
-        symmetric_max_sim_distance, header_chamfer, centroid_cosine, max_point_cosine, sampled_chamfer, density_chamfer, softmax_dual, hierarchical_dual,
+        symmetric_max_sim_distance, header_chamfer, centroid_cosine, max_point_cosine, sampled_chamfer, diagonal_fid, diagonal_fid_document, shape_boost, mixed_field, code_difference, density_chamfer, softmax_dual, hierarchical_dual,
     )
 }
 #: Metrics of which more is better.
-SIMILARITIES = {"max_sim", "max_point_cosine"}
+SIMILARITIES = {"max_sim", "max_point_cosine", "shape_boost", "mixed_field"}
 
 
 def cloud_matrix(points: list[np.ndarray], spec: SubspaceSpec, kernel: Kernel = PLAIN) -> np.ndarray:

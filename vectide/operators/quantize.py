@@ -100,14 +100,6 @@ def relational_chamfer(query_points: DataFrame, points: DataFrame, spec: Subspac
     return _two_sided(d.join(q, "s").select("query_id", "doc_id", "s", "qi", "di", kernel_distance(F.col("a"), F.col("b"), kernel).alias("d")))
 
 
-def hamming(query_codes: DataFrame, codes: DataFrame) -> DataFrame:
-    """``query_id, doc_id, qi, di, d``: subspaces in which the codes differ."""
-    q = packed_codes(query_codes).select(F.col("doc_id").alias("query_id"), F.col("point_idx").alias("qi"), F.col("codes").alias("a"))
-    d = packed_codes(codes).select("doc_id", F.col("point_idx").alias("di"), F.col("codes").alias("b"))
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return d.join(q).select("query_id", "doc_id", "qi", "di", differ.alias("d"))
-
-
 def train(points: DataFrame, spec: SubspaceSpec, k: int, rounds: int = 20, sample: int = 65_536, seed: int = 0) -> DataFrame:
     """``subspace, centroid, vec``: k-means in every subspace, one task each.
 

@@ -205,3 +205,34 @@ def sigma_subspace(spark, folder):
     return by.join(F.broadcast(full)).select("subspace", F.round("sigma", 6).alias("sigma"), F.round(F.col("sigma") / F.col("sd"), 6).alias("ratio"))  # one row
 
 
+
+
+@_q(
+    "sigma_sweep",
+    f"with {PTS}, e as (select doc_id * 5 + point_idx as id, vec as v from pts), p as (select a.id, a.v as a, b.v as b from e a join e b on b.id = a.id + 1),"
+    " f as (select stddev_pop(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))) as sd from p),"
+    " s as (select id, m, s, list_dot_product(a[w*s+1:w*s+w], b[w*s+1:w*s+w]) / (sqrt(list_dot_product(a[w*s+1:w*s+w], a[w*s+1:w*s+w])) * sqrt(list_dot_product(b[w*s+1:w*s+w], b[w*s+1:w*s+w]))) as c"
+    "   from p, (values (2, 32), (4, 16), (8, 8), (16, 4)) t(m, w), range(0, 16) r(s) where s < m),"
+    " k as (select m, avg(corr) as rho from (select x.m, x.s, y.s, corr(x.c, y.c) as corr from s x join s y on x.m = y.m and x.id = y.id and x.s < y.s group by all) group by m),"
+    " g as (select m, avg(sg) as sigma from (select m, s, stddev_pop(c) as sg from s group by all) group by m)"
+    " select g.m as parts, round(sigma / sd, 6) as ratio, round(rho, 6) + 0.0 as rho, round(sqrt(g.m / (1 + (g.m - 1) * rho)), 6) as predicted from g join k on g.m = k.m, f",
+)
+def sigma_sweep(spark, folder):
+    """Ratio of subspace to full cosine spread for several numbers of subspaces, and sqrt(M / (1 + (M - 1) rho))."""
+    from vectide.functions.vectors import SubspaceSpec
+
+    e = base.points(spark, folder).select((F.col("doc_id") * 5 + F.col("point_idx")).alias("id"), F.col("vec").alias("a"))
+    p = e.join(e.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    full = p.agg(F.stddev_pop(V.cosine_similarity(F.col("a"), F.col("b"))).alias("sd"))
+    sims = None
+    for m in (2, 4, 8, 16):
+        spec = SubspaceSpec(m, 64 // m)
+        one = p.select("id", F.lit(m).alias("parts"), F.posexplode(F.zip_with(V.sub_vectors(F.col("a"), spec), V.sub_vectors(F.col("b"), spec), V.cosine_similarity)).alias("s", "c"))
+        sims = one if sims is None else sims.unionByName(one)
+    sigma = sims.groupBy("parts", "s").agg(F.stddev_pop("c").alias("g")).groupBy("parts").agg(F.avg("g").alias("sigma"))
+    x, y = sims.alias("x"), sims.alias("y")
+    pairs = x.join(y, F.expr("x.parts = y.parts and x.id = y.id and x.s < y.s")).groupBy(F.col("x.parts").alias("parts"), F.col("x.s").alias("s"), F.col("y.s").alias("t")).agg(F.corr("x.c", "y.c").alias("r"))
+    rho = pairs.groupBy("parts").agg(F.avg("r").alias("rho"))
+    out = sigma.join(rho, "parts").join(F.broadcast(full))  # one row
+    predicted = F.sqrt(F.col("parts") / (1 + (F.col("parts") - 1) * F.col("rho")))
+    return out.select("parts", F.round(F.col("sigma") / F.col("sd"), 6).alias("ratio"), _r(F.col("rho"), "rho"), F.round(predicted, 6).alias("predicted"))

@@ -213,25 +213,9 @@ _FID = """with {pts}, mv as (select doc_id, list(m order by i) as m, list(v orde
   cham as (select a.doc_id as query_id, b.doc_id, list_sum(list_transform(range(1, 65), lambda i: (a.m[i] - b.m[i]) * (a.m[i] - b.m[i]) + 0.5 * {term})) as value from mv a, mv b where a.doc_id % 20 = 0)"""
 
 
-def _fid(doc_only: bool):
-    def run(spark, folder):
-        c = base.corpus(spark, folder)
-        stat = lambda df, key: df.select(key, clouds.mean_of(F.col("points"), 64).alias(key + "_m"), clouds.variance_of(F.col("points"), 64).alias(key + "_v"))
-        # the stated query set is small and checked; every document is met once
-        q = stat(c.queries, "query_id")
-        if q.count() > 10_000:
-            raise ValueError("at most 10,000 queries at once")
-        rows = stat(c.docs, "doc_id").crossJoin(F.broadcast(q))
-        spread = F.aggregate("doc_id_v", F.lit(0.0), lambda s, x: s + x) if doc_only else V.l2_squared(F.transform("query_id_v", F.sqrt), F.transform("doc_id_v", F.sqrt))
-        value = V.l2_squared(F.col("query_id_m"), F.col("doc_id_m")) + 0.5 * spread
-        return scan.top_k(rows.withColumn("value", value), K).select("query_id", "doc_id", _r(F.col("value"), "score"), "rank")
-
-    return run
-
-
-QUERIES["fid"] = _fid(False)
+QUERIES["fid"] = _scan("diagonal_fid")
 ORACLES["fid"] = _FID.format(pts=PTS, term="(sqrt(a.v[i]) - sqrt(b.v[i])) * (sqrt(a.v[i]) - sqrt(b.v[i]))") + top_sql("value", "cham", K)
-QUERIES["fid_doc_only"] = _fid(True)
+QUERIES["fid_doc_only"] = _scan("diagonal_fid_document")
 ORACLES["fid_doc_only"] = _FID.format(pts=PTS, term="b.v[i]") + top_sql("value", "cham", K)
 
 
@@ -246,16 +230,9 @@ ORACLES["fid_doc_only"] = _FID.format(pts=PTS, term="b.v[i]") + top_sql("value",
 def shape_boost(spark, folder):
     """Document cosine with the largest and the three largest point cosines, and the mixed start field of the largest and the mean."""
     c = base.corpus(spark, folder)
-    q = c.queries.select("query_id", F.get("points", F.lit(0)).alias("q"))
-    if q.count() > 10_000:
-        raise ValueError("at most 10,000 queries at once")
-    rows = c.docs.crossJoin(F.broadcast(q))
-    sims = F.reverse(F.array_sort(F.transform("points", lambda p: V.cosine_similarity(F.col("q"), p))))
-    rows = rows.select("query_id", "doc_id", sims.alias("s"), V.cosine_similarity(F.col("q"), clouds.mean_of(F.col("points"), 64)).alias("y"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
-    top = F.get("s", F.lit(0))
-    rows = rows.select("query_id", "doc_id", (0.6 * F.col("y") + 0.4 * (0.5 * top + 0.5 * mean(F.slice("s", 1, 3)))).alias("value"), (0.7 * top + 0.3 * mean(F.col("s"))).alias("mixed"))
-    return scan.top_k(rows, K, ascending=False).select("query_id", "doc_id", _r(F.col("value"), "score"), _r(F.col("mixed"), "mixed"), "rank")
+    hits = scan.scan(c.queries, c.docs, "shape_boost", SPEC, K)
+    mixed = scan.pair_values(hits, c.queries, c.docs, "mixed_field", SPEC).withColumnRenamed("value", "m")
+    return hits.join(mixed, ["query_id", "doc_id"]).select("query_id", "doc_id", _r(F.col("value"), "score"), _r(F.col("m"), "mixed"), "rank")
 
 
 # -- quantization --------------------------------------------------------------------
@@ -307,9 +284,10 @@ def pq_lookup_chamfer(spark, folder):
 def pq_hamming(spark, folder):
     """Mean over query points of the least number of differing codes."""
     book = base.codebook(spark, folder)
-    codes = quantize.encode(base.points(spark, folder), book, SPEC)
-    d = quantize.hamming(codes.where("doc_id % 20 = 0"), codes)
-    return d.groupBy("query_id", "doc_id", "qi").agg(F.min("d").alias("m")).groupBy("query_id", "doc_id").agg((F.round(F.avg("m"), 6) + 0.0).alias("score"))
+    words = quantize.packed_codes(quantize.encode(base.points(spark, folder), book, SPEC)).withColumnRenamed("codes", "vec")
+    every = clouds.nested(words.withColumn("vec", F.col("vec").cast("array<double>")))
+    hits = scan.scan(every.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), every, "code_difference", SPEC)
+    return hits.select("query_id", "doc_id", (F.round("value", 6) + 0.0).alias("score"))
 
 
 @query("pq_subspace_variance", "with " + PTS + " select cast(floor((i - 1) / 8) as int) as subspace, round(avg(v), 6) + 0.0 as variance from (select i, var_pop(vec[i]) as v from pts, range(1, 65) t(i) group by 1) group by 1")

@@ -44,11 +44,13 @@ SLACK = 0.15
 #: Classes of more copies than this are written as a star round their smallest id.
 STAR_OVER = 64
 _NOT_ALNUM = re.compile(r"[\W_]+")
+_ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def normalised(text: str) -> str:
     """Lower case, letters and digits only."""
-    return _NOT_ALNUM.sub("", text.lower())
+    low = text.lower()
+    return low.encode().translate(None, _ASCII_REST).decode() if low.isascii() else _NOT_ALNUM.sub("", low)
 
 
 def run_set(text: str, run: int) -> set[str]:
@@ -64,35 +66,42 @@ def _shifted(coords: int, seed: int) -> np.ndarray:
 
 
 def places(text: str, run: int) -> np.ndarray:
-    """The set of a normalised text after the first permutation."""
+    """The set of a normalised text after the first permutation, ascending."""
     code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     n = len(code) - run + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint32)
+    h = code[:n].copy()
     with np.errstate(over="ignore"):
-        for k in range(run):
-            h = h * np.uint64(0x100000001B3) + code[k : k + n]
-    return np.unique(mix64(h) >> np.uint64(44)).astype(np.int64)
+        for k in range(1, run):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h += code[k : k + n]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+    at = (h >> np.uint64(44)).astype(np.uint32)
+    at.sort()
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def signature(at: np.ndarray, coords: int, seed: int = 11) -> np.ndarray:
     """Circulant MinHash of a set of places, not empty."""
     table = _shifted(coords, seed)
     best = None
-    for lo in range(0, len(at), 256):
-        part = table[at[lo : lo + 256]].min(axis=0)
+    for lo in range(0, len(at), 512):
+        part = table[at[lo : lo + 512]].min(axis=0)
         best = part if best is None else np.minimum(best, part)
     return best
 
 
-def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 63-bit hash per band; the band's number is part of it."""
-    x = sig.reshape(bands, rows).astype(np.uint64)
-    h = np.arange(1, bands + 1, dtype=np.uint64)
+def band_hashes(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 63-bit hash per signature and band; the band's number is part of it."""
+    x = sigs.reshape(len(sigs), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sigs), bands))
     with np.errstate(over="ignore"):
         for k in range(rows):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x[:, k])
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, k])
     return (h >> np.uint64(1)).astype(np.int64)
 
 
@@ -100,23 +109,28 @@ def _prepared(df: DataFrame, id_col: str, fields: list[str], run: int, bands: in
     text = F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
     base = df.select(F.col(id_col).cast("string").alias("id"), text.alias("t")).where(F.col("id").isNotNull()).dropDuplicates(["id"])
 
+    coords = bands * rows
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             norm = [normalised(t) for t in batch.column(1).to_pylist()]
-            done: dict[str, tuple[int, list[int], bytes]] = {}
-            for t in norm:
-                if t not in done:
-                    at = places(t, run)
-                    sig = signature(at, bands * rows) if len(at) else None
-                    done[t] = (0, [], b"") if sig is None else (len(at), band_hashes(sig, bands, rows).tolist(), (mix64(sig) & np.uint64(255)).astype(np.uint8).tobytes())
+            sets = [places(t, run) for t in norm]
+            full = [k for k, at in enumerate(sets) if len(at)]
+            sigs = np.stack([signature(sets[k], coords) for k in full]) if full else np.zeros((0, coords), np.int32)
+            hashes = band_hashes(sigs, bands, rows)
+            short = (mix64(sigs.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            ends = np.zeros(len(norm) + 1, dtype=np.int32)
+            ends[1:] = np.cumsum([len(at) > 0 for at in sets])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([xxhash.xxh3_128_digest(t) for t in norm], pa.binary()),
                     pa.array(norm, pa.string()),
-                    pa.array([done[t][0] for t in norm], pa.int32()),
-                    pa.array([done[t][1] for t in norm], pa.list_(pa.int64())),
-                    pa.array([done[t][2] for t in norm], pa.binary()),
+                    pa.array([len(at) for at in sets], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends * bands), pa.array(hashes.ravel())),
+                    pa.Array.from_buffers(pa.binary(), len(norm), [None, pa.py_buffer(ends * coords), pa.py_buffer(short.ravel())]),
                 ],
                 names=["id", "digest", "norm", "size", "bands", "sig"],
             )

@@ -59,6 +59,14 @@ def test_query_blocks_are_bounded(small):
     assert [len(b) for b in blocks] == [1, 1]
 
 
+def test_hot_documents_stay_in_blocks(spark, small):
+    long = clouds.long_form(small.docs.select("doc_id", "points"))
+    want = sorted(map(tuple, scan.scan(small.queries, small.docs, "subspace_first", SPEC, 5).select("query_id", "doc_id", F.round("value", 9), "rank").collect()))
+    for cap in (1, 2, 100):
+        got = scan.scan_points(small.queries, long, SPEC, 5, cap=cap).select("query_id", "doc_id", F.round("value", 9), "rank")
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_top_k_case(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate((0.5, 0.9, 0.1, 0.3, 0.7))] + [(1, 9, None), (1, 8, float("nan"))], "query_id int, doc_id int, value double")
     assert [r.doc_id for r in scan.top_k(df, 3).orderBy("rank").collect()] == [2, 3, 0]

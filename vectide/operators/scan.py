@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.functions.vectors import SubspaceSpec
+from vectide.functions.vectors import PLAIN, SubspaceSpec
 from vectide.operators.clouds import arrow_clouds
-from vectide.operators.kernels import METRICS, SIMILARITIES
+from vectide.operators.kernels import METRICS, SIMILARITIES, sub_distances
 
 BLOCK_BYTES = 64 << 20
 
@@ -91,6 +91,56 @@ def scan(queries: DataFrame, docs: DataFrame, metric: str, spec: SubspaceSpec, k
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _block_part(asked: list, spec: SubspaceSpec):
+    """Of a block of one document's points: for every query the least distances and their sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = np.asarray(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(table.num_rows, -1)
+        ids, least, total = [], [], []
+        for query_id, q in asked:
+            d = sub_distances(q, p, spec, PLAIN)
+            ids.append(query_id)
+            least.append(d.min(axis=2).tobytes())
+            total.append(float(d.min(axis=1).mean(axis=0).sum()))
+        n = len(ids)
+        doc = table.column("doc_id")[0].as_py()
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "doc_id": pa.array([doc] * n, pa.int64()), "least": pa.array(least, pa.binary()), "total": pa.array(total, pa.float64()), "n": pa.array([table.num_rows] * n, pa.int64())})
+
+    return run
+
+
+def _merge_blocks(table: pa.Table) -> pa.Table:
+    least = np.min([np.frombuffer(b, dtype=float) for b in table.column("least").to_pylist()], axis=0)
+    value = least.mean() + sum(table.column("total").to_pylist()) / sum(table.column("n").to_pylist())
+    return pa.table({"query_id": table.column("query_id").slice(0, 1), "doc_id": table.column("doc_id").slice(0, 1), "value": [float(value)]})
+
+
+def scan_points(queries: DataFrame, points: DataFrame, spec: SubspaceSpec, k: int, cap: int = 8192) -> DataFrame:
+    """``scan`` with the subspace-first distance on long points (doc_id BIGINT, point_idx, vec),
+    for documents of any size.
+
+    Documents of at most ``cap`` points are nested and scanned. A larger one stays in
+    blocks of about ``cap`` points: a task gives, per query and block, the minima of
+    each query point and the sum of the block's own minima, and these are merged
+    exactly; no task ever holds the document. Null vectors and ids drop out.
+    """
+    from vectide.operators.clouds import nested
+
+    rows = points.where(F.col("doc_id").isNotNull() & (F.size("vec") == spec.dim)).select("doc_id", "point_idx", "vec")
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    hot = sizes.where(F.col("n") > cap).select("doc_id", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
+    cold = scan(queries, nested(rows.join(hot.select("doc_id"), "doc_id", "left_anti")), "subspace_first", spec, k).drop("rank")
+    if hot.isEmpty():
+        parts = cold
+    else:
+        blocks = rows.join(hot, "doc_id").select("doc_id", F.pmod(F.xxhash64("point_idx", F.lit(5)), "blocks").cast("int").alias("block"), F.col("vec").cast("array<double>").alias("vec"))
+        parts = cold
+        for asked in query_blocks(queries):
+            partial = blocks.groupBy("doc_id", "block").applyInArrow(_block_part(asked, spec), "query_id bigint, doc_id bigint, least binary, total double, n bigint")
+            parts = parts.unionByName(partial.groupBy("query_id", "doc_id").applyInArrow(_merge_blocks, "query_id bigint, doc_id bigint, value double"))
+    return top_k(parts, k)
+
+
 def pair_values(pairs: DataFrame, queries: DataFrame, docs: DataFrame, metric: str, spec: SubspaceSpec, **options) -> DataFrame:
     """``query_id, doc_id, value`` of listed pairs: two equi-joins, then the kernel on
     each row. Pairs whose query or document is unknown or empty drop out."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from vectide.operators import expansion, fusion, graph, metrics, retrieval, scan, solvers
-from vectide.operators.clouds import centroids
+from vectide.operators.clouds import centroids, nested
 from vectide.plans import base
 from vectide.plans.base import BOOK, PTS, SPEC, SUB, chamfer_sql, top_sql
 from vectide.plans.vectors import ADC, CENTROID_SCAN, FAR, NEAR_PROBE
@@ -230,6 +230,24 @@ ORACLES |= {
 }
 
 
+def chunk_clouds(spark, folder):
+    """Chunk clouds, whatever their size: every file whose id is divisible by 20 asks with
+    its first five points, all files answer."""
+    from pyspark.sql import Window
+
+    from vectide.sources.blobs import decoded, usable
+
+    rows = decoded(base.table(spark, folder, "chunks").select("id", "file_id", "vector"), "vector", 64).where(usable(F.col("vec")))
+    rows = rows.groupBy("id").agg(F.min("file_id").alias("doc_id"), F.min_by("vec", "file_id").alias("vec")).withColumn("point_idx", F.col("id"))
+    first = rows.where("doc_id % 20 = 0").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("id"))).where("r <= 5")
+    asked = nested(first.select("doc_id", F.col("r").alias("point_idx"), "vec")).withColumnRenamed("doc_id", "query_id")
+    hits = scan.scan_points(asked, rows.select("doc_id", "point_idx", "vec"), SPEC, K, cap=1024)
+    return hits.select("query_id", "doc_id", (F.round("value", 5) + 0.0).alias("score"), "rank")
+
+
+QUERIES["chunk_clouds"] = chunk_clouds
+
+
 # -- the flagship: two stages, smoothing, fusion, evaluation -------------------------------
 def _sides(spark, folder):
     c = base.corpus(spark, folder)

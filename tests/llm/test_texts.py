@@ -210,3 +210,36 @@ def test_phrases_on_other_hosts_count(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, portal string")
     out = {r.id: r.stitched_share for r in stuffing.stuffed_pages(df, "doc_id", "text", "portal").collect()}
     assert all(v == 1.0 for v in out.values())
+
+
+KEYWORDS = ["loans", "shoes", "pipes", "boats", "tiles", "wines", "lamps", "desks", "tents", "coats", "rings", "bikes"]
+
+
+def _template_page(rng):
+    """Template sentences whose keyword changes from sentence to sentence."""
+    made = []
+    for x in rng.sample(KEYWORDS, 8):
+        y = rng.choice(KEYWORDS[:3])
+        made.append(rng.choice([f"{x.title()} experts compare {x} and {y} for all of you.", f"Our page on {x} lists prices of {x} and the {x} tips for {y}.", f"When you need {x}, then choose the {x} of our {x} house and the {y}."]))
+    return " ".join(made)
+
+
+def test_template_sentences_meet_the_host_counts(spark):
+    rng = random.Random(3)
+    rows = [(k, _template_page(rng), f"h{k}") for k in range(24)]
+    rows += [(100 + k, PROSE + f"Ship number {k} had left the port before any notice could be given to its owner, as was said.", f"h{k}") for k in range(24)]  # honest and copied
+    df = spark.createDataFrame(rows, "doc_id long, text string, portal string")
+    out = {r.id: r for r in stuffing.stuffed_pages(df, "doc_id", "text", "portal").collect()}
+    assert {k for k, r in out.items() if r.stuffed} == set(range(24))
+    assert all(out[k].list_share < 0.35 and not out[k].repeats for k in range(24))
+    alone = stuffing.stuffed_pages(df.withColumn("portal", F.lit("one")), "doc_id", "text", "portal")  # one host: only phrases given three times in a page
+    assert alone.where("stuffed").count() < 24
+
+
+def test_shingles_have_stride_one(spark):
+    import numpy as np
+
+    h, unit = stuffing.shingles(np.arange(1, 10, dtype=np.uint64), np.array([7, 2]))
+    assert unit.tolist() == [0, 0, 0, 1] and len(set(h.tolist())) == 4
+    shifted, _ = stuffing.shingles(np.arange(2, 8, dtype=np.uint64), np.array([6]))
+    assert shifted.tolist() == h[1:3].tolist()

@@ -4,19 +4,22 @@
    *sentence* (ends like one, has enough function words, clauses of some length),
    a *reference* (a term, clause, citation or table row with its number), or else
    a *list* unit; links are taken out first, so a sentence that cites one stays one.
-2. Phrase shingles: the items of list units, in runs of at most five words, are
-   exploded with the page's host, and the distinct hosts of each are counted over
-   the whole collection. A phrase is *stitched* if it stands on at least
-   ``min_hosts`` hosts besides the page's own, is a link, or is given
-   three times or more in the page.
+2. Phrase shingles: every run of five words (stride 1) of every unit of every page; in
+   lists, of every item. Content words that a sentence repeats are one slot, so that
+   "X experts compare X and Y" is one phrase whatever X is. The distinct hosts of each
+   phrase are counted over the whole collection: a task sends at most ``min_hosts + 1``
+   hosts of a phrase, phrases go to buckets by hash. A phrase is *stitched* if it
+   stands on more than ``min_hosts`` hosts or three times or more in the page; a link is.
 3. A page is flagged if list units hold more than ``list_share`` of it, or at least
-   ``list_low`` and its phrases are stitched for ``stitched_share`` or more, or if it
+   ``list_low`` and its listed phrases are stitched for ``stitched_share`` or more; or
+   if ``keyword_share`` of the words of its sentences are repeated by their sentence and
+   the phrases of the whole page are stitched for ``stitched_share``; or if it
    repeats its words as no prose does: few different shingles of five words and
    one leading keyword.
 
 Semantics: null, empty and short texts (under ``MIN_CHARS``) and wrongly decoded
 ones are no cases. A null host is a host of its own. A repeated id is one page if
-its rows are equal. No rows give no rows. Only the named columns are read.
+its rows are equal. Phrases are told apart by 48-bit hashes. No rows give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from vectide.shared import stored
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string as _parse
 
 MIN_CHARS = 80
 #: Frequent function words of English, German and French, and characters of Chinese.
@@ -65,27 +71,45 @@ def damaged(text: str) -> bool:
 _LATIN = "".join(map(chr, range(0x80, 0xC0))) + "åæçäèéï"
 
 
-def unit_kind(unit: str) -> tuple[str, str]:
-    """``sentence``, ``reference`` or ``list``, and the unit without its links."""
-    rest = _LINK.sub(" ", unit) if ("." in unit or "/" in unit) else unit
-    cjk = len(_CJK.findall(rest))
+def unit_kind(unit: str) -> tuple[str, str, list[str] | None]:
+    """``sentence``, ``reference`` or ``list``, the unit without its links, and its words if they were cut."""
+    rest = _LINK.sub(" ", unit) if ("/" in unit or "www." in unit) else unit  # no link is without
+    cjk = 0 if rest.isascii() else len(_CJK.findall(rest))
+    found = None
     if cjk * 3 > len(rest):
         clauses = [len(c) for c in _CLAUSE.split(rest) if _CJK.search(c)]  # numbers apart
         mean = sum(clauses) / len(clauses) if clauses else 0
         if cjk >= 8 and _ENDS.search(rest) and (mean >= 9 or mean >= 7 and len(_CJK_FUNCTION.findall(rest)) >= 0.045 * cjk):
-            return "sentence", rest
+            return "sentence", rest, None
     else:
         found = _WORD.findall(rest.lower())
         words = len(found)
         share = sum(map(_FUNCTION_SET.__contains__, found)) / words if words else 0
         if words >= 5 and (share >= 0.09 and _ENDS.search(rest) or words >= 12 and share >= 0.15):
-            return "sentence", rest
-    return ("reference" if _REFERENCE.search(rest) else "list"), rest
+            return "sentence", rest, found
+    return ("reference" if _REFERENCE.search(rest) else "list"), rest, found
+
+
+class _Hashes(dict):
+    """63-bit hashes of words, the last bit 1 for a content word; the first million are kept."""
+
+    def __missing__(self, word: str) -> int:
+        content = len(word) > 1 and word not in _FUNCTION_SET and not word.isdigit()
+        value = xxhash.xxh3_64_intdigest(word) & ~1 | content
+        if len(self) < 1 << 20:
+            self[word] = value
+        return value
+
+
+_HASHES = _Hashes()
+_SLOT = xxhash.xxh3_64_intdigest("\x00slot") & ~1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def repetition(text: str) -> bool:
     """Few different shingles of five words, or pairs, and a leading keyword."""
-    words = _WORD.findall(_LINK.sub(" ", text.lower()))
+    text = text.lower()
+    words = _WORD.findall(_LINK.sub(" ", text) if ("/" in text or "www." in text) else text)
     n = len(words)
     if n < 20:
         return False
@@ -96,64 +120,260 @@ def repetition(text: str) -> bool:
     return pair >= 0.15 or (different < 0.92 and leader >= 0.12) or (different < 0.85 and pair >= 0.1)
 
 
-def page_evidence(text: str | None) -> tuple[float, bool, dict[str, int]]:
-    """Share of list units, repetition, and the phrases of list units with their counts."""
+class Page(NamedTuple):
+    list_share: float
+    repeats: bool
+    links: int
+    words: list[str]
+    lengths: list[int]
+    kinds: list[int]
+
+
+ITEM, SENTENCE, OTHER = 0, 1, 2
+
+
+def page_evidence(text: str | None) -> Page | None:
+    """Share of list units, repetition, links, and the words of all units, one behind
+    another, with the units' lengths and kinds. None if the page is no case."""
     if text is None or len(text) < MIN_CHARS or damaged(text):
-        return 0.0, False, {}
-    listed = total = 0
-    phrases: Counter = Counter()
+        return None
+    listed = total = links = 0
+    every, lengths, kinds = [], [], []
     for unit in _UNIT.split(text):
         if not unit or unit.isspace():
             continue
-        kind, rest = unit_kind(unit)
+        kind, rest, words = unit_kind(unit)
         total += len(unit)
         if kind == "list":
             listed += len(unit)
             if len(rest) != len(unit):
-                phrases["\x00link"] += len(_LINK.findall(unit))
+                links += len(_LINK.findall(unit))
             for item in _SEPARATOR.split(rest.lower()):
                 words = _WORD.findall(item)
-                for at in range(0, len(words), 5):
-                    phrases[" ".join(words[at : at + 5])] += 1
+                if words:
+                    every += words
+                    lengths.append(len(words))
+                    kinds.append(ITEM)
+            continue
+        if words is None:
+            words = _WORD.findall(rest.lower())
+        if words:
+            every += words
+            lengths.append(len(words))
+            kinds.append(SENTENCE if kind == "sentence" else OTHER)
     raw = text.encode()
     repeats = len(zlib.compress(raw, 1)) < 0.55 * len(raw) and repetition(text)
-    return listed / max(1, total), repeats, phrases
+    return Page(listed / max(1, total), repeats, links, every, lengths, kinds)
+
+
+def own_keywords(words: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which words are content words that their sentence gives twice or more."""
+    unit = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    at = np.flatnonzero((words & np.uint64(1)).astype(bool) & (np.repeat(kinds, lengths) == SENTENCE))
+    key = words[at] + unit[at] * _MIX
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    out = np.zeros(len(words), bool)
+    out[at[order[1:][same]]] = True
+    out[at[order[:-1][same]]] = True
+    return out
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
+def shingles(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of all runs of five words (a shorter unit is one run), and the unit of each."""
+    wide = np.maximum(lengths, 5)
+    starts = np.cumsum(wide) - wide
+    at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat = np.zeros(int(wide.sum()), np.uint64)
+    flat[np.repeat(starts, lengths) + at] = words
+    runs = wide - 4
+    unit = np.repeat(np.arange(len(lengths)), runs)
+    first = np.repeat(starts, runs) + np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs)
+    h = np.zeros(len(first), np.uint64)
+    for k in range(5):
+        h = h * _MIX + flat[first + k]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h >> np.uint64(16), unit
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes by place, so that the equal high ones of sorted numbers compress."""
+    return values.view(np.uint8).reshape(len(values), 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+class _Block:
+    """Pages of a task until they are written: phrases by bucket, each with its hosts."""
+
+    def __init__(self, buckets: int, min_hosts: int, judge, schema: pa.Schema):
+        self.buckets, self.min_hosts, self.judge, self.schema = buckets, min_hosts, judge, schema
+        self.clear()
+
+    def clear(self) -> None:
+        self.hosts: dict[int, int] = {}
+        self.phrases, self.cases, self.case_n, self.case_of, self.pages, self.size = [], [], [], [], [], 0
+
+    def add(self, ids: list, hosts: list[str], pages: list[Page | None]) -> None:
+        taken = [(i, h, p) for i, h, p in zip(ids, hosts, pages) if p is not None]
+        if not taken:
+            return
+        count = sum(len(p.words) for *_, p in taken)
+        words = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(p.words for *_, p in taken)), np.uint64, count)
+        lengths = np.fromiter(chain.from_iterable(p.lengths for *_, p in taken), np.int64)
+        kinds = np.fromiter(chain.from_iterable(p.kinds for *_, p in taken), np.int64)
+        unit_page = np.repeat(np.arange(len(taken)), [len(p.lengths) for *_, p in taken])
+        own = own_keywords(words, lengths, kinds)
+        said = np.bincount(unit_page, lengths * (kinds == SENTENCE), len(taken))
+        keywords = np.bincount(np.repeat(unit_page, lengths)[own], minlength=len(taken)) / np.maximum(1, said)
+        words[own] = _SLOT
+        h, unit = shingles(words, lengths)
+        page, item = unit_page[unit], (kinds == ITEM)[unit]
+        host = np.array([self.hosts.setdefault(xxhash.xxh3_64_intdigest(x), len(self.hosts)) for _, x, _ in taken], np.uint64)
+        value = (h << np.uint64(16)) | host[page]
+        judged = np.array([self.judge(p, k) for (*_, p), k in zip(taken, keywords)])
+        self.phrases.append(_distinct(value[~judged[page]]))
+        number = np.cumsum(judged) - 1 + len(self.pages)
+        self.pages += [(i, p.list_share, float(k), p.repeats, p.links) for (i, _, p), k, j in zip(taken, keywords, judged) if j]
+        mine = judged[page]
+        pair = np.stack([value[mine], (number[page][mine] * 2 + item[mine]).astype(np.uint64)])
+        order = np.lexsort(pair)
+        pair = pair[:, order]
+        new = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))[: pair.shape[1]])
+        self.cases.append(pair[0, new])
+        self.case_of.append(pair[1, new])
+        self.case_n.append(np.diff(np.append(new, pair.shape[1])).astype(np.uint64))
+        self.size += len(self.phrases[-1]) + len(new)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.phrases:
+            return
+        phrases = _distinct(np.concatenate(self.phrases))
+        # more hosts of one phrase than can matter need not be sent
+        enough = self.min_hosts + 1
+        key = phrases >> np.uint64(16)
+        phrases = phrases[np.append(np.ones(min(enough, len(key)), bool), key[enough:] != key[:-enough])]
+        cases, of, n = map(np.concatenate, (self.cases, self.case_of, self.case_n))
+        edges = np.array([(k << 64) // self.buckets for k in range(1, self.buckets)], np.uint64)
+        bucket = np.searchsorted(edges, cases, "right")
+        order = np.argsort(bucket, kind="stable")
+        case_cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        cut = [0, *np.searchsorted(phrases, edges), len(phrases)]
+        hosts = np.array(list(self.hosts), np.uint64)
+        rows = []
+        for b in range(self.buckets):
+            part, mine = phrases[cut[b] : cut[b + 1]], order[case_cut[b] : case_cut[b + 1]]
+            own = self.pages[b :: self.buckets]  # their evidence goes with this bucket
+            if not len(part) and not len(mine) and not own:
+                continue
+            pages, local = np.unique(of[mine] >> np.uint64(1), return_inverse=True)
+            both = np.concatenate([part, cases[mine]])
+            index = (both & np.uint64(0xFFFF)).astype(np.int64)
+            used = np.flatnonzero(np.bincount(index, minlength=len(hosts)))
+            place = np.zeros(len(hosts), np.uint64)
+            place[used] = np.arange(len(used))
+            both = (both & ~np.uint64(0xFFFF)) | place[index]
+            tag = (local.astype(np.uint64) << np.uint64(1)) | (of[mine] & np.uint64(1))
+            planes = map(_planes, (both[: len(part)], both[len(part) :], tag, n[mine]))
+            rows.append((b, hosts[used].tobytes(), *planes, [self.pages[int(k)][0] for k in pages], *(map(list, zip(*own)) if own else [[]] * 5)))
+            if len(rows) == 64:
+                yield self._batch(rows)
+                rows = []
+        if rows:
+            yield self._batch(rows)
+        self.clear()
+
+    def _batch(self, rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.schema)], schema=self.schema)
+
+
+def _judge_bucket(min_hosts: int, schema: pa.Schema):
+    """Of a bucket's phrases: for each page the phrases of lists and of all units, and the stitched ones among them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, hosts, sent, number, counts, ids = [], [], [], [], [], []
+        own = [[], [], [], [], []]
+        for row in table.to_pylist():
+            names = np.frombuffer(row["hosts"], np.uint64)
+            case, tag = _numbers(row["cases"]), _numbers(row["tags"])
+            for v in (case, _numbers(row["phrases"])):
+                keys.append(v >> np.uint64(16))
+                hosts.append(names[(v & np.uint64(0xFFFF)).astype(np.int64)])
+            sent.append(case >> np.uint64(16))
+            number.append(tag + np.uint64(2 * len(ids)))
+            counts.append(_numbers(row["counts"]))
+            ids += row["ids"]
+            for k, name in enumerate(("own_ids", "list_share", "keyword_share", "repeats", "links")):
+                own[k] += row[name]
+        key, host, case, tag, n = map(np.concatenate, (keys, hosts, sent, number, counts))
+        wanted = np.isin(key, _distinct(case))
+        key, host = key[wanted], host[wanted]
+        order = np.lexsort((host, key))
+        key, host = key[order], host[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (host[1:] != host[:-1]))[: len(key)]
+        found, times = np.unique(key[new], return_counts=True)
+        spread = times[np.searchsorted(found, case)] > min_hosts if len(case) else np.zeros(0, bool)
+        stitched, listed, page, n = spread | (n >= 3), (tag & np.uint64(1)).astype(bool), (tag >> np.uint64(1)).astype(np.int64), n.astype(np.int64)
+        add = lambda rows: np.bincount(page[rows], n[rows], len(ids)).astype(np.int64)
+        every, m = np.ones(len(page), bool), len(own[0])
+        sums = [np.concatenate([add(rows), np.zeros(m, np.int64)]) for rows in (every, stitched, listed, stitched & listed)]
+        columns = [ids + own[0], *([None] * len(ids) + x for x in own[1:]), *sums]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+BLOCK_PHRASES = 4_000_000
 
 
 def stuffed_pages(
-    df: DataFrame, id_col: str, text: str, host: str, min_hosts: int = 2, list_share: float = 0.5, list_low: float = 0.35, stitched_share: float = 0.5
+    df: DataFrame,
+    id_col: str,
+    text: str,
+    host: str,
+    min_hosts: int = 2,
+    list_share: float = 0.5,
+    list_low: float = 0.35,
+    stitched_share: float = 0.5,
+    keyword_share: float = 0.2,
 ) -> DataFrame:
-    """``id``, ``list_share``, ``stitched_share``, ``repeats`` and ``stuffed`` of every page with evidence."""
+    """``id``, ``list_share``, ``keyword_share``, ``list_stitched``, ``stitched_share``, ``repeats`` and ``stuffed`` of every page with evidence."""
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host), F.concat(F.lit("\x00"), F.col(id_col).cast("string"))).alias("host"), F.col(text).alias("t")).where(
         (F.length("t") >= MIN_CHARS) & F.col("id").isNotNull()
     )
+    schema = f"bucket int, hosts binary, phrases binary, cases binary, tags binary, counts binary, ids array<{kind}>, own_ids array<{kind}>, list_share array<double>, keyword_share array<double>, repeats array<boolean>, links array<bigint>"
+    result = f"id {kind}, list_share double, keyword_share double, repeats boolean, links bigint, phrases bigint, stitched bigint, list_phrases bigint, list_stitched bigint"
+    arrow, arrow_result = to_arrow_schema(_parse(schema)), to_arrow_schema(_parse(result))
+    buckets = max(128, 4 * rows.rdd.getNumPartitions())
+
+    # pages that no number of hosts could flag are counted, but need no share
+    def judge(p: Page, keywords: float) -> bool:
+        return p.list_share > 0.05 or keywords >= keyword_share or p.repeats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(buckets, min_hosts, judge, arrow)
         for batch in batches:
-            keep, shares, repeats, hashes, counts = [], [], [], [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                share, again, phrases = page_evidence(t)
-                if share > 0.05 or again:
-                    keep.append(k)
-                    shares.append(share)
-                    repeats.append(again)
-                    hashes.append([0 if p == "\x00link" else xxhash.xxh3_64_intdigest(p) >> 1 or 1 for p in phrases])
-                    counts.append(list(phrases.values()))
-            taken = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(shares, pa.float64()), pa.array(repeats, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["id", "host", "list_share", "repeats", "phrases", "counts"],
-            )
-
-    schema = f"id {kind}, host string, list_share double, repeats boolean, phrases array<bigint>, counts array<int>"
-    pages = stored(rows.mapInArrow(work, schema).dropDuplicates(["id"]), "page-evidence")
-    exploded = pages.select("id", "host", F.explode(F.arrays_zip("phrases", "counts")).alias("x")).select("id", "host", F.col("x.phrases").alias("phrase"), F.col("x.counts").alias("n"))
-    hosts = exploded.select("phrase", "host").distinct().groupBy("phrase").agg(F.count("*").alias("hosts")).where(F.col("hosts") > min_hosts)
-    judged = exploded.join(hosts, "phrase", "left").withColumn("stitched", F.col("hosts").isNotNull() | (F.col("n") >= 3) | (F.col("phrase") == 0))
-    shares = judged.groupBy("id").agg((F.sum(F.when(F.col("stitched"), F.col("n")).otherwise(0)) / F.sum("n")).alias("stitched_share"))
-    out = pages.drop("phrases", "counts", "host").join(shares, "id", "left").withColumn("stitched_share", F.coalesce("stitched_share", F.lit(0.0)))
-    return out.withColumn(
-        "stuffed",
-        (F.col("list_share") > list_share) | ((F.col("list_share") >= list_low) & (F.col("stitched_share") >= stitched_share)) | F.col("repeats"),
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                block.add(*(part.column(k).to_pylist() for k in (0, 1)), [page_evidence(t) for t in part.column(2).to_pylist()])
+                if block.size >= BLOCK_PHRASES or len(block.hosts) >= 64_000:
+                    yield from block.flush()
+        yield from block.flush()
+
+    parts = rows.mapInArrow(work, schema).groupBy("bucket").applyInArrow(_judge_bucket(min_hosts, arrow_result), result)
+    out = parts.groupBy("id").agg(
+        *(F.max(c).alias(c) for c in ("list_share", "keyword_share", "repeats")),
+        F.coalesce(F.try_divide(F.sum("list_stitched") + F.max("links"), F.sum("list_phrases") + F.max("links")), F.lit(0.0)).alias("list_stitched"),
+        F.coalesce(F.try_divide(F.sum("stitched") + F.max("links"), F.sum("phrases") + F.max("links")), F.lit(0.0)).alias("stitched_share"),
     )
+    listed = (F.col("list_share") > list_share) | ((F.col("list_share") >= list_low) & (F.col("list_stitched") >= stitched_share))
+    return out.withColumn("stuffed", listed | ((F.col("keyword_share") >= keyword_share) & (F.col("stitched_share") >= stitched_share)) | F.col("repeats"))

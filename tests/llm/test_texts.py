@@ -243,3 +243,18 @@ def test_shingles_have_stride_one(spark):
     assert unit.tolist() == [0, 0, 0, 1] and len(set(h.tolist())) == 4
     shifted, _ = stuffing.shingles(np.arange(2, 8, dtype=np.uint64), np.array([6]))
     assert shifted.tolist() == h[1:3].tolist()
+
+
+def test_references_exempt_a_short_span():
+    share = lambda t: stuffing.page_evidence(t).list_share
+    goods = ["red shoes", "blue lamps", "garden tiles", "oak desks", "warm coats", "light tents", "steel pipes", "gold rings"]
+    assert share("\n".join(f"[{k}] {g} offers" for k, g in enumerate(goods))) > 0.5
+    assert share("\n".join(f"{k}) {g} offers https://shop.example/{k}" for k, g in enumerate(goods))) > 0.5
+    assert share("\n".join(f"{g} offers (2024)" for g in goods)) > 0.9
+    assert share("\n".join(f"{g} tv 16/9 offers" for g in goods)) > 0.9
+    assert share("\n".join(f"art {g} offers" for g in goods)) > 0.9
+    assert share("see section 12, " + ", ".join(goods * 20)) > 0.9
+    assert share("\n".join(f"[{k}] Carter v Norwick Foundry, RA 9287{k}/11 (1994)." for k in range(5))) == 0
+    assert share("\n".join(f"Clinic Group Papers 5{k}, 86-1052 (2009)." for k in range(5))) == 0
+    assert share("\n".join(f"harbour dues | article {k} | 516,924 crowns" for k in range(5))) == 0
+    assert stuffing.page_evidence("see section 12, " + ", ".join(goods * 20)).kinds.count(stuffing.ITEM) > 100

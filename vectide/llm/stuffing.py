@@ -2,8 +2,8 @@
 
 1. Every text is read whole and cut into units (lines and sentences). A unit is a
    *sentence* (ends like one, has enough function words, clauses of some length),
-   a *reference* (a term, clause, citation or table row with its number), or else
-   a *list* unit; links are taken out first, so a sentence that cites one stays one.
+   a *reference* (a clause, docket or citation and the characters round it; what lies
+   farther off in the unit is list), or else a *list* unit; links are taken out first, so a sentence that cites one stays one.
 2. Phrase shingles: every run of five words (stride 1) of every unit of every page; in
    lists, of every item. Content words that a sentence repeats are one slot, so that
    "X experts compare X and Y" is one phrase whatever X is. The distinct hosts of each
@@ -56,7 +56,12 @@ _FUNCTION_SET = frozenset(FUNCTION_WORDS)
 _CJK = re.compile(r"[㐀-鿿]")
 _CJK_FUNCTION = re.compile(f"[{FUNCTION_CHARS}]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*")
-_REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)、]|§|art\b)|第\s*\d+\s*条|\(\d{4}\)|\b[A-Z]{2} \d+/\d+|§+\s*\d|\b(?:article|section|paragraph|art)\W*\d", re.I)
+_NUMBERED = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)、])")
+_CITED = re.compile(r"§+\s*\d|第\s*\d+\s*条|\b[A-Z]{2} \d{2,}/\d{2}\b|\b(?i:article|section|paragraph|art)\W{1,3}\d{1,3}\b")
+_YEAR = re.compile(r"\(\d{4}\)")
+_VOLUME = re.compile(r"\d\s*[,:]\s*\d|\d[-–]\d|\bv\.?\s")
+#: Characters on either side of a citation that belong to it.
+SPAN = 60
 _UNIT = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？:：;；…][\"'”’»）)\]]*\s*$")
 _SEPARATOR = re.compile(r"[,，、;；·•|»>/#*\r\n!?。！？]+|\s-\s|\.\s|\s{2,}")
@@ -71,6 +76,25 @@ def damaged(text: str) -> bool:
 _LATIN = "".join(map(chr, range(0x80, 0xC0))) + "åæçäèéï"
 
 
+def citations(rest: str) -> list[tuple[int, int]]:
+    """Stretches of a unit that are citations: a clause, docket or paragraph number, or a
+    year in brackets beside a volume or parties, and ``SPAN`` characters round it. Of a
+    numbered item without any of these the number alone."""
+    found = [m.span() for m in _CITED.finditer(rest)]
+    if "(" in rest and _VOLUME.search(rest):
+        found += [m.span() for m in _YEAR.finditer(rest) if _VOLUME.search(rest, max(0, m.start() - SPAN), m.end() + SPAN)]
+    if not found:
+        return [m.span()] if (m := _NUMBERED.match(rest)) else []
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        a, b = max(0, a - SPAN), min(len(rest), b + SPAN)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def unit_kind(unit: str) -> tuple[str, str, list[str] | None]:
     """``sentence``, ``reference`` or ``list``, the unit without its links, and its words if they were cut."""
     rest = _LINK.sub(" ", unit) if ("/" in unit or "www." in unit) else unit  # no link is without
@@ -87,7 +111,7 @@ def unit_kind(unit: str) -> tuple[str, str, list[str] | None]:
         share = sum(map(_FUNCTION_SET.__contains__, found)) / words if words else 0
         if words >= 5 and (share >= 0.09 and _ENDS.search(rest) or words >= 12 and share >= 0.15):
             return "sentence", rest, found
-    return ("reference" if _REFERENCE.search(rest) else "list"), rest, found
+    return ("reference" if citations(rest) else "list"), rest, found
 
 
 class _Hashes(dict):
@@ -144,18 +168,23 @@ def page_evidence(text: str | None) -> Page | None:
             continue
         kind, rest, words = unit_kind(unit)
         total += len(unit)
-        if kind == "list":
-            listed += len(unit)
-            if len(rest) != len(unit):
+        if kind != "sentence":
+            spans = citations(rest) if kind == "reference" else []
+            cited = "".join(rest[a:b] for a, b in spans)
+            bare = not spans or len(spans) == 1 and _NUMBERED.fullmatch(cited)
+            listed += (len(unit) if bare else len(rest)) - len(cited)
+            if bare and len(rest) != len(unit):
                 links += len(_LINK.findall(unit))
-            for item in _SEPARATOR.split(rest.lower()):
-                words = _WORD.findall(item)
-                if words:
-                    every += words
-                    lengths.append(len(words))
-                    kinds.append(ITEM)
-            continue
-        if words is None:
+            edges = [0, *(x for span in spans for x in span), len(rest)]
+            for a, b in zip(edges[::2], edges[1::2]):
+                for item in _SEPARATOR.split(rest[a:b].lower()):
+                    words = _WORD.findall(item)
+                    if words:
+                        every += words
+                        lengths.append(len(words))
+                        kinds.append(ITEM)
+            words = _WORD.findall(cited.lower())
+        elif words is None:
             words = _WORD.findall(rest.lower())
         if words:
             every += words

@@ -311,3 +311,36 @@ def test_every_query_is_registered_with_a_callable():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 100
+
+
+def test_query_clouds_in_pieces():
+    from vectide.operators import kernels
+
+    rng = np.random.default_rng(4)
+    q, p = rng.normal(size=(23, 4)), rng.normal(size=(40, 4))
+    starts = np.array([0, 1, 17, 30])
+    whole = kernels.subspace_first(q, p, starts, SPEC)
+    for piece in (1, 5, 22, 23, None):
+        assert np.allclose(kernels.subspace_first_pieces(q, p, starts, SPEC, piece=piece), whole, atol=1e-12)
+
+
+def test_chunk_clouds_ask_with_all_points(spark, sf):
+    from vectide.operators import kernels
+    from vectide.plans import retrievals
+    from vectide.plans.base import SPEC as spec
+
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/chunks.parquet").collect():
+        x = np.frombuffer(r.vector, "<f4") if r.vector is not None and len(r.vector) == 256 else np.zeros(64)
+        if np.isfinite(x).all() and x.any():
+            rows[r.id] = (r.file_id, x.astype(float))
+    clouds = {}
+    for k in sorted(rows):
+        clouds.setdefault(rows[k][0], []).append(rows[k][1])
+    asked = {d: np.array(c) for d, c in clouds.items() if d % 20 == 0}
+    assert max(len(c) for c in asked.values()) > 5
+    got = {(r.query_id, r.doc_id): r.score for r in retrievals.chunk_clouds(spark, sf).collect()}
+    for d, q in asked.items():
+        values = {e: kernels.subspace_first(q, np.array(c), np.zeros(1, int), spec)[0] for e, c in clouds.items()}
+        for e in sorted(values, key=lambda e: (values[e], e))[:10]:
+            assert abs(got[d, e] - values[e]) < 1e-4

@@ -56,6 +56,25 @@ def subspace_first(q, p, starts, spec, kernel=PLAIN):
     return _two_sided(sub_distances(q, p, spec, kernel), starts).mean(axis=0)
 
 
+def subspace_minima(q, p, starts, spec, kernel=PLAIN, piece: int | None = None):
+    """For query clouds of any size, taken in pieces of points: parts x query points x
+    documents the least distances, and parts x points those over the whole query."""
+    piece = piece or max(1, (1 << 19) // max(1, len(p)))
+    least, back = [], None
+    for at in range(0, len(q), piece):
+        d = sub_distances(q[at : at + piece], p, spec, kernel)
+        least.append(np.minimum.reduceat(d, starts, axis=2))
+        near = d.min(axis=1)
+        back = near if back is None else np.minimum(back, near)
+    return np.concatenate(least, axis=1), back
+
+
+def subspace_first_pieces(q, p, starts, spec, kernel=PLAIN, piece: int | None = None):
+    """``subspace_first`` with the query in pieces, minima and sums merged exactly."""
+    least, back = subspace_minima(q, p, starts, spec, kernel, piece)
+    return (least.mean(axis=1) + np.add.reduceat(back, starts, axis=1) / _sizes(starts, len(p))).mean(axis=0)
+
+
 def query_to_cloud(q, p, starts, spec, kernel=PLAIN):
     """One query vector: mean over the subspaces of nearest plus mean distance."""
     d = sub_distances(q[:1], p, spec, kernel)[:, 0, :]
@@ -218,7 +237,7 @@ def code_difference(q, p, starts, spec, kernel=None):
 METRICS: dict[str, Callable] = {
     f.__name__: f
     for f in (
-        pair_first, scan_pair_first, subspace_first, query_to_cloud, cloud_to_centroid, plain_chamfer, unaligned, max_sim, max_sim_distance,
+        pair_first, scan_pair_first, subspace_first, subspace_first_pieces, query_to_cloud, cloud_to_centroid, plain_chamfer, unaligned, max_sim, max_sim_distance,
         symmetric_max_sim_distance, header_chamfer, centroid_cosine, max_point_cosine, sampled_chamfer, diagonal_fid, diagonal_fid_document, shape_boost, mixed_field, code_difference, density_chamfer, softmax_dual, hierarchical_dual,
     )
 }

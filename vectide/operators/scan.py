@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.functions.vectors import PLAIN, SubspaceSpec
+from vectide.functions.vectors import SubspaceSpec
 from vectide.operators.clouds import arrow_clouds
-from vectide.operators.kernels import METRICS, SIMILARITIES, sub_distances
+from vectide.operators.kernels import METRICS, SIMILARITIES, subspace_minima
 
 BLOCK_BYTES = 64 << 20
 
@@ -98,10 +98,10 @@ def _block_part(asked: list, spec: SubspaceSpec):
         p = np.asarray(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(table.num_rows, -1)
         ids, least, total = [], [], []
         for query_id, q in asked:
-            d = sub_distances(q, p, spec, PLAIN)
+            near, back = subspace_minima(q, p, np.zeros(1, dtype=np.int64), spec)
             ids.append(query_id)
-            least.append(d.min(axis=2).tobytes())
-            total.append(float(d.min(axis=1).mean(axis=0).sum()))
+            least.append(near[:, :, 0].tobytes())
+            total.append(float(back.mean(axis=0).sum()))
         n = len(ids)
         doc = table.column("doc_id")[0].as_py()
         return pa.table({"query_id": pa.array(ids, pa.int64()), "doc_id": pa.array([doc] * n, pa.int64()), "least": pa.array(least, pa.binary()), "total": pa.array(total, pa.float64()), "n": pa.array([table.num_rows] * n, pa.int64())})
@@ -122,14 +122,16 @@ def scan_points(queries: DataFrame, points: DataFrame, spec: SubspaceSpec, k: in
     Documents of at most ``cap`` points are nested and scanned. A larger one stays in
     blocks of about ``cap`` points: a task gives, per query and block, the minima of
     each query point and the sum of the block's own minima, and these are merged
-    exactly; no task ever holds the document. Null vectors and ids drop out.
+    exactly; no task ever holds the document. Query clouds of any size are compared in
+    pieces of points; a task holds a query's points (and a block of queries), never its
+    distances to a batch. Null vectors and ids drop out.
     """
     from vectide.operators.clouds import nested
 
     rows = points.where(F.col("doc_id").isNotNull() & (F.size("vec") == spec.dim)).select("doc_id", "point_idx", "vec")
     sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > cap).select("doc_id", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    cold = scan(queries, nested(rows.join(hot.select("doc_id"), "doc_id", "left_anti")), "subspace_first", spec, k).drop("rank")
+    cold = scan(queries, nested(rows.join(hot.select("doc_id"), "doc_id", "left_anti")), "subspace_first_pieces", spec, k).drop("rank")
     if hot.isEmpty():
         parts = cold
     else:

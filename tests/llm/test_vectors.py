@@ -134,3 +134,23 @@ def test_clusters_against_brute_force(spark, cap):
 def test_clusters_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id long, vector binary")
     assert BisectingClusters(df, "id", "vector", DIM).members.count() == 0
+
+
+def test_links_of_leaves_span_chains():
+    from vectide.llm.clusters import spanning_forest
+
+    def parts(n, links):
+        root = list(range(n))
+        for i, j in links:
+            old, new = root[i], root[j]
+            root = [new if r == old else r for r in root]
+        return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+    rng = np.random.default_rng(6)
+    # a - p - z - q, ids a < q < p < z: one link to the smallest similar id would lose p - z
+    chain = (np.array([0, 2, 3]), np.array([2, 3, 1]))
+    assert parts(4, spanning_forest(4, [chain])) == {frozenset(range(4))}
+    for _ in range(50):
+        i, j = rng.integers(0, 30, (2, 25))
+        got = spanning_forest(30, [(i[:10], j[:10]), (i[10:], j[10:])])
+        assert len(got) < 30 and parts(30, got) == parts(30, zip(i.tolist(), j.tolist()))

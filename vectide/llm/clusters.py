@@ -20,7 +20,7 @@ counts once; copies fall in one cluster; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +183,29 @@ def bisect_locally(x: np.ndarray, min_cos: float) -> list[np.ndarray]:
     return leaves
 
 
+def spanning_forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links that join the nodes 0..n-1 just as all the pairs do, less than n of them."""
+    root, out = np.arange(n), []
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            order = np.lexsort((low, high))
+            high, at = np.unique(high[order], return_index=True)
+            low = low[order][at]
+            out += zip(high.tolist(), low.tolist())
+            parent = np.arange(n)
+            parent[high] = low
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+            root = parent[root]
+    return out
+
+
 class BisectingClusters:
     """``members`` (cluster, id, typical, to_typical): every usable id; ``cluster``
     is the smallest id of its cluster's leaf representatives."""
@@ -270,7 +293,7 @@ class BisectingClusters:
             return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [table.column("leaf").to_pylist()], "vecs": pa.array([x.tobytes()], pa.binary())})
 
         packed = stored(tagged.groupBy("block").applyInArrow(pack, "block int, ids array<string>, vecs binary"), "cluster-blocks")
-        # block i meets block j >= i: reps in blocks against all, one link per rep and meeting
+        # block i meets block j >= i: reps in blocks against all, a spanning forest per meeting
         meet = packed.alias("x").withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))).join(
             packed.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "other"
         )
@@ -282,17 +305,12 @@ class BisectingClusters:
                     x, y = (np.frombuffer(row[c], np.float32).reshape(-1, dim) for c in ("vecs", "vecs2"))
                     order = np.argsort(b, kind="stable")
                     b, y = b[order], y[order]
-                    found: list[tuple[str, str]] = []
-                    same = row["block"] == row["other"]
-                    for at in range(0, len(x), 512):
-                        near = x[at : at + 512] @ y.T >= min_cos
-                        hit = near.any(axis=1)
-                        first = near.argmax(axis=1)  # the smallest id similar to it
-                        found += [(p, b[f]) for p, f, h in zip(a[at : at + 512], first, hit) if h and p != b[f]]
-                        if not same:  # and for the other side
-                            back = near.any(axis=0)
-                            least = near.argmax(axis=0)
-                            found += [(a[at + least[j]], b[j]) for j in np.flatnonzero(back)]
+                    if row["block"] == row["other"]:
+                        names, mine = b, np.argsort(order)  # of either side its place among the names
+                    else:
+                        names, mine = np.concatenate([b, a]), np.arange(len(a)) + len(b)
+                    near = (np.nonzero(x[at : at + 512] @ y.T >= min_cos) for at in range(0, len(x), 512))
+                    found = [(names[i], names[j]) for i, j in spanning_forest(len(names), ((mine[i + 512 * k], j) for k, (i, j) in enumerate(near)))]
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["a", "b"])
 
         links = meet.select("block", "other", "ids", "vecs", "ids2", "vecs2").repartition(max(1, min(blocks * blocks, 4096))).mapInArrow(link, "a string, b string")

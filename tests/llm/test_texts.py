@@ -173,88 +173,117 @@ def test_mixture(spark, monkeypatch):
     assert all(r.reached_share == 0 for r in mixing.Mixture(df.limit(0), targets).report().collect())
 
 
-PROSE = "The court of Norwick held that the appeal was late, and the costs of the claim were put on the carrier. "
-STUFFED = {
-    1: "cheap loans, best loans, loans near me, red shoes, loans online, red shoes sale, loans, best red shoes, cheap loans, loans",
-    2: "\n".join(f"https://www.site{i}.example/p/{i} cheap loans" for i in range(12)),
-    3: "#loans #red_shoes #cheap #sale #loans #online #best #red_shoes #loans #buy #cheap #online #deal",
-    4: "Why loans? Because loans beats every other loans. Looking for loans in Norwick? Our loans is the best loans around. " * 6,
-    5: PROSE + "\n" + "best loans buy loans cheap loans near me loans official shoes loans " * 8,
-    6: "\n".join(f"loans AB-{i} {i * 7}.50 best [in stock]" for i in range(10)),
-    7: "便宜贷款 贷款, 在线贷款, 贷款 排名, 最好贷款, 贷款价格, 贷款, 专业贷款, 贷款热线, 贷款, 便宜贷款, 在线贷款, 贷款, 最好贷款, 贷款 贷款价格, 贷款, 贷款, 便宜贷款, 在线贷款, 贷款 排名, 最好贷款",
-}
-HONEST = {
-    11: PROSE * 3,
-    12: PROSE + "(https://www.court.example/p/77) " + PROSE + "\n[1] Carter v Norwick Foundry, RA 92871/11 (1994).\n[2] Dune v Mill Trust, RB 1871/12 (1998).",
-    13: PROSE + PROSE + "\nKeywords: appeals, costs, carriers, terms",
-    14: "申请人认为，法院对该合同作出的决定已经超过规定的期限，应当在三十日内完成登记。" * 3,
-    15: "short text",
-    16: "ç\x94³è¯·äººè®¤ä¸ºï¼\x8cæ³\x95é\x99¢å¯¹è¯¥å\x90\x88å\x90\x8cä½\x9cå\x87ºç\x9a\x84å\x86³å®\x9aå·²ç»\x8fè¶\x85è¿\x87è§\x84å®\x9aç\x9a\x84æ\x9c\x9fé\x99\x90" * 2,
-    17: None,
-    18: "",
-}
+COURTS, MATTERS, ENDS = ["Norwick", "Dunmouth", "Skell", "Farrow", "Haldon"], ["the appeal", "the lease", "the permit", "a claim of the carrier", "the second notice"], ["was late", "had no merit", "is not for this panel", "was sent back to the office", "was left open"]
+
+
+def prose(rng, n=6):
+    """Honest sentences."""
+    return " ".join(f"The {rng.choice(['court', 'board', 'clerk'])} of {rng.choice(COURTS)} held in {rng.randint(1950, 2020)} that {rng.choice(MATTERS)} {rng.choice(ENDS)}, and the costs of {rng.choice(MATTERS)} were put on the {rng.choice(['owner', 'tenant', 'bank'])}." for _ in range(n))
+
+
+def stuffed(rng, kind):
+    """Pages of one kind, each with its own keywords and places."""
+    x, y = (f"{rng.choice(['red', 'old', 'oak', 'dry', 'raw', 'big'])} {rng.choice(['shoes', 'lamps', 'tiles', 'pipes', 'coats', 'boats', 'rings'])}{rng.choice('abcdefgh')}" for _ in "xy")
+    town = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title()
+    ads = ["cheap", "best", "near me", "online", "sale", "buy"]
+    if kind == "keywords":
+        return " ".join(rng.choice([x, y, rng.choice(ads)]) for _ in range(60))
+    if kind == "places":
+        return ", ".join(f"cheap {x} {town()}" for _ in range(30))
+    if kind == "links":
+        return "\n".join(f"https://www.{town().lower()}.example/p/{rng.randint(1, 999)} {rng.choice([x, y])}" for _ in range(15))
+    if kind == "goods":
+        return "\n".join(f"{rng.choice([x, y])} {town().upper()}-{rng.randint(1, 999)} {rng.randint(1, 99)}.50 {rng.choice(ads)} [in stock]" for _ in range(15))
+    if kind == "sentences":
+        return " ".join(rng.choice([f"Why {x}? Because {x} beats every other {y}.", f"Looking for {x} in {town()}? Our {x} is the best {x} around.", f"The {x} experts compare {x} and {y} for all of the owners."]) for _ in range(12))
+    if kind == "after prose":
+        return prose(rng, 1) + "\n" + " ".join(rng.choice([x, y, rng.choice(ads)]) for _ in range(150))
+    words = rng.sample(["港口规费", "外墙改造", "渡船班次", "仲裁费用", "数据托管"], 2)
+    if kind == "ideograph list":
+        return ", ".join(f"{rng.choice(words)} {rng.choice(['价格', '排名', '哪家好', '便宜'])}" for _ in range(40))
+    return "".join(rng.choice([f"为什么选择{words[0]}？因为{words[0]}胜过其他{words[1]}。", f"我们的{words[0]}是最好的{words[0]}。", f"{words[0]}专家为您比较{words[0]}与{words[1]}。"]) for _ in range(15))
+
+
+KINDS = ["keywords", "places", "links", "goods", "sentences", "after prose", "ideograph list", "ideographs"]
+LINES = "\n".join(["harbour dues | article 12 | 516,924 crowns", "ferry permits | article 9 | 11,200 crowns", "[1] Carter v Norwick Foundry, RA 92871/11 (1994).", "[2] Dune v Mill Trust, RB 1871/12 (1998)."])
+
+
+def crawl(seed=5):
+    """(id, text, host, lang): 8 kinds of stuffed pages on 9 hosts each, and honest ones."""
+    rng = random.Random(seed)
+    rows = [(1000 * k + i, stuffed(rng, kind), f"s{k}-{i}.example", "zh" if kind.startswith("ideo") else "en") for k, kind in enumerate(KINDS, 1) for i in range(9)]
+    zh = "申请人认为，法院对该合同作出的决定已经超过规定的期限，应当在三十日内完成登记。承租人可以在判决生效之后提出书面的异议，但以不超过两个月为限。"
+    for i in range(200):
+        text = prose(rng)
+        if i % 4 == 0:
+            text += "\n" + LINES
+        if i % 7 == 0:
+            text += " (see https://www.court.example/p/77)"
+        if i % 11 == 0:
+            text = rng.choice(["short text", None, "", "   ", text[:90], "ç\x94³è¯·äººè®¤ä¸ºï¼\x8cæ³\x95é\x99¢å¯¹è¯¥å\x90\x88" * 5])
+        rows.append((i, text, f"h{i % 60}.example", "en"))
+    rows += [(300 + i, zh + str(i), f"h{i}.example", "zh") for i in range(30)]
+    return rows
 
 
-def test_stuffed_pages(spark):
-    rows = [(k, t, f"host{k}") for k, t in {**STUFFED, **HONEST}.items()] + [(1, STUFFED[1], "host1"), (30, STUFFED[2], None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, portal string").withColumn("stuffed", F.lit(1)).withColumn("phrase", F.lit(1))
-    got = {r.id for r in stuffing.stuffed_pages(df, "doc_id", "text", "portal").where("stuffed").collect()}
-    assert got == {*STUFFED, 30}
-    assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text", "portal").count() == 0
+SCHEMA = "doc_id long, text string, portal string, lang string"
 
 
-def test_phrases_on_other_hosts_count(spark):
-    listed = "\n".join(["alpha tools", "beta bricks", "gamma pipes", "delta doors"])
-    page = PROSE * 2 + "\n" + "\n".join([listed] * 3).replace("tools", "tool kits for all")
-    rows = [(k, f"{page}", f"h{k}") for k in range(4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, portal string")
-    out = {r.id: r.stitched_share for r in stuffing.stuffed_pages(df, "doc_id", "text", "portal").collect()}
-    assert all(v == 1.0 for v in out.values())
+def pages(df, **how):
+    return stuffing.stuffed_pages(df, "doc_id", "text", "portal", "lang", **how)
 
 
-KEYWORDS = ["loans", "shoes", "pipes", "boats", "tiles", "wines", "lamps", "desks", "tents", "coats", "rings", "bikes"]
+def test_stuffed_pages(spark):
+    rows = crawl()
+    rows += [rows[0], rows[3], (9999, rows[20][1] + " ", None, None)]  # given again, and without host and language
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("stuffed", F.lit(1)).withColumn("host", F.lit(1)).withColumn("n", F.lit(1))
+    got = pages(df).where("stuffed").collect()
+    assert {r.id for r in got} == {i for i, *_ in rows if i >= 1000} and len(got) == len({r.id for r in got})
+    assert pages(df.limit(0)).count() == 0
+
+
+def test_nothing_is_flagged_without_phrases_on_other_hosts(spark):
+    """The same pages on one host, then one of them alone in the crawl: density alone flags nothing."""
+    rows = crawl()
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = pages(df.withColumn("portal", F.lit("one.example")))
+    assert one.where("stuffed").count() == 0 and one.count() >= 9 * len(KINDS)  # dense all the same
+    for k in (1000, 4000, 5000, 8000):
+        found = {r.id: r for r in pages(spark.createDataFrame([r for r in rows if r[0] < 1000 or r[0] == k], SCHEMA)).collect()}
+        assert k in found and not any(r.stuffed for r in found.values())
+
+
+def test_copied_prose_is_no_case(spark):
+    rng = random.Random(2)
+    text = prose(rng, 20)
+    rows = [(i, text, f"h{i}", "en") for i in range(50)] + [(100 + i, prose(rng), f"k{i}", "en") for i in range(50)]
+    assert pages(spark.createDataFrame(rows, SCHEMA)).where("stuffed").count() == 0
 
 
-def _template_page(rng):
-    """Template sentences whose keyword changes from sentence to sentence."""
-    made = []
-    for x in rng.sample(KEYWORDS, 8):
-        y = rng.choice(KEYWORDS[:3])
-        made.append(rng.choice([f"{x.title()} experts compare {x} and {y} for all of you.", f"Our page on {x} lists prices of {x} and the {x} tips for {y}.", f"When you need {x}, then choose the {x} of our {x} house and the {y}."]))
-    return " ".join(made)
+def test_common_words_are_counted(spark):
+    rows = [(f"The owner of house {i} and the tenant", "en") for i in range(40)] + [(f"der Mieter und w{i}", "de") for i in range(20)] + [("rare words here", "xx")]
+    df = spark.createDataFrame([(t, l) for t, l in rows] * 3, "t string, lang string")
+    assert stuffing.common_words(df, 0.3) == {"the", "owner", "of", "house", "and", "tenant", "der", "mieter", "und", "rare", "words", "here"}
+    many = df.unionByName(df.where("lang = 'en'")).unionByName(df.where("lang = 'en'")).where("lang != 'xx'").unionByName(spark.createDataFrame([("rare words", "xx")], "t string, lang string"))
+    assert "rare" not in stuffing.common_words(many, 0.3)  # a language of under one page in a hundred
+    assert stuffing.common_words(df.limit(0), 0.3) == frozenset()
 
 
-def test_template_sentences_meet_the_host_counts(spark):
-    rng = random.Random(3)
-    rows = [(k, _template_page(rng), f"h{k}") for k in range(24)]
-    rows += [(100 + k, PROSE + f"Ship number {k} had left the port before any notice could be given to its owner, as was said.", f"h{k}") for k in range(24)]  # honest and copied
-    df = spark.createDataFrame(rows, "doc_id long, text string, portal string")
-    out = {r.id: r for r in stuffing.stuffed_pages(df, "doc_id", "text", "portal").collect()}
-    assert {k for k, r in out.items() if r.stuffed} == set(range(24))
-    assert all(out[k].list_share < 0.35 and not out[k].repeats for k in range(24))
-    alone = stuffing.stuffed_pages(df.withColumn("portal", F.lit("one")), "doc_id", "text", "portal")  # one host: only phrases given three times in a page
-    assert alone.where("stuffed").count() < 24
-
-
-def test_shingles_have_stride_one(spark):
-    import numpy as np
-
-    h, unit = stuffing.shingles(np.arange(1, 10, dtype=np.uint64), np.array([7, 2]))
-    assert unit.tolist() == [0, 0, 0, 1] and len(set(h.tolist())) == 4
-    shifted, _ = stuffing.shingles(np.arange(2, 8, dtype=np.uint64), np.array([6]))
+def test_shingles_have_stride_one():
+    h, unit, weight = stuffing.shingles(np.arange(1, 10, dtype=np.uint64), np.array([7, 2]))
+    assert unit.tolist() == [0, 0, 0, 1] and len(set(h.tolist())) == 4 and weight.tolist() == [5, 1, 1, 2]
+    shifted, _, _ = stuffing.shingles(np.arange(2, 8, dtype=np.uint64), np.array([6]))
     assert shifted.tolist() == h[1:3].tolist()
-
-
-def test_references_exempt_a_short_span():
-    share = lambda t: stuffing.page_evidence(t).list_share
-    goods = ["red shoes", "blue lamps", "garden tiles", "oak desks", "warm coats", "light tents", "steel pipes", "gold rings"]
-    assert share("\n".join(f"[{k}] {g} offers" for k, g in enumerate(goods))) > 0.5
-    assert share("\n".join(f"{k}) {g} offers https://shop.example/{k}" for k, g in enumerate(goods))) > 0.5
-    assert share("\n".join(f"{g} offers (2024)" for g in goods)) > 0.9
-    assert share("\n".join(f"{g} tv 16/9 offers" for g in goods)) > 0.9
-    assert share("\n".join(f"art {g} offers" for g in goods)) > 0.9
-    assert share("see section 12, " + ", ".join(goods * 20)) > 0.9
-    assert share("\n".join(f"[{k}] Carter v Norwick Foundry, RA 9287{k}/11 (1994)." for k in range(5))) == 0
-    assert share("\n".join(f"Clinic Group Papers 5{k}, 86-1052 (2009)." for k in range(5))) == 0
-    assert share("\n".join(f"harbour dues | article {k} | 516,924 crowns" for k in range(5))) == 0
-    assert stuffing.page_evidence("see section 12, " + ", ".join(goods * 20)).kinds.count(stuffing.ITEM) > 100
+    assert len(stuffing.shingles(np.zeros(0, np.uint64), np.zeros(0, np.int64))[0]) == 0
+
+
+def test_units():
+    common = frozenset("the of that was and a in is".split())
+    kinds = lambda t: stuffing.page_units(t + "\n" + "The costs of the claim and of the appeal were put on the carrier in that year.", common).kinds[:-1]
+    assert kinds("The court held that the appeal was late.") == [stuffing.SENTENCE]
+    assert kinds("red shoes, blue lamps, oak desks") == [stuffing.ITEM] * 3
+    assert kinds("法院对该合同作出的决定已经超过规定的期限。") == [stuffing.SENTENCE]
+    assert kinds("港口规费 价格 外墙改造 排名 仲裁费用") == [stuffing.ITEM]
+    page = stuffing.page_units("https://a.example/x red shoes\nThe court (www.b.example/y) held that the appeal was late.\n" + "The costs of the claim were put on the carrier in that year.", common)
+    assert page.words.count("\x00") == 2 and page.listed == len("https://a.example/x red shoes") + len("www.b.example/y)") - 1
+    assert stuffing.page_units(None, common) is stuffing.page_units("short", common) is None

@@ -178,7 +178,7 @@ def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- problem 9 ---------------------------------------------------------------
 def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text", "portal").withColumnRenamed("id", "doc_id")
+    return stuffing.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text", "portal", "lang").withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,31 +1,41 @@
 """Pages of repeated keywords, link lists or product tags instead of sentences.
 
-1. Every text is read whole and cut into units (lines and sentences). A unit is a
-   *sentence* (ends like one, has enough function words, clauses of some length),
-   a *reference* (a clause, docket or citation and the characters round it; what lies
-   farther off in the unit is list), or else a *list* unit; links are taken out first, so a sentence that cites one stays one.
-2. Phrase shingles: every run of five words (stride 1) of every unit of every page; in
-   lists, of every item. Content words that a sentence repeats are one slot, so that
-   "X experts compare X and Y" is one phrase whatever X is. The distinct hosts of each
-   phrase are counted over the whole collection: a task sends at most ``min_hosts + 1``
-   hosts of a phrase, phrases go to buckets by hash. A phrase is *stitched* if it
-   stands on more than ``min_hosts`` hosts or three times or more in the page; a link is.
-3. A page is flagged if list units hold more than ``list_share`` of it, or at least
-   ``list_low`` and its listed phrases are stitched for ``stitched_share`` or more; or
-   if ``keyword_share`` of the words of its sentences are repeated by their sentence and
-   the phrases of the whole page are stitched for ``stitched_share``; or if it
-   repeats its words as no prose does: few different shingles of five words and
-   one leading keyword.
+1. *Common words* are counted, not listed: a word is common if it stands in
+   ``common_share`` of the pages of a language. Counts are over all pages; languages
+   with under one page in a hundred have none of their own. The words that come back
+   are bounded by the mean number of different words of a page over ``common_share``,
+   for each of at most a hundred languages.
+2. Every text is read whole and cut into units (lines and sentences). A unit is a
+   *sentence* if it has five words or more, some of them common, and ends like one (or
+   is long, richer in common words and not cut up by separators); in ideographs if it
+   ends like one and its clauses are of some length. Every other unit is *list*, and so
+   are the characters of links.
+3. *Keywords* of a page are words that its sentences say again within themselves, twice
+   or more in all (two ideographs are a word); sentences made of them for
+   ``KEYWORD_DENSE`` or more are as dense as lists. The **list density** of a page is
+   the share of its characters in lists, links and such sentences.
+4. **Phrase shingles**: every run of five words (stride 1) of every unit of every page;
+   in lists, of every item. What a page fills into its phrases is a slot: links, words
+   with digits, keywords in sentences, words that a page's lists and dense sentences say
+   again; of an item or such a sentence the words said once are left out. So "24h oat husk Norwick" and
+   "24h rye bran Dunmouth" are one phrase, which is what a stitched page consists of.
+5. The distinct hosts of each phrase are counted exactly over the whole collection: a
+   task sends at most ``min_hosts + 1`` hosts of a phrase, phrases go to buckets by
+   hash. The **stitched share** of a page is that of its words in phrases that stand on
+   more than ``min_hosts`` hosts.
+6. A page is flagged if its list density is over ``density`` and its stitched share
+   ``stitched_share`` or more. Neither does it alone: prose is copied over hosts too
+   (density near 0), and a list of its own is no spam (nothing stitched).
 
 Semantics: null, empty and short texts (under ``MIN_CHARS``) and wrongly decoded
-ones are no cases. A null host is a host of its own. A repeated id is one page if
-its rows are equal. Phrases are told apart by 48-bit hashes. No rows give no rows. Only the named columns are read.
+ones are no cases. A null host is a host of its own, a null language a language. A
+repeated id is one page if its rows are equal. Phrases are told apart by 48-bit
+hashes. No rows give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -40,32 +50,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as _parse
 
 MIN_CHARS = 80
-#: Frequent function words of English, German and French, and characters of Chinese.
-FUNCTION_WORDS = """
-the of and to in for a an was is by on at with as or be may that not its before after under than from which were has had been are
-shall must any each within where whether when while whose but if my i it we how this these their against because either among
-into about over between during without would could should will can do does did nor so then there they them he she his her who all
-der die das und in von zu mit für auf des im dem nicht ein eine einer wird ist nach bei am hat über als aus um sich vor dass durch
-oder zur zum wie gelten soweit sind war ob unter bis zwischen gegen ohne kann muss soll werden wurde sein ihr ihre nur
-le la les et un une par sur dans au que qui est a été ne avec ce cette sous dont malgré doit soit ou son sa ses se il elle plus tout sans entre leur leurs si mais donc ni nous vous ils elles
-""".split()
-FUNCTION_CHARS = "的于在由与就为了其对被因应可以不和未将经所据并向至从但是该此之时后内有得把按依或及"
-
-_WORD = re.compile(r"[^\W\d_㐀-鿿]+|\d+|[㐀-鿿]")
-_FUNCTION_SET = frozenset(FUNCTION_WORDS)
+#: Share of a sentence's words that makes it one of keywords.
+KEYWORD_DENSE = 0.15
+#: Words a link counts for in the stitched share.
+LINK_WORDS = 8
+#: Words of a run of keywords that are one slot at most.
+SLOT_WORDS = 8
+#: Languages of a smaller share of the pages have no common words of their own.
+LEAST_LANGUAGE = 0.01
+
 _CJK = re.compile(r"[㐀-鿿]")
-_CJK_FUNCTION = re.compile(f"[{FUNCTION_CHARS}]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*")
-_NUMBERED = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)、])")
-_CITED = re.compile(r"§+\s*\d|第\s*\d+\s*条|\b[A-Z]{2} \d{2,}/\d{2}\b|\b(?i:article|section|paragraph|art)\W{1,3}\d{1,3}\b")
-_YEAR = re.compile(r"\(\d{4}\)")
-_VOLUME = re.compile(r"\d\s*[,:]\s*\d|\d[-–]\d|\bv\.?\s")
-#: Characters on either side of a citation that belong to it.
-SPAN = 60
+_HERE = "\x00"
+_WORD = re.compile(r"\x00|[㐀-鿿]|[^\W㐀-鿿]+(?:['’_-][^\W㐀-鿿]+)*")
+_RUN = re.compile(r"[㐀-鿿]+|[^\W㐀-鿿]+(?:['’_-][^\W㐀-鿿]+)*")
 _UNIT = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？:：;；…][\"'”’»）)\]]*\s*$")
-_SEPARATOR = re.compile(r"[,，、;；·•|»>/#*\r\n!?。！？]+|\s-\s|\.\s|\s{2,}")
-_CLAUSE = re.compile(r"[,，、;；·•|»>/#*。！？.!?\s]+")
+_SEPARATOR = re.compile(r"[,，、;；·•|»>/#*\r\n!?。！？\x00]+|\s-\s|\.\s|\s{2,}")
+_CLAUSE = re.compile(r"[,，、;；·•|»>/#*。！？.!?\s\x00]+")
+_LATIN = "".join(map(chr, range(0x80, 0xC0))) + "åæçäèéï"
 
 
 def damaged(text: str) -> bool:
@@ -73,162 +76,182 @@ def damaged(text: str) -> bool:
     return 5 * sum(map(text.count, _LATIN)) >= len(text) if any(c in text for c in "åæçäèéï") else False
 
 
-_LATIN = "".join(map(chr, range(0x80, 0xC0))) + "åæçäèéï"
-
-
-def citations(rest: str) -> list[tuple[int, int]]:
-    """Stretches of a unit that are citations: a clause, docket or paragraph number, or a
-    year in brackets beside a volume or parties, and ``SPAN`` characters round it. Of a
-    numbered item without any of these the number alone."""
-    found = [m.span() for m in _CITED.finditer(rest)]
-    if "(" in rest and _VOLUME.search(rest):
-        found += [m.span() for m in _YEAR.finditer(rest) if _VOLUME.search(rest, max(0, m.start() - SPAN), m.end() + SPAN)]
-    if not found:
-        return [m.span()] if (m := _NUMBERED.match(rest)) else []
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        a, b = max(0, a - SPAN), min(len(rest), b + SPAN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def common_words(rows: DataFrame, common_share: float) -> frozenset[str]:
+    """Words in ``common_share`` of the pages of a language, of (``lang``, ``t``) over all pages."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = pages.setdefault(lang, Counter())
+                mine.update({w for w in text.lower().split() if w.isalpha() and not _CJK.match(w)})
+                mine[""] += 1
+        for lang, words in pages.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-def unit_kind(unit: str) -> tuple[str, str, list[str] | None]:
-    """``sentence``, ``reference`` or ``list``, the unit without its links, and its words if they were cut."""
-    rest = _LINK.sub(" ", unit) if ("/" in unit or "www." in unit) else unit  # no link is without
-    cjk = 0 if rest.isascii() else len(_CJK.findall(rest))
-    found = None
-    if cjk * 3 > len(rest):
-        clauses = [len(c) for c in _CLAUSE.split(rest) if _CJK.search(c)]  # numbers apart
-        mean = sum(clauses) / len(clauses) if clauses else 0
-        if cjk >= 8 and _ENDS.search(rest) and (mean >= 9 or mean >= 7 and len(_CJK_FUNCTION.findall(rest)) >= 0.045 * cjk):
-            return "sentence", rest, None
-    else:
-        found = _WORD.findall(rest.lower())
-        words = len(found)
-        share = sum(map(_FUNCTION_SET.__contains__, found)) / words if words else 0
-        if words >= 5 and (share >= 0.09 and _ENDS.search(rest) or words >= 12 and share >= 0.15):
-            return "sentence", rest, found
-    return ("reference" if citations(rest) else "list"), rest, found
+    counted = rows.select("lang", "t").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    pages = counted.where("word = ''").select("lang", F.col("n").alias("pages"))
+    total = pages.agg(F.sum("pages").alias("total"))
+    large = pages.crossJoin(total).where(F.col("pages") >= LEAST_LANGUAGE * F.col("total")).select("lang", "pages")  # one row beside each language
+    common = counted.where("word != ''").join(large, "lang").where(F.col("n") >= common_share * F.col("pages"))
+    return frozenset(r.word for r in common.select("word").distinct().toLocalIterator())
 
 
 class _Hashes(dict):
-    """63-bit hashes of words, the last bit 1 for a content word; the first million are kept."""
+    """Hashes of words; bit 0: a content word, bit 1: an ideograph, bit 2: a common word. The first million are kept."""
+
+    def __init__(self, common: frozenset[str]):
+        self.common = common
 
     def __missing__(self, word: str) -> int:
-        content = len(word) > 1 and word not in _FUNCTION_SET and not word.isdigit()
-        value = xxhash.xxh3_64_intdigest(word) & ~1 | content
+        if word == _HERE:
+            return LINK
+        if any(c.isdigit() for c in word):
+            return NUMBER
+        single, common = len(word) == 1 and bool(_CJK.match(word)), word in self.common
+        value = xxhash.xxh3_64_intdigest(word) & ~7 | (not single and not common and len(word) > 1) | single << 1 | common << 2
         if len(self) < 1 << 20:
             self[word] = value
         return value
 
 
-_HASHES = _Hashes()
-_SLOT = xxhash.xxh3_64_intdigest("\x00slot") & ~1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+SLOT, LINK, NUMBER = (xxhash.xxh3_64_intdigest(x) & ~7 for x in ("\x00slot", "\x00link", "\x00number"))
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_CONTENT, _IDEOGRAPH, _COMMON = np.uint64(1), np.uint64(2), np.uint64(4)
+ITEM, SENTENCE = 0, 1
 
 
-def repetition(text: str) -> bool:
-    """Few different shingles of five words, or pairs, and a leading keyword."""
-    text = text.lower()
-    words = _WORD.findall(_LINK.sub(" ", text) if ("/" in text or "www." in text) else text)
+def is_sentence(rest: str, words: list[str], common: frozenset[str]) -> bool:
+    """Whether a unit reads as a sentence; ``rest`` has a mark for each link."""
+    ideographs = 0 if rest.isascii() else len(_CJK.findall(rest))
+    if ideographs * 3 > len(rest):
+        clauses = [len(c) for c in _CLAUSE.split(rest) if _CJK.search(c)]  # numbers apart
+        return ideographs >= 8 and sum(clauses) >= 7 * len(clauses) and _ENDS.search(rest) is not None
     n = len(words)
-    if n < 20:
+    if n < 5:
         return False
-    different = len(set(zip(words, words[1:], words[2:], words[3:], words[4:]))) / (n - 4)
-    pair = Counter(zip(words, words[1:])).most_common(1)[0][1] * 2 / n
-    content = Counter(w for w in words if len(w) > 1 and w not in _FUNCTION_SET and not w.isdigit())
-    leader = content.most_common(1)[0][1] / n if content else 0
-    return pair >= 0.15 or (different < 0.92 and leader >= 0.12) or (different < 0.85 and pair >= 0.1)
+    share = sum(map(common.__contains__, words)) / n
+    if share >= 0.09 and _ENDS.search(rest):
+        return True
+    return n >= 12 and share >= 0.2 and n >= 5 * sum(1 for c in _SEPARATOR.split(rest) if c and not c.isspace())
 
 
 class Page(NamedTuple):
-    list_share: float
-    repeats: bool
-    links: int
+    """The words of all units one behind another, with the units' numbers of words, kinds
+    and characters; the characters of lists and links, and of all."""
+
     words: list[str]
     lengths: list[int]
     kinds: list[int]
+    sizes: list[int]
+    listed: int
+    total: int
 
 
-ITEM, SENTENCE, OTHER = 0, 1, 2
-
-
-def page_evidence(text: str | None) -> Page | None:
-    """Share of list units, repetition, links, and the words of all units, one behind
-    another, with the units' lengths and kinds. None if the page is no case."""
+def page_units(text: str | None, common: frozenset[str]) -> Page | None:
+    """The units of a page; None if it is no case."""
     if text is None or len(text) < MIN_CHARS or damaged(text):
         return None
-    listed = total = links = 0
-    every, lengths, kinds = [], [], []
+    every: list[str] = []
+    lengths, kinds, sizes, listed, total = [], [], [], 0, 0
+    linked = "/" in text or "www." in text  # no link is without
     for unit in _UNIT.split(text):
         if not unit or unit.isspace():
             continue
-        kind, rest, words = unit_kind(unit)
+        rest = _LINK.sub(_HERE, unit) if linked else unit
         total += len(unit)
-        if kind != "sentence":
-            spans = citations(rest) if kind == "reference" else []
-            cited = "".join(rest[a:b] for a, b in spans)
-            bare = not spans or len(spans) == 1 and _NUMBERED.fullmatch(cited)
-            listed += (len(unit) if bare else len(rest)) - len(cited)
-            if bare and len(rest) != len(unit):
-                links += len(_LINK.findall(unit))
-            edges = [0, *(x for span in spans for x in span), len(rest)]
-            for a, b in zip(edges[::2], edges[1::2]):
-                for item in _SEPARATOR.split(rest[a:b].lower()):
-                    words = _WORD.findall(item)
-                    if words:
-                        every += words
-                        lengths.append(len(words))
-                        kinds.append(ITEM)
-            words = _WORD.findall(cited.lower())
-        elif words is None:
-            words = _WORD.findall(rest.lower())
-        if words:
+        low = rest.lower()
+        words = _WORD.findall(low)
+        if is_sentence(rest, words, common):
+            listed += len(unit) - len(rest)
             every += words
             lengths.append(len(words))
-            kinds.append(SENTENCE if kind == "sentence" else OTHER)
-    raw = text.encode()
-    repeats = len(zlib.compress(raw, 1)) < 0.55 * len(raw) and repetition(text)
-    return Page(listed / max(1, total), repeats, links, every, lengths, kinds)
-
-
-def own_keywords(words: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Which words are content words that their sentence gives twice or more."""
-    unit = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
-    at = np.flatnonzero((words & np.uint64(1)).astype(bool) & (np.repeat(kinds, lengths) == SENTENCE))
-    key = words[at] + unit[at] * _MIX
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
+            kinds.append(SENTENCE)
+            sizes.append(len(rest))
+            continue
+        listed += len(unit)
+        for item in _SEPARATOR.split(low):
+            words = _RUN.findall(item)
+            if words:
+                every += words
+                lengths.append(len(words))
+                kinds.append(ITEM)
+                sizes.append(0)
+        links = low.count(_HERE)
+        every += [_HERE] * links
+        lengths += [1] * links
+        kinds += [ITEM] * links
+        sizes += [0] * links
+    return Page(every, lengths, kinds, sizes, listed, total)
+
+
+def _said_again(keys: np.ndarray) -> np.ndarray:
+    """Which keys occurred before (in any order, all occurrences but one)."""
+    order = np.argsort(keys, kind="stable")
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = keys[order][1:] == keys[order][:-1]
+    return out
+
+
+def sentence_keywords(words: np.ndarray, unit: np.ndarray, page: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Which words of sentences (``said``) are keywords of their page."""
     out = np.zeros(len(words), bool)
-    out[at[order[1:][same]]] = True
-    out[at[order[:-1][same]]] = True
+    at = np.flatnonzero(said & ((words & _CONTENT) > 0))
+    pair = np.flatnonzero(said[:-1] & ((words[:-1] & words[1:] & _IDEOGRAPH) > 0) & (unit[:-1] == unit[1:])) if len(words) > 1 else np.zeros(0, np.int64)
+    gram = np.concatenate([words[at], words[pair] * _MIX2 + words[pair + 1]])
+    where = np.concatenate([at, pair])
+    again = _said_again(gram + unit[where].astype(np.uint64) * _MIX)
+    key = gram + page[where].astype(np.uint64) * _MIX
+    values, times = np.unique(key[again], return_counts=True)
+    hit = np.isin(key, values[times >= 2])
+    out[where[hit]] = True
+    out[where[hit & (np.arange(len(where)) >= len(at))] + 1] = True
+    if len(words) > 2:  # "transport du bétail": a common word between two of them belongs to them
+        out[1:-1] |= out[:-2] & out[2:] & ((words[1:-1] & _COMMON) > 0) & (unit[:-2] == unit[2:])
     return out
 
 
+def list_slots(words: np.ndarray, unit: np.ndarray, page: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of lists and dense sentences (``listed``): those said again by their page's lists, and those
+    said once that stand in an item with such a word."""
+    at = np.flatnonzero(listed & ((words & _CONTENT) > 0))
+    _, back, times = np.unique(words[at] + page[at].astype(np.uint64) * _MIX, return_inverse=True, return_counts=True)
+    again = np.zeros(len(words), bool)
+    again[at] = times[back] >= 2
+    with_slot = np.bincount(unit[again], minlength=int(unit[-1]) + 1 if len(unit) else 0) > 0
+    once = np.zeros(len(words), bool)
+    once[at] = ~again[at] & with_slot[unit[at]]
+    return again, once
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
-def shingles(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of all runs of five words (a shorter unit is one run), and the unit of each."""
+def shingles(words: np.ndarray, lengths: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit hashes of all runs of five words (a shorter unit is one run), the unit of
+    each, and its weight: that of the words which the run before it does not hold."""
+    weights = np.ones(len(words), np.int64) if weights is None else weights
     wide = np.maximum(lengths, 5)
     starts = np.cumsum(wide) - wide
     at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    flat = np.zeros(int(wide.sum()), np.uint64)
+    flat, heavy = np.zeros(int(wide.sum()), np.uint64), np.zeros(int(wide.sum()), np.int64)
     flat[np.repeat(starts, lengths) + at] = words
+    heavy[np.repeat(starts, lengths) + at] = weights
     runs = wide - 4
     unit = np.repeat(np.arange(len(lengths)), runs)
-    first = np.repeat(starts, runs) + np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs)
+    ahead = np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs)
+    first = np.repeat(starts, runs) + ahead
     h = np.zeros(len(first), np.uint64)
+    weight = heavy[first + 4] if len(first) else np.zeros(0, np.int64)
     for k in range(5):
         h = h * _MIX + flat[first + k]
+        if k < 4:
+            weight = weight + np.where(ahead == 0, heavy[first + k], 0)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h >> np.uint64(16), unit
+    return h >> np.uint64(16), unit, weight
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -243,8 +266,8 @@ def _numbers(planes: bytes) -> np.ndarray:
 class _Block:
     """Pages of a task until they are written: phrases by bucket, each with its hosts."""
 
-    def __init__(self, buckets: int, min_hosts: int, judge, schema: pa.Schema):
-        self.buckets, self.min_hosts, self.judge, self.schema = buckets, min_hosts, judge, schema
+    def __init__(self, buckets: int, min_hosts: int, density: float, common: frozenset[str], schema: pa.Schema):
+        self.buckets, self.min_hosts, self.density, self.schema, self.hashes = buckets, min_hosts, density, schema, _Hashes(common)
         self.clear()
 
     def clear(self) -> None:
@@ -256,30 +279,49 @@ class _Block:
         if not taken:
             return
         count = sum(len(p.words) for *_, p in taken)
-        words = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(p.words for *_, p in taken)), np.uint64, count)
-        lengths = np.fromiter(chain.from_iterable(p.lengths for *_, p in taken), np.int64)
-        kinds = np.fromiter(chain.from_iterable(p.kinds for *_, p in taken), np.int64)
+        words = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(p.words for *_, p in taken)), np.uint64, count)
+        lengths, kinds, sizes = (np.fromiter(chain.from_iterable(getattr(p, c) for *_, p in taken), np.int64) for c in ("lengths", "kinds", "sizes"))
         unit_page = np.repeat(np.arange(len(taken)), [len(p.lengths) for *_, p in taken])
-        own = own_keywords(words, lengths, kinds)
-        said = np.bincount(unit_page, lengths * (kinds == SENTENCE), len(taken))
-        keywords = np.bincount(np.repeat(unit_page, lengths)[own], minlength=len(taken)) / np.maximum(1, said)
-        words[own] = _SLOT
-        h, unit = shingles(words, lengths)
-        page, item = unit_page[unit], (kinds == ITEM)[unit]
+        unit = np.repeat(np.arange(len(lengths)), lengths)
+        page, said = unit_page[unit], (kinds == SENTENCE)[unit]
+        keyword = sentence_keywords(words, unit, page, said)
+        # evidence of density
+        dense = (np.bincount(unit[keyword], minlength=len(lengths)) >= KEYWORD_DENSE * lengths) & (kinds == SENTENCE)
+        again, once = list_slots(words, unit, page, ~said | dense[unit])
+        total = np.array([max(1, p.total) for *_, p in taken])
+        list_share = np.array([p.listed for *_, p in taken]) / total
+        keyword_share = np.bincount(unit_page, sizes * dense, len(taken)) / total
+        # slots: a run of keywords of a sentence is one (a long one several), links weigh more
+        weight = np.where(words == np.uint64(LINK), LINK_WORDS, 1)
+        spoken = np.bincount(page, weight, len(taken))
+        words[keyword | again] = SLOT
+        slot = (keyword | again) & said
+        follows = np.zeros(len(words), bool)
+        follows[1:] = slot[1:] & slot[:-1] & (unit[1:] == unit[:-1])
+        place = np.arange(len(words))
+        place -= np.maximum.accumulate(np.where(follows, 0, place))
+        kept = np.flatnonzero(~(follows & (place % SLOT_WORDS > 0)) & ~once)
+        weight = np.where(once, 0, weight)
+        weight = np.add.reduceat(weight, kept) if len(kept) else weight[:0]
+        lengths = np.bincount(unit[kept], minlength=len(lengths))
+        h, of, n = shingles(words[kept], lengths, weight)
+        page = unit_page[of]
+        filled = n > 0  # a unit left without words is none
+        h, page, n = h[filled], page[filled], n[filled]
         host = np.array([self.hosts.setdefault(xxhash.xxh3_64_intdigest(x), len(self.hosts)) for _, x, _ in taken], np.uint64)
         value = (h << np.uint64(16)) | host[page]
-        judged = np.array([self.judge(p, k) for (*_, p), k in zip(taken, keywords)])
+        judged = list_share + keyword_share > self.density  # no number of hosts flags the others: they are counted, but need no share
         self.phrases.append(_distinct(value[~judged[page]]))
         number = np.cumsum(judged) - 1 + len(self.pages)
-        self.pages += [(i, p.list_share, float(k), p.repeats, p.links) for (i, _, p), k, j in zip(taken, keywords, judged) if j]
+        self.pages += [(i, float(s), float(k), float(w)) for (i, *_), s, k, w, j in zip(taken, list_share, keyword_share, spoken, judged) if j]
         mine = judged[page]
-        pair = np.stack([value[mine], (number[page][mine] * 2 + item[mine]).astype(np.uint64)])
-        order = np.lexsort(pair)
-        pair = pair[:, order]
-        new = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))[: pair.shape[1]])
-        self.cases.append(pair[0, new])
-        self.case_of.append(pair[1, new])
-        self.case_n.append(np.diff(np.append(new, pair.shape[1])).astype(np.uint64))
+        value, of, n = value[mine], number[page[mine]].astype(np.uint64), n[mine]
+        order = np.lexsort((of, value))
+        value, of, n = value[order], of[order], n[order]
+        new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1]))[: len(value)])
+        self.cases.append(value[new])
+        self.case_of.append(of[new])
+        self.case_n.append((np.add.reduceat(n, new) if len(new) else n).astype(np.uint64))
         self.size += len(self.phrases[-1]) + len(new)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -303,16 +345,15 @@ class _Block:
             own = self.pages[b :: self.buckets]  # their evidence goes with this bucket
             if not len(part) and not len(mine) and not own:
                 continue
-            pages, local = np.unique(of[mine] >> np.uint64(1), return_inverse=True)
+            pages, local = np.unique(of[mine], return_inverse=True)
             both = np.concatenate([part, cases[mine]])
             index = (both & np.uint64(0xFFFF)).astype(np.int64)
             used = np.flatnonzero(np.bincount(index, minlength=len(hosts)))
             place = np.zeros(len(hosts), np.uint64)
             place[used] = np.arange(len(used))
             both = (both & ~np.uint64(0xFFFF)) | place[index]
-            tag = (local.astype(np.uint64) << np.uint64(1)) | (of[mine] & np.uint64(1))
-            planes = map(_planes, (both[: len(part)], both[len(part) :], tag, n[mine]))
-            rows.append((b, hosts[used].tobytes(), *planes, [self.pages[int(k)][0] for k in pages], *(map(list, zip(*own)) if own else [[]] * 5)))
+            planes = map(_planes, (both[: len(part)], both[len(part) :], local.astype(np.uint64), n[mine]))
+            rows.append((b, hosts[used].tobytes(), *planes, [self.pages[int(k)][0] for k in pages], *(map(list, zip(*own)) if own else [[]] * 4)))
             if len(rows) == 64:
                 yield self._batch(rows)
                 rows = []
@@ -325,11 +366,11 @@ class _Block:
 
 
 def _judge_bucket(min_hosts: int, schema: pa.Schema):
-    """Of a bucket's phrases: for each page the phrases of lists and of all units, and the stitched ones among them."""
+    """Of a bucket's phrases: for each judged page the words in those on enough hosts."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, hosts, sent, number, counts, ids = [], [], [], [], [], []
-        own = [[], [], [], [], []]
+        own = [[], [], [], []]
         for row in table.to_pylist():
             names = np.frombuffer(row["hosts"], np.uint64)
             case, tag = _numbers(row["cases"]), _numbers(row["tags"])
@@ -337,24 +378,21 @@ def _judge_bucket(min_hosts: int, schema: pa.Schema):
                 keys.append(v >> np.uint64(16))
                 hosts.append(names[(v & np.uint64(0xFFFF)).astype(np.int64)])
             sent.append(case >> np.uint64(16))
-            number.append(tag + np.uint64(2 * len(ids)))
+            number.append(tag + np.uint64(len(ids)))
             counts.append(_numbers(row["counts"]))
             ids += row["ids"]
-            for k, name in enumerate(("own_ids", "list_share", "keyword_share", "repeats", "links")):
+            for k, name in enumerate(("own_ids", "list_share", "keyword_share", "words")):
                 own[k] += row[name]
-        key, host, case, tag, n = map(np.concatenate, (keys, hosts, sent, number, counts))
+        key, host, case, page, n = map(np.concatenate, (keys, hosts, sent, number, counts))
         wanted = np.isin(key, _distinct(case))
         key, host = key[wanted], host[wanted]
         order = np.lexsort((host, key))
         key, host = key[order], host[order]
         new = np.append(True, (key[1:] != key[:-1]) | (host[1:] != host[:-1]))[: len(key)]
         found, times = np.unique(key[new], return_counts=True)
-        spread = times[np.searchsorted(found, case)] > min_hosts if len(case) else np.zeros(0, bool)
-        stitched, listed, page, n = spread | (n >= 3), (tag & np.uint64(1)).astype(bool), (tag >> np.uint64(1)).astype(np.int64), n.astype(np.int64)
-        add = lambda rows: np.bincount(page[rows], n[rows], len(ids)).astype(np.int64)
-        every, m = np.ones(len(page), bool), len(own[0])
-        sums = [np.concatenate([add(rows), np.zeros(m, np.int64)]) for rows in (every, stitched, listed, stitched & listed)]
-        columns = [ids + own[0], *([None] * len(ids) + x for x in own[1:]), *sums]
+        stitched = times[np.searchsorted(found, case)] > min_hosts if len(case) else np.zeros(0, bool)
+        words = np.bincount(page[stitched].astype(np.int64), n[stitched], len(ids)).astype(np.int64)
+        columns = [ids + own[0], *([None] * len(ids) + x for x in own[1:]), np.concatenate([words, np.zeros(len(own[0]), np.int64)])]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -368,41 +406,36 @@ def stuffed_pages(
     id_col: str,
     text: str,
     host: str,
+    lang: str | None = None,
     min_hosts: int = 2,
-    list_share: float = 0.5,
-    list_low: float = 0.35,
+    density: float = 0.6,
     stitched_share: float = 0.5,
-    keyword_share: float = 0.2,
+    common_share: float = 0.3,
 ) -> DataFrame:
-    """``id``, ``list_share``, ``keyword_share``, ``list_stitched``, ``stitched_share``, ``repeats`` and ``stuffed`` of every page with evidence."""
+    """``id``, ``list_share``, ``keyword_share``, ``stitched_share`` and ``stuffed`` of every
+    page whose list density (the sum of the first two) is over ``density``."""
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host), F.concat(F.lit("\x00"), F.col(id_col).cast("string"))).alias("host"), F.col(text).alias("t")).where(
-        (F.length("t") >= MIN_CHARS) & F.col("id").isNotNull()
-    )
-    schema = f"bucket int, hosts binary, phrases binary, cases binary, tags binary, counts binary, ids array<{kind}>, own_ids array<{kind}>, list_share array<double>, keyword_share array<double>, repeats array<boolean>, links array<bigint>"
-    result = f"id {kind}, list_share double, keyword_share double, repeats boolean, links bigint, phrases bigint, stitched bigint, list_phrases bigint, list_stitched bigint"
+    language = F.lower(F.coalesce(F.col(lang).cast("string"), F.lit(""))) if lang else F.lit("")
+    own_host = F.coalesce(F.col(host), F.concat(F.lit("\x00"), F.col(id_col).cast("string")))
+    rows = df.select(F.col(id_col).alias("id"), own_host.alias("host"), F.col(text).alias("t"), language.alias("lang")).where((F.length("t") >= MIN_CHARS) & F.col("id").isNotNull())
+    common = common_words(rows, common_share)
+    schema = f"bucket int, hosts binary, phrases binary, cases binary, tags binary, counts binary, ids array<{kind}>, own_ids array<{kind}>, list_share array<double>, keyword_share array<double>, words array<double>"
+    result = f"id {kind}, list_share double, keyword_share double, words double, stitched bigint"
     arrow, arrow_result = to_arrow_schema(_parse(schema)), to_arrow_schema(_parse(result))
     buckets = max(128, 4 * rows.rdd.getNumPartitions())
 
-    # pages that no number of hosts could flag are counted, but need no share
-    def judge(p: Page, keywords: float) -> bool:
-        return p.list_share > 0.05 or keywords >= keyword_share or p.repeats
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(buckets, min_hosts, judge, arrow)
+        block = _Block(buckets, min_hosts, density, common, arrow)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                block.add(*(part.column(k).to_pylist() for k in (0, 1)), [page_evidence(t) for t in part.column(2).to_pylist()])
+                block.add(*(part.column(k).to_pylist() for k in (0, 1)), [page_units(t, common) for t in part.column(2).to_pylist()])
                 if block.size >= BLOCK_PHRASES or len(block.hosts) >= 64_000:
                     yield from block.flush()
         yield from block.flush()
 
-    parts = rows.mapInArrow(work, schema).groupBy("bucket").applyInArrow(_judge_bucket(min_hosts, arrow_result), result)
+    parts = rows.drop("lang").mapInArrow(work, schema).groupBy("bucket").applyInArrow(_judge_bucket(min_hosts, arrow_result), result)
     out = parts.groupBy("id").agg(
-        *(F.max(c).alias(c) for c in ("list_share", "keyword_share", "repeats")),
-        F.coalesce(F.try_divide(F.sum("list_stitched") + F.max("links"), F.sum("list_phrases") + F.max("links")), F.lit(0.0)).alias("list_stitched"),
-        F.coalesce(F.try_divide(F.sum("stitched") + F.max("links"), F.sum("phrases") + F.max("links")), F.lit(0.0)).alias("stitched_share"),
+        *(F.max(c).alias(c) for c in ("list_share", "keyword_share")), F.coalesce(F.try_divide(F.sum("stitched"), F.sum("words")), F.lit(0.0)).alias("stitched_share")
     )
-    listed = (F.col("list_share") > list_share) | ((F.col("list_share") >= list_low) & (F.col("list_stitched") >= stitched_share))
-    return out.withColumn("stuffed", listed | ((F.col("keyword_share") >= keyword_share) & (F.col("stitched_share") >= stitched_share)) | F.col("repeats"))
+    return out.withColumn("stuffed", (F.col("list_share") + F.col("keyword_share") > density) & (F.col("stitched_share") >= stitched_share))

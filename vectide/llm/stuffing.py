@@ -49,6 +49,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as _parse
 
+from vectide.shared import stored
+
 MIN_CHARS = 80
 #: Share of a sentence's words that makes it one of keywords.
 KEYWORD_DENSE = 0.15
@@ -90,6 +92,7 @@ def common_words(rows: DataFrame, common_share: float) -> frozenset[str]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     counted = rows.select("lang", "t").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "stuffed-words")  # read three times
     pages = counted.where("word = ''").select("lang", F.col("n").alias("pages"))
     total = pages.agg(F.sum("pages").alias("total"))
     large = pages.crossJoin(total).where(F.col("pages") >= LEAST_LANGUAGE * F.col("total")).select("lang", "pages")  # one row beside each language

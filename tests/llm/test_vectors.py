@@ -44,22 +44,28 @@ def test_top_of_rows_is_exact():
 def test_graph_round_trip_and_recall():
     x = topics(3000, 12, 0.4, 1)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g, near, sims = hnsw.Graph.build(x, np.arange(3000, dtype=np.uint64), 8, 5)
+    g = hnsw.Graph.build(x, np.arange(3000, dtype=np.uint64), 8)
     g = hnsw.Graph.unpack(*g.pack().values())
     q = topics(300, 12, 0.4, 1)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     found, _ = g.search(q, 5, ef=32)
     exact = np.argsort(-(q @ x.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found, exact)]) > 0.95
-    assert (near[:, 0] != np.arange(3000)).all()
+    own, sims = g.search(x[:300], 5, ef=32, own=np.arange(300))
+    exact = np.argsort(-(x[:300] @ x.T), axis=1)[:, :6]
+    assert (own != np.arange(300)[:, None]).all() and (np.diff(sims, axis=1) <= 0).all()
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(own, exact)]) > 0.95
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7])
 def test_tiny_graphs(n):
     x = np.eye(DIM, dtype=np.float32)[:n]
-    g, near, _ = hnsw.Graph.build(x, np.arange(n, dtype=np.uint64), 4, 5)
+    g = hnsw.Graph.build(x, np.arange(n, dtype=np.uint64), 4)
     found, _ = g.search(np.eye(DIM, dtype=np.float32)[:2], 5)
-    assert near.shape == (n, 5) and ((found >= 0).sum(axis=1) == min(n, 5)).all()
+    assert ((found >= 0).sum(axis=1) == min(n, 5)).all()
+    if n:
+        own, _ = g.search(x, 5, own=np.arange(n))
+        assert own.shape == (n, 5) and ((own >= 0).sum(axis=1) == min(n - 1, 5)).all()
 
 
 def test_dirty_vectors_copies_and_ties(spark):
@@ -83,26 +89,61 @@ def test_many_shards_keep_recall(spark):
     x = topics(2500, 5, 0.5, 9)
     ids = [f"{i:05d}" for i in range(len(x))]
     df = spark.createDataFrame([(a, blob(v)) for a, v in zip(ids, x)], "id string, vector binary")
-    out = knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=200, margin=0.25, ef=24)
+    out = knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=200, margin=0.25, reach=8, ef=24)
     got: dict = {}
     for r in out.collect():
         got.setdefault(r.id, set()).add(r.other)
     want = brute(ids, x, 5)
     assert np.mean([len(got[a] & {b for b, _ in want[a]}) / 5 for a in ids]) >= 0.9
-    strong = knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=200, margin=0.25, min_sim=0.97).collect()
+    strong = knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=200, margin=0.25, reach=8, min_sim=0.97).collect()
     expected = {(a, b) for a in ids for b, s in want[a] if s >= 0.97}
     assert len({(r.id, r.other) for r in strong} & expected) >= 0.98 * len(expected)
 
 
-def test_divided_cell(spark):
-    """All vectors in one direction: the cell is divided by hash and searched whole."""
+def test_results_come_from_the_graph(spark, monkeypatch):
+    """With a beam of one the search, and so the answer, gets worse: no other path gives rows."""
+    x = topics(1500, 3, 0.6, 11)
+    df = spark.createDataFrame([(f"{i:05d}", blob(v)) for i, v in enumerate(x)], "id string, vector binary")
+    want = brute([f"{i:05d}" for i in range(len(x))], x, 5)
+
+    def recall(**how):
+        got: dict = {}
+        for r in knn.most_similar(df, "id", "vector", DIM, k=5, m=4, **how).collect():
+            got.setdefault(r.id, set()).add(r.other)
+        return np.mean([len(got.get(a, set()) & {b for b, _ in w}) / 5 for a, w in want.items()])
+
+    assert recall(ef=5) < recall(ef=32) - 0.02 and recall(ef=32) > 0.9
+
+
+def test_cells_are_divided_until_they_are_small(spark, monkeypatch):
+    """Several levels: few centres a level, cells of one direction and of equal centres among them."""
+    monkeypatch.setattr(knn, "FAN", 4)
+    monkeypatch.setattr(knn, "SAMPLE", 256)
+    monkeypatch.setattr(knn, "ROUTE_BLOCK", 300)
+    monkeypatch.setattr(knn, "ASK_BLOCK", 100)
     rng = np.random.default_rng(2)
-    x = (np.ones(DIM) + 0.001 * rng.normal(size=(400, DIM))).astype(np.float32)
-    ids = [f"{i:05d}" for i in range(400)]
+    x = np.concatenate([topics(1200, 5, 0.5, 9), (np.ones(DIM) + 0.001 * rng.normal(size=(600, DIM)))]).astype(np.float32)
+    ids = [f"{i:05d}" for i in range(len(x))]
     df = spark.createDataFrame([(a, blob(v)) for a, v in zip(ids, x)], "id string, vector binary")
-    classes = knn.usable_vectors(df, "id", "vector", DIM, "<f4")
-    hits = knn.nearest_of_classes(classes, 400, DIM, 5, 60, 0.12, 24, 8).collect()
-    assert len({r.id for r in hits}) == 400 and all(r.id != r.other for r in hits)
+    reps = knn.usable_vectors(df, "id", "vector", DIM, "<f4")
+    placed, sizes = knn.cells_of(reps, len(x), DIM, 60, 0.2, 6)
+    rows = placed.collect()
+    assert sorted(r.id for r in rows if r.home) == ids  # one own cell each
+    assert len({(r.id, r.node) for r in rows}) == len(rows)
+    own = {r.node: r.own for r in sizes.collect()}
+    assert max(own.values()) <= 120 and sum(own.values()) == len(x) and max(own) > 4 * 4
+    got: dict = {}
+    for r in knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=60, margin=0.3, reach=12, ef=24).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    want = brute(ids, x, 5)
+    assert np.mean([len(got[a] & {b for b, _ in want[a]}) / 5 for a in ids[:1200]]) >= 0.85
+
+
+def test_cells_without_a_difference(spark):
+    same = np.ones((4, DIM), np.float32)
+    row, cell, home = knn.reached(same, [f"{i}" for i in range(4)], np.ones((3, DIM), np.float32), 0.1, 2)
+    assert home.sum() == 4 and len(row) == 8 and set(cell) <= {0, 1, 2}
+    assert (knn.reached(same, ["a"] * 4, np.eye(DIM, dtype=np.float32)[:1], 0.1, 4)[1] == 0).all()
 
 
 def test_bisecting_in_one_task():

@@ -2,14 +2,15 @@
 
 Vectors are unit length, so similarity is the inner product. Every node gets a
 top level from a hash of its key (geometric, 1/``M`` of the nodes per level).
-A level's links are the diversity-pruned nearest nodes of that level, found by
-blocked matrix products instead of one greedy insertion after another (the same
-links that insertion finds with an unbounded beam), then made mutual.
+A level's links are the diversity-pruned nearest nodes of that level, then made
+mutual. A shard is small and of fixed size, so the candidates for links are found by
+blocked matrix products, all nodes at once, instead of one greedy insertion after
+another: the links that insertion finds with an unbounded beam. They serve for links
+only; every result comes from a search.
 ``nbr[level]`` is a flat ``n_level x degree`` int32 array, -1 where empty.
 
-A member's own search begins at its own node, whose nearest nodes of the shard
-the build has already found exactly; other shards' vectors search from the top
-level's entry downwards with a beam of ``ef`` on level 0, many queries at once.
+A search runs with a beam of ``ef`` on level 0, many queries at once: a member's begins
+at its own node, any other vector's at the entry found from the top level downwards.
 """
 
 from __future__ import annotations
@@ -126,8 +127,8 @@ class Graph:
         self.vecs, self.levels, self.nbr = vecs, levels, nbr
 
     @classmethod
-    def build(cls, vecs: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 8) -> tuple[Graph, np.ndarray, np.ndarray]:
-        """The graph, and of every node its ``near`` most similar others (positions, similarities)."""
+    def build(cls, vecs: np.ndarray, keys: np.ndarray, m: int = 16) -> Graph:
+        """The graph of unit vectors; ``keys`` give every node its top level."""
         n = len(vecs)
         u = (mix64(keys) >> np.uint64(11)).astype(np.float64) / 2.0**53
         top = np.floor(-np.log(np.maximum(u, 1e-18)) / np.log(m)).astype(int)
@@ -137,23 +138,21 @@ class Graph:
             if not len(upper):
                 break
             levels.append(upper)
-        found = sims = None
         for level, nodes in enumerate(levels):
             x = vecs if level == 0 else vecs[nodes]
-            ids, s = nearest_within(x, max(near, 2 * m) if level == 0 else m)
-            if level == 0:
-                found, sims = ids[:, :near].copy(), s[:, :near].copy()
-            nbr.append(mutual(diverse(x, ids, s, m), 2 * m if level == 0 else m))
-        return cls(vecs, levels, nbr), found, sims
+            ids, near = nearest_within(x, 2 * m if level == 0 else m)
+            nbr.append(mutual(diverse(x, ids, near, m), 2 * m if level == 0 else m))
+        return cls(vecs, levels, nbr)
 
-    def search(self, q: np.ndarray, k: int, ef: int = 48, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of about the k most similar nodes of each query; -1 where none."""
+    def search(self, q: np.ndarray, k: int, ef: int = 48, step: int = 4, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and similarities of about the k most similar nodes of each query; -1
+        where none. With ``own`` the queries are these nodes, which are no results."""
         out_i, out_s = np.full((len(q), k), -1, np.int32), np.full((len(q), k), -2.0, np.float32)
         n = len(self.vecs)
         if n and len(q):
             at_once = max(32, min(1024, (16 << 20) // n))
             for at in range(0, len(q), at_once):
-                i, s = self._search(q[at : at + at_once], k, min(ef, n), step)
+                i, s = self._search(q[at : at + at_once], k, min(ef, n), step, None if own is None else own[at : at + at_once])
                 out_i[at : at + at_once, : i.shape[1]], out_s[at : at + at_once, : s.shape[1]] = i, s
         return out_i, out_s
 
@@ -190,12 +189,12 @@ class Graph:
         starts[:, 0] = at
         return starts
 
-    def _search(self, q: np.ndarray, k: int, ef: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, k: int, ef: int, step: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         b, n, links = len(q), len(self.vecs), self.nbr[0]
         beam = np.full((b, ef), -1, dtype=np.int32)
         sims = np.full((b, ef), -3.0, dtype=np.float32)
         fresh = np.zeros((b, ef), dtype=bool)
-        entry = self._entry(q)
+        entry = self._entry(q) if own is None else own[:, None]
         seen = np.zeros(b * n, dtype=np.int32)
         for k_ in range(min(entry.shape[1], ef)):
             key = np.arange(b) * n + entry[:, k_]
@@ -232,6 +231,10 @@ class Graph:
             now = np.take_along_axis(all_f, best, axis=1)
             fresh[rows] = now
             rows = rows[now.any(axis=1)]
+        if own is not None:
+            sims[beam == own[:, None]] = -3.0
+            order = np.argsort(-sims, axis=1, kind="stable")
+            beam, sims = np.take_along_axis(beam, order, axis=1), np.take_along_axis(sims, order, axis=1)
         k = min(k, ef)
         none = sims[:, :k] < -2.5
         return np.where(none, -1, beam[:, :k]), np.where(none, -2.0, sims[:, :k])

@@ -2,26 +2,31 @@
 
 1. Exact copies are one vector with many ids, so a group of copies, however
    large, is searched once and cannot overfill a shard.
-2. Cells are fitted on a bounded sample (``SAMPLE`` vectors, at most ``MAX_CELLS``
-   cells, so the centres that every task gets stay under 2 MB at any size);
-   every vector is indexed in its nearest cell. A cell that still comes out too
-   full is divided by a hash of the id into several shards.
-3. One task a shard builds the graph and stores it as flat arrays.
-4. Every vector is searched in its own shard and in the shards of every cell
-   whose centre is at most ``margin`` less similar than its own cell's, in blocks
-   of bounded size, and the shards' results are merged.
-
-``shard_cap``, ``margin`` and ``ef`` set accuracy against cost; recall against
-brute force is measured in the tests and in the README.
+2. Vectors are routed to cells. Centres are fitted on a bounded sample (``SAMPLE``
+   vectors, so at most ``SAMPLE / 8`` centres, which every task gets); every vector
+   is indexed in its nearest cell. A cell that holds more than twice ``shard_cap``
+   vectors is divided again in the same way, from a sample of its own, until none
+   does: the number of cells grows with the data, a shard does not. Below the first
+   level the centres of a cell travel to its vectors through the shuffle, so no task
+   holds those of other cells.
+3. A cell is a shard. Its task builds the graph as flat arrays, then searches in it:
+   first its own members, each from its own node, then, as they stream by, the
+   vectors of other cells that reach it. A vector reaches the cells whose centre is
+   at most ``margin`` less similar than its nearest one's, ``reach`` of them at most.
+   A shard that more than ``ASK_BLOCK`` vectors reach is built by several tasks.
+   Every result comes from a graph search; shards' results are merged.
+
+``shard_cap``, ``margin``, ``reach`` and ``ef`` set accuracy against cost; recall
+against brute force is measured in the tests and in the README.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,123 +35,217 @@ from vectide.llm.vectors import as_matrix, fit_cells, usable_vectors
 from vectide.shared import stored
 
 SAMPLE = 16_384
-MAX_CELLS = 4096
-QUERY_BLOCK = 16_384
-
-_INDEX = "cell int, sub int, ids array<string>, found binary, sims binary, vecs binary, sizes binary, degrees binary, members binary, links binary"
+ASK_BLOCK = 65_536
+ROUTE_BLOCK = 262_144
+#: Children of a node of the tree of cells; five levels fit a BIGINT.
+FAN = 4096
+MOST_LEVELS = 5
+QUERIES = 8192
+
+_ROUTED = "id string, vec binary, node long, home boolean"
 _HITS = "id string, other string, sim double"
 
 
-def _route(rows: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
-    """(id, vec, cell, home): the own cell of each vector, and the others to search."""
+def hash_id(x: str) -> int:
+    """A fixed 64-bit hash of a string (Python's own differs by process)."""
+    return xxhash.xxh64_intdigest(x)
+
+
+def reached(x: np.ndarray, ids: list[str], centres: np.ndarray, margin: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, nearest) of the cells that each vector reaches. Cells that do not
+    differ are told apart by a hash of the id."""
+    if len(centres) > 1 and (centres == centres[0]).all():
+        step = np.arange(min(reach, len(centres)))
+        cell = (np.fromiter((hash_id(i) % len(centres) for i in ids), np.int64, len(ids))[:, None] + step) % len(centres)
+        row = np.repeat(np.arange(len(ids)), len(step))
+        return row, cell.ravel(), np.tile(step == 0, len(ids))
+    rows, cells, homes = [], [], []
+    most = min(reach, len(centres))
+    for at in range(0, len(x), 4096):
+        s = x[at : at + 4096] @ centres.T
+        best = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < len(centres) else np.broadcast_to(np.arange(most), (len(s), most))
+        value = np.take_along_axis(s, best, axis=1)
+        own = value.argmax(axis=1)
+        r, c = np.nonzero(value >= value[np.arange(len(s)), own][:, None] - margin)
+        rows.append(r + at)
+        cells.append(best[r, c])
+        homes.append(c == own[r])
+    return np.concatenate(rows), np.concatenate(cells).astype(np.int64), np.concatenate(homes)
+
+
+def _first_route(rows: DataFrame, centres: np.ndarray, margin: float, reach: int) -> DataFrame:
     dim = centres.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = as_matrix(batch.column(1), dim) @ centres.T
-            own = s.argmax(axis=1)
-            near = s >= s[np.arange(len(s)), own][:, None] - margin
-            row, cell = np.nonzero(near)
-            home = cell == own[row]
-            picked = batch.select([0, 1]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=["id", "vec", "cell", "home"])
-
-    return rows.mapInArrow(run, "id string, vec binary, cell int, home boolean")
+            if batch.num_rows:
+                row, cell, home = reached(as_matrix(batch.column(1), dim), batch.column(0).to_pylist(), centres, margin, reach)
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(row)).columns, pa.array(cell), pa.array(home)], names=["id", "vec", "node", "home"])
 
+    return rows.select("id", "vec").mapInArrow(run, _ROUTED)
 
-def _build(dim: int, k: int, m: int):
-    def run(table: pa.Table) -> pa.Table:
-        order = table.column("id").to_pylist()
-        rank = np.argsort(np.asarray(order, dtype=object), kind="stable")  # the shuffle's order has no say
-        ids = [order[r] for r in rank]
-        vecs = as_matrix(table.column("vec"), dim)[rank]
-        keys = np.fromiter((hash_id(x) for x in ids), dtype=np.uint64, count=len(ids))
-        graph, found, sims = Graph.build(vecs, keys, m, k)
-        one = {"cell": table.column("cell")[0].as_py(), "sub": table.column("sub")[0].as_py(), "ids": ids, "found": found.tobytes(), "sims": sims.tobytes(), **graph.pack()}
-        return pa.Table.from_pylist([one], schema=_schema())
 
-    return run
+def _centres_of(sample: np.ndarray, size: int, cap: int, fan: int) -> np.ndarray:
+    """Centres for cells of about ``0.7 * cap`` of ``size`` vectors."""
+    centres = fit_cells(sample.astype(np.float64), max(8, int(0.7 * cap * len(sample) / max(1, size))), fan)
+    if len(centres) == 1 and size > 2 * cap:  # nothing to tell them apart by
+        centres = np.repeat(centres, -(-size // cap), axis=0)
+    return centres[:fan]
 
 
-def _schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(n, kinds[t]) for n, t in (c.rsplit(" ", 1) for c in _INDEX.split(", "))])
-
-
-def hash_id(x: str) -> int:
-    """A fixed 64-bit hash of a string (Python's own differs by process)."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(x)
+def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float, reach: int) -> DataFrame:
+    """The vectors of overfull cells (``over``: node, own, far) routed to cells of these;
+    those that are at home elsewhere to the nearest only."""
+    fan, most = FAN, SAMPLE
+    rows = deep.join(over.select("node", "own"), "node")
+    rate = F.lit(0.95 * SAMPLE) / F.col("own")
+    sample = rows.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < rate * (1 << 30)))
 
+    def fit(table: pa.Table) -> pa.Table:
+        x = as_matrix(table.column("vec"), dim)[np.argsort(table.column("id").to_pylist(), kind="stable")][:most]
+        centres = _centres_of(x, table.column("own")[0].as_py(), cap, fan)
+        return pa.table({"node": table.column("node").slice(0, 1), "centres": pa.array([centres.tobytes()], pa.binary())})
 
-def _own_hits(k: int):
-    """A shard's stored lists as rows."""
+    # the sample of a node is bounded by SAMPLE
+    fitted = sample.groupBy("node").applyInArrow(fit, "node long, centres binary").join(over, "node")
+    salts = F.ceil((F.col("own") + F.col("far")) / F.lit(ROUTE_BLOCK)).cast("int")
+    heads = fitted.select("node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit("").alias("id"), F.col("centres").alias("vec"), F.lit(False).alias("home"))
+    body = deep.join(over.select("node", salts.alias("salts")), "node")
+    body = body.select("node", F.pmod(F.xxhash64("id", F.lit(5)), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "vec", "home")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.asarray(row["ids"], dtype=object)
-                found = np.frombuffer(row["found"], np.int32).reshape(len(ids), k)
-                sims = np.frombuffer(row["sims"], np.float32).reshape(len(ids), k)
-                r, c = np.nonzero(found >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.string()), pa.array(ids[found[r, c]], pa.string()), pa.array(sims[r, c].astype(np.float64))], names=["id", "other", "sim"])
-
-    return run
-
-
-def _foreign_hits(dim: int, k: int, ef: int):
-    """A block of queries against one shard's stored graph."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        index = right.slice(0, 1).to_pylist()[0]
-        graph = Graph.unpack(*(index[c] for c in ("vecs", "sizes", "degrees", "members", "links")))
-        found, sims = graph.search(as_matrix(left.column("vec"), dim), k, ef)
-        ids, other = np.asarray(left.column("id").to_pylist(), dtype=object), np.asarray(index["ids"], dtype=object)
-        r, c = np.nonzero(found >= 0)
-        return pa.table({"id": pa.array(ids[r], pa.string()), "other": pa.array(other[found[r, c]], pa.string()), "sim": pa.array(sims[r, c].astype(np.float64))})
+            node, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            salt = batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(node) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(node)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    centres = as_matrix(part.column(4), dim)
+                    continue
+                row, cell, nearest = reached(as_matrix(part.column(4), dim), part.column(3).to_pylist(), centres, margin, reach)
+                mine = part.column(5).to_numpy(zero_copy_only=False)[row]
+                row, cell, home = (v[mine | nearest] for v in (row, cell, mine & nearest))
+                picked = part.select([3, 4]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array((node[lo] + 1) * fan + cell), pa.array(home)], names=["id", "vec", "node", "home"])
+
+    ordered = heads.unionByName(body).repartition("node", "salt").sortWithinPartitions("node", "salt", "kind")
+    return ordered.mapInArrow(run, _ROUTED)
+
+
+def cells_of(reps: DataFrame, count: int, dim: int, cap: int, margin: float, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(``id, vec, node, home``: the cells that each vector reaches, its own among them;
+    ``node, own, far``: their members, and the vectors of other cells that reach them).
+    No cell has more than twice ``cap`` members."""
+    rate = min(1.0, 0.95 * SAMPLE / max(1, count))
+    picked = reps.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(rate * (1 << 30))) if rate < 1 else reps
+    picked = sorted((r.id, bytes(r.vec)) for r in picked.select("id", "vec").limit(SAMPLE).toLocalIterator())
+    sample = np.frombuffer(b"".join(v for _, v in picked), np.float32).reshape(-1, dim)
+    routed = _first_route(reps, _centres_of(sample, count, cap, FAN), margin, reach)
+    placed = sizes = None
+    for level in range(MOST_LEVELS):
+        own = F.sum(F.col("home").cast("long"))
+        counts = stored(routed.groupBy("node").agg(own.alias("own"), (F.count("*") - own).alias("far")), "knn-cells")
+        over = counts.where(F.col("own") > 2 * cap)
+        fits = counts.where(F.col("own") <= 2 * cap)
+        sizes = fits if sizes is None else sizes.unionByName(fits)
+        if over.isEmpty():
+            return routed if placed is None else placed.unionByName(routed), sizes
+        done = routed.join(over.select("node"), "node", "left_anti").select("id", "vec", "node", "home")
+        placed = done if placed is None else placed.unionByName(done)
+        deep = routed.join(over.select("node"), "node", "left_semi").select("id", "vec", "node", "home")
+        routed = stored(_divided(deep, over, dim, cap, margin, reach), "knn-deeper")
+    raise ValueError(f"cells still hold more than {2 * cap} vectors after {MOST_LEVELS} levels")
+
+
+class _Shard:
+    """A cell's members, then their graph, and the answers it gives."""
+
+    def __init__(self, dim: int, k: int, ef: int, m: int, min_sim: float | None):
+        self.dim, self.k, self.ef, self.m, self.min_sim = dim, k, ef, m, min_sim
+        self.members: list[pa.RecordBatch] = []
+        self.asking: list[pa.RecordBatch] = []
+        self.graph = None
+
+    def _hits(self, ids: np.ndarray, found: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+        good = found >= 0 if self.min_sim is None else (found >= 0) & (sims >= self.min_sim)
+        r, c = np.nonzero(good)
+        return pa.RecordBatch.from_arrays([pa.array(ids[r], pa.string()), pa.array(self.ids[found[r, c]], pa.string()), pa.array(sims[r, c].astype(np.float64))], names=["id", "other", "sim"])
+
+    def build(self, own: bool) -> Iterator[pa.RecordBatch]:
+        """The graph of the members, and with ``own`` their own neighbours in it."""
+        if self.graph is not None:
+            return
+        table = pa.Table.from_batches(self.members)
+        self.members = []
+        ids = np.asarray(table.column("id").to_pylist(), dtype=object)
+        order = np.argsort(ids, kind="stable")  # the shuffle's order has no say
+        self.ids = ids[order]
+        vecs = as_matrix(table.column("vec"), self.dim)[order]
+        self.graph = Graph.build(vecs, np.fromiter(map(hash_id, self.ids), np.uint64, len(ids)), self.m)
+        for at in range(0, len(ids) if own else 0, QUERIES):
+            mine = np.arange(at, min(len(ids), at + QUERIES))
+            yield self._hits(self.ids[mine], *self.graph.search(vecs[mine], self.k, self.ef, own=mine))
+
+    def answer(self) -> Iterator[pa.RecordBatch]:
+        if self.asking:
+            table = pa.Table.from_batches(self.asking)
+            self.asking = []
+            yield self._hits(np.asarray(table.column("id").to_pylist(), dtype=object), *self.graph.search(as_matrix(table.column("vec"), self.dim), self.k, self.ef))
+
+
+def nearest_of_classes(reps: DataFrame, count: int, dim: int, k: int, shard_cap: int, margin: float, reach: int, ef: int, m: int, min_sim: float | None = None) -> DataFrame:
+    """``id, other, sim``: candidates among different vectors (``reps``: id, vec), with ``min_sim`` only those as similar."""
+    placed, sizes = cells_of(reps, count, dim, shard_cap, margin, reach)
+    blocks = sizes.select("node", F.greatest(F.lit(1), F.ceil(F.col("far") / F.lit(ASK_BLOCK))).cast("int").alias("blocks"))
+    rows = placed.join(blocks, "node")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    one = F.array(F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+    rows = rows.select("node", F.explode(F.when(F.col("home"), every).otherwise(one)).alias("block"), F.when(F.col("home"), 0).otherwise(1).alias("kind"), "id", "vec")
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // (4 * shard_cap)))
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, current, waiting = None, None, 0
+        for batch in batches:
+            node, block, kind = (batch.column(c).to_numpy() for c in range(3))
+            edges = [0, *(np.flatnonzero((np.diff(node) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(node)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo).select([3, 4])
+                if (node[lo], block[lo]) != current:
+                    if shard is not None:
+                        yield from shard.build(current[1] == 0)
+                        yield from shard.answer()
+                    shard, current, waiting = _Shard(dim, k, ef, m, min_sim), (node[lo], block[lo]), 0
+                if kind[lo] == 0:
+                    shard.members.append(part)
+                    continue
+                yield from shard.build(current[1] == 0)
+                shard.asking.append(part)
+                waiting += hi - lo
+                if waiting >= QUERIES:
+                    yield from shard.answer()
+                    waiting = 0
+        if shard is not None:
+            yield from shard.build(current[1] == 0)
+            yield from shard.answer()
+
+    return rows.repartition(parts, "node", "block").sortWithinPartitions("node", "block", "kind").mapInArrow(run, _HITS)
+
+
+def _with_key(vecs: DataFrame) -> DataFrame:
+    """``id, vec, key``: the key is a 128-bit hash of the vector."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([xxhash.xxh3_128_digest(v) for v in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["id", "vec", "key"])
 
-def nearest_of_classes(reps: DataFrame, count: int, dim: int, k: int, shard_cap: int, margin: float, ef: int, m: int) -> DataFrame:
-    """``id, other, sim``: candidates among different vectors, at least k where there are k."""
-    spark = reps.sparkSession
-    cap = max(shard_cap, math.ceil(count / MAX_CELLS))
-    rate = min(1.0, 0.95 * SAMPLE / max(1, count))
-    picked = reps.where((F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(rate * 1e6)) if rate < 1 else F.lit(True)).limit(SAMPLE)
-    sample = np.frombuffer(b"".join(bytes(r.vec) for r in picked.select("vec").collect()), np.float32).reshape(-1, dim)
-    centres = fit_cells(sample.astype(np.float64), max(8, int(cap * len(sample) / max(1, count))))
-    routed = stored(_route(reps, centres, margin), "knn-routed")
-    # at most MAX_CELLS rows come back
-    sizes = {r.cell: (r.own, r.far) for r in routed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("own"), F.sum((~F.col("home")).cast("long")).alias("far")).collect()}
-    subs = {c: max(1, math.ceil(own / (1.5 * cap))) for c, (own, _) in sizes.items()}
-    blocks = {c: max(1, math.ceil((far + (own if subs[c] > 1 else 0)) / QUERY_BLOCK)) for c, (own, far) in sizes.items()}
-    split = spark.createDataFrame([(c, subs[c], blocks[c]) for c in sizes], "cell int, subs int, blocks int")
-    rows = routed.join(F.broadcast(split), "cell")  # at most MAX_CELLS rows
-    home = rows.where("home").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
-    index = stored(home.select("id", "vec", "cell", "sub").groupBy("cell", "sub").applyInArrow(_build(dim, k, m), _INDEX), "knn-graphs")
-    own = index.mapInArrow(_own_hits(k), _HITS)
-    # every other shard: those of cells in reach, and the sister shards of a divided cell
-    ask = (
-        rows.where("not home or subs > 1")
-        .withColumn("own_sub", F.when(F.col("home"), F.pmod(F.xxhash64("id"), "subs").cast("int")).otherwise(F.lit(-1)))
-        .withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
-        .where("sub != own_sub")
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
-        .select("id", "vec", "cell", "sub", "block")
-    )
-    graphs = (
-        index.drop("found", "sims").join(F.broadcast(split.select("cell", "blocks")), "cell").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    )
-    if not any(far for _, far in sizes.values()) and max(subs.values(), default=1) == 1:
-        return own
-    far = ask.groupBy("cell", "sub", "block").cogroup(graphs.groupBy("cell", "sub", "block")).applyInArrow(_foreign_hits(dim, k, ef), _HITS)
-    return own.unionByName(far)
+    return vecs.mapInArrow(run, "id string, vec binary, key binary")
 
 
 def most_similar(
@@ -159,6 +258,7 @@ def most_similar(
     min_sim: float | None = None,
     shard_cap: int = 24_576,
     margin: float = 0.12,
+    reach: int = 4,
     ef: int = 16,
     m: int = 16,
 ) -> DataFrame:
@@ -169,20 +269,18 @@ def most_similar(
     ids, count for nothing; an id given again counts once; copies of a vector are
     each other's neighbours with similarity 1. With ``min_sim`` only pairs that
     similar come out, ranked as among all. An empty table gives an empty table.
+    Joins on a class of copies have a few rows on one side; a class that is a large
+    part of the table is left to the adaptive split of skewed joins on the other.
     """
-    vecs = usable_vectors(df, id_col, vector, dim, dtype)
-    classes = stored(vecs.groupBy("vec").agg(F.min("id").alias("id"), F.max("id").alias("last")), "knn-classes")
+    vecs = _with_key(usable_vectors(df, id_col, vector, dim, dtype))
+    classes = stored(vecs.groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("vec").alias("vec")), "knn-classes")
     count = classes.count()
     if count == 0:
         return vecs.select("id", F.col("id").alias("other"), F.lit(1.0).alias("sim"), F.lit(1).alias("rank")).where("false")
-    reps = classes.select("id", "vec")
-    hits = nearest_of_classes(reps, count, dim, k, shard_cap, margin, ef, m)
-    if min_sim is not None:
-        hits = hits.where(F.col("sim") >= min_sim)
-    hits = stored(hits, "knn-hits")
+    hits = stored(nearest_of_classes(classes.select("id", "vec"), count, dim, k, shard_cap, margin, reach, ef, m, min_sim), "knn-hits")
     # members of classes with copies; the k + 1 smallest ids stand for a class as neighbours
-    shared_vecs = classes.where("id != last").select("vec", F.col("id").alias("rep"))
-    members = stored(vecs.join(shared_vecs, "vec").select("rep", "id").distinct(), "knn-copies")
+    shared_keys = classes.where("id != last").select("key", F.col("id").alias("rep"))
+    members = stored(vecs.select("key", "id").join(shared_keys, "key").select("rep", "id").distinct(), "knn-copies")
     order = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
     spread = (

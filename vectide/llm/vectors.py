@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +49,22 @@ def as_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
+def principal(dev: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The direction in which centred rows spread most, by power iteration from the
+    largest row: no matrix of the square of the dimension is made."""
+    v = dev[np.einsum("nd,nd->n", dev, dev).argmax()].copy()
+    for _ in range(rounds):
+        norm = np.linalg.norm(v)
+        if norm == 0:
+            break
+        v = (dev @ (v / norm)) @ dev
+    norm = np.linalg.norm(v)
+    return v / norm if norm > 0 else v
+
+
 def two_means(x: np.ndarray, rounds: int = 4) -> np.ndarray:
     """Splits unit vectors in two (True: second part), started on the principal direction."""
-    mean = x.mean(axis=0)
-    dev = x - mean
-    axis = np.linalg.eigh(dev.T @ dev)[1][:, -1]
-    side = dev @ axis > 0
+    side = (dev := x - x.mean(axis=0)) @ principal(dev) > 0
     for _ in range(rounds):
         if side.all() or not side.any():
             break
@@ -68,15 +79,18 @@ def two_means(x: np.ndarray, rounds: int = 4) -> np.ndarray:
     return side
 
 
-def fit_cells(sample: np.ndarray, most: int) -> np.ndarray:
-    """Unit centres of cells with at most ``most`` sample rows, by repeated bisection."""
-    todo, centres = [sample], []
+def fit_cells(sample: np.ndarray, most: int, limit: int = 4096) -> np.ndarray:
+    """Unit centres of cells with at most ``most`` sample rows, by repeated bisection
+    of the largest; no more than ``limit`` cells."""
+    todo, centres, made = [(-len(sample), 0, sample)], [], 0
     while todo:
-        x = todo.pop()
-        if len(x) > most:
+        _, _, x = heapq.heappop(todo)
+        if len(x) > most and len(todo) + len(centres) + 2 <= limit:
             side = two_means(x)
             if side.any() and not side.all():
-                todo += [x[~side], x[side]]
+                for part in (x[~side], x[side]):
+                    made += 1
+                    heapq.heappush(todo, (-len(part), made, part))
                 continue
         c = x.mean(axis=0)
         norm = np.linalg.norm(c)

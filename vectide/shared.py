@@ -2,7 +2,8 @@
 
 Long jobs cut their lineage by writing a table and reading it back. The folder
 is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local
-temporary folder is used. Tables are removed when the session's Python ends.
+temporary folder is used. Tables are removed when the session's Python ends, those
+of a loop by ``release`` as soon as their successor is written.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="vectide-")
@@ -45,15 +47,30 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Removes the table behind a frame that ``stored`` gave; nothing may read it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _WRITTEN.remove((df.sparkSession, path))
+        del df._stored_at
 
 
 @atexit.register
 def _drop_all() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             pass

@@ -96,7 +96,10 @@ def p4_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_order(spark, folder).where("in_lists = lists and worst_rank <= 3").select("query_id", "doc_id")
+    """From the head of the chain's order, where every such document stands (see
+    ``rankwalk``: rank at most 2 * lists + 1), those the exact check confirms."""
+    head = p4_order(spark, folder).where("rank <= 2 * lists + 1")
+    return head.where("in_lists = lists and worst_rank <= 3").select("query_id", "doc_id")
 
 
 P4_SQL = """

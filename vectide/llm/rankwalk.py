@@ -10,6 +10,10 @@ chain's stationary chances, ties by item.
 With the items of a list in order, the chance that arrives at rank s is the sum
 over r >= s of (chance at r) / r: one sorted prefix sum a list and step, no matrix.
 
+An item that stands among the first r of each of L lists has a rank of at most
+``(r - 1) * L + 1``: in a list, more arrives only at items above it, at most r - 1 of
+them, and less at all below and at those the list lacks; so only these can be above it.
+
 Groups of up to ``giant_over`` rows are solved whole in one task; larger ones by
 the same iteration on DataFrames with two-level prefix sums, so no task ever
 holds a giant group.
@@ -29,11 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.shared import stored
+from vectide.shared import release, stored
 
 DEFAULT_DAMPING_K = 60.0
+#: The iteration ends when all chances together move by less; the same for groups of any size.
 TOLERANCE = 1e-12
-MOST_STEPS = 200
+MOST_STEPS = 5000
+#: Chances that differ by less than this share of them are equal.
+DIGITS = 10
+
+
+class NotSettled(RuntimeError):
+    """The chain had not settled after ``MOST_STEPS`` steps."""
 
 
 def stationary(orders: list[np.ndarray], n: int, damping: float) -> np.ndarray:
@@ -52,8 +63,8 @@ def stationary(orders: list[np.ndarray], n: int, damping: float) -> np.ndarray:
         done = np.abs(new - p).sum() < TOLERANCE
         p = new
         if done:
-            break
-    return p
+            return p
+    raise NotSettled(f"{n} items, damping {damping}")
 
 
 def _solve(table: pa.Table) -> pa.Table:
@@ -70,7 +81,7 @@ def _solve(table: pa.Table) -> pa.Table:
     for o in orders:
         seen[o] += 1
         worst[o] = np.maximum(worst[o], np.arange(1, len(o) + 1))
-    best = np.lexsort((items, -np.round(p, 12)))
+    best = np.lexsort((items, -np.round(np.log(p), DIGITS)))
     rank = np.empty(len(items), np.int32)
     rank[best] = np.arange(1, len(items) + 1)
     group = table.column("grp").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(items), np.int64)))
@@ -99,7 +110,7 @@ def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=[*batch.schema.names, "place"])
 
 
-def _giants(rows: DataFrame, chunk_rows: int, most_steps: int) -> DataFrame:
+def _giants(rows: DataFrame, chunk_rows: int) -> DataFrame:
     """The same chain for groups too large for a task."""
     kinds = dict(rows.dtypes)
     total = rows.count()
@@ -113,8 +124,8 @@ def _giants(rows: DataFrame, chunk_rows: int, most_steps: int) -> DataFrame:
     info = ranks.groupBy("grp").agg(F.max("k").alias("k"), F.countDistinct("list").alias("lists"))
     items = ranks.groupBy("grp", "item").agg(F.count("*").cast("int").alias("in_lists"), F.max("rank").cast("int").alias("worst_rank"))
     sizes = items.groupBy("grp").agg(F.count("*").alias("n")).join(info, "grp")
-    state = stored(items.join(sizes, "grp").withColumn("p", 1.0 / F.col("n")), "walk-state")
-    for _ in range(most_steps):
+    state = before_ = stored(items.join(sizes, "grp").withColumn("p", 1.0 / F.col("n")), "walk-state")
+    for _ in range(MOST_STEPS):
         w = ranks.select("grp", "list", "item", "chunk", "rank", "m").join(state.select("grp", "item", "p"), ["grp", "item"]).withColumn("w", F.col("p") / F.col("rank"))
         sums = w.groupBy("grp", "list", "chunk").agg(F.sum("w").alias("cw"), F.sum("p").alias("cp"))
         later = Window.partitionBy("grp", "list").orderBy(F.desc("chunk"))
@@ -127,12 +138,15 @@ def _giants(rows: DataFrame, chunk_rows: int, most_steps: int) -> DataFrame:
         new = stored(
             state.withColumnRenamed("p", "old").join(got, ["grp", "item"]).withColumn("p", d / F.col("lists") * F.col("got") + (1 - d) / F.col("n")).drop("got"), "walk-state"
         )
-        moved = new.agg(F.max(F.abs(F.col("p") - F.col("old")) * F.col("n"))).first()[0]
-        state = new.drop("old")
-        if moved is None or moved < 1e-9:
+        moved = new.groupBy("grp").agg(F.sum(F.abs(F.col("p") - F.col("old"))).alias("moved")).agg(F.max("moved")).first()[0]
+        release(before_)
+        before_, state = new, new.drop("old")
+        if moved is None or moved < TOLERANCE:
             break
+    else:
+        raise NotSettled("giant groups")
     # places by two levels again
-    placed = state.repartitionByRange(parts, "grp", F.desc(F.round("p", 12)), "item").sortWithinPartitions("grp", F.desc(F.round("p", 12)), "item")
+    placed = state.repartitionByRange(parts, "grp", F.desc(F.round(F.log("p"), DIGITS)), "item").sortWithinPartitions("grp", F.desc(F.round(F.log("p"), DIGITS)), "item")
     placed = placed.select("grp", F.lit("").alias("list"), "item", F.spark_partition_id().alias("chunk"), "p", "lists", "in_lists", "worst_rank")
     numbered = stored(placed.mapInArrow(_local_ranks, f"grp {kinds['grp']}, list string, item {kinds['item']}, chunk int, p double, lists long, in_lists int, worst_rank int, place long"), "walk-placed")
     counts = numbered.groupBy("grp", "chunk").agg(F.count("*").alias("n"))
@@ -143,7 +157,7 @@ def _giants(rows: DataFrame, chunk_rows: int, most_steps: int) -> DataFrame:
 
 
 def combine_rankings(
-    df: DataFrame, group: str, which: str, item: str, value: str, damping_k: str | None = None, giant_over: int = 1_000_000, chunk_rows: int = 250_000, most_steps: int = 60
+    df: DataFrame, group: str, which: str, item: str, value: str, damping_k: str | None = None, giant_over: int = 1_000_000, chunk_rows: int = 250_000
 ) -> DataFrame:
     """group, item, ``chance``, ``rank``, ``lists`` (of the group), ``in_lists`` (that
     have the item), ``worst_rank`` (its largest rank in those)."""
@@ -161,5 +175,5 @@ def combine_rankings(
     if sizes.isEmpty():
         out = rows.groupBy("grp").applyInArrow(_solve, schema)
     else:
-        out = rows.join(sizes, "grp", "left_anti").groupBy("grp").applyInArrow(_solve, schema).unionByName(_giants(stored(rows.join(sizes, "grp", "left_semi"), "walk-giants"), chunk_rows, most_steps))
+        out = rows.join(sizes, "grp", "left_anti").groupBy("grp").applyInArrow(_solve, schema).unionByName(_giants(stored(rows.join(sizes, "grp", "left_semi"), "walk-giants"), chunk_rows))
     return out.withColumnsRenamed({"grp": group, "item": item})

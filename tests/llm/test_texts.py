@@ -51,13 +51,50 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
-def test_many_copies_are_a_star(spark):
+def test_many_copies_have_one_shape(spark, monkeypatch):
     text = "the same long enough text in very many places"
-    df = spark.createDataFrame([(f"{i:04d}", text) for i in range(200)] + [("x", text + " y")], "_id string, text string")
+    n = 90
+    df = spark.createDataFrame([(f"{i:04d}", text) for i in range(n)] + [(x, text + " y") for x in "uvwx"], "_id string, text string")
+    want = {(f"{i:04d}", f"{j:04d}") for j in range(n) for i in range(j)} | {(f"{i:04d}", x) for i in range(n) for x in "uvwx"} | {(x, y) for x in "uvwx" for y in "uvwx" if x < y}
+    for block in (512, 20):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found = neardup.NearDuplicates(df, "_id", ["text"], threshold=0.7)
+        pairs = [tuple(r) for r in found.pairs().collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+        groups = found.groups().collect()
+        assert {r.group_id for r in groups} == {"0000"} and {r.links for r in groups} == {1} and {r.copies_of for r in groups} == {"0000", "u"}
+        assert found.links.count() == 1
+
+
+def test_hot_band_is_met_in_blocks(spark, monkeypatch):
+    """A family of one boilerplate: every text shares bands with every other."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = [(f"{i:05d}", " ".join(base[:145] + [f"n{i:05d}"] + base[145:])) for i in range(700)]
+    df = spark.createDataFrame(rows, "_id string, text string")
+    prepared = neardup._prepared(df, "_id", ["text"], 5, 32, 5)
+    exploded = prepared.select("id", F.explode("bands").alias("h"))
+    hot = exploded.join(exploded.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    assert hot.agg(F.max("n")).first()[0] > 600
+    left, right = neardup.in_blocks(hot, "h", 64)
+    assert max(r["count"] for side in (left, right) for r in side.groupBy("h", "meet").count().collect()) < 200
     found = neardup.NearDuplicates(df, "_id", ["text"], threshold=0.7)
-    pairs = {tuple(r) for r in found.pairs().collect()}
-    assert len(pairs) == 199 + 1 and ("0000", "x") in pairs
-    assert {r.group_id for r in found.groups().collect()} == {"0000"}
+    assert found.links.count() == 700 * 699 // 2
+    assert {r.group_id for r in found.groups().collect()} == {"00000"}
+
+
+def test_slack_loses_nothing_at_the_threshold():
+    """Of pairs with an overlap of 0.7, none is dropped by its signature's estimate."""
+    rng = np.random.default_rng(3)
+    low = 1.0
+    for _ in range(400):
+        n = int(rng.integers(60, 1500))
+        whole = rng.choice(neardup.UNIVERSE, n + 2 * int(n * 0.2143), replace=False)
+        side = int(n * 0.2143)  # n / (n + 2 side) is 0.7
+        x, y = np.sort(whole[: n + side]), np.sort(np.concatenate([whole[:n], whole[n + side :]]))
+        low = min(low, (neardup.signature(x, 160) == neardup.signature(y, 160)).mean())
+    assert low > 0.7 - neardup.SLACK
 
 
 def test_circulant_signature_estimates_overlap():

@@ -14,8 +14,13 @@
   more than ``SLACK`` below the threshold drop out: at 160 coordinates a pair at
   the threshold does so with a probability under 0.0001, one at 0.73 under 0.000001.
 * The others are verified exactly on whole texts.
+* A band that many records share, such as that of a family of one boilerplate, is
+  compared in blocks of ``BLOCK`` records, block by block; pairs of copies are written
+  in the same way. No key holds more than a block of either side.
 
-Copies (equal text after normalising) are one class; classes are compared once.
+Copies (equal text after normalising) are one class; classes are compared once. The
+result is ``classes`` and ``links``, which grow with the records; ``pairs`` writes every
+pair of records, copies too, where a caller wants them.
 Nulls are empty, a text of fewer than ``run`` characters has no set and no pair,
 an id given again counts once, null ids count for nothing, and an empty table
 gives an empty table. Columns beside those named are never read.
@@ -41,8 +46,8 @@ from vectide.shared import stored
 UNIVERSE = 1 << 20
 #: How far below the threshold an estimate may lie and still be verified.
 SLACK = 0.15
-#: Classes of more copies than this are written as a star round their smallest id.
-STAR_OVER = 64
+#: Records of a band, or copies of a class, that meet in one place.
+BLOCK = 512
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
@@ -138,6 +143,17 @@ def _prepared(df: DataFrame, id_col: str, fields: list[str], run: int, bands: in
     return base.mapInArrow(work, "id string, digest binary, norm string, size int, bands array<bigint>, sig binary")
 
 
+def in_blocks(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on ``key`` and ``meet``, in which every two rows of a key
+    meet once or, in one block, twice; ``key`` has ``n`` rows. ``id`` tells rows apart."""
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # left row of block i goes to (i, i), (i, i + 1), ...; right row of block j to (0, j), ..., (j, j)
+    left = placed.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)"))).withColumn("meet", F.expr("own * blocks + other"))
+    right = placed.withColumn("other", F.explode(F.expr("sequence(0, own)"))).withColumn("meet", F.expr("other * blocks + own"))
+    return left.drop("n", "blocks", "other"), right.drop("n", "blocks", "other")
+
+
 class NearDuplicates:
     """``classes`` (rep, id): every record with a set and its class of copies;
     ``links`` (a, b, overlap): class representatives ``a < b`` whose exact overlap
@@ -154,13 +170,11 @@ class NearDuplicates:
         self.copies = members
         reps = base.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
         exploded = reps.select("id", "size", F.explode("bands").alias("h"))
-        left, right = exploded.alias("x"), exploded.alias("y")
+        shared = exploded.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")  # most bands are a record's own
+        left, right = in_blocks(exploded.join(shared, "h"), "h", BLOCK)
         slack = threshold * 0.97  # sizes are those of hashed sets, a little too small
-        candidates = (
-            left.join(right, F.expr(f"x.h = y.h and x.id < y.id and x.size >= {slack} * y.size and y.size >= {slack} * x.size"))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-            .distinct()
-        )
+        met = F.expr(f"x.h = y.h and x.meet = y.meet and x.id != y.id and (x.own != y.own or x.id < y.id) and x.size >= {slack} * y.size and y.size >= {slack} * x.size")
+        candidates = left.alias("x").join(right.alias("y"), met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         sigs = base.select("id", "sig")
         signed = candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         coords, least = bands * rows, (threshold - SLACK) * bands * rows
@@ -191,20 +205,21 @@ class NearDuplicates:
         self.links = stored(paired.mapInPandas(verify, "a string, b string, overlap double"), "dup-links")
 
     def pairs(self) -> DataFrame:
-        """``id_a < id_b`` of records that overlap: every pair of different texts is
-        carried over to its classes' members. A class of more than ``STAR_OVER``
-        copies is written as a star: its smallest id with every copy."""
+        """``id_a < id_b`` of records that overlap: every pair of copies, and every pair of
+        different texts carried over to the members of both classes. As many rows as pairs."""
         sizes = self.copies.groupBy("rep").agg(F.count("*").alias("n"))
-        few = self.copies.join(sizes.where(F.col("n") <= STAR_OVER), "rep").select("rep", "id")
-        star = self.copies.join(sizes.where(F.col("n") > STAR_OVER), "rep").where("id != rep").select(F.col("rep").alias("p"), F.col("id").alias("q"))
-        inside = few.alias("x").join(few.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-        shown = lambda side: few.select(F.col("rep").alias(side), F.col("id").alias(side + "_id"))
-        across = (
-            self.links.join(shown("a"), "a", "left")
-            .join(shown("b"), "b", "left")
-            .select(F.coalesce("a_id", "a").alias("p"), F.coalesce("b_id", "b").alias("q"))
-        )
-        every = across.unionByName(inside).unionByName(star)
+        held = self.copies.join(sizes, "rep")
+        x, y = (side.alias(name) for side, name in zip(in_blocks(held, "rep", BLOCK), "xy"))
+        inside = x.join(y, F.expr("x.rep = y.rep and x.meet = y.meet and x.id != y.id and (x.own != y.own or x.id < y.id)")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        placed = held.withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        links = self.links.select("a", "b")
+        for side in ("a", "b"):  # a link goes to every block of its class
+            parts = sizes.select(F.col("rep").alias(side), blocks.alias("parts"))
+            links = links.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            shown = placed.select(F.col("rep").alias(side), "part", F.col("id").alias("member"))
+            links = links.join(shown, [side, "part"], "left").withColumn(side + "_id", F.coalesce("member", side)).drop("member", "part")
+        every = links.select(F.col("a_id").alias("p"), F.col("b_id").alias("q")).unionByName(inside)
         return every.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
     def groups(self) -> DataFrame:

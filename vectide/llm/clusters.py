@@ -1,15 +1,17 @@
 """Bisecting k-means until every leaf is compact, on any number of vectors.
 
-1. All nodes of more than ``local_cap`` vectors are split at once, round by
-   round: a pass over all vectors gathers each node's sum and scatter matrix
-   (added up per task, so a node costs one small row a task), the node is cut
-   across its principal direction, and a second pass settles the two centres. A
-   large node that is compact already is a leaf and is left as it is.
-2. A node of at most ``local_cap`` vectors is finished inside one task, always
-   splitting the node of the largest dispersion next, until all are compact.
-3. Cutting a large cluster in two is undone: leaves whose most typical members
-   are similar enough are one cluster. The members compared are one per leaf, in
-   blocks against all.
+1. The upper part of the tree is grown across the cluster: the node of the largest
+   dispersion is split along its principal direction, again and again, until no node
+   holds more than twice ``local_cap`` vectors. These splits are fitted on a bounded
+   sample of each node (``knn.SAMPLE``); every vector goes down the tree.
+2. A node is finished inside one task on all its vectors, always splitting the node of
+   the largest dispersion next, until all leaves are compact.
+3. Cutting a cluster in two is undone through the index of problem 1 over the leaves'
+   most typical members: a leaf joins the largest leaf (ties: smaller id) among its
+   neighbours of ``min_cos`` or more that itself joins no other. Repeated among those
+   with neighbours left, until no leaf joins. A leaf joins only where the typical member
+   of every leaf it brings along is ``min_cos`` similar to the new centre, and stays
+   there only if each of its own members is: a joined cluster is as compact as a leaf.
 
 A leaf is compact when each member has a similarity of at least ``min_cos`` to
 its most typical member, the one nearest to the centre.
@@ -20,19 +22,20 @@ counts once; copies fall in one cluster; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.components import components
+from vectide.llm import knn
 from vectide.llm.vectors import as_matrix, two_means, usable_vectors
 from vectide.shared import stored
 
-REP_BLOCK = 4096
-MAX_NODES = 32_768
+#: Of the index over typical members: neighbours, size of a shard, reach and beam.
+NEAR, SHARD, MARGIN, REACH, BEAM, LINKS = 8, 24_576, 0.3, 8, 64, 16
+MOST_ROUNDS = 64
 
 
 def unit(c: np.ndarray) -> np.ndarray:
@@ -40,124 +43,6 @@ def unit(c: np.ndarray) -> np.ndarray:
     return c / np.where(norm > 0, norm, 1)
 
 
-class Tree:
-    """Centres of the split nodes; node 0 is the root. ``child[i]`` is the left
-    child of node i (the right one follows it), -1 for a node without children."""
-
-    def __init__(self, dim: int) -> None:
-        self.centre = np.zeros((1, dim))
-        self.child = np.full(1, -1)
-
-    def grow(self, node: int, left: np.ndarray, right: np.ndarray) -> int:
-        at = len(self.child)
-        self.child[node] = at
-        self.child = np.concatenate([self.child, [-1, -1]])
-        self.centre = np.concatenate([self.centre, [left, right]])
-        return at
-
-    def leaf_of(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        moving = np.flatnonzero(self.child[node] >= 0)
-        while len(moving):
-            left = self.child[node[moving]]
-            a = np.einsum("nd,nd->n", x[moving], self.centre[left])
-            b = np.einsum("nd,nd->n", x[moving], self.centre[left + 1])
-            node[moving] = np.where(b > a, left + 1, left)
-            moving = moving[self.child[node[moving]] >= 0]
-        return node
-
-
-def _gather(vecs: DataFrame, tree: Tree, dim: int, wanted: set[int], scatter: bool) -> dict[int, tuple[int, np.ndarray, np.ndarray | None]]:
-    """Of each wanted leaf: number, sum and, if asked for, half its spread along the
-    principal direction. Tasks send one row per node; scatter matrices never reach
-    the driver."""
-    width = dim + (dim * dim if scatter else 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = as_matrix(batch.column(1), dim).astype(np.float64)
-            leaf = tree.leaf_of(x)
-            order = np.argsort(leaf, kind="stable")
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(leaf[order])) + 1, [len(order)]])
-            for lo, hi in zip(edges, edges[1:]):
-                node = int(leaf[order[lo]])
-                if node in wanted:
-                    y = x[order[lo:hi]]
-                    mine = held.setdefault(node, [0, np.zeros(width)])
-                    mine[0] += len(y)
-                    mine[1][:dim] += y.sum(axis=0)
-                    if scatter:
-                        mine[1][dim:] += (y.T @ y).ravel()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())], names=["node", "n", "stat"]
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py()) for b in table.column("stat"))
-        n = sum(table.column("n").to_pylist())
-        if scatter:
-            mean = total[:dim] / n
-            values, axes = np.linalg.eigh(total[dim:].reshape(dim, dim) / n - np.outer(mean, mean))
-            total = np.concatenate([total[:dim], np.sqrt(max(values[-1], 1e-12)) * axes[:, -1]])
-        return pa.table({"node": [table.column("node")[0].as_py()], "n": [n], "stat": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "node long, n long, stat binary"
-    out = {}
-    for row in vecs.mapInArrow(run, schema).groupBy("node").applyInArrow(add, schema).toLocalIterator():
-        stat = np.frombuffer(row.stat)
-        out[row.node] = (row.n, stat[:dim], stat[dim:] if scatter else None)
-    return out
-
-
-def _extremes(vecs: DataFrame, tree: Tree, dim: int, centres: dict[int, np.ndarray]) -> dict[int, tuple[str, bytes]]:
-    """The most typical member (id, vector) of each node in ``centres``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = as_matrix(batch.column(1), dim).astype(np.float64)
-            leaf = tree.leaf_of(x)
-            for node in np.unique(leaf):
-                if int(node) in centres:
-                    rows = np.flatnonzero(leaf == node)
-                    s = x[rows] @ centres[int(node)]
-                    j = int(rows[s.argmax()])
-                    mine = (-float(s.max()), batch.column(0)[j].as_py(), batch.column(1)[j].as_py())
-                    best[int(node)] = min(best.get(int(node), mine), mine)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(best), pa.int64()), pa.array([v[0] for v in best.values()], pa.float64()), pa.array([v[1] for v in best.values()], pa.string()), pa.array([v[2] for v in best.values()], pa.binary())],
-            names=["node", "s", "id", "vec"],
-        )
-
-    got = vecs.mapInArrow(run, "node long, s double, id string, vec binary")
-    first = got.groupBy("node").agg(F.min(F.struct("s", "id", "vec")).alias("m"))
-    return {r.node: (r.m.id, bytes(r.m.vec)) for r in first.toLocalIterator()}
-
-
-def _loose(vecs: DataFrame, tree: Tree, dim: int, typical: dict[int, tuple[str, bytes]], min_cos: float) -> set[int]:
-    """Nodes with a member too far from the most typical one."""
-    points = {node: np.frombuffer(v, np.float32).astype(np.float64) for node, (_, v) in typical.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad: set[int] = set()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = as_matrix(batch.column(1), dim).astype(np.float64)
-            leaf = tree.leaf_of(x)
-            for node in np.unique(leaf):
-                if int(node) in points and int(node) not in bad and (x[leaf == node] @ points[int(node)] < min_cos).any():
-                    bad.add(int(node))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(bad), pa.int64())], names=["node"])
-
-    return {r.node for r in vecs.mapInArrow(run, "node long").distinct().toLocalIterator()}
-
-
 def bisect_locally(x: np.ndarray, min_cos: float) -> list[np.ndarray]:
     """Leaves (row numbers, the most typical first) of a few thousand vectors."""
     leaves, todo = [], [(0.0, np.arange(len(x)))]
@@ -183,142 +68,95 @@ def bisect_locally(x: np.ndarray, min_cos: float) -> list[np.ndarray]:
     return leaves
 
 
-def spanning_forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links that join the nodes 0..n-1 just as all the pairs do, less than n of them."""
-    root, out = np.arange(n), []
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            order = np.lexsort((low, high))
-            high, at = np.unique(high[order], return_index=True)
-            low = low[order][at]
-            out += zip(high.tolist(), low.tolist())
-            parent = np.arange(n)
-            parent[high] = low
-            while (up := parent[parent]).tobytes() != parent.tobytes():
-                parent = up
-            root = parent[root]
-    return out
+def _similar(pairs: DataFrame, dim: int) -> DataFrame:
+    """``pairs`` (key, a BINARY, b BINARY) as (key, sim)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sim = np.einsum("nd,nd->n", as_matrix(batch.column(1), dim), as_matrix(batch.column(2), dim))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sim.astype(np.float64))], names=["key", "sim"])
+
+    return pairs.select("key", "a", "b").mapInArrow(run, "key string, sim double")
 
 
 class BisectingClusters:
-    """``members`` (cluster, id, typical, to_typical): every usable id; ``cluster``
-    is the smallest id of its cluster's leaf representatives."""
+    """``members`` (cluster, id, typical, to_typical): every usable id; ``typical`` is the
+    most typical member of its leaf, ``cluster`` that of the leaf which the cluster is
+    centred on."""
 
-    def __init__(self, df: DataFrame, id_col: str, vector: str, dim: int, dtype: str = "<f4", min_cos: float = 0.68, local_cap: int = 8192, most_rounds: int = 64) -> None:
-        self.dim = dim
+    def __init__(self, df: DataFrame, id_col: str, vector: str, dim: int, dtype: str = "<f4", min_cos: float = 0.68, local_cap: int = 8192) -> None:
+        self.dim, self.min_cos = dim, min_cos
         vecs = usable_vectors(df, id_col, vector, dim, dtype).groupBy("id").agg(F.min("vec").alias("vec"))
         self.vecs = vecs = stored(vecs, "cluster-vectors")
-        tree, final, active = Tree(dim), {}, {0}
-        for _ in range(most_rounds):
-            stats = _gather(vecs, tree, dim, active, True) if active else {}
-            if active == {0}:  # the tree stays under MAX_NODES nodes at any size
-                local_cap = max(local_cap, -(-sum(s[0] for s in stats.values()) // MAX_NODES))
-            large = {n: s for n, s in stats.items() if s[0] > local_cap}
-            if not large:
-                break
-            typical = _extremes(vecs, tree, dim, {n: unit(s[1]) for n, s in large.items()})
-            loose = _loose(vecs, tree, dim, typical, min_cos)
-            final.update({n: typical[n] for n in large if n not in loose})
-            active = set()
-            for n in sorted(loose):
-                count, total, step = large[n]
-                mean = total / count
-                at = tree.grow(n, unit(mean - step), unit(mean + step))
-                active |= {at, at + 1}
-            for _ in range(2):  # settle the centres
-                if active:
-                    for n, (_, total, _) in _gather(vecs, tree, dim, active, False).items():
-                        tree.centre[n] = unit(total)
-        self.tree, self.final = tree, final
-        leaves = self._leaves(vecs, min_cos)
-        self.leaves = stored(leaves, "cluster-leaves")
-        self.members = self._merged(min_cos)
-
-    def _leaves(self, vecs: DataFrame, min_cos: float) -> DataFrame:
-        """(leaf, id, to_typical, vec): leaf is the most typical member's id; vec only of it."""
-        tree, final, dim = self.tree, self.final, self.dim
-        schema = "leaf string, id string, to_typical double, vec binary"
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    leaf = tree.leaf_of(as_matrix(batch.column(1), dim).astype(np.float64))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["id", "vec", "node"])
+        placed, _ = knn.cells_of(vecs, vecs.count(), dim, local_cap, 0.0, 1)
+        self.leaves = stored(self._leaves(placed), "cluster-leaves")
+        self.members = self._merged()
 
-        placed = vecs.mapInArrow(place, "id string, vec binary, node long")
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                node, x = batch.column(2).to_pylist(), as_matrix(batch.column(1), dim)
-                names = [final[n][0] for n in node]
-                s = np.einsum("nd,nd->n", x, np.stack([np.frombuffer(final[n][1], np.float32) for n in node]))
-                ids = batch.column(0).to_pylist()
-                own = [v if i == f else None for v, i, f in zip(batch.column(1).to_pylist(), ids, names)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0), pa.array(s.astype(np.float64)), pa.array(own, pa.binary())], names=["leaf", "id", "to_typical", "vec"])
+    def _leaves(self, placed: DataFrame) -> DataFrame:
+        """(leaf, id, to_typical, vec): leaf is the most typical member's id."""
+        dim, min_cos = self.dim, self.min_cos
 
         def part(table: pa.Table) -> pa.Table:
             ids = np.asarray(table.column("id").to_pylist(), dtype=object)
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], as_matrix(table.column("vec"), dim)[order]
-            out: list[tuple] = []
-            for rows in bisect_locally(x.astype(np.float64), min_cos):
-                s = x[rows] @ x[rows[0]]
-                out += [(ids[rows[0]], ids[r], float(v), x[r].tobytes() if r == rows[0] else None) for r, v in zip(rows, s)]
-            leaf, one, s, vec = zip(*out)
-            return pa.table({"leaf": pa.array(leaf, pa.string()), "id": pa.array(one, pa.string()), "to_typical": pa.array(s, pa.float64()), "vec": pa.array(vec, pa.binary())})
-
-        kept = list(final) or [-1]
-        big = placed.where(F.col("node").isin(kept)).mapInArrow(whole, schema)
-        small = placed.where(~F.col("node").isin(kept)).groupBy("node").applyInArrow(part, schema)
-        return small.unionByName(big)
-
-    def _merged(self, min_cos: float) -> DataFrame:
-        """Leaves joined whose most typical members are at least ``min_cos`` similar."""
-        dim = self.dim
-        reps = stored(self.leaves.where("vec is not null").select(F.col("leaf"), "vec"), "cluster-reps")
-        count = reps.count()
-        blocks = max(1, -(-count // REP_BLOCK))
-        tagged = reps.withColumn("block", F.pmod(F.xxhash64("leaf"), F.lit(blocks)).cast("int"))
-
-        def pack(table: pa.Table) -> pa.Table:
-            x = as_matrix(table.column("vec"), dim)
-            return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [table.column("leaf").to_pylist()], "vecs": pa.array([x.tobytes()], pa.binary())})
-
-        packed = stored(tagged.groupBy("block").applyInArrow(pack, "block int, ids array<string>, vecs binary"), "cluster-blocks")
-        # block i meets block j >= i: reps in blocks against all, a spanning forest per meeting
-        meet = packed.alias("x").withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))).join(
-            packed.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "other"
-        )
-
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    a, b = np.asarray(row["ids"], dtype=object), np.asarray(row["ids2"], dtype=object)
-                    x, y = (np.frombuffer(row[c], np.float32).reshape(-1, dim) for c in ("vecs", "vecs2"))
-                    order = np.argsort(b, kind="stable")
-                    b, y = b[order], y[order]
-                    if row["block"] == row["other"]:
-                        names, mine = b, np.argsort(order)  # of either side its place among the names
-                    else:
-                        names, mine = np.concatenate([b, a]), np.arange(len(a)) + len(b)
-                    near = (np.nonzero(x[at : at + 512] @ y.T >= min_cos) for at in range(0, len(x), 512))
-                    found = [(names[i], names[j]) for i, j in spanning_forest(len(names), ((mine[i + 512 * k], j) for k, (i, j) in enumerate(near)))]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["a", "b"])
-
-        links = meet.select("block", "other", "ids", "vecs", "ids2", "vecs2").repartition(max(1, min(blocks * blocks, 4096))).mapInArrow(link, "a string, b string")
-        roots = components(links)
-        return (
-            self.leaves.join(roots.withColumnRenamed("node", "leaf"), "leaf", "left")
-            .select(F.coalesce("root", "leaf").alias("cluster"), "id", F.col("leaf").alias("typical"), "to_typical")
-        )
+            x = as_matrix(table.column("vec"), dim)[order]
+            leaves = bisect_locally(x.astype(np.float64), min_cos)
+            rows = np.concatenate(leaves)
+            first = np.repeat([leaf[0] for leaf in leaves], [len(leaf) for leaf in leaves])
+            sim = np.einsum("nd,nd->n", x[rows], x[first])
+            names = ids[order]
+            return pa.table(
+                {
+                    "leaf": pa.array(names[first], pa.string()),
+                    "id": pa.array(names[rows], pa.string()),
+                    "to_typical": pa.array(sim.astype(np.float64)),
+                    "vec": table.column("vec").take(pa.array(order[rows])),
+                }
+            )
+
+        # no node has more than twice local_cap rows
+        return placed.select("node", "id", "vec").groupBy("node").applyInArrow(part, "leaf string, id string, to_typical double, vec binary")
+
+    def _joined(self, reps: DataFrame) -> DataFrame:
+        """(leaf, centre) of the leaves that join another; ``reps``: leaf, vec, n."""
+        spark, dim, min_cos = reps.sparkSession, self.dim, self.min_cos
+        joined = spark.createDataFrame([], "leaf string, centre string")
+        active, size = reps, reps.select("leaf", "n")
+        for _ in range(MOST_ROUNDS):
+            hits = knn.nearest_of_classes(active.select(F.col("leaf").alias("id"), "vec"), active.count(), dim, NEAR, SHARD, MARGIN, REACH, BEAM, LINKS, min_cos)
+            hits = stored(hits.select("id", "other"), "cluster-near")
+            both = hits.unionByName(hits.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+            sized = both.join(size.select(F.col("leaf").alias("id"), F.col("n").alias("mine")), "id").join(size.select(F.col("leaf").alias("other"), "n"), "other")
+            larger = sized.where("n > mine or (n = mine and other < id)")
+            no_centre = larger.select(F.col("id").alias("other")).distinct()
+            wish = larger.join(no_centre, "other", "left_anti").groupBy("id").agg(F.min_by("other", F.struct(-F.col("n"), "other")).alias("new"))
+            wish = stored(wish, "cluster-wishes")
+            if wish.isEmpty():
+                return joined
+            # what a leaf brings along must fit the new centre too
+            along = wish.select(F.col("id").alias("leaf"), F.col("id").alias("centre"), "new").unionByName(joined.join(wish.withColumnRenamed("id", "centre"), "centre").select("leaf", "centre", "new"))
+            with_vecs = along.join(reps.select("leaf", F.col("vec").alias("a")), "leaf").join(reps.select(F.col("leaf").alias("new"), F.col("vec").alias("b")), "new")
+            fits = _similar(with_vecs.withColumn("key", F.col("centre")), dim).groupBy("key").agg(F.min("sim").alias("least")).where(F.col("least") >= min_cos)
+            moves = stored(wish.join(fits.select(F.col("key").alias("id")), "id", "left_semi"), "cluster-moves")
+            if moves.isEmpty():
+                return joined
+            kept = joined.join(moves.withColumnRenamed("id", "centre"), "centre", "left").select("leaf", F.coalesce("new", "centre").alias("centre"))
+            joined = stored(kept.unionByName(moves.select(F.col("id").alias("leaf"), F.col("new").alias("centre"))), "cluster-joined")
+            gone = moves.select(F.col("id").alias("leaf"))
+            active = stored(active.join(both.select(F.col("id").alias("leaf")).distinct(), "leaf", "left_semi").join(gone, "leaf", "left_anti"), "cluster-active")
+        raise RuntimeError(f"leaves still join after {MOST_ROUNDS} rounds")
+
+    def _merged(self) -> DataFrame:
+        """Leaves joined where every member keeps its similarity to the centre."""
+        reps = self.leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == F.col("leaf"), F.col("vec"))).alias("vec"))
+        reps = stored(reps, "cluster-reps")
+        joined = self._joined(reps)
+        centres = joined.join(reps.select(F.col("leaf").alias("centre"), F.col("vec").alias("b")), "centre")
+        moved = self.leaves.join(centres, "leaf").select(F.col("leaf").alias("key"), F.col("vec").alias("a"), "b")
+        whole = _similar(moved, self.dim).groupBy("key").agg(F.min("sim").alias("least")).where(F.col("least") >= self.min_cos)
+        joined = stored(joined.join(whole.select(F.col("key").alias("leaf")), "leaf", "left_semi"), "cluster-joined")
+        return self.leaves.join(joined, "leaf", "left").select(F.coalesce("centre", "leaf").alias("cluster"), "id", F.col("leaf").alias("typical"), "to_typical")
 
     def report(self, typical: int = 3) -> DataFrame:
         """``cluster, size, leaves, typical_ids, mean_to_typical``: the ``typical``

@@ -34,7 +34,9 @@ from vectide.llm.hnsw import Graph
 from vectide.llm.vectors import as_matrix, fit_cells, usable_vectors
 from vectide.shared import stored
 
+#: Vectors that the cells of one node are fitted on, and their numbers at most.
 SAMPLE = 16_384
+SAMPLE_NUMBERS = 1 << 23
 ASK_BLOCK = 65_536
 ROUTE_BLOCK = 262_144
 #: Children of a node of the tree of cells; five levels fit a BIGINT.
@@ -46,6 +48,11 @@ _ROUTED = "id string, vec binary, node long, home boolean"
 _HITS = "id string, other string, sim double"
 
 
+def sample_rows(dim: int) -> int:
+    """Vectors of ``dim`` numbers in a sample."""
+    return max(256, min(SAMPLE, SAMPLE_NUMBERS // dim))
+
+
 def hash_id(x: str) -> int:
     """A fixed 64-bit hash of a string (Python's own differs by process)."""
     return xxhash.xxh64_intdigest(x)
@@ -96,9 +103,9 @@ def _centres_of(sample: np.ndarray, size: int, cap: int, fan: int) -> np.ndarray
 def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float, reach: int) -> DataFrame:
     """The vectors of overfull cells (``over``: node, own, far) routed to cells of these;
     those that are at home elsewhere to the nearest only."""
-    fan, most = FAN, SAMPLE
+    fan, most = FAN, sample_rows(dim)
     rows = deep.join(over.select("node", "own"), "node")
-    rate = F.lit(0.95 * SAMPLE) / F.col("own")
+    rate = F.lit(0.95 * most) / F.col("own")
     sample = rows.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < rate * (1 << 30)))
 
     def fit(table: pa.Table) -> pa.Table:
@@ -106,7 +113,7 @@ def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float
         centres = _centres_of(x, table.column("own")[0].as_py(), cap, fan)
         return pa.table({"node": table.column("node").slice(0, 1), "centres": pa.array([centres.tobytes()], pa.binary())})
 
-    # the sample of a node is bounded by SAMPLE
+    # the sample of a node is bounded
     fitted = sample.groupBy("node").applyInArrow(fit, "node long, centres binary").join(over, "node")
     salts = F.ceil((F.col("own") + F.col("far")) / F.lit(ROUTE_BLOCK)).cast("int")
     heads = fitted.select("node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit("").alias("id"), F.col("centres").alias("vec"), F.lit(False).alias("home"))
@@ -140,9 +147,10 @@ def cells_of(reps: DataFrame, count: int, dim: int, cap: int, margin: float, rea
     """(``id, vec, node, home``: the cells that each vector reaches, its own among them;
     ``node, own, far``: their members, and the vectors of other cells that reach them).
     No cell has more than twice ``cap`` members."""
-    rate = min(1.0, 0.95 * SAMPLE / max(1, count))
+    most = sample_rows(dim)
+    rate = min(1.0, 0.95 * most / max(1, count))
     picked = reps.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(rate * (1 << 30))) if rate < 1 else reps
-    picked = sorted((r.id, bytes(r.vec)) for r in picked.select("id", "vec").limit(SAMPLE).toLocalIterator())
+    picked = sorted((r.id, bytes(r.vec)) for r in picked.select("id", "vec").limit(most).toLocalIterator())
     sample = np.frombuffer(b"".join(v for _, v in picked), np.float32).reshape(-1, dim)
     routed = _first_route(reps, _centres_of(sample, count, cap, FAN), margin, reach)
     placed = sizes = None

@@ -81,8 +81,10 @@ def two_means(x: np.ndarray, rounds: int = 4) -> np.ndarray:
 
 def fit_cells(sample: np.ndarray, most: int, limit: int = 4096) -> np.ndarray:
     """Unit centres of cells with at most ``most`` sample rows, by repeated bisection
-    of the largest; no more than ``limit`` cells."""
-    todo, centres, made = [(-len(sample), 0, sample)], [], 0
+    of the one with the largest dispersion; no more than ``limit`` cells."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]), np.float32)
+    todo, centres, made = [(0.0, 0, sample)], [], 0
     while todo:
         _, _, x = heapq.heappop(todo)
         if len(x) > most and len(todo) + len(centres) + 2 <= limit:
@@ -90,7 +92,7 @@ def fit_cells(sample: np.ndarray, most: int, limit: int = 4096) -> np.ndarray:
             if side.any() and not side.all():
                 for part in (x[~side], x[side]):
                     made += 1
-                    heapq.heappush(todo, (-len(part), made, part))
+                    heapq.heappush(todo, (float(np.linalg.norm(part.sum(axis=0)) - len(part)), made, part))
                 continue
         c = x.mean(axis=0)
         norm = np.linalg.norm(c)

@@ -34,6 +34,30 @@ def test_split_prefers_strong_boundaries():
     assert len(pieces) == 2 and pieces[0][0].endswith(".\n\n") and pieces[1][1] == 4.0
 
 
+def test_cuts_snap_to_the_strongest_boundary_in_reach():
+    """Where the least number of pieces leaves room, cuts fall behind paragraphs and sentences."""
+    rng = random.Random(8)
+    paragraph = lambda: " ".join(" ".join(rng.choice(["alpha", "be", "gamma", "delta"]) for _ in range(rng.randint(5, 14))).capitalize() + "." for _ in range(rng.randint(2, 5))) + "\n\n"
+    strengths = []
+    for _ in range(40):
+        text = "".join(paragraph() for _ in range(40))[:3300]
+        strengths += split.cut_points(text, 1500, 60)[1]
+    assert len(strengths) == 80 and min(strengths) >= 2.0 and sum(s == 4.0 for s in strengths) > 60
+    words = " ".join("word" for _ in range(2000))
+    assert set(split.cut_points(words, 400, 60)[1]) == {1.0}
+    cuts, strengths = split.cut_points("x" * 5000, 400, 60)
+    assert set(strengths) == {0.0}
+
+
+def test_one_long_stretch_is_scanned_once():
+    import time
+
+    begin = time.time()
+    assert not split.longest_unbroken("x" * 1499 + " " + ("y" * 1400 + ",") * 3000, 1500)
+    assert split.longest_unbroken(("y" * 1400 + ",") * 3000 + "z" * 1501, 1500)
+    assert time.time() - begin < 2
+
+
 def test_split_forced_and_boundary(spark):
     rows = [("a", "x" * 401), ("b", "x y " * 200), ("b", "x y " * 200), ("c", None), ("d", ""), (None, "z" * 900), ("e", "z" * 100_000)]
     df = spark.createDataFrame(rows, "item_id string, t string").withColumn("piece", F.lit(1)).withColumn("n_pieces", F.lit(2))
@@ -81,6 +105,36 @@ def test_top_n_descending_strings_and_empty(spark):
     assert topn.top_n_per_group(df.limit(0), "g", "i", "s", 2).count() == 0
 
 
+def test_top_n_streams_more_groups_than_a_batch(spark):
+    """Many groups in one bucket and small batches: groups cross the batches' ends, and a hot one spans many."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(40), float(rng.randrange(9)), 3) for g in range(4000) for _ in range(rng.choice([1, 2, 9]))] + [(77, i, float(i % 50), 3) for i in range(9000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "q long, d long, s double, n int").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sorted(tuple(r) for r in topn.top_n_per_group(df, "q", "d", "s", 3, buckets=1).collect())
+        assert got == brute_top(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_merge_seeks_past_the_rest_of_a_group():
+    """Of a long run only the rows up to the N-th output are ever looked at."""
+
+    class Watched(list):
+        seen = 0
+
+        def __getitem__(self, at):
+            Watched.seen = max(Watched.seen, at if isinstance(at, int) else 0)
+            return super().__getitem__(at)
+
+    scores = Watched(float(x) for x in range(10_000))
+    got = topn.merge_group(scores, list(range(10_000)), 3, [(0, 5000), (5000, 10_000)])
+    assert got == [(0, 0.0, 1), (1, 1.0, 2), (2, 2.0, 3)] and Watched.seen == 5000
+
+
 def test_loser_tree_sorts():
     rng = random.Random(1)
     for k in (1, 2, 3, 7, 8):

@@ -34,6 +34,8 @@ from vectide.llm.tokens import count_tokens
 from vectide.shared import stored
 
 BUCKET_ROWS = 20_000
+#: Sources that a table of targets may name; such tables are broadcast.
+MOST_TARGETS = 100_000
 FAN_IN = 32
 
 
@@ -113,6 +115,8 @@ class Mixture:
         # sources are named in a table of targets; the driver holds one row for each
         self.held = sized.groupBy("source").agg(F.sum("tokens").alias("held"), F.count("*").alias("texts"))
         want = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
+        if want.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+            raise ValueError(f"targets name more than {MOST_TARGETS} sources")
         plan = {r.source: r for r in want.join(self.held, "source", "left").collect()}
         share = {s: max(0.0, r.share or 0.0) for s, r in plan.items()}
         held = {s: int(r.held or 0) for s, r in plan.items()}
@@ -121,7 +125,7 @@ class Mixture:
         give = amounts(held, share, most, total)
         rate = {s: (give[s] / held[s] if held[s] else 0.0) for s in plan}
         self.targets = spark.createDataFrame([(s, share[s], most[s], float(rate[s]), float(give[s])) for s in plan], "source string, target_share double, max_repeats int, rate double, aim double")
-        rows = sized.join(F.broadcast(self.targets), "source")  # one row per source of the targets
+        rows = sized.join(F.broadcast(self.targets), "source")  # one row per source of the targets, at most MOST_TARGETS
         buckets = self.held.select("source", F.ceil(F.col("texts") / BUCKET_ROWS).alias("buckets")).join(F.broadcast(self.targets.select("source")), "source", "left_semi")
         whole, real = F.floor(F.col("rate") + 1e-9), F.col("tokens") > 0
         first = rows.join(F.broadcast(buckets), "source").select(

@@ -30,14 +30,12 @@ from pyspark.sql import functions as F
 #: The stops that count as places to cut, besides white space.
 STOPS = ".,;:!?。，、；：！？"
 SENTENCE = ".!?。！？"
-_UNBROKEN = {}
+_UNBROKEN = re.compile(rf"[^\s{re.escape(STOPS)}]+")
 
 
 def longest_unbroken(text: str, limit: int) -> bool:
     """Whether a stretch longer than ``limit`` has neither white space nor a stop."""
-    if limit not in _UNBROKEN:
-        _UNBROKEN[limit] = re.compile(rf"[^\s{re.escape(STOPS)}]{{{limit + 1}}}")
-    return _UNBROKEN[limit].search(text) is not None
+    return any(m.end() - m.start() > limit for m in _UNBROKEN.finditer(text))
 
 
 _BREAKS = re.compile(rf"\n\s*\n\s*|[\r\n]+\s*|[{re.escape(SENTENCE)}]+[\"'”’»)\]]*\s*|[{re.escape(STOPS)}]\s*|\s+")

@@ -4,10 +4,13 @@
    streams by, only the first N distinct items of each group are kept, which
    loses nothing, since an item among the best N of the whole is among the best
    N of the run that holds its best row.
-2. Runs are stored by bucket of the group key, so a hot group arrives at its
-   bucket as at most (runs x N) rows, however many rows it has.
-3. One task a bucket merges its runs with a tree of losers: N outputs for a
-   group, then every run seeks its next group.
+2. Runs are stored by bucket of the group key, in order of group, run and score, so a
+   hot group arrives at its bucket as at most (runs x N) rows, however many rows it
+   has. Buckets are as many as the runs, or as the session's shuffle partitions if
+   those are more.
+3. One task a bucket merges as the rows stream by: the runs of a group are merged with
+   a tree of losers up to N outputs, then the cursor seeks the next group, past what is
+   left of this one. A task holds one batch and the group that crosses its end.
 
 Semantics, nulls included
 * Rows whose group, item or score is null, or whose score is NaN, count for nothing.
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,47 +103,56 @@ class LoserTree:
         self.tree[0] = winner
 
 
-def merge_runs(groups: list, scores: list, items: list, most: list, starts: list[int], ends: list[int]) -> list[tuple]:
-    """Multiway merge of runs sorted by (group, score, item).
-
-    ``starts``/``ends`` delimit the runs in the four lists. Gives
-    (group, item, score, rank) in order of group and rank.
-    """
-    directory: dict = {}
-    keys = np.asarray(groups)
-    for run, (lo, hi) in enumerate(zip(starts, ends)):  # where every group of the run begins: the seek's index
-        cut = np.flatnonzero(keys[lo + 1 : hi] != keys[lo : hi - 1]) + lo + 1
-        edges = [lo, *cut.tolist(), hi]
-        for first, after in zip(edges, edges[1:]):
-            directory.setdefault(groups[first], []).append((run, first, after))
-    out = []
-    for group in sorted(directory):
-        spans = directory[group]
-        n = most[spans[0][1]]
-        if n <= 0:
-            continue
-        if len(spans) == 1:  # one run: it is in order already
-            _, at, end = spans[0]
-            seen: set = set()
-            while at < end and len(seen) < n:
-                if items[at] not in seen:
-                    seen.add(items[at])
-                    out.append((group, items[at], scores[at], len(seen)))
-                at += 1
-            continue
-        cursor = [first for _, first, _ in spans]
-        tree = LoserTree([(scores[at], items[at]) for at in cursor])
-        seen = set()
-        while len(seen) < n and tree.keys[tree.winner] is not None:
-            run = tree.winner
-            score, item = tree.keys[run]
-            if item not in seen:
-                seen.add(item)
-                out.append((group, item, score, len(seen)))
-            cursor[run] += 1
-            at = cursor[run]
-            tree.replace((scores[at], items[at]) if at < spans[run][2] else None)
-    return out  # the next group is reached by the directory: a seek, no scan
+def merge_group(scores: list, items: list, n: int, spans: list[tuple[int, int]]) -> list[tuple]:
+    """(item, score, rank) of the first ``n`` distinct items of one group's runs, each a
+    span of the lists sorted by (score, item)."""
+    out: list[tuple] = []
+    seen: set = set()
+    cursor = [at for at, _ in spans]
+    tree = LoserTree([(scores[at], items[at]) for at in cursor])
+    while len(seen) < n and tree.keys[tree.winner] is not None:
+        run = tree.winner
+        score, item = tree.keys[run]
+        if item not in seen:
+            seen.add(item)
+            out.append((item, score, len(seen)))
+        cursor[run] += 1
+        at = cursor[run]
+        tree.replace((scores[at], items[at]) if at < spans[run][1] else None)
+    return out
+
+
+def _edges(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before."""
+    if len(column) < 2:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1
+
+
+def merge_sorted(batch: pa.RecordBatch) -> tuple[list, list, list, list]:
+    """Groups, items, scores and ranks of whole groups, rows in order of (g, r, s, i)."""
+    groups, items, scores, ranks = [], [], [], []
+    starts = np.concatenate([[0], _edges(batch.column("g"))])
+    runs = np.union1d(starts, _edges(batch.column("r")))
+    ends = np.append(runs[1:], batch.num_rows)
+    cut = np.append(np.searchsorted(runs, starts), len(runs))
+    most, names = batch.column("n").take(pa.array(starts)).to_pylist(), batch.column("g").take(pa.array(starts)).to_pylist()
+    for k, (group, n) in enumerate(zip(names, most)):
+        lo, hi = cut[k], cut[k + 1]
+        first, last = int(runs[lo]), int(ends[hi - 1])
+        if hi - lo == 1:  # one run: in order, and distinct since its truncation
+            last = min(last, first + n)
+            some = batch.slice(first, last - first)
+            got = list(zip(some.column("i").to_pylist(), some.column("s").to_pylist(), range(1, last - first + 1)))
+        else:
+            some = batch.slice(first, last - first)
+            got = merge_group(some.column("s").to_pylist(), some.column("i").to_pylist(), n, [(int(a) - first, int(b) - first) for a, b in zip(runs[lo:hi], ends[lo:hi])])
+        groups += [group] * len(got)
+        for item, score, rank in got:
+            items.append(item)
+            scores.append(score)
+            ranks.append(rank)
+    return groups, items, scores, ranks
 
 
 def top_n_per_group(
@@ -154,12 +167,13 @@ def top_n_per_group(
 ) -> DataFrame:
     """The ``n`` best items of each group: columns group, item, score, ``rank``.
 
-    ``buckets`` is the number of merge tasks; it defaults to the session's
-    shuffle partitions. See the module's text for nulls, ties and repeated rows.
+    ``buckets`` is the number of merge tasks; by default that of the input's partitions,
+    at least the session's shuffle partitions. See the module's text for nulls, ties and
+    repeated rows.
     """
     spark = df.sparkSession
     kinds = dict(df.dtypes)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     n = n if isinstance(n, Column) else F.lit(n)
     value = F.col(score).cast("double") + F.lit(0.0)  # -0.0 becomes 0.0
     rows = df.select(
@@ -170,42 +184,33 @@ def top_n_per_group(
     ).where("g is not null and i is not null and s is not null and not isnan(s) and n > 0")
     run_schema = rows.schema
     runs = rows.sortWithinPartitions("g", "s", "i").mapInArrow(_truncate_run, run_schema)
-    tagged = runs.select(F.pmod(F.hash("g"), F.lit(buckets)).alias("b"), F.spark_partition_id().alias("r"), "g", "s", "i", "n")
-    bucketed = tagged.repartition(buckets, "b").sortWithinPartitions("b", "r", "g", "s", "i")
+    tagged = runs.select("g", F.spark_partition_id().alias("r"), "s", "i", "n")
+    bucketed = tagged.repartition(buckets, "g").sortWithinPartitions("g", "r", "s", "i")
     out_schema = f"g {kinds[group]}, i {kinds[item]}, s double, rank int"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-
-        def flush() -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(held)
-            run = table.column("r").to_numpy()
-            cut = np.flatnonzero(np.diff(run)) + 1
-            starts, ends = [0, *cut.tolist()], [*cut.tolist(), len(run)]
-            rows = merge_runs(*(table.column(c).to_pylist() for c in ("g", "s", "i", "n")), starts, ends)
-            if not rows:
-                return None
-            g, i, s, rank = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(g, table.schema.field("g").type), pa.array(i, table.schema.field("i").type), pa.array(s, pa.float64()), pa.array(rank, pa.int32())],
-                names=["g", "i", "s", "rank"],
-            )
+        held: list[pa.RecordBatch] = []  # of the group that is not over yet
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.concat_batches(parts)
+            g, i, s, rank = merge_sorted(whole)
+            return pa.RecordBatch.from_arrays([pa.array(g, whole.column("g").type), pa.array(i, whole.column("i").type), pa.array(s, pa.float64()), pa.array(rank, pa.int32())], names=["g", "i", "s", "rank"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
-            for lo, hi in zip(edges, edges[1:]):
-                if current is not None and b[lo] != current and held:
-                    if (done := flush()) is not None:
-                        yield done
-                    held.clear()
-                current = b[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held and (done := flush()) is not None:
-            yield done
+            if held and held[-1].column("g")[-1] != batch.column("g")[0]:
+                yield done(held)
+                held = []
+            edges = _edges(batch.column("g"))
+            if len(edges):
+                last = int(edges[-1])
+                yield done([*held, batch.slice(0, last)])
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield done(held)
 
     best = bucketed.mapInArrow(merge, out_schema)
     back = F.col("s") if ascending else -F.col("s") + F.lit(0.0)

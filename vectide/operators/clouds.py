@@ -52,6 +52,23 @@ def variance_of(points: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
 
 
+def fid_scale(queries: DataFrame, docs: DataFrame, dim: int, spread: str = "variance") -> float:
+    """Mean squared distance of the means by that of the variances (or standard deviations)
+    over every pair of a query and a document, 1 where the latter is 0. Both means come
+    from sums over either side alone; no pair is made."""
+
+    def moments(side: DataFrame) -> list:
+        m, v = mean_of(F.col("points"), dim), variance_of(F.col("points"), dim)
+        rows = side.where("size(points) > 0").select(m.alias("m"), (F.transform(v, F.sqrt) if spread == "std" else v).alias("v"))
+        return rows.select([F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in "mv" for i in range(dim)] + [F.avg(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias(f"{c}_all") for c in "mv"]).first()
+
+    a, b = moments(queries), moments(docs)
+    if a["m_all"] is None or b["m_all"] is None:
+        return 1.0
+    apart = [a[f"{c}_all"] + b[f"{c}_all"] - 2 * sum(a[f"{c}{i}"] * b[f"{c}{i}"] for i in range(dim)) for c in "mv"]
+    return apart[0] / (apart[1] or 1.0)
+
+
 def arrow_clouds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Points of all clouds of an Arrow column as one matrix, and where each begins."""
     sizes = np.diff(column.offsets.to_numpy())

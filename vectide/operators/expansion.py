@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectide.functions.vectors import SubspaceSpec
 from vectide.operators import retrieval, scan, solvers
-from vectide.operators.graph import centre_graph
+from vectide.operators.kernels import METRICS, cloud_matrix
 from vectide.operators.linalg import projection_matrix
 
 
@@ -63,42 +67,163 @@ def ad_rank_blocks(f: dict, blocks: int = 8) -> np.ndarray:
     return _weighted([_flow(f["q"][b], docs[:, b], 3, 0.3, 0.15, 50, 1e-3) for b in cuts], [float(f["q"][b] @ f["q"][b]) for b in cuts])
 
 
-def diagnose(c: np.ndarray) -> str:
-    """``smooth``, ``clustered`` or ``peaked`` by spread and the largest gap of the scores."""
-    if len(c) < 3 or c.max() - c.min() < 1e-6:
-        return "smooth"
-    s = np.sort(c)[::-1]
-    gap = np.abs(np.diff(s)).max() / (s[0] - s[-1])
-    return "peaked" if gap > 0.5 else "clustered" if gap > 0.25 else "smooth"
-
-
-def shape_v5(f: dict, k: int = 3, alpha: float = 0.15, gamma: float = 0.5, theta: str = "dynamic", steps: int = 30, mix: float = 0.7, eps: float = 1e-3) -> np.ndarray:
-    """Start field of largest and mean point similarity, scores under their Otsu threshold
-    damped, then normalised smoothing with a two-state reaction whose threshold is
-    fixed (0.5), the mean (``dynamic``) or its moving average (``ema``)."""
-    w, _ = centre_graph(f, k)
-    sims = [_unit(p) @ _unit(f["q"]) for p in f["points"]]
-    c = np.clip([mix * s.max() + (1 - mix) * s.mean() for s in sims], 0, 1)
-    if diagnose(c) != "smooth":
-        c = np.where(c < solvers.otsu(c), 0.9 * c, c)
-    degree = w.sum(axis=1)
-    safe = np.where(degree > 0, degree, 1.0)
-    level = c.mean() if len(c) else 0.0
-    for _ in range(steps):
-        level = 0.5 if theta == "fixed" else c.mean() if theta == "dynamic" else 0.9 * level + 0.1 * c.mean()
-        pull = np.where(degree > 0, (w @ c - degree * c) / safe, 0.0)
-        new = np.clip(c + alpha * (pull + gamma * c * (1 - c) * (c - level)), 0, 1)
-        moved = np.abs(new - c).max() if len(c) else 0.0
+def diagnose(c: np.ndarray, theta: float) -> str:
+    """How the scores part at ``theta``: ``C-type`` if the gap is over 0.02 and over 0.3 of
+    the wider side's spread, ``A-type`` if it is over 0.1, else ``smooth``."""
+    above, below = c[c >= theta], c[c < theta]
+    gap = (above.min() if len(above) else theta) - (below.max() if len(below) else theta)
+    wide = max(np.ptp(above) if len(above) else 0.0, np.ptp(below) if len(below) else 0.0)
+    return "C-type" if gap > 0.02 and gap > 0.3 * wide else "A-type" if gap > 0.1 else "smooth"
+
+
+def diagnosis(scores: DataFrame, theta: str = "theta", group: str = "query_id", score: str = "score") -> DataFrame:
+    """``group, above, below, gap, type``: ``diagnose`` of every group as aggregates."""
+    up = F.col(score) >= F.col(theta)
+    low = F.min(F.when(up, F.col(score)))
+    ends = scores.groupBy(group).agg(
+        F.first(theta).alias("theta"), F.count(F.when(up, 1)).alias("above"), F.count(F.when(~up, 1)).alias("below"), low.alias("a0"), F.max(F.when(up, F.col(score))).alias("a1"),
+        F.min(F.when(~up, F.col(score))).alias("b0"), F.max(F.when(~up, F.col(score))).alias("b1"),
+    )
+    gap = F.coalesce("a0", "theta") - F.coalesce("b1", "theta")
+    wide = F.greatest(F.coalesce(F.col("a1") - F.col("a0"), F.lit(0.0)), F.coalesce(F.col("b1") - F.col("b0"), F.lit(0.0)))
+    kind = F.when((gap > 0.02) & (gap > 0.3 * wide), "C-type").when(gap > 0.1, "A-type").otherwise("smooth")
+    return ends.select(group, "above", "below", gap.alias("gap"), kind.alias("type"))
+
+
+@dataclass(frozen=True)
+class Flow:
+    """Settings of ``shape_flow``. ``start``: ``chamfer`` or ``max_sim``; ``cutoff``: edges
+    shorter than this carry nothing, ``auto`` for the fifth percentile; ``theta``: the
+    reaction's threshold, ``fixed`` at the start field's mean, ``dynamic`` (the mean now)
+    or ``ema``; ``adaptive``: diffusion, strength, steps and gamma by the query's cloud."""
+
+    start: str = "chamfer"
+    cutoff: float | str | None = None
+    reaction: bool = False
+    theta: str = "fixed"
+    adaptive: bool = False
+    diffusion: float = 0.15
+    strength: float = 0.1
+    gamma: float = 0.5
+    most: int = 80
+    eps: float = 5e-3
+    neighbours: int = 3
+    dt: float = 0.05
+    metric: str = "plain_chamfer"
+    ema: float = 0.1
+
+
+_ALL = {"start": "max_sim", "cutoff": "auto", "reaction": True}
+#: The named settings.
+PRESETS = {
+    "maxsim": Flow(start="max_sim"),
+    "cutoff": Flow(start="max_sim", cutoff="auto"),
+    "allen-cahn": Flow(**_ALL),
+    "adaptive": Flow(**_ALL, adaptive=True),
+    "full": Flow(**_ALL, adaptive=True, theta="ema"),
+    "reaction-only": Flow(reaction=True),
+    "cutoff-only": Flow(cutoff="auto"),
+    "maxsim-reaction": Flow(start="max_sim", reaction=True),
+}
+#: Of the ensemble: diffusion, strength, gamma.
+ENSEMBLE = ((0.2, 0.05, 0.2), (0.15, 0.1, 0.5), (0.1, 0.15, 0.8))
+
+
+@dataclass
+class Solved:
+    """A settled field with what is known of the flow."""
+
+    c: np.ndarray
+    topology: list[str]
+    iterations: int
+    converged: bool
+    reynolds: float
+    peclet: float
+    damkohler: float
+    kind: str
+
+
+def _adapted(o: Flow, cloud: np.ndarray) -> Flow:
+    spread = np.max(1 - _unit(cloud) @ _unit(cloud).T) if len(cloud) > 1 else 0.0
+    if len(cloud) >= 3 or spread > 0.4:
+        return replace(o, diffusion=0.1, strength=0.15, most=100, gamma=0.8 if o.reaction else o.gamma)
+    if len(cloud) <= 1 and spread < 0.15:
+        return replace(o, diffusion=0.2, strength=0.05, most=40, gamma=0.2 if o.reaction else o.gamma)
+    return o
+
+
+def shape_flow(f: dict, o: Flow = Flow()) -> Solved:
+    """Field of the query's cloud on the candidates' graph: diffusion, flow along the
+    query's centroid and, if asked, a two-state reaction, within [0, 1]."""
+    cloud = f["qp"] if "qp" in f else f["q"][None, :]
+    if o.adaptive:
+        o = _adapted(o, cloud)
+    spec = SubspaceSpec(1, cloud.shape[1])
+    flat, starts = np.concatenate(f["points"]), np.cumsum([0, *[len(p) for p in f["points"][:-1]]])
+    w = solvers.knn_weights(cloud_matrix(f["points"], spec, o.metric), o.neighbours)
+    c = np.exp(-2 * METRICS["max_sim_distance" if o.start == "max_sim" else "plain_chamfer"](cloud, flat, starts, spec))
+    centres = np.stack([p.mean(axis=0) for p in f["points"]])
+    u = solvers.advection_field(cloud.mean(axis=0), centres, w, o.strength)
+    edges = np.triu((w > 0) | (w.T > 0), 1)
+    if o.cutoff is not None and edges.any():
+        gap = ((centres[None, :, :] - centres[:, None, :]) ** 2).sum(axis=2)
+        if o.cutoff == "auto":
+            lengths = np.sort(gap[edges & (gap > 0)])
+            least = lengths[int(len(lengths) * 0.05)] if len(lengths) else 0.0
+        else:
+            least = float(o.cutoff) ** 2
+        u = np.where(gap < least, 0.0, u)
+    links = int((w > 0).sum(axis=1).max()) if len(c) else 0
+    dt = min(o.dt, 0.8 / links) if links else o.dt
+    out, into, degree = (np.maximum(u, 0) * w).sum(axis=1), np.maximum(u.T, 0) * w, w.sum(axis=1)
+    level, converged, step = float(c.mean()), False, 0
+    carried = spread_ = 0.0
+    for step in range(1, o.most + 1):
+        if o.reaction and step > 1:
+            level = {"fixed": level, "dynamic": c.mean(), "ema": o.ema * c.mean() + (1 - o.ema) * level}[o.theta]
+        diffusion, advection = o.diffusion * (w @ c - degree * c), into @ c - out * c
+        reaction = o.gamma * c * (1 - c) * (c - level) if o.reaction else 0.0
+        carried, spread_ = float(np.abs(advection).sum()), float(np.abs(diffusion).sum())
+        new = np.clip(c + dt * (diffusion + advection + reaction), 0, 1)
+        moved = np.abs(new - c).max()
         c = new
-        if moved < eps:
+        if moved < o.eps:
+            converged = True
             break
-    return c
+    turning = (u * w) @ c
+    rate = np.abs(o.diffusion * (w @ c - degree * c) + into @ c - out * c)
+    topology = np.where(turning < -0.01, "convergence", np.where(turning > 0.01, "divergence", np.where(rate < 10 * o.eps, "stagnation", "flow"))).tolist()
+    speed = float(np.abs(u[edges]).mean()) if edges.any() else 0.0
+    ratio = lambda a, b: a / b if b > 1e-12 else 0.0
+    return Solved(c, topology, step, converged, ratio(carried, spread_), ratio(speed, o.diffusion), ratio(o.gamma, o.diffusion), diagnose(c, level))
+
+
+def shape_v5(f: dict, preset: str = "allen-cahn") -> np.ndarray:
+    return shape_flow(f, PRESETS[preset]).c
+
+
+def shape_v5_ensemble(f: dict, preset: str = "allen-cahn") -> np.ndarray:
+    """Of three settings that settle the field with the widest scores; the preset's own if none does."""
+    runs = [shape_flow(f, replace(PRESETS[preset], diffusion=d, strength=s, gamma=g)) for d, s, g in ENSEMBLE]
+    settled = [r.c for r in runs if r.converged]
+    return max(settled, key=solvers.spread_of) if settled else shape_v5(f, preset)
+
+
+def shape_report(cands: DataFrame, preset: str = "full") -> DataFrame:
+    """``query_id, doc_id, score, topology`` and the query's ``iterations, converged,
+    reynolds, peclet, damkohler, kind``; ``cands`` as for ``graph.solve_by_query`` with qp."""
+    kind = dict(cands.dtypes)["doc_id"]
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        f = {"points": [np.asarray(p, float) for p in table.column("points").to_pylist()], "qp": np.asarray(table.column("qp")[0].as_py(), float)}
+        s = shape_flow(f, PRESETS[preset])
+        n = table.num_rows
+        each = {"iterations": pa.array([s.iterations] * n, pa.int32()), **{k: [getattr(s, k)] * n for k in ("converged", "reynolds", "peclet", "damkohler", "kind")}}
+        return pa.table({"query_id": table.column("query_id"), "doc_id": table.column("doc_id"), "score": s.c, "topology": s.topology, **each})
 
-def shape_v5_ensemble(f: dict) -> np.ndarray:
-    """Of three parameter sets the field with the widest scores."""
-    fields = [shape_v5(f, alpha=a, gamma=g, theta=t) for a, g, t in ((0.05, 0.3, "dynamic"), (0.15, 0.5, "dynamic"), (0.15, 0.5, "ema"))]
-    return max(fields, key=solvers.spread_of)
+    schema = f"query_id bigint, doc_id {kind}, score double, topology string, iterations int, converged boolean, reynolds double, peclet double, damkohler double, kind string"
+    return cands.select("query_id", "doc_id", "points", "qp").groupBy("query_id").applyInArrow(run, schema)
 
 
 # -- growing pools ---------------------------------------------------------------------

@@ -65,7 +65,8 @@ def pair_distances(cands: DataFrame, spec: SubspaceSpec, kernel: Kernel = PLAIN)
 
 def solve_by_query(cands: DataFrame, solve: Callable[[dict], np.ndarray], extra: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, doc_id, score``: ``solve`` gets one query's candidates, ordered by
-    document: ids, c0, points (list of matrices), q (vector) and the ``extra`` columns.
+    document: ids, c0, points (list of matrices), q (vector), qp (the query's cloud, where
+    ``cands`` has it) and the ``extra`` columns.
 
     ``cands`` has (query_id, doc_id, c0, points, q). A group of more than
     ``MOST_NODES`` candidates raises; nulls in c0 count as 0.
@@ -83,16 +84,35 @@ def solve_by_query(cands: DataFrame, solve: Callable[[dict], np.ndarray], extra:
             "c0": np.array([x or 0.0 for x in table.column("c0").to_pylist()], dtype=float),
             "points": [np.asarray(p, dtype=np.float64) for p in table.column("points").to_pylist()],
             "q": np.asarray(table.column("q")[0].as_py(), dtype=np.float64),
+            **({"qp": np.asarray(table.column("qp")[0].as_py(), dtype=np.float64)} if "qp" in table.column_names else {}),
             **{e: np.array(table.column(e).to_pylist(), dtype=float) for e in extra},
         }
         score = solve(frame)
         return pa.table({"query_id": table.column("query_id"), "doc_id": table.column("doc_id"), "score": pa.array(np.asarray(score, dtype=float))})
 
-    return cands.select("query_id", "doc_id", "c0", "points", "q", *extra).groupBy("query_id").applyInArrow(run, f"query_id bigint, doc_id {kind}, score double")
-
-
-def graph_of(frame: dict, spec: SubspaceSpec, k: int = 3) -> np.ndarray:
-    return solvers.knn_weights(cloud_matrix(frame["points"], spec), k)
+    cloud = ["qp"] if "qp" in cands.columns else []
+    return cands.select("query_id", "doc_id", "c0", "points", "q", *cloud, *extra).groupBy("query_id").applyInArrow(run, f"query_id bigint, doc_id {kind}, score double")
+
+
+def graph_of(frame: dict, spec: SubspaceSpec, k: int = 3, metric: str = "subspace_first") -> np.ndarray:
+    """The k nearest candidates by a set distance: subspace-first, ``plain_chamfer``, ``symmetric_max_sim_distance``, ``unaligned``."""
+    return solvers.knn_weights(cloud_matrix(frame["points"], spec, metric), k)
+
+
+def max_sim_graph(frame: dict, k: int = 10) -> np.ndarray:
+    """Late-interaction graph: weight is the mean of both directions' sums of largest
+    products, kept for the k largest of each node and mirrored."""
+    sims = cloud_matrix(frame["points"], None, "max_sim")
+    n = len(sims)
+    w = np.zeros((n, n))
+    if n > 1 and k > 0:
+        order = sims.copy()
+        np.fill_diagonal(order, -np.inf)
+        near = np.argsort(-order, axis=1, kind="stable")[:, : min(k, n - 1)]
+        rows = np.arange(n)[:, None]
+        w[rows, near] = sims[rows, near]
+        w = np.where(w != 0, w, w.T)
+    return w
 
 
 def centre_graph(frame: dict, k: int, beta: float = 2.0) -> tuple[np.ndarray, np.ndarray]:

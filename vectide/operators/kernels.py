@@ -168,24 +168,35 @@ def density_chamfer(q, p, starts, spec, kernel=PLAIN, near: int = 3, weight_quer
     return (there + back).mean(axis=0)
 
 
+def _by_subspace(q, p, starts, spec, kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the query's first vector, parts x points its distances, and parts x documents
+    the least and the mean of them."""
+    d = sub_distances(q[:1], p, spec, kernel)[:, 0, :]
+    return d, np.minimum.reduceat(d, starts, axis=1), np.add.reduceat(d, starts, axis=1) / _sizes(starts, d.shape[1])
+
+
 def softmax_dual(q, p, starts, spec, kernel=PLAIN, temperature: float = 0.1):
-    """Query sub-vectors' nearest distances over all subspaces, weighted by a softmax of closeness."""
-    d = sub_distances(q.reshape(-1, spec.width), p.reshape(-1, spec.width), SubspaceSpec(1, spec.width), kernel)[0]
-    least = np.minimum.reduceat(d, starts * spec.parts, axis=1)
-    w = np.exp(-(least - least.min(axis=0)) / temperature)
-    return (w * least).sum(axis=0) / w.sum(axis=0)
+    """Subspaces count by the softmax of their best similarity: the weighted sum of nearest plus mean distance."""
+    _, least, mean = _by_subspace(q, p, starts, spec, kernel)
+    best = 1 - least
+    w = np.exp((best - best.max(axis=0)) / temperature)
+    return (w * (least + mean)).sum(axis=0) / w.sum(axis=0)
 
 
 def hierarchical_dual(q, p, starts, spec, kernel=PLAIN, near: int = 8, share: float = 0.7):
-    """0.7 aligned + 0.3 cross-subspace: per query point the root of its least
-    subspace distance times the mean over its ``near`` nearest subspaces."""
-    aligned = subspace_first(q, p, starts, spec, kernel)
-    out = np.empty(len(starts))
-    for k, x in enumerate(np.split(p, starts[1:])):
-        each = sub_distances(q, x, spec, kernel).min(axis=2)  # parts x query points
-        nearest = np.sort(each, axis=0)[: min(near, spec.parts)].mean(axis=0)
-        out[k] = np.sqrt(np.maximum(each.min(axis=0), 0) * np.maximum(nearest, 0)).mean()
-    return share * aligned + (1 - share) * out
+    """``share`` of the aligned distance of the query's first vector, the rest of its
+    agreement between subspaces: each subspace is the point of its distances to the
+    document's points, and the root of its least distance times the mean least distance
+    of the ``near`` subspaces nearest to it (L2, ties: smaller number) is averaged."""
+    d, least, mean = _by_subspace(q, p, starts, spec, kernel)
+    aligned, other = (least + mean).mean(axis=0), np.zeros(len(starts))
+    near = min(near, spec.parts - 1)
+    for k, x in enumerate(np.split(d, starts[1:], axis=1) if near else []):
+        apart = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(apart, np.inf)
+        around = least[np.argsort(apart, axis=1, kind="stable")[:, :near], k].mean(axis=1)
+        other[k] = np.sqrt(np.maximum(least[:, k] * around, 0)).mean()
+    return share * aligned + (1 - share) * other
 
 
 def _moments(p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +206,22 @@ def _moments(p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mean, np.add.reduceat(spread, starts, axis=0) / n
 
 
-def diagonal_fid(q, p, starts, spec, kernel=None, weight: float = 0.5):
-    """Squared distance of the means plus ``weight`` times that of the standard deviations."""
+def diagonal_fid(q, p, starts, spec, kernel=None, weight: float = 0.5, spread: str = "variance", scale: float = 1.0):
+    """Squared distance of the means plus ``weight * scale`` times that of the variances,
+    or with ``spread="std"`` of the standard deviations. ``scale`` brings both terms to one
+    size: see ``clouds.fid_scale``."""
     mean, var = _moments(p, starts)
-    return ((mean - q.mean(axis=0)) ** 2).sum(axis=1) + weight * ((np.sqrt(var) - np.sqrt(q.var(axis=0))) ** 2).sum(axis=1)
+    out = ((mean - q.mean(axis=0)) ** 2).sum(axis=1)
+    if weight:
+        mine = q.var(axis=0)
+        apart = np.sqrt(var) - np.sqrt(mine) if spread == "std" else var - mine
+        out = out + weight * scale * (apart**2).sum(axis=1)
+    return out
 
 
-def diagonal_fid_document(q, p, starts, spec, kernel=None, weight: float = 0.5):
-    """The same with the document's variances alone."""
-    mean, var = _moments(p, starts)
-    return ((mean - q.mean(axis=0)) ** 2).sum(axis=1) + weight * var.sum(axis=1)
+def diagonal_fid_document(q, p, starts, spec, kernel=None, weight: float = 0.5, scale: float = 1.0):
+    """The variant named after the document's spread: squared difference of the two standard deviations."""
+    return diagonal_fid(q, p, starts, spec, kernel, weight, "std", scale)
 
 
 def _point_cosines(q, p):
@@ -245,11 +262,11 @@ METRICS: dict[str, Callable] = {
 SIMILARITIES = {"max_sim", "max_point_cosine", "shape_boost", "mixed_field"}
 
 
-def cloud_matrix(points: list[np.ndarray], spec: SubspaceSpec, kernel: Kernel = PLAIN) -> np.ndarray:
-    """Symmetric matrix of subspace-first distances of a query's candidates."""
+def cloud_matrix(points: list[np.ndarray], spec: SubspaceSpec, metric: str = "subspace_first", **options) -> np.ndarray:
+    """Symmetric matrix of the distances (or similarities) of a query's candidates among each other."""
     flat = np.concatenate(points)
     starts = np.cumsum([0, *[len(x) for x in points[:-1]]])
-    out = np.stack([subspace_first(x, flat, starts, spec, kernel) for x in points])
+    out = np.stack([METRICS[metric](x, flat, starts, spec, **options) for x in points])
     out = (out + out.T) / 2
     np.fill_diagonal(out, 0.0)
     return out

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.plans import learning, lexical, rankings, retrievals, vectors
+from vectide.plans import learning, lexical, rankings, retrievals, solving, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (vectors, retrievals, rankings, lexical, learning):
+for _module in (vectors, retrievals, solving, rankings, lexical, learning):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 

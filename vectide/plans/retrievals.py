@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from vectide.operators import expansion, fusion, graph, metrics, retrieval, scan, solvers
+from vectide.operators import expansion, fusion, graph, metrics, retrieval, scan
 from vectide.operators.clouds import centroids, nested
 from vectide.plans import base
 from vectide.plans.base import BOOK, PTS, SPEC, SUB, chamfer_sql, top_sql
@@ -110,12 +110,12 @@ def _steps(alpha: float, steps: int) -> str:
 
 
 _add("shape_laplacian", lambda c, *_: retrieval.shape_laplacian(c, K, N, 0.15, 5), "with " + GRAPH + _steps(0.15, 5) + top_sql("c", "c5", K, asc=False, out="c"))
-_add("shape_advection", lambda c, *_: retrieval.shape_advection(c, K, N))
-_add("shape_allen_cahn", lambda c, *_: retrieval.shape_allen_cahn(c, K, N))
-_add("token_gradient", lambda c, *_: retrieval.token_gradient(c, K, N))
-_add("token_advection", lambda c, *_: retrieval.token_advection(c, K, N))
+
+
+
+
 _add("token_advection_sampled", lambda c, *_: retrieval.token_advection(c, K, N, sample=3))
-_add("token_advection_weak", lambda c, *_: retrieval.token_advection(c, K, N, diffusion=0.01, alpha=0.01))
+
 _add("helmholtz_kalman", lambda c, *_: retrieval.helmholtz_kalman(c, K, N))
 
 
@@ -165,38 +165,6 @@ ORACLES |= {
 }
 
 
-def _solver(name: str, solve) -> None:
-    def run(spark, folder):
-        c, rows = _cands(spark, folder)
-        rows = rows.join(retrieval._field(c, rows.select("query_id", "doc_id")), ["query_id", "doc_id"])
-        return _out(retrieval._ranked(graph.solve_by_query(rows, solve), K))
-
-    QUERIES[name] = run
-
-
-def _unnormalised(f):
-    return solvers.unnormalised(f["c0"], graph.centre_graph(f, 3)[0])
-
-
-def _directed(f):
-    import numpy as np
-
-    w = graph.centre_graph(f, 3)[0]
-    keep = np.zeros_like(w, dtype=bool)
-    near = np.argsort(-w, axis=1, kind="stable")[:, :3]
-    keep[np.arange(len(w))[:, None], near] = True
-    return solvers.directed(f["c0"], np.where(keep, w, 0.0))
-
-
-_solver("smooth_unnormalised", _unnormalised)
-_solver("smooth_directed", _directed)
-_solver("smooth_convex", lambda f: solvers.convex_mix(f["c0"], graph.centre_graph(f, 10)[0]))
-_solver("reaction_diffusion", lambda f: solvers.reaction_diffusion(f["c0"], graph.centre_graph(f, 3)[0], f["c0"]))
-_solver("ad_rank", expansion.ad_rank)
-_solver("ad_rank_projections", expansion.ad_rank_projected)
-_solver("ad_rank_blocks", expansion.ad_rank_blocks)
-_solver("shape_v5", expansion.shape_v5)
-_solver("shape_v5_ensemble", expansion.shape_v5_ensemble)
 _add("stefan_expansion", lambda c, *_: expansion.stefan(c, K, first=15, budget=30))
 _add("adjoint_prefetch", lambda c, *_: expansion.adjoint_prefetch(c, K, first=15, total=25))
 _add("multigrid", lambda c, *_: expansion.multigrid(c, K, N))

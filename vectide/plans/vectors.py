@@ -165,6 +165,8 @@ _CENTRE = """, cs as (select doc_id, s, c[8*s+1:8*s+8] as v, sqrt(list_dot_produ
     from sn a join cs b on a.s = b.s where a.doc_id % 20 = 0)"""
 CENTROID_SCAN = _CENTRE + ", cham as (select query_id, doc_id, avg(x) as value from (select query_id, doc_id, s, avg(dist) + min(dist) as x from cd group by all) group by all)"
 QUERY_CLOUD = ", cham as (select query_id, doc_id, avg(x) as value from (select query_id, doc_id, s, min(dist) + avg(dist) as x from psd where qi = 0 group by all) group by all)"
+#: Of the query's first vector: least and mean distance in each subspace.
+BY_SUBSPACE = ", sd as (select query_id, doc_id, s, min(dist) as lo, avg(dist) as mean from psd where qi = 0 group by all)"
 SCANS = {
     "chamfer_pair_first": ("pair_first", SUB + chamfer_sql("cdist", subspace_first=False)),
     "chamfer_scan_kernel": ("scan_pair_first", SUB + chamfer_sql("sdist", subspace_first=False)),
@@ -181,11 +183,12 @@ SCANS = {
     "probe_far_points": ("max_point_cosine", SUB + FAR + """, rs as (select doc_id, s, rv[8*s+1:8*s+8] as v from rep, range(0, 8) t(s)),
       cham as (select query_id, doc_id, max(x) as value from (select a.doc_id as query_id, a.point_idx, b.doc_id, avg(1 - case when a.n * sqrt(list_dot_product(b.v, b.v)) < 1e-16 then 1.0 else 1.0 - list_dot_product(a.v, b.v) / (a.n * sqrt(list_dot_product(b.v, b.v)) + 1e-8) end) as x
       from sn a join rs b on a.s = b.s where a.doc_id % 20 = 0 group by all) group by all)"""),
-    "chamfer_softmax_dual": ("softmax_dual", SUB + _UNALIGNED + """, lm as (select query_id, doc_id, qi, min(dist) as m from una group by all), wm as (select *, exp(-(m - min(m) over (partition by query_id, doc_id)) / 0.1) as w from lm),
-      cham as (select query_id, doc_id, sum(w * m) / sum(w) as value from wm group by all)"""),
-    "chamfer_hierarchical": ("hierarchical_dual", SUB + chamfer_sql().replace("cham as", "aligned as") + """, least_s as (select query_id, doc_id, qi, s, min(dist) as m from psd group by all),
-      hi as (select query_id, doc_id, avg(sqrt(greatest(lo, 0.0) * greatest(me, 0.0))) as h from (select query_id, doc_id, qi, min(m) as lo, avg(m) as me from least_s group by all) group by all),
-      cham as (select query_id, doc_id, 0.7 * value + 0.3 * h as value from aligned join hi using (query_id, doc_id))"""),
+    "chamfer_softmax_dual": ("softmax_dual", SUB + BY_SUBSPACE + """, wm as (select *, exp((1 - lo - max(1 - lo) over (partition by query_id, doc_id)) / 0.1) as w from sd),
+      cham as (select query_id, doc_id, sum(w * (lo + mean)) / sum(w) as value from wm group by all)"""),
+    "chamfer_hierarchical": ("hierarchical_dual", SUB + BY_SUBSPACE + """, gap as (select a.query_id, a.doc_id, a.s, b.s as t, sum((a.dist - b.dist) * (a.dist - b.dist)) as g from psd a join psd b on a.query_id = b.query_id and a.doc_id = b.doc_id and a.di = b.di and a.qi = 0 and b.qi = 0 and a.s <> b.s group by all),
+      near as (select query_id, doc_id, s, t from (select *, row_number() over (partition by query_id, doc_id, s order by g, t) as r from gap) where r <= 8),
+      ar as (select n.query_id, n.doc_id, n.s, avg(sd.lo) as around from near n join sd on sd.query_id = n.query_id and sd.doc_id = n.doc_id and sd.s = n.t group by all),
+      cham as (select query_id, doc_id, 0.7 * avg(lo + mean) + 0.3 * avg(sqrt(greatest(lo * around, 0.0))) as value from sd join ar using (query_id, doc_id, s) group by all)"""),
     "chamfer_sampled": ("sampled_chamfer", SUB.replace("where a.doc_id % 20 = 0)", "where a.doc_id % 20 = 0 and a.point_idx in (0, 1, 3) and b.point_idx in (0, 1, 3))") + chamfer_sql()),
 }
 for _name, (_metric, _sql) in SCANS.items():
@@ -213,10 +216,23 @@ _FID = """with {pts}, mv as (select doc_id, list(m order by i) as m, list(v orde
   cham as (select a.doc_id as query_id, b.doc_id, list_sum(list_transform(range(1, 65), lambda i: (a.m[i] - b.m[i]) * (a.m[i] - b.m[i]) + 0.5 * {term})) as value from mv a, mv b where a.doc_id % 20 = 0)"""
 
 
-QUERIES["fid"] = _scan("diagonal_fid")
-ORACLES["fid"] = _FID.format(pts=PTS, term="(sqrt(a.v[i]) - sqrt(b.v[i])) * (sqrt(a.v[i]) - sqrt(b.v[i]))") + top_sql("value", "cham", K)
+_STD = "(sqrt(a.v[i]) - sqrt(b.v[i])) * (sqrt(a.v[i]) - sqrt(b.v[i]))"
+QUERIES["fid"] = _scan("diagonal_fid", spread="std")
+ORACLES["fid"] = _FID.format(pts=PTS, term=_STD) + top_sql("value", "cham", K)
 QUERIES["fid_doc_only"] = _scan("diagonal_fid_document")
-ORACLES["fid_doc_only"] = _FID.format(pts=PTS, term="b.v[i]") + top_sql("value", "cham", K)
+ORACLES["fid_doc_only"] = _FID.format(pts=PTS, term=_STD) + top_sql("value", "cham", K)
+
+
+@query(
+    "fid_variance",
+    _FID.split("cham as")[0].format(pts=PTS) + """pr as (select a.doc_id as query_id, b.doc_id, list_sum(list_transform(range(1, 65), lambda i: (a.m[i] - b.m[i]) * (a.m[i] - b.m[i]))) as mu, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) as va from mv a, mv b where a.doc_id % 20 = 0),
+  cham as (select query_id, doc_id, mu + 1.0 * (select avg(mu) / avg(va) from pr) * va as value from pr)""" + top_sql("value", "cham", K),
+)
+def fid_variance(spark, folder):
+    """Means and variances at one size: the scale is that of all pairs of a query and a document."""
+    c = base.corpus(spark, folder)
+    hits = scan.scan(c.queries, c.docs, "diagonal_fid", SPEC, K, weight=1.0, scale=clouds.fid_scale(c.queries, c.docs, SPEC.dim))
+    return hits.select("query_id", "doc_id", _r(F.col("value"), "score"), "rank")
 
 
 @query(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,38 +56,115 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", F.col("x.len").alias("len"), F.explode("x.t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+#: Different terms that one pass over the documents asks for, and queries it scores.
+TERM_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def asked_documents(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """``doc_id, len, kept``: the document's length in terms and those of its terms that are
+    ``wanted``, as often as they stand there. Nothing is shuffled."""
+    both = F.transform(F.array(terms(F.col("text"))), lambda t: F.struct(F.greatest(F.size(t), F.lit(0)).cast("bigint").alias("len"), F.filter(t, lambda x: x.isin(wanted)).alias("kept")))
+    return docs.select("doc_id", F.element_at(both, 1).alias("x")).select("doc_id", F.coalesce("x.len", F.lit(0)).cast("bigint").alias("len"), F.coalesce("x.kept", F.array()).alias("kept"))
+
+
+def _query_blocks(asked: DataFrame) -> Iterator[dict[int, dict[str, int]]]:
+    """Queries with their terms and how often each is given, in blocks of bounded size."""
+    block: dict[int, dict[str, int]] = {}
+    seen: set[str] = set()
+    rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("t")).orderBy("query_id")
+    for row in rows.toLocalIterator():
+        mine = {t.term: int(t.times) for t in row.t}
+        if block and (len(seen | mine.keys()) > TERM_BLOCK or len(block) >= QUERY_BLOCK):
+            yield block
+            block, seen = {}, set()
+        block[row.query_id] = mine
+        seen |= mine.keys()
+    if block:
+        yield block
+
+
+def _score_block(kept: DataFrame, ids: list[int], wanted: list[str], weights: np.ndarray, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
+    """The k best documents of each query of a block; ``weights`` are terms x queries, idf
+    and number of times in one. A task keeps k rows a query."""
+    place, kind = {t: i for i, t in enumerate(wanted)}, dict(kept.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
+        for batch in batches:
+            docs, lens = np.asarray(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = np.fromiter((place[t] for t in lists.flatten().to_pylist()), np.int64)
+            row = np.repeat(np.arange(len(docs)), sizes)
+            for at in range(0, len(docs), 512):
+                inside = (row >= at) & (row < at + 512)
+                n = min(512, len(docs) - at)
+                tf = np.bincount((row[inside] - at) * len(wanted) + flat[inside], minlength=n * len(wanted)).reshape(n, -1).astype(float)
+                norm = k1 * (1 - b + b * lens[at : at + n] / avgdl)
+                scores = (tf * (k1 + 1) / (tf + norm[:, None])) @ weights
+                least = np.array([s[-1] - 2e-9 if len(s) == k else 0.0 for s, _ in best])
+                for j in np.flatnonzero((scores > least).any(axis=0)):
+                    hit = np.flatnonzero(scores[:, j] > least[j])
+                    s, i = np.concatenate([best[j][0], scores[hit, j]]), np.concatenate([best[j][1], docs[at + hit]])
+                    order = np.lexsort((i, -np.round(s, 9)))[:k]
+                    best[j] = s[order], i[order]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.asarray(ids, np.int64), [len(s) for s, _ in best])),
+                pa.array(np.concatenate([i for _, i in best]).tolist(), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]),
+                pa.array(np.concatenate([s for s, _ in best])),
+            ],
+            names=["query_id", "doc_id", "score"],
+        )
+
+    return kept.where(F.size("kept") > 0).mapInArrow(run, f"query_id bigint, doc_id {kind}, score double")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, pool: DataFrame | None = None, distinct_terms: bool = True) -> DataFrame:
     """``query_id, doc_id, score, rank``. idf = ln((N - df + .5) / (df + .5) + 1).
 
-    Without ``pool`` N, df and the mean length are those of all documents; with it
-    (``query_id, doc_id`` candidates) those of each query's pool, and a query term
-    counts as often as it is given unless ``distinct_terms``. Documents without a
-    query term have no row; null and empty texts are documents of length 0. The
-    query side is joined by term, so only postings of asked terms are shuffled on.
+    Without ``pool`` N, df and the mean length are those of all documents: queries go in
+    blocks of bounded size, the documents' terms are filtered by the block's in the scan
+    and scored where they lie, and a task sends on k rows a query. With ``pool``
+    (``query_id, doc_id`` candidates) the statistics are those of each query's pool, and a
+    query term counts as often as it is given unless ``distinct_terms``. Documents without
+    a query term have no row; null and empty texts are documents of length 0.
     """
+    from vectide.shared import spread, stored
+
     asked = queries.select("query_id", F.explode(query_terms(F.col("text")) if distinct_terms else terms(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    from vectide.shared import stored
-
-    tf = stored(term_counts(docs), "term-counts")  # texts are cut into terms once
-    lengths = tf.groupBy("doc_id").agg(F.first("len").alias("len"))
-    norm = lambda: F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    if pool is None:
-        stats = tf.agg(F.sum("tf").alias("total")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))  # one row each
-        wanted = asked.select("term").distinct()
-        postings = tf.join(wanted, "term", "left_semi")
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        rows = postings.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # one row
-    else:
+    asked = asked.where("query_id is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    if pool is not None:
+        tf = term_counts(docs.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))
         cand = pool.select("query_id", "doc_id").distinct()
+        lengths = tf.groupBy("doc_id").agg(F.first("len").alias("len"))
         stats = cand.join(lengths, "doc_id", "left").groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avgdl"))
         postings = cand.join(tf, "doc_id").join(asked, ["query_id", "term"])
         df = postings.groupBy("query_id", "term").agg(F.count("*").alias("df"))
         rows = postings.join(df, ["query_id", "term"]).join(stats, "query_id")
-    scores = rows.groupBy("query_id", "doc_id").agg(F.sum(idf * norm() * F.col("times")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+        scores = rows.groupBy("query_id", "doc_id").agg(F.sum(idf * norm * F.col("times")).alias("score"))
+        return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    parts, docs = None, spread(docs.select("doc_id", "text"))
+    for block in _query_blocks(asked):
+        ids, wanted = list(block), sorted({t for terms_ in block.values() for t in terms_})
+        kept = stored(asked_documents(docs, wanted), "asked-terms")
+        n, total = kept.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        counts = kept.select(F.explode(F.array_distinct("kept")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = {r.term: r.df for r in counts.toLocalIterator()}  # at most TERM_BLOCK rows
+        place = {t: i for i, t in enumerate(wanted)}
+        weights = np.zeros((len(wanted), len(ids)))
+        for j, q in enumerate(ids):
+            for t, times in block[q].items():
+                f = df.get(t, 0)
+                weights[place[t], j] = times * np.log((n - f + 0.5) / (f + 0.5) + 1)
+        one = _score_block(kept, ids, wanted, weights, total / n if total else 1.0, k, k1, b)
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return docs.select(F.lit(0).cast("bigint").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank")).where("false")
+    return parts.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
 def parse_listwise(answer: Column, n: Column | int) -> Column:

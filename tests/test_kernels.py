@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vectide.functions.vectors import CLAMPED, LOOKUP, PLAIN, SCAN, SubspaceSpec
-from vectide.operators import adaptive, kernels, linalg, quantize, solvers
+from vectide.operators import adaptive, expansion, kernels, linalg, quantize, solvers
 
 SPEC = SubspaceSpec(4, 3)
 
@@ -179,7 +179,43 @@ def test_projection_and_spectrum():
 def test_bits_add_up():
     for total in (8, 16, 30, 48):
         bits = quantize.allocate_bits([1.0, 4.0, 0.25, 0.0], total)
-        assert sum(bits) == min(max(total, 4), 48) and bits[1] >= bits[0] >= bits[2]
+        assert sum(bits) == min(max(total, 16), 48) and bits[1] >= bits[0] >= bits[2]
+    assert quantize.allocate_bits([1.0, 1.0, 1.0], 24) == [8, 8, 8]
+    assert quantize.allocate_bits([4.0, 1.0], 16) == [10, 6]  # 8 + 1.5 log2(v / 2.5): 9.02 and 6.02, one short
+    assert quantize.allocate_bits([4.0, 1.0], 16, inverse=True) == [6, 10]
+
+
+def test_otsu_and_diagnosis():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x = rng.random(int(rng.integers(2, 30)))
+        s, best = np.sort(x), (-1, 0)
+        for t in range(1, len(s)):
+            v = t / len(s) * (1 - t / len(s)) * (s[:t].mean() - s[t:].mean()) ** 2
+            best = max(best, (v, -t))
+        t = -best[1]
+        assert solvers.otsu(x) == pytest.approx((s[t - 1] + s[t]) / 2)
+    assert solvers.otsu(np.zeros(0)) == 0.5 and solvers.otsu(np.array([0.3])) == 0.3
+    c = np.array([0.9, 0.88, 0.2, 0.15])
+    assert expansion.diagnose(c, 0.5) == "C-type"
+    assert expansion.diagnose(np.array([1.0, 0.4, 0.29, -0.2]), 0.35) == "A-type"
+    assert expansion.diagnose(np.linspace(0, 1, 30), 0.5) == "smooth"
+
+
+def test_shape_flow_settings():
+    rng = np.random.default_rng(3)
+    f = {"points": [rng.normal(size=(int(rng.integers(1, 5)), 16)) for _ in range(12)], "qp": rng.normal(size=(3, 16))}
+    seen = set()
+    for name, o in expansion.PRESETS.items():
+        r = expansion.shape_flow(f, o)
+        assert r.c.shape == (12,) and ((r.c >= 0) & (r.c <= 1)).all() and len(r.topology) == 12, name
+        seen |= set(r.topology)
+    assert seen <= {"convergence", "divergence", "stagnation", "flow"}
+    assert expansion._adapted(expansion.Flow(adaptive=True, reaction=True), f["qp"]).most == 100
+    assert expansion._adapted(expansion.Flow(adaptive=True, reaction=True), f["qp"][:1]).most == 40
+    assert expansion.shape_v5_ensemble(f).shape == (12,)
+    one = {"points": f["points"][:1], "qp": f["qp"]}
+    assert expansion.shape_flow(one, expansion.PRESETS["full"]).c.shape == (1,)
 
 
 def test_linucb_inverse_is_exact():

@@ -8,17 +8,18 @@ A candidate without a cloud sends its whole query back to the coarse order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec, similarity_of_distance
 from vectide.operators import fusion, graph, quantize, solvers
-from vectide.operators.clouds import long_form
-from vectide.operators.kernels import METRICS, sub_distances
+from vectide.operators.clouds import arrow_clouds, long_form
+from vectide.operators.kernels import METRICS, far_points, sub_distances
 from vectide.functions.vectors import PLAIN
 from vectide.operators.scan import pair_values, scan, top_k
 
@@ -72,47 +73,82 @@ def two_stage(c: Corpus, n: int, k: int, metric: str = "subspace_first", **optio
     return rerank(c, coarse(c, n), k, metric, **options)
 
 
-def reconstructed_two_stage(c: Corpus, book: DataFrame, n: int, k: int) -> DataFrame:
-    """Second stage on documents rebuilt from their codes."""
-    cands = coarse(c, n)
-    points = long_form(c.tokens.join(cands.select("doc_id").distinct(), "doc_id", "left_semi"))
-    rebuilt = quantize.reconstruct(quantize.encode(points, book, c.spec), book)
-    from vectide.operators.clouds import nested
+@dataclass
+class Prepared:
+    """What a corpus is prepared with, once, as tables: every document's centroid and
+    far-point mean (each a cloud of one point), its codes and its posting counts."""
+
+    centroids: DataFrame
+    far: DataFrame
+    codes: DataFrame
+    counts: DataFrame
+    book: DataFrame
+
+
+def prepare(c: Corpus, book: DataFrame, far: int = 3) -> Prepared:
+    """Writes the derived tables of a corpus; the lookup, inverted and probe pipelines read
+    them and touch no document vector in their first stages."""
+    from vectide.shared import stored
+
+    kind = dict(c.tokens.dtypes)["doc_id"]
 
-    return rerank(Corpus(nested(rebuilt), c.queries, c.spec), cands, k)
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, starts = arrow_clouds(batch.column(1))
+                parts = np.split(p, starts[1:])
+                made = ([x.mean(axis=0)[None] for x in parts], [far_points(x, far)[None] for x in parts])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m.tolist() for m in side], pa.list_(pa.list_(pa.float64()))) for side in made)], names=["doc_id", "centroid", "far"])
+
+    rows = c.tokens.where("size(points) > 0").select("doc_id", "points")
+    ends = stored(rows.mapInArrow(points, f"doc_id {kind}, centroid array<array<double>>, far array<array<double>>"), "prepared-points")
+    codes = stored(quantize.encode_clouds(rows, book, c.spec), "prepared-codes")
+    counts = stored(quantize.posting_counts(codes), "prepared-counts")
+    one = lambda name: ends.select("doc_id", F.col(name).alias("points"))
+    return Prepared(one("centroid"), one("far"), codes, counts, book)
+
+
+def prepared_coarse(c: Corpus, made: Prepared, n: int) -> DataFrame:
+    """``coarse`` on the stored centroids."""
+    return scan(c.queries, made.centroids, "cloud_to_centroid", c.spec, n)
+
+
+def reconstructed_two_stage(c: Corpus, book: DataFrame, n: int, k: int, made: Prepared | None = None) -> DataFrame:
+    """Second stage on documents rebuilt from their codes."""
+    made = made or prepare(c, book)
+    cands = prepared_coarse(c, made, n)
+    rebuilt = quantize.rebuilt_clouds(made.codes.join(cands.select("doc_id").distinct(), "doc_id", "left_semi"), book, c.spec)
+    return rerank(Corpus(rebuilt, c.queries, c.spec), cands, k)
 
 
 def _query_points(c: Corpus) -> DataFrame:
     return long_form(c.queries.withColumnRenamed("query_id", "doc_id"))
 
 
-def lookup_two_stage(c: Corpus, book: DataFrame, n: int, k: int) -> DataFrame:
+def lookup_two_stage(c: Corpus, book: DataFrame, n: int, k: int, made: Prepared | None = None) -> DataFrame:
     """Second stage from the lookup table and codes of the candidates."""
-    cands = coarse(c, n)
-    points = long_form(c.tokens.join(cands.select("doc_id").distinct(), "doc_id", "left_semi"))
-    codes = quantize.encode(points, book, c.spec)
-    table = quantize.lookup_table(_query_points(c), book, c.spec)
-    rows = codes.join(cands.select("query_id", "doc_id"), "doc_id").join(table, ["query_id", "subspace", "code"])
-    values = quantize._two_sided(rows.select("query_id", "doc_id", F.col("subspace").alias("s"), "qi", F.col("point_idx").alias("di"), "d"))
+    made = made or prepare(c, book)
+    values = quantize.lookup_values(prepared_coarse(c, made, n), c.queries, made.codes, book, c.spec)
     return _ranked(values.withColumn("score", similarity_of_distance(F.col("value"))), k)
 
 
-def inverted_candidates(c: Corpus, book: DataFrame, n: int, probes: int = 1) -> DataFrame:
-    posted = quantize.postings(long_form(c.tokens), book, c.spec)
-    hits = quantize.posting_hits(_query_points(c), posted, book, c.spec, probes)
+def inverted_candidates(c: Corpus, book: DataFrame, n: int, probes: int = 1, made: Prepared | None = None) -> DataFrame:
+    made = made or prepare(c, book)
+    hits = quantize.hits_of_counts(_query_points(c), made.counts, book, c.spec, probes)
     return top_k(hits.withColumn("value", F.col("hits").cast("double")), n, "value", ascending=False)
 
 
-def inverted_two_stage(c: Corpus, book: DataFrame, n: int, k: int, probes: int = 1) -> DataFrame:
-    return rerank(c, inverted_candidates(c, book, n, probes), k)
+def inverted_two_stage(c: Corpus, book: DataFrame, n: int, k: int, probes: int = 1, made: Prepared | None = None) -> DataFrame:
+    return rerank(c, inverted_candidates(c, book, n, probes, made), k)
 
 
 # -- several probes --------------------------------------------------------------
-def probes(c: Corpus, book: DataFrame, n: int, n_probe: int = 1) -> DataFrame:
+def probes(c: Corpus, book: DataFrame, n: int, n_probe: int = 1, made: Prepared | None = None) -> DataFrame:
     """``query_id, probe, doc_id, score`` of the centroid, far-point and inverted probes."""
-    centre = coarse(c, n).select("query_id", F.lit("centroid").alias("probe"), "doc_id", (1 - F.col("value")).alias("score"))
-    far = scan(c.queries, c.tokens, "max_point_cosine", c.spec, n).select("query_id", F.lit("max_token").alias("probe"), "doc_id", F.col("value").alias("score"))
-    inv = inverted_candidates(c, book, n, n_probe)
+    made = made or prepare(c, book)
+    centre = prepared_coarse(c, made, n).select("query_id", F.lit("centroid").alias("probe"), "doc_id", (1 - F.col("value")).alias("score"))
+    far = scan(c.queries, made.far, "max_point_cosine", c.spec, n).select("query_id", F.lit("max_token").alias("probe"), "doc_id", F.col("value").alias("score"))
+    inv = inverted_candidates(c, book, n, n_probe, made)
     size = F.count("*").over(Window.partitionBy("query_id"))
     inv = inv.select("query_id", F.lit("inverted").alias("probe"), "doc_id", ((size - (F.col("rank") - 1)) / size).alias("score"))
     return centre.unionByName(far).unionByName(inv)
@@ -125,14 +161,14 @@ MERGES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def multi_probe(c: Corpus, book: DataFrame, per_probe: int, merged: int, strategy: str = "rrf", n_probe: int = 1) -> DataFrame:
+def multi_probe(c: Corpus, book: DataFrame, per_probe: int, merged: int, strategy: str = "rrf", n_probe: int = 1, made: Prepared | None = None) -> DataFrame:
     if strategy not in MERGES:
         raise ValueError(f"strategy is one of {sorted(MERGES)}")
-    return _ranked(MERGES[strategy](probes(c, book, per_probe, n_probe)), merged)
+    return _ranked(MERGES[strategy](probes(c, book, per_probe, n_probe, made)), merged)
 
 
-def multi_probe_two_stage(c: Corpus, book: DataFrame, per_probe: int, merged: int, k: int, strategy: str = "rrf") -> DataFrame:
-    return rerank(c, multi_probe(c, book, per_probe, merged, strategy), k)
+def multi_probe_two_stage(c: Corpus, book: DataFrame, per_probe: int, merged: int, k: int, strategy: str = "rrf", made: Prepared | None = None) -> DataFrame:
+    return rerank(c, multi_probe(c, book, per_probe, merged, strategy, made=made), k)
 
 
 # -- graph pipelines -------------------------------------------------------------
@@ -213,7 +249,6 @@ def helmholtz_kalman(c: Corpus, k: int, n: int, beta: float = 1.0) -> DataFrame:
     rows = fetch(c, cands, cands)
     spec = c.spec
     kind = dict(rows.dtypes)["doc_id"]
-    import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -242,13 +277,14 @@ def cascade(queries: DataFrame, indices: dict[str, DataFrame], refs: DataFrame |
     that cite a found statute (``refs``: case_id, statute_id) get their score times
     ``boost`` among the first 2k, and are cut to k."""
     out = []
-    dim = 1
+    first = queries.where("size(points) > 0").select(F.size(F.get("points", F.lit(0))).alias("n")).first()
+    dim = first.n if first else 1
 
     def search(name: str, k: int) -> DataFrame | None:
         docs = indices.get(name)
         if docs is None or k <= 0:
             return None
-        hits = scan(queries, docs, "centroid_cosine", SubspaceSpec(dim, dim), k)
+        hits = scan(queries, docs, "centroid_cosine", SubspaceSpec(1, dim), k)
         return hits.select("query_id", "doc_id", (1 - F.col("value")).alias("score"))
 
     statutes = search("statute", sizes.get("statute", 0))

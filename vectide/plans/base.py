@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec
 from vectide.operators.clouds import nested
-from vectide.operators.retrieval import Corpus
+from vectide.operators.retrieval import Corpus, Prepared, prepare
 
 SPEC = SubspaceSpec(8, 8)
 POINTS_PER_CLOUD = 5
@@ -42,6 +42,19 @@ def codebook(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("centroid", F.posexplode(sub_vectors(F.col("vec"), SPEC)).alias("subspace", "vec"))
 
 
+_PREPARED: dict[tuple[str, str], tuple[Corpus, Prepared]] = {}
+
+
+def prepared(spark: SparkSession, folder: str) -> tuple[Corpus, Prepared]:
+    """The corpus of a folder and what it is prepared with: written at the first call of a
+    session, read by all later ones, as an index is."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PREPARED:
+        c = corpus(spark, folder)
+        _PREPARED[key] = c, prepare(c, codebook(spark, folder))
+    return _PREPARED[key]
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """Judgements: clouds whose first points carry the same label."""
     e = table(spark, folder, "embeddings").where(F.col("vec_id") % POINTS_PER_CLOUD == 0).select(F.floor(F.col("vec_id") / POINTS_PER_CLOUD).cast("bigint").alias("doc_id"), "label")

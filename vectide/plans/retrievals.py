@@ -20,6 +20,16 @@ def _out(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "doc_id", (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 
+def _prepared(name: str, f, sql: str) -> None:
+    """A pipeline on the prepared tables of the folder."""
+
+    def run(spark, folder):
+        c, made = base.prepared(spark, folder)
+        return _out(f(c, made))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
 def _add(name: str, f, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, folder: _out(f(base.corpus(spark, folder), spark, folder))
     if sql:
@@ -40,16 +50,16 @@ COARSE = CENTROID_SCAN.replace("cham as", "cen as") + ", cand as (select query_i
 STAGED = SUB + COARSE.format(n=N) + chamfer_sql() + ", kept as (select cham.* from cham join cand using (query_id, doc_id))"
 _add("two_stage", lambda c, *_: retrieval.two_stage(c, N, K), "with " + STAGED + top_sql("value", "kept", K, out="exp(-2 * value)"))
 _add("two_stage_density", lambda c, *_: retrieval.two_stage(c, N, K, "density_chamfer", near=3, weight_query=True))
-_add("two_stage_reconstructed", lambda c, s, f: retrieval.reconstructed_two_stage(c, base.codebook(s, f), N, K),
+_prepared("two_stage_reconstructed", lambda c, m: retrieval.reconstructed_two_stage(c, m.book, N, K, m),
      "with " + SUB + COARSE.format(n=N) + BOOK + """, rec as (select a.doc_id as query_id, a.point_idx as qi, e.doc_id, e.point_idx as di, a.s,
        case when a.n * b.cn < 1e-16 then 1.0 else 1 - list_dot_product(a.v, b.cv) / (a.n * b.cn + 1e-8) end as dist
        from sn a join enc e on a.s = e.subspace join book b on b.subspace = e.subspace and b.centroid = e.code where a.doc_id % 20 = 0)"""
      + chamfer_sql("dist", "rec") + ", kept as (select cham.* from cham join cand using (query_id, doc_id))" + top_sql("value", "kept", K, out="exp(-2 * value)"))
-_add("two_stage_lookup", lambda c, s, f: retrieval.lookup_two_stage(c, base.codebook(s, f), N, K),
+_prepared("two_stage_lookup", lambda c, m: retrieval.lookup_two_stage(c, m.book, N, K, m),
      "with " + SUB + COARSE.format(n=N) + BOOK + ADC + chamfer_sql("dist", "adc") + ", kept as (select cham.* from cham join cand using (query_id, doc_id))" + top_sql("value", "kept", K, out="exp(-2 * value)"))
 INVERTED = BOOK + NEAR_PROBE + ", inv as (select query_id, doc_id, hits, row_number() over (partition by query_id order by hits desc, doc_id) as r from hits)"
 for _p, _name in ((1, "two_stage_inverted_fast"), (2, "two_stage_inverted")):
-    _add(_name, lambda c, s, f, p=_p: retrieval.inverted_two_stage(c, base.codebook(s, f), N, K, p),
+    _prepared(_name, lambda c, m, p=_p: retrieval.inverted_two_stage(c, m.book, N, K, p, m),
          "with " + SUB + INVERTED.format(probes=_p) + chamfer_sql() + f", kept as (select cham.* from cham join inv using (query_id, doc_id) where r <= {N})" + top_sql("value", "kept", K, out="exp(-2 * value)"))
 
 PROBES = (
@@ -64,25 +74,25 @@ PROBES = (
   pn as (select *, case when hi - lo < 1e-8 then 0.5 else (score - lo) / (hi - lo) end as ns from pr)"""
 )
 for _strategy, _agg in (("rrf", "sum(1 / (60.0 + r0))"), ("max", "max(ns)"), ("hit", "count(*) * max(ns)")):
-    _add(f"multi_probe_{_strategy}", lambda c, s, f, m=_strategy: retrieval.multi_probe(c, base.codebook(s, f), N, K, m), "with " + PROBES + f", mg as (select query_id, doc_id, {_agg} as value from pn group by all)" + top_sql("value", "mg", K, asc=False))
-_add("multi_probe_two_stage", lambda c, s, f: retrieval.multi_probe_two_stage(c, base.codebook(s, f), N, N, K),
+    _prepared(f"multi_probe_{_strategy}", lambda c, m, how=_strategy: retrieval.multi_probe(c, m.book, N, K, how, made=m), "with " + PROBES + f", mg as (select query_id, doc_id, {_agg} as value from pn group by all)" + top_sql("value", "mg", K, asc=False))
+_prepared("multi_probe_two_stage", lambda c, m: retrieval.multi_probe_two_stage(c, m.book, N, N, K, made=m),
      "with " + PROBES + f", mg as (select query_id, doc_id, sum(1 / (60.0 + r0)) as value from pn group by all), mt as (select * from (select *, row_number() over (partition by query_id order by value desc, doc_id) as r from mg) where r <= {N})" + chamfer_sql()
      + ", kept as (select cham.* from cham join mt using (query_id, doc_id))" + top_sql("value", "kept", K, out="exp(-2 * value)"))
 
 
 def multi_probe_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Per query the ids of each probe and of the merged list."""
-    c, book = base.corpus(spark, folder), base.codebook(spark, folder)
-    lists = retrieval.probes(c, book, N)
-    merged = retrieval.MERGES["rrf"](lists).withColumn("probe", F.lit("merged"))
-    every = lists.unionByName(scan.top_k(merged, N, "score", False).drop("rank"))
-    return every.groupBy("query_id", "probe").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    """Per query the ids of each probe and of the merged list, best first."""
+    c, made = base.prepared(spark, folder)
+    lists = retrieval.probes(c, made.book, N, made=made)
+    merged = scan.top_k(retrieval.MERGES["rrf"](lists).withColumn("probe", F.lit("merged")), N, "score", False).drop("rank")
+    every = lists.unionByName(merged).groupBy("query_id", "probe").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "doc_id"))).alias("l"))
+    return every.select("query_id", "probe", F.size("l").cast("bigint").alias("n"), F.array_join(F.transform("l", lambda x: x["doc_id"].cast("string")), ",").alias("ids"))
 
 
 QUERIES["multi_probe_recall"] = multi_probe_recall
 ORACLES["multi_probe_recall"] = (
     "with " + PROBES + f", mg as (select query_id, doc_id, sum(1 / (60.0 + r0)) as value from pn group by all), mt as (select * from (select *, row_number() over (partition by query_id order by value desc, doc_id) as r from mg) where r <= {N}),"
-    " al as (select query_id, probe, doc_id from probes union all select query_id, 'merged', doc_id from mt) select query_id, probe, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from al group by all"
+    " al as (select query_id, probe, doc_id, score from probes union all select query_id, 'merged', doc_id, value from mt) select query_id, probe, count(*) as n, string_agg(doc_id::varchar, ',' order by round(score, 9) desc, doc_id) as ids from al group by all"
 )
 
 # -- graph ---------------------------------------------------------------------------

@@ -3,11 +3,11 @@ a damped fixed point, and sequential learners."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = [round(0.1 * i, 1) for i in range(11)]
@@ -55,7 +55,7 @@ def fit_ridge(train: DataFrame, columns: list[str], penalty: float = 1.0):
     return LinearRegression(featuresCol="x", labelCol="target", regParam=penalty, elasticNetParam=0.0, standardization=True).fit(_assembled(train, columns))
 
 
-def fit_trees(train: DataFrame, columns: list[str], trees: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 7, sampled: float = 0.8):
+def fit_trees(train: DataFrame, columns: list[str], trees: int = 200, depth: int = 3, rate: float = 0.05, seed: int = 7, sampled: float = 0.8):
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(featuresCol="x", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=sampled, seed=seed).fit(_assembled(train, columns))
@@ -79,21 +79,56 @@ def leave_one_corpus_out(rows: DataFrame, columns: list[str], corpora: list[str]
     return out
 
 
-def leave_one_feature_out(rows: DataFrame, columns: list[str], fit=fit_ridge) -> dict[str, float]:
-    """Mean squared error without each feature (and with all, under ``-``)."""
-    errors = {}
+def leave_one_feature_out(rows: DataFrame, columns: list[str], fit=fit_ridge, seed: int = 0) -> dict[str, float]:
+    """Mean squared error without each feature (and with all, under ``-``), on the half of
+    the queries (by a hash) that the model was not fitted on."""
+    half = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(2)) == 0
+    train, test, errors = rows.where(half), rows.where(~half), {}
     for left in ["-", *columns]:
         use = [c for c in columns if c != left]
-        got = fit(rows, use).transform(_assembled(rows, use))
+        got = fit(train, use).transform(_assembled(test, use))
         errors[left] = got.agg(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0]
     return errors
 
 
-def hartree(rows: DataFrame, gain: float = 0.5, damping: float = 0.5, rounds: int = 20) -> DataFrame:
-    """Damped Picard iteration lam <- (1 - d) lam + d sigmoid(bias + gain * (2 lam - 1)),
-    unrolled; ``rows`` have (query_id, bias); adds ``lam`` after ``rounds`` rounds."""
-    step = lambda lam, _: (1 - damping) * lam + damping / (1 + F.exp(-(F.col("bias") + gain * (2 * lam - 1))))
-    return rows.withColumn("lam", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.5), step))
+def hartree(rows: DataFrame, first: float, gain: float, tolerance: float = 0.01, most: int = 50, damping: float = 0.5) -> DataFrame:
+    """Self-consistent weight of every query: lam = first + gain * R(lam)^2 within [0, 1],
+    R = (1 - lam) * tok + lam * lap, by damped steps from ``first`` until no query's moves
+    by ``tolerance``.
+
+    ``rows`` have (query_id, tok, lap); adds ``lam`` and ``snapped``, the nearest weight of
+    the grid. The steps are one expression a row; the step at which all have settled comes
+    from one aggregate over them."""
+    return hartree_grid(rows, [(first, gain)], tolerance, most, damping).drop("first", "gain")
+
+
+def hartree_grid(rows: DataFrame, settings: list[tuple[float, float]], tolerance: float = 0.01, most: int = 50, damping: float = 0.5) -> DataFrame:
+    """The same for several (first, gain), which become columns; each stops on its own."""
+    asked = rows.withColumn("g", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("first"), F.lit(float(b)).alias("gain")) for a, b in settings]))).select("*", "g.first", "g.gain").drop("g")
+
+    def step(path: Column, _) -> Column:
+        lam = F.element_at(path, -1)
+        r = (1 - lam) * F.col("tok") + lam * F.col("lap")
+        aim = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("first") + F.col("gain") * r * r))
+        return F.concat(path, F.array((1 - damping) * lam + damping * aim))
+
+    paths = asked.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.col("first")), step))
+    moved = paths.groupBy("first", "gain").agg(*[F.max(F.abs(F.element_at("path", i + 2) - F.element_at("path", i + 1))).alias(f"m{i}") for i in range(most)])
+    stop = F.coalesce(*[F.when(F.col(f"m{i}") < tolerance, F.lit(i + 1)) for i in range(most)], F.lit(most))
+    ends = moved.select("first", "gain", stop.alias("steps"))
+    out = paths.join(F.broadcast(ends), ["first", "gain"])  # one row a setting
+    grid = F.array(*[F.lit(g) for g in GRID])
+    lam = F.element_at("path", F.col("steps") + 1)
+    near = F.transform(grid, lambda g: F.struct(F.abs(g - F.col("lam")).alias("d"), g.alias("g")))
+    return out.withColumn("lam", lam).withColumn("snapped", F.array_min(near)["g"]).drop("path", "steps")
+
+
+def best_hartree(rows: DataFrame, values: DataFrame, firsts: list[float], gains: list[float]) -> DataFrame:
+    """``first, gain, value`` of every setting, best first: the mean over queries of the
+    value (``query_id, lam, value``) at the snapped weight."""
+    solved = hartree_grid(rows, [(a, b) for a in firsts for b in gains]).select("first", "gain", "query_id", F.round("snapped", 1).alias("lam"))
+    scored = solved.join(values.select("query_id", F.round("lam", 1).alias("lam"), "value"), ["query_id", "lam"])
+    return scored.groupBy("first", "gain").agg(F.avg("value").alias("value")).orderBy(F.desc(F.round("value", 9)), "first", "gain")
 
 
 # -- sequential learners: one corpus is one ordered stream --------------------------------
@@ -114,22 +149,38 @@ class LinUCB:
         self.b[arm] += reward * x
 
 
+def _replayed(rows: DataFrame, columns: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
+    """Every corpus' rows in order of ``step`` through a learner: ``step(learner, features,
+    row)`` gives the columns behind corpus and step. Sorted partitions stream by, a task
+    holds a learner and a batch; a corpus, being one ordered stream, is one task's."""
+    names = [c.rsplit(" ", 1)[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, learner = None, None
+        for f in batches:
+            out = []
+            for x, row in zip(f[columns].to_numpy(float), f.itertuples(index=False)):
+                if row.corpus != last:
+                    last, learner = row.corpus, start()
+                out.append((row.corpus, row.step, *step(learner, np.append(x, 1.0), row)))
+            yield pd.DataFrame(out, columns=["corpus", "step", *names])
+
+    ordered = rows.where("corpus is not null and step is not null").repartition("corpus").sortWithinPartitions("corpus", "step")
+    return ordered.mapInPandas(run, f"corpus string, step bigint, {schema}")
+
+
 def linucb_replay(rows: DataFrame, columns: list[str], arms: list[str], alpha: float = 1.0) -> DataFrame:
     """``corpus, step, arm, reward, regret`` of replaying each corpus in order of ``step``;
-    ``arms`` are the columns with each arm's reward. State carries over in order, so a
-    corpus is one task; batches of it stream through and are not held."""
+    ``arms`` are the columns with each arm's reward."""
 
-    def replay(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("step")
-        bandit, out = LinUCB(len(arms), len(columns) + 1, alpha), []
-        for x, r, s in zip(f[columns].to_numpy(float), f[arms].to_numpy(float), f.step):
-            x = np.append(x, 1.0)
-            arm = bandit.choose(x)
-            bandit.update(arm, x, r[arm])
-            out.append((s, arms[arm], r[arm], r.max() - r[arm]))
-        return pd.DataFrame(out, columns=["step", "arm", "reward", "regret"]).assign(corpus=f.corpus.iloc[0])[["corpus", "step", "arm", "reward", "regret"]]
+    def step(bandit: LinUCB, x: np.ndarray, row) -> tuple:
+        r = [float(getattr(row, a)) for a in arms]
+        arm = bandit.choose(x)
+        bandit.update(arm, x, r[arm])
+        return arms[arm], r[arm], max(r) - r[arm]
 
-    return rows.select("corpus", "step", *columns, *arms).groupBy("corpus").applyInPandas(replay, "corpus string, step bigint, arm string, reward double, regret double")
+    kept = rows.select("corpus", "step", *columns, *arms)
+    return _replayed(kept, columns, "arm string, reward double, regret double", lambda: LinUCB(len(arms), len(columns) + 1, alpha), step)
 
 
 class Drift:
@@ -184,14 +235,9 @@ def online_lambda(rows: DataFrame, columns: list[str], rate: float = 0.05) -> Da
     """Stochastic gradient replay: predict ``target`` from the features so far, then learn
     from it; ``corpus, step, prediction, residual``."""
 
-    def replay(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("step")
-        w, out = np.zeros(len(columns) + 1), []
-        for x, y, s in zip(f[columns].to_numpy(float), f.target.to_numpy(float), f.step):
-            x = np.append(x, 1.0)
-            p = float(np.clip(w @ x, 0, 1))
-            out.append((s, p, y - p))
-            w += rate * (y - w @ x) * x / (1 + x @ x)
-        return pd.DataFrame(out, columns=["step", "prediction", "residual"]).assign(corpus=f.corpus.iloc[0])[["corpus", "step", "prediction", "residual"]]
-
-    return rows.select("corpus", "step", "target", *columns).groupBy("corpus").applyInPandas(replay, "corpus string, step bigint, prediction double, residual double")
+    def step(w: np.ndarray, x: np.ndarray, row) -> tuple:
+        y, p = float(row.target), float(np.clip(w @ x, 0, 1))
+        w += rate * (y - w @ x) * x / (1 + x @ x)
+        return p, y - p
+
+    return _replayed(rows.select("corpus", "step", "target", *columns), columns, "prediction double, residual double", lambda: np.zeros(len(columns) + 1), step)

@@ -239,10 +239,11 @@ def _probe(c: retrieval.Corpus, pool: DataFrame, per_query: int, add: int, seen:
         .join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q")), "query_id")
         .select("query_id", "rank", F.zip_with("q", mean_of(F.col("points"), dim), lambda a, b: 0.7 * a + 0.3 * b).alias("v"))
     )
-    # each probe is a query of its own: ids are query_id * 64 + rank
-    asked = moved.select((F.col("query_id") * 64 + F.col("rank")).alias("query_id"), F.array("v").alias("points"))
+    # each probe is a query of its own, ranks are 1 to per_query
+    wide = per_query + 1
+    asked = moved.select((F.col("query_id") * wide + F.col("rank")).alias("query_id"), F.array("v").alias("points"))
     hits = scan.scan(asked, c.docs, "centroid_cosine", c.spec, add + per_query)
-    found = hits.select(F.floor(F.col("query_id") / 64).alias("query_id"), "doc_id", "value").groupBy("query_id", "doc_id").agg(F.min("value").alias("value"))
+    found = hits.select(F.floor(F.col("query_id") / wide).alias("query_id"), "doc_id", "value").groupBy("query_id", "doc_id").agg(F.min("value").alias("value"))
     return scan.top_k(found.join(seen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), add, "value").select("query_id", "doc_id")
 
 
@@ -302,7 +303,8 @@ def multigrid(c: retrieval.Corpus, k: int, n: int, disputed: int = 5, neighbours
     hard = scan.top_k(both, disputed, "value", ascending=False)
     from vectide.operators.clouds import mean_of
 
-    asked = hard.join(c.docs, "doc_id").select((F.col("query_id") * 64 + F.col("rank")).alias("query_id"), F.array(mean_of(F.col("points"), c.spec.dim)).alias("points"))
-    near = scan.scan(asked, c.docs, "centroid_cosine", c.spec, neighbours).select(F.floor(F.col("query_id") / 64).alias("query_id"), "doc_id")
+    wide = disputed + 1
+    asked = hard.join(c.docs, "doc_id").select((F.col("query_id") * wide + F.col("rank")).alias("query_id"), F.array(mean_of(F.col("points"), c.spec.dim)).alias("points"))
+    near = scan.scan(asked, c.docs, "centroid_cosine", c.spec, neighbours).select(F.floor(F.col("query_id") / wide).alias("query_id"), "doc_id")
     pool = token.select("query_id", "doc_id").unionByName(near).distinct()
     return retrieval.rerank(c, pool, k)

@@ -63,6 +63,23 @@ def pair_distances(cands: DataFrame, spec: SubspaceSpec, kernel: Kernel = PLAIN)
     return half.unionByName(half.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "d"))
 
 
+def metric_distances(cands: DataFrame, spec: SubspaceSpec, metric: str) -> DataFrame:
+    """``query_id, src, dst, d`` of all pairs of a query's candidates (query_id, doc_id,
+    points), both directions, by any symmetric set distance; groups as in ``solve_by_query``."""
+    kind = dict(cands.dtypes)["doc_id"]
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows > MOST_NODES:
+            raise ValueError(f"{table.num_rows} candidates for one query; at most {MOST_NODES}")
+        table = table.sort_by("doc_id")
+        ids = table.column("doc_id").combine_chunks()
+        d = cloud_matrix([np.asarray(p, float) for p in table.column("points").to_pylist()], spec, metric)
+        i, j = np.nonzero(~np.eye(len(d), dtype=bool))
+        return pa.table({"query_id": table.column("query_id").take(pa.array(i)), "src": ids.take(pa.array(i)), "dst": ids.take(pa.array(j)), "d": d[i, j]})
+
+    return cands.select("query_id", "doc_id", "points").groupBy("query_id").applyInArrow(run, f"query_id bigint, src {kind}, dst {kind}, d double")
+
+
 def solve_by_query(cands: DataFrame, solve: Callable[[dict], np.ndarray], extra: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, doc_id, score``: ``solve`` gets one query's candidates, ordered by
     document: ids, c0, points (list of matrices), q (vector), qp (the query's cloud, where

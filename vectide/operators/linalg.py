@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def gram(points: DataFrame, vec: str = "vec") -> np.ndarray:
-    """X'X over all rows: each task adds up its own (dim x dim, so bounded); partials are summed here."""
+    """X'X over all rows: each task adds up its own, the partial sums are added in a tree of
+    tasks, and one matrix comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -23,16 +24,33 @@ def gram(points: DataFrame, vec: str = "vec") -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
-    total = None
-    for row in points.select(vec).where(F.col(vec).isNotNull()).mapInArrow(run, "g binary").toLocalIterator():
-        g = np.frombuffer(row.g)
-        total = g if total is None else total + g
-    if total is None:
+    partial = points.select(vec).where(F.col(vec).isNotNull()).mapInArrow(run, "g binary")
+    tasks = partial.rdd.getNumPartitions()
+    while tasks > GRAM_FAN:
+        tasks = -(-tasks // GRAM_FAN)
+        partial = partial.repartition(tasks).mapInArrow(_added, "g binary")
+    found = partial.coalesce(1).mapInArrow(_added, "g binary").collect()  # one row at most
+    if not found:
         return np.zeros((0, 0))
+    total = np.frombuffer(found[0].g)
     dim = int(round(len(total) ** 0.5))
     return total.reshape(dim, dim)
 
 
+#: Partial sums that one task of the tree adds.
+GRAM_FAN = 32
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for g in b.column(0):
+            x = np.frombuffer(g.as_py())
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+
+
 def svd(points: DataFrame, k: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
     """(singular values, right vectors as rows), largest first, at most k and the dimension.
     Signs are fixed: the largest entry of each vector is positive."""
@@ -120,8 +138,8 @@ def projection_matrix(dim: int, out: int, seed: int = 42) -> np.ndarray:
     g = mulberry32(seed)
     draws = np.empty(dim * out)
     for i in range(len(draws)):
-        u, v = max(next(g), 1e-12), next(g)
-        draws[i] = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        u, v = next(g), next(g)
+        draws[i] = np.sqrt(-2 * np.log(u + 1e-10)) * np.cos(2 * np.pi * v)
     return draws.reshape(out, dim) / np.sqrt(out)
 
 
@@ -133,8 +151,7 @@ def random_projection(points: DataFrame, dim: int, out: int = 16, seed: int = 42
     def project(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_list()).astype(float) @ matrix.T
         if unit:
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(n > 0, n, 1)
+            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
         return pd.Series(list(x))
 
     return points.where(F.size("vec") == dim).withColumn("projected", project("vec"))

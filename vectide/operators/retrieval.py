@@ -172,6 +172,25 @@ def multi_probe_two_stage(c: Corpus, book: DataFrame, per_probe: int, merged: in
 
 
 # -- graph pipelines -------------------------------------------------------------
+def known(c: Corpus, pairs: DataFrame) -> DataFrame:
+    """The pairs, if every query and document of them has a cloud; a ``KeyError`` naming one that has none else."""
+    for side, name in ((c.queries, "query_id"), (c.docs, "doc_id")):
+        lost = pairs.select(name).distinct().join(side.where("size(points) > 0").select(name), name, "left_anti").limit(1).collect()
+        if lost:
+            raise KeyError(f"no cloud for {name} {lost[0][0]}")
+    return pairs
+
+
+def query_distances(c: Corpus, pairs: DataFrame) -> DataFrame:
+    """``query_id, doc_id, value`` of listed pairs, by the query's first vector; an unknown id raises."""
+    return pair_values(known(c, pairs), c.queries, c.docs, "query_to_cloud", c.spec)
+
+
+def distance_matrix(c: Corpus, pairs: DataFrame) -> DataFrame:
+    """``query_id, src, dst, d`` among each query's listed documents; an unknown id raises."""
+    return graph.pair_distances(known(c, pairs).select("query_id", "doc_id").distinct().join(c.docs, "doc_id"), c.spec)
+
+
 def fetch(c: Corpus, cands: DataFrame, c0: DataFrame | None = None) -> DataFrame:
     """Candidates with their clouds, the query's vector and the start field."""
     rows = cands.select("query_id", "doc_id").join(c.docs, "doc_id").join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q"), F.col("points").alias("qp")), "query_id")
@@ -213,6 +232,25 @@ def shape_laplacian(c: Corpus, k: int, n: int, alpha: float = 0.02, steps: int =
     return graph_pipeline(c, k, n, lambda f, w: solvers.laplacian(f["c0"], w, alpha, steps))
 
 
+def laplacian_sweep(c: Corpus, n: int, steps: tuple[int, ...], alpha: float = 0.15) -> DataFrame:
+    """``steps, query_id, doc_id, score`` for several numbers of steps: one graph a query, one run."""
+    cands = scan(c.queries, c.docs, "centroid_cosine", c.spec, n)
+    rows = fetch(c, cands, _field(c, cands))
+    spec, kind = c.spec, dict(rows.dtypes)["doc_id"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        w = graph.graph_of({"points": [np.asarray(p, float) for p in table.column("points").to_pylist()]}, spec, 3)
+        field, parts = np.array([x or 0.0 for x in table.column("c0").to_pylist()]), []
+        done = 0
+        for t in sorted(set(steps)):
+            field, done = solvers.laplacian(field, w, alpha, t - done), t
+            parts.append(pa.table({"steps": pa.array([t] * table.num_rows, pa.int32()), "query_id": table.column("query_id"), "doc_id": table.column("doc_id"), "score": field}))
+        return pa.concat_tables(parts)
+
+    return rows.select("query_id", "doc_id", "c0", "points").groupBy("query_id").applyInArrow(run, f"steps int, query_id bigint, doc_id {kind}, score double")
+
+
 def shape_allen_cahn(c: Corpus, k: int, n: int, alpha: float = 0.02, gamma: float = 0.5, steps: int = 30) -> DataFrame:
     return graph_pipeline(c, k, n, lambda f, w: solvers.allen_cahn(f["c0"], w, alpha, gamma, steps))
 

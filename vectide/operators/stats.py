@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bootstrap_means(pairs: DataFrame, replicates: int = 1000, seeds: tuple[int, ...] = (0,)) -> DataFrame:
-    """``seed, replicate, delta``: mean of b - a over n draws with replacement.
-
-    A draw is a hash of (seed, replicate, position), so runs repeat on any cluster.
-    Draws are counted by query first: replicates x n rows of two integers."""
-    n = pairs.count()
-    rows = pairs.withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1) if n < 1_000_000 else _positions(pairs)
-    spark = pairs.sparkSession
-    draws = (
-        spark.range(n)
-        .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("pos", F.pmod(F.xxhash64("seed", "replicate", "id"), F.lit(max(n, 1))))
-        .groupBy("seed", "replicate", "pos")
-        .agg(F.count("*").alias("times"))
-    )
-    return draws.join(rows.select(F.col("pos").cast("bigint").alias("pos"), (F.col("b") - F.col("a")).alias("d")), "pos").groupBy("seed", "replicate").agg((F.sum(F.col("times") * F.col("d")) / n).alias("delta"))
+#: Values that one task draws from.
+PART_ROWS = 100_000
 
 
-def _positions(pairs: DataFrame) -> DataFrame:
-    return pairs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema=pairs.schema.add("pos", "bigint"))
-
+def bootstrap_means(pairs: DataFrame, replicates: int = 10_000, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """``seed, replicate, delta``: mean of b - a over n draws with replacement.
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 1000, seeds: tuple[int, ...] = (0,), rule: str = "shifted") -> DataFrame:
+    Values go to parts of about ``PART_ROWS`` by a hash of ``query_id``, which is unique. How many
+    draws of a replicate fall to each part is drawn first, by every part alike from the
+    seed; then each part draws among its own and sends one sum a replicate. The result
+    depends on the values, seeds and replicates alone, not on the cluster."""
+    rows = pairs.select("query_id", (F.col("b") - F.col("a")).cast("double").alias("d")).where("query_id is not null and d is not null")
+    n = rows.count()
+    parts = max(1, -(-n // PART_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    sizes = [0] * parts
+    for r in rows.groupBy("part").count().toLocalIterator():  # one row a part
+        sizes[r.part] = r["count"]
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by("query_id")
+        d = table.column("d").to_numpy()
+        part, seed = table.column("part")[0].as_py(), table.column("seed")[0].as_py()
+        share = np.random.default_rng([seed, n]).multinomial(n, np.asarray(sizes) / n, size=replicates)[:, part]
+        own = np.random.default_rng([seed, n, part])
+        total = np.empty(replicates)
+        room = max(1, (1 << 21) // max(1, int(share.max())))
+        for at in range(0, replicates, room):
+            k = share[at : at + room]
+            drawn = d[own.integers(0, len(d), int(k.sum()))]
+            ends = np.cumsum(k)
+            sums = np.concatenate([[0.0], np.cumsum(drawn)])
+            total[at : at + room] = sums[ends] - sums[ends - k]
+        return pa.table({"seed": pa.array(np.full(replicates, seed), pa.int64()), "replicate": pa.array(np.arange(replicates), pa.int64()), "total": total})
+
+    asked = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
+    drawn = asked.groupBy("part", "seed").applyInArrow(draw, "seed bigint, replicate bigint, total double")
+    return drawn.groupBy("seed", "replicate").agg((F.sum("total") / F.lit(max(n, 1))).alias("delta"))
+
+
+def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seeds: tuple[int, ...] = (0,), rule: str = "shifted") -> DataFrame:
     """``seed, n, delta, low, high, p, cohen_d``.
 
     ``rule``: ``shifted`` two-sided against the shifted distribution with floor
@@ -69,9 +88,9 @@ def floor_percentile(values: Column, p: float) -> Column:
     return F.when(F.size(kept) > 0, F.get(kept, at)).otherwise(F.lit(0.0))
 
 
-def running(values: DataFrame, order: str, value: str, window: int = 50, key: str | None = None) -> DataFrame:
-    """Adds the mean of the row and the ``window`` rows before it, and the running sum."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
+def running(values: DataFrame, order: str, value: str, window: int = 50, key: str = "key") -> DataFrame:
+    """Adds, along each key, the mean of the row and the ``window`` rows before it, and the running sum."""
+    w = Window.partitionBy(key).orderBy(order)
     return values.withColumn("running_mean", F.avg(value).over(w.rowsBetween(-window, 0))).withColumn("running_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 

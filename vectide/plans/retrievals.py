@@ -11,6 +11,7 @@ from vectide.operators.clouds import centroids, nested
 from vectide.plans import base
 from vectide.plans.base import BOOK, PTS, SPEC, SUB, chamfer_sql, top_sql
 from vectide.plans.vectors import ADC, CENTROID_SCAN, FAR, NEAR_PROBE
+from vectide.plans.vectors import ORACLES as ORACLES_OF_CLOUDS
 
 QUERIES, ORACLES = {}, {}
 K, N = 10, 20
@@ -49,7 +50,13 @@ _add("token_rank", lambda c, *_: retrieval.token_rank(c, K), "with " + SUB + cha
 COARSE = CENTROID_SCAN.replace("cham as", "cen as") + ", cand as (select query_id, doc_id, value as cv from (select *, row_number() over (partition by query_id order by value, doc_id) as r from cen) where r <= {n})"
 STAGED = SUB + COARSE.format(n=N) + chamfer_sql() + ", kept as (select cham.* from cham join cand using (query_id, doc_id))"
 _add("two_stage", lambda c, *_: retrieval.two_stage(c, N, K), "with " + STAGED + top_sql("value", "kept", K, out="exp(-2 * value)"))
-_add("two_stage_density", lambda c, *_: retrieval.two_stage(c, N, K, "density_chamfer", near=3, weight_query=True))
+_add("two_stage_density", lambda c, *_: retrieval.two_stage(c, N, K, "density_chamfer", near=3, weight_query=True),
+     ORACLES_OF_CLOUDS["cloud_density_weights"].split("select doc_id, point_idx, round(")[0]
+     + """, wt as (select doc_id, point_idx as di, (1 / (m + 1e-8)) / sum(1 / (m + 1e-8)) over (partition by doc_id) as w from near),
+    t1 as (select m.query_id, m.doc_id, s, sum(m * w) as x from (select query_id, doc_id, s, qi, min(dist) as m from psd group by all) m join wt on wt.doc_id = m.query_id and wt.di = m.qi group by all),
+    t2 as (select query_id, doc_id, s, sum(m * w) as y from (select query_id, doc_id, s, di, min(dist) as m from psd group by all) join wt using (doc_id, di) group by all),
+    cham as (select query_id, doc_id, avg(x + y) as value from t1 join t2 using (query_id, doc_id, s) group by all)"""
+     + COARSE.format(n=N) + ", kept as (select cham.* from cham join cand using (query_id, doc_id))" + top_sql("value", "kept", K, out="exp(-2 * value)"))
 _prepared("two_stage_reconstructed", lambda c, m: retrieval.reconstructed_two_stage(c, m.book, N, K, m),
      "with " + SUB + COARSE.format(n=N) + BOOK + """, rec as (select a.doc_id as query_id, a.point_idx as qi, e.doc_id, e.point_idx as di, a.s,
        case when a.n * b.cn < 1e-16 then 1.0 else 1 - list_dot_product(a.v, b.cv) / (a.n * b.cn + 1e-8) end as dist
@@ -124,7 +131,6 @@ _add("shape_laplacian", lambda c, *_: retrieval.shape_laplacian(c, K, N, 0.15, 5
 
 
 
-_add("token_advection_sampled", lambda c, *_: retrieval.token_advection(c, K, N, sample=3))
 
 _add("helmholtz_kalman", lambda c, *_: retrieval.helmholtz_kalman(c, K, N))
 
@@ -182,9 +188,9 @@ _add("multigrid", lambda c, *_: expansion.multigrid(c, K, N))
 
 # -- several indices over the star schema -------------------------------------------------
 def anchor_cases(spark, folder):
-    """Orders that cite one of the 50 smallest parts: a semi-join by reference."""
+    """Orders that cite a found part, found being every part whose key is divisible by 20: a semi-join by reference."""
     refs = base.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("statute_id"))
-    hits = base.table(spark, folder, "part").orderBy("p_partkey").limit(50).select(F.col("p_partkey").alias("statute_id"))
+    hits = base.table(spark, folder, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("statute_id"))
     return refs.join(hits, "statute_id", "left_semi").select("case_id").distinct()
 
 
@@ -198,7 +204,7 @@ def cascade(spark, folder):
 
 QUERIES |= {"anchor_cases": anchor_cases, "cascade": cascade}
 ORACLES |= {
-    "anchor_cases": "select distinct l_orderkey as case_id from lineitem where l_partkey in (select p_partkey from part order by p_partkey limit 50)",
+    "anchor_cases": "select distinct l_orderkey as case_id from lineitem where l_partkey in (select p_partkey from part where p_partkey % 20 = 0)",
     "cascade": "with " + PTS + COS + """, st as (select * from (select query_id, doc_id, 1 - value as score, row_number() over (partition by query_id order by value, doc_id) as r from cham) where r <= 10),
       anch as (select distinct s.query_id, c.doc_id from st s, (select distinct doc_id from pts) c where s.r <= 5 and s.doc_id in (c.doc_id + 1, c.doc_id + 7)),
       cs as (select query_id, doc_id, case when anch.doc_id is null then score else score * 1.5 end as score from st left join anch using (query_id, doc_id)),

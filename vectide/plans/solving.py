@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from vectide.operators import expansion, graph, retrieval, scan, solvers
+from vectide.operators import adaptive, expansion, fusion, graph, metrics, retrieval, scan, solvers
 from vectide.plans import base
 from vectide.plans.base import PTS, SPEC, SUB, chamfer_sql, top_sql
-from vectide.plans.retrievals import COS, GRAPH, K, N, _out
+from vectide.plans.retrievals import COARSE, COS, FUSED, GRAPH, K, N, _out
 
 QUERIES, ORACLES = {}, {}
 
@@ -64,8 +64,15 @@ def _clip(x: str, low: str = "0.0", high: str = "1.0") -> str:
 
 
 def iterated(head: str, new: str, steps: int, eps: float = -1.0, u: str | None = None, extra: str = "1 as one", start: str = "c0", u_table: str = "adv") -> str:
-    """Oracle of a solver: ``head`` gives ``c0`` (query_id, doc_id, c) and ``edges``; ``new``
-    is the new number of node i; ``extra`` are columns of a query's row (names of ``s``)."""
+    """Oracle of a solver: its last field, ranked; see ``iteration``."""
+    return iteration(head, new, steps, eps, u, extra, start, u_table) + """,
+  fin as (select query_id, arg_max(c, t) as c from it group by 1),
+  solved as (select query_id, unnest(ids) as doc_id, unnest(fin.c) as value from fin join nodes using (query_id))""" + top_sql("value", "solved", K, asc=False)
+
+
+def iteration(head: str, new: str, steps: int, eps: float = -1.0, u: str | None = None, extra: str = "1 as one", start: str = "c0", u_table: str = "adv") -> str:
+    """CTE ``it`` (query_id, t, c): ``head`` gives ``c0`` (query_id, doc_id, c) and ``edges``;
+    ``new`` is the new number of node i; ``extra`` are columns of a query's row (names of ``s``)."""
     flow = f"left join {u_table} v on v.query_id = a.query_id and v.src = a.doc_id and v.dst = b.doc_id" if u else ""
     return (
         "with recursive " + head + f""", nodes as (select query_id, list(c order by doc_id) as c0, list(doc_id order by doc_id) as ids, count(*)::int as n from c0 group by 1),
@@ -75,10 +82,7 @@ def iterated(head: str, new: str, steps: int, eps: float = -1.0, u: str | None =
   st as (select *, {extra} from st0),
   it as (select query_id, 0 as t, {start} as c, 1e9::double as moved from st
     union all select query_id, t + 1, nc, list_max(list_transform(range(1, n + 1), lambda i: abs(nc[i] - c[i]))) from (
-      select it.query_id, it.t, it.c, s.n, list_transform(range(1, s.n + 1), lambda i: {new}) as nc from it join st s on it.query_id = s.query_id where it.t < {steps} and it.moved >= {eps}) z),
-  fin as (select query_id, arg_max(c, t) as c from it group by 1),
-  solved as (select query_id, unnest(ids) as doc_id, unnest(fin.c) as value from fin join nodes using (query_id))"""
-        + top_sql("value", "solved", K, asc=False)
+      select it.query_id, it.t, it.c, s.n, list_transform(range(1, s.n + 1), lambda i: {new}) as nc from it join st s on it.query_id = s.query_id where it.t < {steps} and it.moved >= {eps}) z)"""
     )
 
 
@@ -128,6 +132,56 @@ for _name, _d, _a in (("token_advection", 0.15, 0.3), ("token_advection_weak", 0
     )
 
 
+_PICKED = _TOKEN.split(" dp as (select")
+_add(
+    "token_advection_sampled",
+    lambda c: retrieval.token_advection(c, K, N, sample=3),
+    iterated(
+        SUB + COARSE.format(n=100) + chamfer_sql() + f""", cands as (select query_id, doc_id, value from (select cham.query_id, cham.doc_id, cham.value, row_number() over (partition by cham.query_id order by cham.value, cham.doc_id) as r from cham join cand using (query_id, doc_id)) where r <= {N}),
+  c0 as (select query_id, doc_id, exp(-2 * value) as c from cands), dp as (select""" + _PICKED[1].replace("and a.s = b.s)", "and a.s = b.s and a.point_idx in (0, 1, 3) and b.point_idx in (0, 1, 3))") + _ADVECTION.format(strength=0.3, query=_MEAN),
+        _STEP, 50, 1e-3, "coalesce(v.u, 0.0)", _DT,
+    ),
+)
+
+
+# -- grids of steps and weights -----------------------------------------------------------
+#: Numbers of smoothing steps that are compared.
+STEPS = (1, 3, 5, 7, 10, 15, 20)
+
+
+def smoothing_grid(spark, folder):
+    """Mean NDCG@10 of the smoothed list for every number of steps."""
+    c = base.corpus(spark, folder)
+    runs = retrieval.laplacian_sweep(c, N, STEPS, 0.15)
+    scores = metrics.ndcg(runs, base.labels(spark, folder), 10, keys=("steps", "query_id"))
+    return scores.groupBy("steps").agg((F.round(F.avg("ndcg"), 6) + 0.0).alias("ndcg"), F.count("*").alias("queries"))
+
+
+def fusion_grid(spark, folder):
+    """Mean NDCG@10 of every fusion weight at five steps; the smoothed side has its first ten only, others count 0."""
+    c = base.corpus(spark, folder)
+    token, smooth = retrieval.two_stage(c, N, N), retrieval.shape_laplacian(c, K, N, 0.15, 5)
+    runs = fusion.lambda_sweep(smooth, token, adaptive.GRID)
+    scores = metrics.ndcg(runs, base.labels(spark, folder), 10, keys=("lam", "query_id"))
+    return scores.groupBy("lam").agg((F.round(F.avg("ndcg"), 6) + 0.0).alias("ndcg"), F.count("*").alias("queries"))
+
+
+_NDCG = """, lb as (select cast(vec_id / 5 as bigint) as doc_id, label from embeddings where vec_id % 5 = 0), qr as (select a.doc_id as query_id, b.doc_id from lb a join lb b using (label) where a.doc_id % 20 = 0),
+  idc as (select query_id, sum(1 / log2(r + 1)) as idcg from (select query_id, row_number() over (partition by query_id order by doc_id) as r from qr) where r <= 10 group by 1),
+  nd as (select fz.{key}, fz.query_id, coalesce(sum(case when qr.doc_id is not null then 1 / log2(r + 1) end), 0) / any_value(idcg) as ndcg from fz left join qr on qr.query_id = fz.query_id and qr.doc_id = fz.doc_id join idc on idc.query_id = fz.query_id where r <= 10 group by 1, 2)
+  select {key}, round(avg(ndcg), 6) + 0.0 as ndcg, count(*) as queries from nd group by 1"""
+QUERIES |= {"smoothing_grid": smoothing_grid, "fusion_grid": fusion_grid}
+ORACLES["smoothing_grid"] = (
+    iteration(GRAPH, f"greatest(0.0, {C} + 0.15 * coalesce({_LAP} / nullif({_DEGREE}, 0), 0.0))", max(STEPS))
+    + f""", solved as (select t as steps, query_id, unnest(ids) as doc_id, unnest(it.c) as value from it join nodes using (query_id) where t in {STEPS}),
+  fz as (select steps, query_id, doc_id, row_number() over (partition by steps, query_id order by value desc, doc_id) as r from solved)""" + _NDCG.format(key="steps")
+)
+ORACLES["fusion_grid"] = (
+    FUSED.replace("sm as (select query_id, doc_id, c as score from c5)", f"sm as (select query_id, doc_id, c as score from (select *, row_number() over (partition by query_id order by c desc, doc_id) as r from c5) where r <= {K})")
+    + """, fz as (select lam, query_id, doc_id, row_number() over (partition by lam, query_id order by lam * a + (1 - lam) * b desc, doc_id) as r from both_, (select i / 10.0 as lam from range(0, 11) t(i)))""" + _NDCG.format(key="lam")
+)
+
+
 # -- solvers on a candidate graph --------------------------------------------------------
 def _unnormalised(f):
     return solvers.unnormalised(f["c0"], graph.centre_graph(f, 3)[0])
@@ -239,3 +293,19 @@ ORACLES["score_diagnosis"] = (
 for _name, _solve in (("ad_rank_projections", expansion.ad_rank_projected), ("ad_rank_blocks", expansion.ad_rank_blocks), ("shape_v5_ensemble", expansion.shape_v5_ensemble)):
     _by_graph(_name, _solve, "")
     del ORACLES[_name]
+
+
+def graph_unaligned(spark, folder):
+    """Distances of candidates in which any sub-vector may meet any other."""
+    c = base.corpus(spark, folder)
+    rows = retrieval.fetch(c, scan.scan(c.queries, c.docs, "centroid_cosine", SPEC, 10))
+    pairs = graph.metric_distances(rows, SPEC, "unaligned")
+    return pairs.select("query_id", "src", "dst", (F.round("d", 6) + 0.0).alias("d"))
+
+
+QUERIES["graph_unaligned"] = graph_unaligned
+ORACLES["graph_unaligned"] = "with " + SUB + COS.replace("cham as", "cosd as") + """, cands as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by value, doc_id) as r from cosd) where r <= 10),
+  up as (select x.query_id, x.doc_id as src, y.doc_id as dst, a.point_idx * 8 + a.s as i, b.point_idx * 8 + b.s as j, case when a.n * b.n < 1e-16 then 1.0 else 1.0 - list_dot_product(a.v, b.v) / (a.n * b.n + 1e-8) end as x
+    from cands x join cands y on x.query_id = y.query_id and x.doc_id <> y.doc_id join sn a on a.doc_id = x.doc_id join sn b on b.doc_id = y.doc_id),
+  ta as (select query_id, src, dst, avg(m) as a from (select query_id, src, dst, i, min(x) as m from up group by all) group by all), tb as (select query_id, src, dst, avg(m) as b from (select query_id, src, dst, j, min(x) as m from up group by all) group by all)
+  select query_id, src, dst, round(a + b, 6) + 0.0 as d from ta join tb using (query_id, src, dst)"""

@@ -16,8 +16,11 @@ def table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: st
 
 
 def flat_codebook(book: DataFrame, path: str) -> None:
-    """Little-endian f32 in order of subspace and centroid; written beside and renamed. A codebook is bounded."""
-    rows = book.orderBy("subspace", "centroid").collect()
+    """Little-endian f32 in order of subspace and centroid; written beside and renamed. A
+    codebook has at most 65,536 rows, checked here; the file is the driver's."""
+    rows = book.orderBy("subspace", "centroid").limit(65_537).collect()
+    if len(rows) > 65_536:
+        raise ValueError("a codebook has at most 65,536 centroids")
     with open(path + ".tmp", "wb") as f:
         for r in rows:
             f.write(np.asarray(r.vec, "<f4").tobytes())

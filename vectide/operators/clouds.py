@@ -29,6 +29,39 @@ def long_form(clouds: DataFrame) -> DataFrame:
     return clouds.select("doc_id", F.posexplode("points").alias("point_idx", "vec"))
 
 
+def _drawn(keys: list[str], seed: int) -> Column:
+    """A hash that stands for a random number, the same wherever a row lies."""
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
+def sampled(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """A seeded random sample of n rows without replacement, by their key: every task keeps
+    n, nothing else moves. Fewer rows come back if there are fewer."""
+    return df.orderBy(_drawn(keys, seed), *keys).limit(n)
+
+
+#: Ways to choose a document's header points.
+SELECTORS = ("max_norm", "random", "uniform", "first")
+
+
+def header(points: DataFrame, n: int, how: str = "max_norm", seed: int = 0) -> DataFrame:
+    """At most n points of every document (doc_id, point_idx, vec): those of the largest
+    norms, a seeded random choice, evenly spaced ones or the first."""
+    if how not in SELECTORS:
+        raise ValueError(f"how is one of {SELECTORS}")
+    if how == "first":
+        return points.where(F.col("point_idx") < n)
+    if how == "uniform":
+        size = F.count("*").over(Window.partitionBy("doc_id"))
+        rows = points.withColumn("__n", size)
+        picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("__n") / n).cast("int"))
+        return rows.where((F.col("__n") <= n) | F.array_contains(picks, F.col("point_idx"))).drop("__n")
+    from vectide.functions.vectors import norm
+
+    order = [F.desc(norm(F.col("vec")))] if how == "max_norm" else [_drawn(["doc_id", "point_idx"], seed)]
+    return points.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order, "point_idx"))).where(F.col("__r") <= n).drop("__r")
+
+
 def centroids(points: DataFrame, keys: tuple[str, ...] = ("doc_id",), vec: str = "vec") -> DataFrame:
     """Mean vector of each document: one partial aggregate a dimension, no Python."""
     parts = points.select(*keys, F.posexplode(vec).alias("i", "x"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vectide.operators.scan import top_k
 
@@ -84,3 +85,56 @@ def encode_texts(df: DataFrame, key: str, text: str, encode: Callable[[list[str]
             yield pd.DataFrame({key: f[key], "vec": out})
 
     return df.select(key, F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, vec array<double>")
+
+
+def blind_verdicts(pairs: DataFrame, judge: Callable[[str, str, str], str], seed: int = 0) -> DataFrame:
+    """A judge that does not know which side is which: ``query_id, score_a, score_b, winner``
+    of (query_id, query, a, b), where a and b are the texts of two result lists.
+
+    Which side comes first is drawn by a hash of query and seed. The judge gets query, first
+    and second and answers in free text, read by ``text.parse_verdict``; a failing judge gives
+    nulls. ``winner`` is ``a``, ``b`` or ``tie``."""
+    from vectide.operators.text import parse_verdict
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = []
+            for query, first, second in zip(f["query"], f["first"], f["second"]):
+                try:
+                    said.append(judge(query, first, second))
+                except Exception:
+                    said.append(None)
+            yield pd.DataFrame({"query_id": f.query_id, "swapped": f.swapped, "answer": said})
+
+    swapped = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(2)) == 1
+    rows = pairs.select("query_id", "query", swapped.alias("swapped"), F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("first"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("second"))
+    said = rows.mapInPandas(run, "query_id bigint, swapped boolean, answer string").withColumn("v", parse_verdict(F.col("answer")))
+    swap = lambda x, y: F.when(F.col("swapped"), F.col(y)).otherwise(F.col(x))
+    winner = F.when(F.col("v.winner") == 0, "tie").when((F.col("v.winner") == 1) != F.col("swapped"), "a").when(F.col("v.winner").isNotNull(), "b")
+    return said.select("query_id", swap("v.first", "v.second").alias("score_a"), swap("v.second", "v.first").alias("score_b"), winner.alias("winner"))
+
+
+def truncated(df: DataFrame, text: str, budget: int, count: Callable[[list[str]], list[int]]) -> DataFrame:
+    """Adds ``truncated``: the longest prefix of the text of at most ``budget`` tokens.
+
+    ``count`` gives the tokens of a batch of texts; prefixes are bisected, all texts of a
+    batch at once, so it is called about log2(length) times a batch. Tokens must not
+    decrease as a prefix grows. Null stays null."""
+    schema = StructType([*df.schema.fields, StructField("truncated", StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = f[text].tolist()
+            low, high = [0] * len(texts), [len(t) if t else 0 for t in texts]
+            for i, n in zip(ask := [i for i, t in enumerate(texts) if t], count([texts[i] for i in ask]) if ask else []):
+                low[i] = high[i] if n <= budget else 0
+            while todo := [i for i in range(len(texts)) if low[i] < high[i]]:
+                middle = [(low[i] + high[i] + 1) // 2 for i in todo]
+                for i, m, n in zip(todo, middle, count([texts[i][:m] for i, m in zip(todo, middle)])):
+                    if n <= budget:
+                        low[i] = m
+                    else:
+                        high[i] = m - 1
+            yield f.assign(truncated=[None if t is None else t[:n] for t, n in zip(texts, low)])
+
+    return df.mapInPandas(run, schema)

@@ -142,6 +142,14 @@ def inverted_two_stage(c: Corpus, book: DataFrame, n: int, k: int, probes: int =
     return rerank(c, inverted_candidates(c, book, n, probes, made), k)
 
 
+def late_interaction(c: Corpus, book: DataFrame, n: int, k: int, probes: int = 2, made: Prepared | None = None) -> DataFrame:
+    """Candidates by the stored postings under each query point's nearest centroids, then
+    the sum of largest products on their vectors; score is that sum."""
+    cands = inverted_candidates(c, book, n, probes, made)
+    values = pair_values(cands, c.queries, c.tokens, "max_sim", c.spec)
+    return _ranked(values.withColumnRenamed("value", "score"), k)
+
+
 # -- several probes --------------------------------------------------------------
 def probes(c: Corpus, book: DataFrame, n: int, n_probe: int = 1, made: Prepared | None = None) -> DataFrame:
     """``query_id, probe, doc_id, score`` of the centroid, far-point and inverted probes."""

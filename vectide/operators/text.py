@@ -201,3 +201,17 @@ def set_scores(windows: DataFrame, choices: DataFrame) -> DataFrame:
     rows = windows.join(choices, ["query_id", "window"], "left")
     won = F.when(F.col("doc_id") == F.col("first"), 1.0).when(F.col("doc_id") == F.col("second"), 0.5).otherwise(0.0)
     return rows.groupBy("query_id", "doc_id").agg((F.sum(won) - 0.001 * F.min("rank")).alias("score"))
+
+
+def parse_verdict(answer: Column) -> Column:
+    """``first``, ``second`` (scores out of 1 to 5, null if not given) and ``winner`` (1, 2, 0
+    for a tie) from a judge's free text with lines such as "first: 4/5" and "winner: second"."""
+    low = F.lower(answer)
+
+    def found(pattern: str) -> Column:
+        hit = F.regexp_extract(low, pattern, 1)
+        return F.when(hit != "", hit)
+
+    winner = found(r"winner\s*[:：]*\s*(first|second|tie)")
+    score = lambda side: found(side + r"\s*[:：]+\s*([1-5])\s*[/／]\s*5").cast("int")
+    return F.struct(score("first").alias("first"), score("second").alias("second"), F.when(winner == "first", 1).when(winner == "second", 2).when(winner == "tie", 0).alias("winner"))

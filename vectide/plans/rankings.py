@@ -190,16 +190,23 @@ def top_k_events(spark, folder):
     return scan.top_k(e, 10)
 
 
+def _scattered(spark, folder) -> DataFrame:
+    """``id, a, b``: every vector with the one whose number its own is scattered to."""
+    e = base.points(spark, folder).select((F.col("doc_id") * 5 + F.col("point_idx")).alias("id"), F.col("vec").alias("a"))
+    n = e.count()
+    asked = e.withColumn("other", (F.col("id") * 7919 + 104729) % max(n, 1)).where("other != id")
+    return asked.join(e.select(F.col("id").alias("other"), F.col("a").alias("b")), "other").select("id", "a", "b")
+
+
 @_q(
     "sigma_subspace",
-    f"with {PTS}, e as (select doc_id * 5 + point_idx as id, vec as v from pts), s as (select a.id, t.s, list_dot_product(a.v[8*s+1:8*s+8], b.v[8*s+1:8*s+8]) / (sqrt(list_dot_product(a.v[8*s+1:8*s+8], a.v[8*s+1:8*s+8])) * sqrt(list_dot_product(b.v[8*s+1:8*s+8], b.v[8*s+1:8*s+8]))) as c from e a join e b on b.id = a.id + 1, range(0, 8) t(s)),"
-    " f as (select stddev_pop(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) as sd from e a join e b on b.id = a.id + 1)"
+    f"with {PTS}, e as (select doc_id * 5 + point_idx as id, vec as v from pts), s as (select a.id, t.s, list_dot_product(a.v[8*s+1:8*s+8], b.v[8*s+1:8*s+8]) / (sqrt(list_dot_product(a.v[8*s+1:8*s+8], a.v[8*s+1:8*s+8])) * sqrt(list_dot_product(b.v[8*s+1:8*s+8], b.v[8*s+1:8*s+8]))) as c from e a join e b on b.id = (a.id * 7919 + 104729) % (select count(*) from e) and b.id <> a.id, range(0, 8) t(s)),"
+    " f as (select stddev_pop(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) as sd from e a join e b on b.id = (a.id * 7919 + 104729) % (select count(*) from e) and b.id <> a.id)"
     " select s as subspace, round(stddev_pop(c), 6) as sigma, round(stddev_pop(c) / any_value(sd), 6) as ratio from s, f group by 1",
 )
 def sigma_subspace(spark, folder):
-    """Spread of pairwise cosines in each subspace against that of the whole vectors, over neighbouring ids."""
-    e = base.points(spark, folder).select((F.col("doc_id") * 5 + F.col("point_idx")).alias("id"), F.col("vec").alias("a"))
-    p = e.join(e.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    """Spread of pairwise cosines in each subspace against that of the whole vectors; every vector meets one other, scattered over all."""
+    p = _scattered(spark, folder)
     full = p.agg(F.stddev_pop(V.cosine_similarity(F.col("a"), F.col("b"))).alias("sd"))
     subs = p.select(F.posexplode(F.zip_with(V.sub_vectors(F.col("a"), SPEC), V.sub_vectors(F.col("b"), SPEC), V.cosine_similarity)).alias("s", "c"))
     by = subs.groupBy(F.col("s").cast("bigint").alias("subspace")).agg(F.stddev_pop("c").alias("sigma"))
@@ -210,7 +217,7 @@ def sigma_subspace(spark, folder):
 
 @_q(
     "sigma_sweep",
-    f"with {PTS}, e as (select doc_id * 5 + point_idx as id, vec as v from pts), p as (select a.id, a.v as a, b.v as b from e a join e b on b.id = a.id + 1),"
+    f"with {PTS}, e as (select doc_id * 5 + point_idx as id, vec as v from pts), p as (select a.id, a.v as a, b.v as b from e a join e b on b.id = (a.id * 7919 + 104729) % (select count(*) from e) and b.id <> a.id),"
     " f as (select stddev_pop(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))) as sd from p),"
     " s as (select id, m, s, list_dot_product(a[w*s+1:w*s+w], b[w*s+1:w*s+w]) / (sqrt(list_dot_product(a[w*s+1:w*s+w], a[w*s+1:w*s+w])) * sqrt(list_dot_product(b[w*s+1:w*s+w], b[w*s+1:w*s+w]))) as c"
     "   from p, (values (2, 32), (4, 16), (8, 8), (16, 4)) t(m, w), range(0, 16) r(s) where s < m),"
@@ -222,8 +229,7 @@ def sigma_sweep(spark, folder):
     """Ratio of subspace to full cosine spread for several numbers of subspaces, and sqrt(M / (1 + (M - 1) rho))."""
     from vectide.functions.vectors import SubspaceSpec
 
-    e = base.points(spark, folder).select((F.col("doc_id") * 5 + F.col("point_idx")).alias("id"), F.col("vec").alias("a"))
-    p = e.join(e.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    p = _scattered(spark, folder)
     full = p.agg(F.stddev_pop(V.cosine_similarity(F.col("a"), F.col("b"))).alias("sd"))
     sims = None
     for m in (2, 4, 8, 16):

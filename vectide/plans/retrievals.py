@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from vectide.operators import expansion, fusion, graph, metrics, retrieval, scan
+from vectide.operators import expansion, fusion, graph, index, metrics, retrieval, scan
 from vectide.operators.clouds import centroids, nested
 from vectide.plans import base
 from vectide.plans.base import BOOK, PTS, SPEC, SUB, chamfer_sql, top_sql
@@ -69,6 +69,10 @@ for _p, _name in ((1, "two_stage_inverted_fast"), (2, "two_stage_inverted")):
     _prepared(_name, lambda c, m, p=_p: retrieval.inverted_two_stage(c, m.book, N, K, p, m),
          "with " + SUB + INVERTED.format(probes=_p) + chamfer_sql() + f", kept as (select cham.* from cham join inv using (query_id, doc_id) where r <= {N})" + top_sql("value", "kept", K, out="exp(-2 * value)"))
 
+_prepared("late_interaction", lambda c, m: retrieval.late_interaction(c, m.book, N, K, 2, m),
+     "with " + SUB + INVERTED.format(probes=2) + f""", ip as (select query_id, doc_id, sum(m) as value from (select q.query_id, d.doc_id, qi, max(list_dot_product(qv, dv)) as m from q join inv on inv.query_id = q.query_id and r <= {N} join d on d.doc_id = inv.doc_id group by all) group by all)"""
+     + top_sql("value", "ip", K, asc=False))
+
 PROBES = (
     SUB + COARSE.format(n=N) + FAR + """, rs as (select doc_id, s, rv[8*s+1:8*s+8] as v from rep, range(0, 8) t(s)),
   fp as (select query_id, doc_id, max(x) as value from (select a.doc_id as query_id, a.point_idx, b.doc_id, avg(1 - case when a.n * sqrt(list_dot_product(b.v, b.v)) < 1e-16 then 1.0 else 1.0 - list_dot_product(a.v, b.v) / (a.n * sqrt(list_dot_product(b.v, b.v)) + 1e-8) end) as x
@@ -214,6 +218,24 @@ ORACLES |= {
 }
 
 
+def index_search(spark, folder):
+    """The nearest vectors by the graphs of an index, after rows were added to it and others removed."""
+    e = base.table(spark, folder, "embeddings").select(F.col("vec_id").cast("bigint").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    m = index.IndexManager(spark, SPEC.dim)
+    m.create("literature", e.where("doc_id % 50 != 7"))
+    m.add("literature", e.where("doc_id % 50 = 7"))
+    m.remove("literature", e.where("doc_id % 50 = 9"))
+    asked = e.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array("vec").alias("points"))
+    return _out(m.search("literature", asked, K))
+
+
+QUERIES["index_search"] = index_search
+ORACLES["index_search"] = (
+    "with e as (select vec_id as id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),"
+    " c as (select a.id as query_id, b.id as doc_id, list_dot_product(a.v, b.v) / (a.n * b.n) as value from e a, e b where a.id % 20 = 0 and b.id % 50 <> 9)" + top_sql("round(value, 6)", "c", K, asc=False)
+)
+
+
 def chunk_clouds(spark, folder):
     """Chunk clouds, whatever their size: every file whose id is divisible by 20 asks with
     all its points, all files answer."""

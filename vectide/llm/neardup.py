@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.components import components
-from vectide.llm.hnsw import mix64
+from vectide.operators.hnsw import mix64
 from vectide.shared import stored
 
 UNIVERSE = 1 << 20

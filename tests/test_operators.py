@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec
-from vectide.operators import adaptive, clouds, fusion, graph, index, judges, linalg, metrics, quantize, retrieval, scan, stats, text
+from vectide.operators import adaptive, clouds, expansion, fusion, graph, index, judges, linalg, metrics, quantize, retrieval, scan, stats, text
 from vectide.sources import blobs, readers, writers
 
 SPEC = SubspaceSpec(2, 2)
@@ -261,6 +261,65 @@ def test_blind_judge_and_token_budget(spark):
     assert out[1] == "a bb " and out[2] == "" and out[3] is None and out[4] == "one" and len(out[5].split()) == 2 and calls.value < 40
 
 
+def slow_growth(q, docs, o):
+    """One query's growing pool, document by document."""
+    kernels, solvers = expansion.METRICS, expansion.solvers
+    one = np.zeros(1, dtype=int)
+    qd = lambda d: np.exp(-2 * kernels["query_to_cloud" if o.metric == "subspace_first" else o.metric](q, docs[d], one, SPEC)[0])
+    measure = {"vector": "centroid_cosine", "cloud": "scan_pair_first"}[o.probe]
+    begin = "scan_pair_first" if o.start == "scan" else "centroid_cosine"
+    pool = [d for _, d in sorted((kernels[begin](q, p, one, SPEC)[0], d) for d, p in docs.items())[: o.first]]
+    field, first = {d: qd(d) for d in pool}, None
+    for step in range(o.rounds + 1):
+        names = sorted(pool)
+        f = {"points": [docs[d] for d in names], "q": q[0]}
+        w = graph.graph_of(f, SPEC, o.neighbours, o.metric)
+        u = solvers.advection_field(q[0], np.stack([p.mean(axis=0) for p in f["points"]]), w)
+        c = solvers.advection_diffusion(np.array([field[d] for d in names]), w, u)
+        field = dict(zip(names, c))
+        flux = sorted(((-x, d) for d, x in zip(names, expansion.flux_of(o, f, c, w, u)) if x > 0))[: o.probes]
+        if first is None:
+            first = -flux[0][0] if flux else 0
+        if step == o.rounds or not flux or len(pool) >= o.budget or -flux[0][0] < o.least * first:
+            break
+        left, new = o.budget - len(pool), []
+        share = max(1, -(-left // len(flux)))
+        for _, d in flux:
+            base = q[0] / (np.linalg.norm(q[0]) + 1e-8) if o.unit else q[0]
+            probe = docs[d] if o.probe == "cloud" else (0.7 * base + 0.3 * docs[d].mean(axis=0))[None]
+            order = [e for _, e in sorted((kernels[measure](probe, p, one, SPEC)[0], e) for e, p in docs.items()) if e not in pool and e not in new]
+            new += order[: min(share, left - len(new))]
+        if not new:
+            break
+        field |= {d: qd(d) for d in new}
+        pool += new
+    return field
+
+
+@pytest.mark.parametrize("name", ["stefan", "stefan_clouds", "adjoint", "aligned"])
+def test_growing_pools_against_loops(spark, name):
+    rng = np.random.default_rng(11)
+    d = {i: rng.normal(size=(int(rng.integers(1, 4)), 4)) + 0.5 for i in range(60)}
+    qs = {i: rng.normal(size=(int(rng.integers(1, 3)), 4)) for i in range(3)}
+    c = retrieval.Corpus(docs(spark, [(i, p.tolist()) for i, p in d.items()]), spark.createDataFrame([(i, p.tolist()) for i, p in qs.items()], "query_id bigint, points array<array<double>>"), SPEC)
+    o = {
+        "stefan": expansion.Growth(first=8, budget=20),
+        "stefan_clouds": expansion.Growth(first=8, budget=20, start="scan", probe="cloud", least=0.0),
+        "adjoint": expansion.Growth(first=8, budget=14, rounds=1, unit=True, flux="outward", least=0.0),
+        "aligned": expansion.Growth(first=8, budget=14, rounds=1, unit=True, flux="outward", least=0.0, metric="subspace_first"),
+    }[name]
+    got: dict = {}
+    for r in expansion.grow(c, 60, o).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = r.score
+    grew = 0
+    for i, q in qs.items():
+        want = slow_growth(q[:1], d, o)
+        assert set(got[i]) == set(want)
+        assert all(got[i][k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+        grew += len(want) > o.first
+    assert grew
+
+
 def test_unknown_ids_raise(spark, small):
     pairs = spark.createDataFrame([(small.queries.first().query_id, 10**9)], "query_id bigint, doc_id bigint")
     for f in (retrieval.query_distances, retrieval.distance_matrix):

@@ -227,71 +227,137 @@ def shape_report(cands: DataFrame, preset: str = "full") -> DataFrame:
 
 
 # -- growing pools ---------------------------------------------------------------------
-def _probe(c: retrieval.Corpus, pool: DataFrame, per_query: int, add: int, seen: DataFrame) -> DataFrame:
-    """New candidates: the query's vector is moved towards the centroids of the pool's
-    best documents (0.7 q + 0.3 c) and searched again; known documents drop out."""
-    from vectide.operators.clouds import mean_of
-
-    dim = c.spec.dim
-    best = scan.top_k(pool, per_query, "score", ascending=False)
-    moved = (
-        best.join(c.docs, "doc_id")
-        .join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q")), "query_id")
-        .select("query_id", "rank", F.zip_with("q", mean_of(F.col("points"), dim), lambda a, b: 0.7 * a + 0.3 * b).alias("v"))
-    )
-    # each probe is a query of its own, ranks are 1 to per_query
-    wide = per_query + 1
-    asked = moved.select((F.col("query_id") * wide + F.col("rank")).alias("query_id"), F.array("v").alias("points"))
-    hits = scan.scan(asked, c.docs, "centroid_cosine", c.spec, add + per_query)
-    found = hits.select(F.floor(F.col("query_id") / wide).alias("query_id"), "doc_id", "value").groupBy("query_id", "doc_id").agg(F.min("value").alias("value"))
-    return scan.top_k(found.join(seen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), add, "value").select("query_id", "doc_id")
-
-
-def _solve_pool(c: retrieval.Corpus, pool: DataFrame, solve) -> DataFrame:
-    rows = retrieval.fetch(c, pool).withColumn("c0", F.lit(0.0))
+@dataclass(frozen=True)
+class Growth:
+    """How a pool grows while it is ranked. ``start``: its first documents by ``centroid``
+    cosine or a ``scan`` of pair-first distances; ``probe``: a search by ``vector``,
+    0.7 q + 0.3 of a document's centroid (``unit``: of the unit query), or by the document's
+    whole ``cloud``; ``metric``: of the graph and the field; ``flux``: a document's pressure
+    to grow from, ``boundary`` (towards the query) or ``outward`` (along the flow); a query
+    stops when its largest flux is under ``least`` of that of its first round."""
+
+    first: int = 30
+    budget: int = 60
+    rounds: int = 3
+    probes: int = 8
+    neighbours: int = 3
+    start: str = "centroid"
+    probe: str = "vector"
+    unit: bool = False
+    metric: str = "pair_first"
+    flux: str = "boundary"
+    least: float = 0.1
+
+
+def flux_of(o: Growth, f: dict, c: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Pressure of every node; 0 for well linked ones and those not above the (upper) median."""
+    if o.flux == "outward":
+        drive = (np.maximum(u, 0) * w) @ c
+    else:
+        q = f["q"] / (np.linalg.norm(f["q"]) + 1e-8)
+        drive = np.array([(q - p.mean(axis=0)) @ q for p in f["points"]])
+    out = c * np.maximum(drive, 0)
+    out[((w > 0).sum(axis=1) >= 2 * o.neighbours) | (c <= np.sort(c)[len(c) >> 1])] = 0
+    return out
+
+
+def _settled(c: retrieval.Corpus, o: Growth, pool: DataFrame) -> DataFrame:
+    """``query_id, doc_id, c, flux`` of a pool (query_id, doc_id, c0) carried along the query's vector."""
     from vectide.operators import graph
 
-    return graph.solve_by_query(rows, solve)
+    rows, spec = retrieval.fetch(c, pool.select("query_id", "doc_id"), pool), c.spec
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        f = {"points": [np.asarray(p, float) for p in table.column("points").to_pylist()], "q": np.asarray(table.column("q")[0].as_py(), float)}
+        w = graph.graph_of(f, spec, o.neighbours, o.metric)
+        u = solvers.advection_field(f["q"], np.stack([p.mean(axis=0) for p in f["points"]]), w)
+        field = solvers.advection_diffusion(np.array(table.column("c0").to_pylist(), float), w, u)
+        return pa.table({"query_id": table.column("query_id"), "doc_id": table.column("doc_id"), "c": field, "flux": flux_of(o, f, field, w, u)})
+
+    return rows.select("query_id", "doc_id", "c0", "points", "q").groupBy("query_id").applyInArrow(run, f"query_id bigint, doc_id {kind}, c double, flux double")
 
 
-def stefan(c: retrieval.Corpus, k: int, first: int = 30, budget: int = 60, rounds: int = 3, least_flux: float = 0.1) -> DataFrame:
-    """Solve, probe beyond the pool's best documents, grow, solve again: at most
-    ``rounds`` rounds and ``budget`` documents a query. Growth ends when less than
-    ``least_flux`` of the asked documents are new."""
+def _probed(c: retrieval.Corpus, o: Growth, state: DataFrame, most: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` of new documents: the probes of each query in order of flux take
+    their nearest unknown ones, an equal share of what the budget leaves each."""
+    from vectide.operators.clouds import mean_of
+
+    top = scan.top_k(state.where("flux > 0"), o.probes, "flux", ascending=False)
+    live = top.where("rank = 1").join(most, "query_id").where(F.col("flux") >= o.least * F.col("first_flux")).select("query_id")
+    size = state.groupBy("query_id").agg((F.lit(o.budget) - F.count("*")).alias("left")).where("left > 0").join(live, "query_id")
+    top = top.join(size, "query_id").join(c.docs, "doc_id")
+    share = F.greatest(F.lit(1), F.ceil(F.col("left") / F.col("m"))).cast("int")
+    plan = top.groupBy("query_id").agg(F.first("left").alias("left"), F.count("*").alias("m")).select("query_id", F.col("left").cast("int").alias("left"), share.alias("share"))
+    wide = o.probes + 1  # ranks are 1 to o.probes
+    name = (F.col("query_id") * wide + F.col("rank")).alias("query_id")
+    if o.probe == "cloud":
+        asked = top.select(name, "points")
+    else:
+        q = F.col("q")
+        if o.unit:
+            norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
+            q = F.transform("q", lambda x: x / norm)
+        moved = F.zip_with(q, mean_of(F.col("points"), c.spec.dim), lambda x, y: 0.7 * x + 0.3 * y)
+        asked = top.join(c.queries.select("query_id", F.get("points", F.lit(0)).alias("q")), "query_id").select(name, F.array(moved).alias("points"))
+    hits = scan.scan(asked, c.docs, "scan_pair_first" if o.probe == "cloud" else "centroid_cosine", c.spec, 2 * o.budget)
+    hits = hits.select(F.floor(F.col("query_id") / wide).alias("query_id"), (F.col("query_id") % wide).alias("probe"), "doc_id", "value")
+    fresh = hits.join(state.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(plan, "query_id")
+    kind = dict(state.dtypes)["doc_id"]
+
+    def take(table: pa.Table) -> pa.Table:
+        left, share = table.column("left")[0].as_py(), table.column("share")[0].as_py()
+        rows = sorted(zip(table.column("probe").to_pylist(), table.column("value").to_pylist(), table.column("doc_id").to_pylist()))
+        taken: dict = {}
+        used: dict = {}
+        for probe, _, doc in rows:
+            if len(taken) < left and used.get(probe, 0) < share and doc not in taken:
+                taken[doc] = used[probe] = used.get(probe, 0) + 1
+        return pa.table({"query_id": pa.array([table.column("query_id")[0].as_py()] * len(taken), pa.int64()), "doc_id": pa.array(list(taken), table.schema.field("doc_id").type)})
+
+    # a group holds at most probes x 2 budget rows
+    return fresh.groupBy("query_id").applyInArrow(take, f"query_id bigint, doc_id {kind}")
+
+
+def grow(c: retrieval.Corpus, k: int, o: Growth = Growth()) -> DataFrame:
+    """``query_id, doc_id, score, rank``: solve, probe beyond the documents under pressure,
+    add what is found with its own start value, solve again from the field as it is."""
     from vectide.shared import stored
 
-    pool = stored(scan.scan(c.queries, c.docs, "centroid_cosine", c.spec, first).select("query_id", "doc_id"), "pool")
-    size, solved = first, stored(_solve_pool(c, pool, ad_rank), "pool-scores")
-    queries = max(1, c.queries.count())
-    for _ in range(rounds):
-        add = min(10, budget - size)
-        if add <= 0:
-            break
-        new = stored(_probe(c, solved, 3, add, pool), "pool-new")
-        if new.count() < least_flux * add * queries:
+    alone = c.queries.where("size(points) > 0").withColumn("points", F.slice("points", 1, 1))
+    field = "query_to_cloud" if o.metric == "subspace_first" else o.metric
+
+    def start(pairs: DataFrame) -> DataFrame:
+        values = scan.pair_values(pairs, alone, c.docs, field, c.spec)
+        return values.select("query_id", "doc_id", F.exp(-2 * F.col("value")).alias("c0"))
+
+    first = scan.scan(alone, c.docs, "scan_pair_first" if o.start == "scan" else "centroid_cosine", c.spec, o.first)
+    state = stored(_settled(c, o, start(first.select("query_id", "doc_id"))), "pool")
+    most = stored(state.groupBy("query_id").agg(F.max("flux").alias("first_flux")), "pool-flux")
+    for _ in range(o.rounds):
+        new = stored(_probed(c, o, state, most), "pool-new")
+        if new.isEmpty():
             break
-        pool, size = stored(pool.unionByName(new), "pool"), size + add
-        solved = stored(_solve_pool(c, pool, ad_rank), "pool-scores")
-    return retrieval._ranked(solved, k)
+        grown = new.select("query_id").distinct()
+        pool = state.join(grown, "query_id", "left_semi").select("query_id", "doc_id", F.col("c").alias("c0")).unionByName(start(new))
+        state = stored(_settled(c, o, pool).unionByName(state.join(grown, "query_id", "left_anti")), "pool")
+    return retrieval._ranked(state.select("query_id", "doc_id", F.col("c").alias("score")), k)
 
 
-def adjoint_prefetch(c: retrieval.Corpus, k: int, first: int = 30, total: int = 45) -> DataFrame:
-    """One round of growth, then the cloud graph with advection."""
-    from vectide.operators import graph
-    from vectide.shared import stored
+def stefan(c: retrieval.Corpus, k: int, first: int = 30, budget: int = 60) -> DataFrame:
+    """Three rounds by vector probes, ended by the flux."""
+    return grow(c, k, Growth(first=first, budget=budget))
 
-    pool = stored(scan.scan(c.queries, c.docs, "centroid_cosine", c.spec, first).select("query_id", "doc_id"), "pool")
-    solved = stored(_solve_pool(c, pool, ad_rank), "pool-scores")
-    grown = stored(pool.unionByName(_probe(c, solved, 3, total - first, pool)), "pool")
-    rows = retrieval.fetch(c, grown, retrieval._field(c, grown))
-    spec = c.spec
 
-    def solve(f: dict) -> np.ndarray:
-        w = graph.graph_of(f, spec, 3)
-        u = solvers.advection_field(f["q"], np.stack([p.mean(axis=0) for p in f["points"]]), w)
-        return solvers.advection_diffusion(f["c0"], w, u)
+def stefan_clouds(c: retrieval.Corpus, k: int, first: int = 30, budget: int = 60) -> DataFrame:
+    """From a scan of all documents, with whole clouds as probes."""
+    return grow(c, k, Growth(first=first, budget=budget, start="scan", probe="cloud", least=0.0))
+
 
-    return retrieval._ranked(graph.solve_by_query(rows, solve), k)
+def adjoint_prefetch(c: retrieval.Corpus, k: int, first: int = 30, total: int = 45, metric: str = "pair_first") -> DataFrame:
+    """One round of growth along the flow; ``metric="subspace_first"`` for the aligned form."""
+    return grow(c, k, Growth(first=first, budget=total, rounds=1, unit=True, metric=metric, flux="outward", least=0.0))
 
 
 def multigrid(c: retrieval.Corpus, k: int, n: int, disputed: int = 5, neighbours: int = 5) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 
 def terms(text: Column) -> Column:
-    """Lower case; what is no Latin letter, digit or CJK ideograph becomes a blank; terms of two or more characters."""
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9一-鿿]", " ")
-    return F.filter(F.split(plain, "\\s+"), lambda t: F.length(t) > 1)
+    """Lower case, parted by whatever is no Latin letter, digit or CJK ideograph; terms of two or more characters."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9一-鿿]+"), lambda t: F.length(t) > 1)
 
 
 def query_terms(text: Column) -> Column:
@@ -72,7 +71,7 @@ def _query_blocks(asked: DataFrame) -> Iterator[dict[int, dict[str, int]]]:
     block: dict[int, dict[str, int]] = {}
     seen: set[str] = set()
     rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("t")).orderBy("query_id")
-    for row in rows.toLocalIterator():
+    for row in rows.toLocalIterator(prefetchPartitions=True):
         mine = {t.term: int(t.times) for t in row.t}
         if block and (len(seen | mine.keys()) > TERM_BLOCK or len(block) >= QUERY_BLOCK):
             yield block

@@ -186,7 +186,9 @@ ORACLES |= {
 
 
 _add("stefan_expansion", lambda c, *_: expansion.stefan(c, K, first=15, budget=30))
+_add("stefan_clouds", lambda c, *_: expansion.stefan_clouds(c, K, first=15, budget=30))
 _add("adjoint_prefetch", lambda c, *_: expansion.adjoint_prefetch(c, K, first=15, total=25))
+_add("adjoint_aligned", lambda c, *_: expansion.adjoint_prefetch(c, K, first=15, total=25, metric="subspace_first"))
 _add("multigrid", lambda c, *_: expansion.multigrid(c, K, N))
 
 

@@ -54,11 +54,14 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seeds: tuple[in
     ``rule``: ``shifted`` two-sided against the shifted distribution with floor
     1/replicates; ``one_sided`` share of deltas not above 0; ``percentile`` twice the
     smaller tail."""
-    observed = pairs.agg(F.count("*").alias("n"), F.avg(F.col("b") - F.col("a")).alias("delta"), F.stddev_samp(F.col("b") - F.col("a")).alias("sd"))
-    runs = bootstrap_means(pairs, replicates, seeds).crossJoin(F.broadcast(observed.withColumnRenamed("delta", "obs")))  # one row
+    d = F.col("b") - F.col("a")
+    seen = pairs.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("sd")).first()  # one row
+    size = float(seen.delta / seen.sd) if seen.sd else 0.0
+    obs = F.lit(seen.delta).cast("double")
+    runs = bootstrap_means(pairs, replicates, seeds)
     share = lambda c: F.avg(c.cast("double"))
     if rule == "shifted":
-        p = F.greatest(share(F.abs(F.col("delta") - F.col("obs")) >= F.abs(F.col("obs"))), F.lit(1.0 / replicates))
+        p = F.greatest(share(F.abs(F.col("delta") - obs) >= F.abs(obs)), F.lit(1.0 / replicates))
     elif rule == "one_sided":
         p = share(F.col("delta") <= 0)
     elif rule == "percentile":
@@ -66,8 +69,7 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seeds: tuple[in
     else:
         raise ValueError(f"unknown rule {rule}")
     return runs.groupBy("seed").agg(
-        F.first("n").alias("n"), F.first("obs").alias("delta"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), p.alias("p"),
-        F.first(F.when(F.col("sd") > 0, F.col("obs") / F.col("sd")).otherwise(0.0)).alias("cohen_d"),
+        F.lit(seen.n).cast("bigint").alias("n"), obs.alias("delta"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), p.alias("p"), F.lit(size).alias("cohen_d")
     )
 
 

@@ -94,8 +94,8 @@ def common_words(rows: DataFrame, common_share: float) -> frozenset[str]:
     counted = rows.select("lang", "t").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = stored(counted, "stuffed-words")  # read three times
     pages = counted.where("word = ''").select("lang", F.col("n").alias("pages"))
-    total = pages.agg(F.sum("pages").alias("total"))
-    large = pages.crossJoin(total).where(F.col("pages") >= LEAST_LANGUAGE * F.col("total")).select("lang", "pages")  # one row beside each language
+    total = pages.agg(F.sum("pages")).first()[0] or 0
+    large = pages.where(F.col("pages") >= LEAST_LANGUAGE * total)  # a hundred languages at most
     common = counted.where("word != ''").join(large, "lang").where(F.col("n") >= common_share * F.col("pages"))
     return frozenset(r.word for r in common.select("word").distinct().toLocalIterator())
 

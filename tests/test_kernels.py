@@ -234,6 +234,18 @@ def test_drift_alarm_and_reset():
     assert alarms == [False, False, False, True, False, False, False, True]
 
 
+def test_many_queries_at_once_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    queries = [rng.normal(size=(n, SPEC.dim)) for n in (1, 3, 2, 5)]
+    queries[1][0] = 0
+    p, starts = rng.normal(size=(9, SPEC.dim)), np.array([0, 2, 3, 7])
+    p[2, :3] = 0
+    qs = np.cumsum([0, *[len(q) for q in queries[:-1]]])
+    for name, f in kernels.TOGETHER.items():
+        got = f(np.concatenate(queries), qs, p, starts, SPEC)
+        np.testing.assert_allclose(got, np.stack([kernels.METRICS[name](q, p, starts, SPEC) for q in queries]), atol=1e-12, err_msg=name)
+
+
 def test_all_metrics_give_one_value_a_document():
     q, p, starts = cloud(1, 2), cloud(5, 6), np.array([0, 2, 3])
     for name, f in kernels.METRICS.items():

@@ -262,6 +262,52 @@ METRICS: dict[str, Callable] = {
 SIMILARITIES = {"max_sim", "max_point_cosine", "shape_boost", "mixed_field"}
 
 
+# -- many queries at once: ``q`` holds their points one behind another, ``qs`` where each begins --
+def _two_sided_many(d: np.ndarray, qs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Last two axes all query points x points: queries x documents as ``_two_sided``."""
+    there = np.add.reduceat(np.minimum.reduceat(d, starts, axis=-1), qs, axis=-2) / _sizes(qs, d.shape[-2])[:, None]
+    back = np.add.reduceat(np.minimum.reduceat(d, qs, axis=-2), starts, axis=-1) / _sizes(starts, d.shape[-1])
+    return there + back
+
+
+def _full(q, p, kernel=CLAMPED):
+    return sub_distances(q, p, SubspaceSpec(1, q.shape[1]), kernel)[0]
+
+
+def _centres(p, starts):
+    return np.add.reduceat(p, starts, axis=0) / _sizes(starts, len(p))[:, None]
+
+
+def _firsts(d, starts):
+    """Nearest plus mean distance of single vectors."""
+    return np.minimum.reduceat(d, starts, axis=-1) + np.add.reduceat(d, starts, axis=-1) / _sizes(starts, d.shape[-1])
+
+
+def _per_query(d, qs):
+    return np.add.reduceat(d, qs, axis=-2) / _sizes(qs, d.shape[-2])[:, None]
+
+
+def _to_centres(q, qs, p, starts, spec):
+    d = sub_distances(q, _centres(p, starts), spec, PLAIN)
+    return (_per_query(d, qs) + np.minimum.reduceat(d, qs, axis=-2)).mean(axis=0)
+
+
+#: Metrics that a block of queries is measured with in one go: queries x documents.
+TOGETHER: dict[str, Callable] = {
+    "pair_first": lambda q, qs, p, starts, spec: _two_sided_many(sub_distances(q, p, spec, CLAMPED).mean(axis=0), qs, starts),
+    "scan_pair_first": lambda q, qs, p, starts, spec: _two_sided_many(sub_distances(q, p, spec, SCAN).mean(axis=0), qs, starts),
+    "subspace_first": lambda q, qs, p, starts, spec: _two_sided_many(sub_distances(q, p, spec, PLAIN), qs, starts).mean(axis=0),
+    "plain_chamfer": lambda q, qs, p, starts, spec: _two_sided_many(_full(q, p), qs, starts),
+    "symmetric_max_sim_distance": lambda q, qs, p, starts, spec: _two_sided_many(_full(q, p), qs, starts) / 2,
+    "max_sim": lambda q, qs, p, starts, spec: np.add.reduceat(np.maximum.reduceat(q @ p.T, starts, axis=1), qs, axis=0),
+    "max_sim_distance": lambda q, qs, p, starts, spec: _per_query(np.minimum.reduceat(_full(q, p), starts, axis=1), qs),
+    "header_chamfer": lambda q, qs, p, starts, spec: _per_query(np.minimum.reduceat(sub_distances(q, p, spec, CLAMPED).mean(axis=0), starts, axis=1), qs),
+    "query_to_cloud": lambda q, qs, p, starts, spec: _firsts(sub_distances(q[qs], p, spec, PLAIN), starts).mean(axis=0),
+    "cloud_to_centroid": _to_centres,
+    "centroid_cosine": lambda q, qs, p, starts, spec: np.clip(_full(q[qs], _centres(p, starts)), 0.0, 2.0),
+}
+
+
 def cloud_matrix(points: list[np.ndarray], spec: SubspaceSpec, metric: str = "subspace_first", **options) -> np.ndarray:
     """Symmetric matrix of the distances (or similarities) of a query's candidates among each other."""
     flat = np.concatenate(points)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec
 from vectide.operators.clouds import arrow_clouds
-from vectide.operators.kernels import METRICS, SIMILARITIES, subspace_minima
+from vectide.operators.kernels import METRICS, SIMILARITIES, TOGETHER, subspace_minima
 
 BLOCK_BYTES = 64 << 20
+#: Distances that are held at once.
+PIECE = 1 << 22
 
 
 def query_blocks(queries: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -40,24 +42,44 @@ def _scan_block(docs: DataFrame, block: list, metric: str, spec: SubspaceSpec, k
     sign = -1.0 if metric in SIMILARITIES else 1.0
     kind = dict(docs.dtypes)["doc_id"]
 
+    together = TOGETHER.get(metric) if not options else None
+
+    def measured(p: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first query, queries x documents), in pieces of bounded size."""
+        if together is None:
+            for j, (_, q) in enumerate(block):
+                yield j, METRICS[metric](q, p, starts, spec, **options)[None]
+            return
+        room, at = max(1, PIECE // max(1, len(p) * spec.parts)), 0
+        while at < len(block):
+            end, n = at + 1, len(block[at][1])
+            while end < len(block) and n + len(block[end][1]) <= room:
+                n += len(block[end][1])
+                end += 1
+            qs = np.cumsum([0, *[len(q) for _, q in block[at : end - 1]]])
+            yield at, together(np.concatenate([q for _, q in block[at:end]]), qs, p, starts, spec)
+            at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = METRICS[metric]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object)) for _ in block]
+        edge = np.full(len(block), np.inf)  # of each query the k-th value so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             p, starts = arrow_clouds(batch.column(1))
             ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            for j, (_, q) in enumerate(block):
-                d = sign * measure(q, p, starts, spec, **options)
-                old_d, old_i = best[j]
-                d, i = np.concatenate([old_d, d]), np.concatenate([old_i, ids])
-                if k is not None and len(d) > k:
-                    edge = np.partition(d, k - 1)[k - 1]
-                    rows = np.flatnonzero(d <= edge)
-                    rows = rows[np.lexsort((i[rows], d[rows]))[:k]]
-                    d, i = d[rows], i[rows]
-                best[j] = (d, i)
+            for first, values in measured(p, starts):
+                values = sign * values
+                near = values <= edge[first : first + len(values), None]
+                for r in np.flatnonzero(near.any(axis=1)):
+                    j, cols = first + r, np.flatnonzero(near[r])
+                    d, i = np.concatenate([best[j][0], values[r, cols]]), np.concatenate([best[j][1], ids[cols]])
+                    if k is not None and len(d) >= k:
+                        edge[j] = np.partition(d, k - 1)[k - 1]
+                        rows = np.flatnonzero(d <= edge[j])
+                        rows = rows[np.lexsort((i[rows], d[rows]))[:k]]
+                        d, i = d[rows], i[rows]
+                    best[j] = (d, i)
         out_q = np.concatenate([np.full(len(d), b[0]) for b, (d, _) in zip(block, best)]) if block else []
         yield pa.RecordBatch.from_arrays(
             [pa.array(out_q, pa.int64()), pa.array(np.concatenate([i for _, i in best]).tolist(), _arrow(kind)), pa.array(sign * np.concatenate([d for d, _ in best]))],

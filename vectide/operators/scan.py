@@ -27,7 +27,7 @@ PIECE = 1 << 22
 def query_blocks(queries: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, np.ndarray]]]:
     """(query id, points) in blocks of bounded size; the driver holds one block."""
     block, size = [], 0
-    for row in queries.select("query_id", "points").where("query_id is not null and size(points) > 0").orderBy("query_id").toLocalIterator(prefetchPartitions=True):
+    for row in queries.select("query_id", "points").where("query_id is not null and size(points) > 0").toLocalIterator(prefetchPartitions=True):
         points = np.asarray(row.points, dtype=np.float64)
         if block and size + points.nbytes > limit:
             yield block

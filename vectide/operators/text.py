@@ -70,7 +70,7 @@ def _query_blocks(asked: DataFrame) -> Iterator[dict[int, dict[str, int]]]:
     """Queries with their terms and how often each is given, in blocks of bounded size."""
     block: dict[int, dict[str, int]] = {}
     seen: set[str] = set()
-    rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("t")).orderBy("query_id")
+    rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("t"))
     for row in rows.toLocalIterator(prefetchPartitions=True):
         mine = {t.term: int(t.times) for t in row.t}
         if block and (len(seen | mine.keys()) > TERM_BLOCK or len(block) >= QUERY_BLOCK):

@@ -183,15 +183,32 @@ def bandit_replay(spark, folder):
     return adaptive.linucb_replay(t, STREAM, ["arm0", "arm1", "arm2"])
 
 
-@_q("online_lambda")
+@_q(
+    "online_lambda",
+    """with recursive t as (select (c_nationkey % 5)::varchar as corpus, c_custkey::bigint as step, [c_acctbal / 10000, (c_custkey % 17) / 17.0, (c_custkey % 29) / 29.0, 1.0]::double[] as x,
+    greatest(0.0, least(1.0, 0.3 + 0.4 * (c_acctbal / 10000) + 0.2 * ((c_custkey % 17) / 17.0)))::double as y from customer),
+  o as (select *, row_number() over (partition by corpus order by step) as n from t),
+  r as (select corpus, step, n, 0.0::double as p, y as residual, list_transform(x, lambda v: 0.05 * y * v / (1 + list_dot_product(x, x))) as w from o where n = 1
+    union all select o.corpus, o.step, o.n, least(1.0, greatest(0.0, list_dot_product(r.w, o.x))), o.y - least(1.0, greatest(0.0, list_dot_product(r.w, o.x))),
+      list_transform(range(1, 5), lambda i: r.w[i] + 0.05 * (o.y - list_dot_product(r.w, o.x)) * o.x[i] / (1 + list_dot_product(o.x, o.x))) from r join o on o.corpus = r.corpus and o.n = r.n + 1)
+  select corpus, step, round(p, 6) + 0.0 as prediction, round(residual, 6) + 0.0 as residual from r""",
+)
 def online_lambda(spark, folder):
-    return adaptive.online_lambda(_stream_rows(spark, folder), STREAM)
+    return adaptive.online_lambda(_stream_rows(spark, folder), STREAM).select("corpus", "step", _r(F.col("prediction"), "prediction"), _r(F.col("residual"), "residual"))
 
 
-@_q("drift_alarms")
+@_q(
+    "drift_alarms",
+    """with recursive e as (select event_type, event_id, (value - 50) / 50 as x, row_number() over (partition by event_type order by event_id) as n from events where value is not null),
+  r as (select event_type, event_id, n, x as ema, greatest(0.0, x - 0.05) > 1 or greatest(0.0, -x - 0.05) > 1 as alarm, greatest(0.0, x - 0.05) as up, greatest(0.0, -x - 0.05) as down from e where n = 1
+    union all select event_type, event_id, n, ema, up > 1 or down > 1, case when up > 1 or down > 1 then 0.0 else up end, case when up > 1 or down > 1 then 0.0 else down end from (
+      select e.event_type, e.event_id, e.n, 0.9 * r.ema + 0.1 * e.x as ema, greatest(0.0, (case when r.n = 1 and r.alarm then 0.0 else r.up end) + e.x - 0.05) as up, greatest(0.0, (case when r.n = 1 and r.alarm then 0.0 else r.down end) - e.x - 0.05) as down
+      from r join e on e.event_type = r.event_type and e.n = r.n + 1) z)
+  select event_type, event_id, round(ema, 6) + 0.0 as ema, alarm from r""",
+)
 def drift_alarms(spark, folder):
     e = base.table(spark, folder, "events").withColumn("x", (F.col("value") - 50) / 50)
-    return adaptive.drift_replay(e, "event_type", "event_id", "x")
+    return adaptive.drift_replay(e, "event_type", "event_id", "x").select("event_type", "event_id", _r(F.col("ema"), "ema"), "alarm")
 
 
 @_q("svd_spectrum")

@@ -42,7 +42,12 @@ def text_titled(spark, folder):
     return d.select("_id", F.length(text.titled(F.col("title"), F.col("text"))).cast("bigint").alias("n"))
 
 
-@_q("text_sentences")
+@_q(
+    "text_sentences",
+    """with d as (select doc_id, text, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 15)) as n,
+    len(list_filter(list_transform(string_split_regex(text, '[。；;\\n]'), lambda s: trim(s)), lambda s: length(s) > 5)) as c, trim(text) as t from documents where text is not null)
+  select doc_id, greatest(1, least(20, n))::int as sentences, greatest(1, c)::int as cjk_sentences, case when t = '' then 0 else len(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+')) end::bigint as words from d""",
+)
 def text_sentences(spark, folder):
     d = base.table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"), F.size(text.cjk_sentences(F.col("text"))).alias("cjk_sentences"), text.word_count(F.col("text")).alias("words"))

@@ -281,6 +281,13 @@ FUSED = (
   both_ as (select query_id, doc_id, coalesce(a, 0.0) as a, coalesce(b, 0.0) as b from gn full join tn using (query_id, doc_id))"""
 )
 QUERIES |= {"flagship": flagship, "fusion_evaluation": fusion_evaluation}
+ORACLES["multigrid"] = (
+    FUSED + """, ra as (select query_id, doc_id, row_number() over (partition by query_id order by c desc, doc_id) as a from c5), rb as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as b from tk),
+  hd as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by abs(a - b) desc, doc_id) as r from ra join rb using (query_id, doc_id)) where r <= 5),
+  nr as (select query_id, doc_id from (select h.query_id, y.doc_id, row_number() over (partition by h.query_id, h.doc_id order by greatest(0.0, least(2.0, 1 - list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))))), y.doc_id) as r
+    from hd h join cent x on x.doc_id = h.doc_id, cent y) where r <= 5),
+  pl as (select query_id, doc_id from tk union select query_id, doc_id from nr), kept as (select cham.* from cham join pl using (query_id, doc_id))""" + top_sql("value", "kept", K, out="exp(-2 * value)")
+)
 ORACLES |= {
     "flagship": FUSED + ", fz as (select query_id, doc_id, 0.7 * a + 0.3 * b as value from both_)" + top_sql("value", "fz", K, asc=False),
     "fusion_evaluation": FUSED + """, fz as (select lam::double as lam, query_id, doc_id, row_number() over (partition by lam, query_id order by lam::double * a + (1 - lam::double) * b desc, doc_id) as r from both_, (select unnest([0.0, 0.3, 0.5, 0.7, 1.0]) as lam)),

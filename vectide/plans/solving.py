@@ -70,14 +70,14 @@ def iterated(head: str, new: str, steps: int, eps: float = -1.0, u: str | None =
   solved as (select query_id, unnest(ids) as doc_id, unnest(fin.c) as value from fin join nodes using (query_id))""" + top_sql("value", "solved", K, asc=False)
 
 
-def iteration(head: str, new: str, steps: int, eps: float = -1.0, u: str | None = None, extra: str = "1 as one", start: str = "c0", u_table: str = "adv") -> str:
-    """CTE ``it`` (query_id, t, c): ``head`` gives ``c0`` (query_id, doc_id, c) and ``edges``;
+def iteration(head: str, new: str, steps: int, eps: float = -1.0, u: str | None = None, extra: str = "1 as one", start: str = "c0", u_table: str = "adv", field: str = "c0", edges: str = "edges") -> str:
+    """CTE ``it`` (query_id, t, c): ``head`` gives ``field`` (query_id, doc_id, c) and ``edges``;
     ``new`` is the new number of node i; ``extra`` are columns of a query's row (names of ``s``)."""
     flow = f"left join {u_table} v on v.query_id = a.query_id and v.src = a.doc_id and v.dst = b.doc_id" if u else ""
     return (
-        "with recursive " + head + f""", nodes as (select query_id, list(c order by doc_id) as c0, list(doc_id order by doc_id) as ids, count(*)::int as n from c0 group by 1),
+        "with recursive " + head + f""", nodes as (select query_id, list(c order by doc_id) as c0, list(doc_id order by doc_id) as ids, count(*)::int as n from {field} group by 1),
   dense as (select a.query_id, list(coalesce(e.w, 0.0) order by a.doc_id, b.doc_id) as w, list({u or '0.0'} order by a.doc_id, b.doc_id) as u
-    from c0 a join c0 b on a.query_id = b.query_id left join edges e on e.query_id = a.query_id and e.src = a.doc_id and e.dst = b.doc_id {flow} group by 1),
+    from {field} a join {field} b on a.query_id = b.query_id left join {edges} e on e.query_id = a.query_id and e.src = a.doc_id and e.dst = b.doc_id {flow} group by 1),
   st0 as (select *, {_LINKS} as links from nodes join dense using (query_id)),
   st as (select *, {extra} from st0),
   it as (select query_id, 0 as t, {start} as c, 1e9::double as moved from st
@@ -293,6 +293,19 @@ ORACLES["score_diagnosis"] = (
 for _name, _solve in (("ad_rank_projections", expansion.ad_rank_projected), ("ad_rank_blocks", expansion.ad_rank_blocks), ("shape_v5_ensemble", expansion.shape_v5_ensemble)):
     _by_graph(_name, _solve, "")
     del ORACLES[_name]
+#: All three settings at once: a query's number is times 4, plus the setting's.
+_THREE = _V5_HEAD + """, gs(g, dif, str, gam) as (values (0, 0.2, 0.05, 0.2), (1, 0.15, 0.1, 0.5), (2, 0.1, 0.15, 0.8)), f3 as (select query_id * 4 + g as query_id, doc_id, c from c0, gs),
+  e3 as (select query_id * 4 + g as query_id, src, dst, w from edges, gs), u3 as (select query_id * 4 + g as query_id, src, dst, u * str / 0.1 as u from kept, gs)"""
+ORACLES["shape_v5_ensemble"] = (
+    iteration(
+        _THREE, _clip(f"{C} + s.dt * ({_UPWIND.replace('0.15 *', 's.dif *')} + s.gam * {C} * (1 - {C}) * ({C} - s.theta))"), 80, 5e-3, "coalesce(v.u, 0.0)",
+        "least(0.05, 0.8 / links) as dt, list_avg(c0) as theta, [0.2, 0.15, 0.1][query_id % 4 + 1]::double as dif, [0.2, 0.5, 0.8][query_id % 4 + 1]::double as gam", u_table="u3", field="f3", edges="e3",
+    )
+    + """, runs as (select query_id // 4 as query_id, query_id % 4 as g, arg_max(c, t) as c, arg_max(moved, t) < 5e-3 as settled from it group by all),
+  best as (select query_id, coalesce(arg_max(c, list_max(c) - list_min(c) - g * 1e-13) filter (settled), max(c) filter (g = 1)) as c from runs group by 1),
+  solved as (select b.query_id, unnest(ids) as doc_id, unnest(b.c) as value from best b join nodes n on n.query_id = b.query_id * 4)"""
+    + top_sql("value", "solved", K, asc=False)
+)
 
 
 def graph_unaligned(spark, folder):

@@ -234,6 +234,13 @@ def test_drift_alarm_and_reset():
     assert alarms == [False, False, False, True, False, False, False, True]
 
 
+def test_unaligned_of_the_first_points():
+    rng = np.random.default_rng(2)
+    q, p, starts = rng.normal(size=(2, SPEC.dim)), rng.normal(size=(9, SPEC.dim)), np.array([0, 5, 6])
+    cut = np.concatenate([p[:2], p[5:6], p[6:8]])
+    np.testing.assert_allclose(kernels.unaligned(q, p, starts, SPEC, most=2), kernels.unaligned(q, cut, np.array([0, 2, 3]), SPEC))
+
+
 def test_many_queries_at_once_equal_one_by_one():
     rng = np.random.default_rng(8)
     queries = [rng.normal(size=(n, SPEC.dim)) for n in (1, 3, 2, 5)]

@@ -261,6 +261,44 @@ def test_blind_judge_and_token_budget(spark):
     assert out[1] == "a bb " and out[2] == "" and out[3] is None and out[4] == "one" and len(out[5].split()) == 2 and calls.value < 40
 
 
+def test_jobs_and_stores(spark, small, tmp_path):
+    """Train, store, read and prepare; a table is replaced from itself."""
+    from vectide import jobs
+
+    pts = clouds.long_form(small.docs.select("doc_id", "points").where("doc_id is not null"))
+    pts.write.parquet(str(tmp_path / "points"))
+    small.docs.select("doc_id", "points").write.parquet(str(tmp_path / "docs"))
+    dims = ["--parts", "2", "--width", "2"]
+    jobs.main(["train", "--points", str(tmp_path / "points"), "--centroids", "4", "--out", str(tmp_path / "store"), *dims], spark)
+    book, codes = readers.pq_store(spark, str(tmp_path / "store"))
+    assert book.count() == 8 and codes.count() == pts.count() and all(len(r.codes) == 2 for r in codes.collect())
+    jobs.main(["prepare", "--docs", str(tmp_path / "docs"), "--book", str(tmp_path / "store/codebook"), "--out", str(tmp_path / "made"), *dims], spark)
+    made = retrieval.Prepared.load(spark, str(tmp_path / "made"))
+    assert made.counts.agg(F.sum("n")).first()[0] == 2 * pts.count()
+    fast = retrieval.lookup_two_stage(small, made.book, 6, 3, made).collect()
+    assert sorted(map(tuple, fast)) == sorted(map(tuple, retrieval.lookup_two_stage(small, book, 6, 3).collect()))
+    values = retrieval.coarse(small, 5).select("query_id", "doc_id", F.round("value", 9)).collect()
+    assert sorted(map(tuple, values)) == sorted(map(tuple, retrieval.prepared_coarse(small, made, 5).select("query_id", "doc_id", F.round("value", 9)).collect()))
+    path = str(tmp_path / "points")
+    writers.replaced(spark.read.parquet(path).where("point_idx = 0"), path)
+    assert spark.read.parquet(path).where("point_idx > 0").count() == 0 and spark.read.parquet(path).count() == 12
+
+
+def test_tables_of_loops_are_released(spark):
+    import os
+
+    from vectide import shared
+
+    df = shared.stored(spark.range(5), "released")
+    path = df._stored_at.removeprefix("file://")
+    assert os.path.isdir(path) and df.count() == 5
+    shared.release(df)
+    shared.release(df)  # once more does nothing
+    shared.release(spark.range(2))
+    assert not os.path.exists(path)
+    assert shared.spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def slow_growth(q, docs, o):
     """One query's growing pool, document by document."""
     kernels, solvers = expansion.METRICS, expansion.solvers

@@ -29,6 +29,11 @@ def long_form(clouds: DataFrame) -> DataFrame:
     return clouds.select("doc_id", F.posexplode("points").alias("point_idx", "vec"))
 
 
+def sizes(points: DataFrame, width: int = 4) -> DataFrame:
+    """One row: documents, points and bytes of the numbers, ``width`` each."""
+    return points.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("points"), F.coalesce(F.sum(F.size("vec").cast("bigint") * F.lit(width)), F.lit(0)).cast("bigint").alias("bytes"))
+
+
 def _drawn(keys: list[str], seed: int) -> Column:
     """A hash that stands for a random number, the same wherever a row lies."""
     return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))

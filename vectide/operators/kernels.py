@@ -119,8 +119,12 @@ def plain_chamfer(q, p, starts, spec, kernel=CLAMPED):
     return _two_sided(sub_distances(q, p, SubspaceSpec(1, q.shape[1]), kernel)[0], starts)
 
 
-def unaligned(q, p, starts, spec, kernel=PLAIN):
-    """Chamfer of all sub-vectors as points, whatever their subspace."""
+def unaligned(q, p, starts, spec, kernel=PLAIN, most: int | None = None):
+    """Chamfer of all sub-vectors as points, whatever their subspace; with ``most`` of a
+    document's first ``most`` points only."""
+    if most is not None:
+        place = np.arange(len(p)) - np.repeat(starts, _sizes(starts, len(p)))
+        p, starts = p[place < most], np.concatenate([[0], np.cumsum(np.minimum(_sizes(starts, len(p)), most))[:-1]])
     a, b = q.reshape(-1, spec.width), p.reshape(-1, spec.width)
     return _two_sided(sub_distances(a, b, SubspaceSpec(1, spec.width), kernel)[0], starts * spec.parts)
 

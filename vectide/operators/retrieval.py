@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec, similarity_of_distance
@@ -84,6 +84,19 @@ class Prepared:
     counts: DataFrame
     book: DataFrame
 
+    def save(self, folder: str) -> None:
+        """Its tables under a folder, for later sessions."""
+        for name in PARTS:
+            getattr(self, name).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Prepared:
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in PARTS))
+
+
+#: The tables of a prepared corpus.
+PARTS = ("centroids", "far", "codes", "counts", "book")
+
 
 def prepare(c: Corpus, book: DataFrame, far: int = 3) -> Prepared:
     """Writes the derived tables of a corpus; the lookup, inverted and probe pipelines read
@@ -100,7 +113,7 @@ def prepare(c: Corpus, book: DataFrame, far: int = 3) -> Prepared:
                 made = ([x.mean(axis=0)[None] for x in parts], [far_points(x, far)[None] for x in parts])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m.tolist() for m in side], pa.list_(pa.list_(pa.float64()))) for side in made)], names=["doc_id", "centroid", "far"])
 
-    rows = c.tokens.where("size(points) > 0").select("doc_id", "points")
+    rows = c.tokens.where("doc_id is not null and size(points) > 0").select("doc_id", "points")
     ends = stored(rows.mapInArrow(points, f"doc_id {kind}, centroid array<array<double>>, far array<array<double>>"), "prepared-points")
     codes = stored(quantize.encode_clouds(rows, book, c.spec), "prepared-codes")
     counts = stored(quantize.posting_counts(codes), "prepared-counts")

@@ -107,6 +107,11 @@ def cloud_points(spark, folder):
     return c.select(F.col("file_id").alias("doc_id"), "id", (F.row_number().over(Window.partitionBy("file_id").orderBy("id")) - 1).cast("int").alias("point_idx"))
 
 
+@query("cloud_sizes", f"with {PTS} select count(distinct doc_id) as documents, count(*) as points, sum(len(vec) * 4)::bigint as bytes from pts")
+def cloud_sizes(spark, folder):
+    return clouds.sizes(base.points(spark, folder))
+
+
 @query("cloud_centroids", f"with {PTS} select doc_id, i - 1 as dim, round(c[i], 6) + 0.0 as mean from cent, range(1, 65) t(i)")
 def cloud_centroids(spark, folder):
     c = clouds.centroids(base.points(spark, folder))

@@ -129,3 +129,8 @@ def id_map(path: str) -> dict[str, int]:
     """A small id map file."""
     with open(path) as f:
         return {str(k): int(v) for k, v in json.load(f).items()}
+
+
+def pq_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(codebook, codes) as ``writers.pq_store`` wrote them."""
+    return spark.read.parquet(f"{folder}/codebook"), spark.read.parquet(f"{folder}/codes")

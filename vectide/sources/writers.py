@@ -52,3 +52,25 @@ def points_of_clouds(clouds: DataFrame, path: str, first_id: int = 0) -> None:
     """Nested clouds as point rows with a running id from ``first_id`` per document order."""
     rows = clouds.select("doc_id", F.posexplode("points").alias("point_idx", "vec"))
     table(rows.withColumn("first_id", F.lit(first_id)), path)
+
+
+def pq_store(book: DataFrame, codes: DataFrame, folder: str) -> None:
+    """A codebook (subspace, centroid, vec) and codes (doc_id, point_idx, codes) side by side."""
+    table(book, f"{folder}/codebook")
+    table(codes, f"{folder}/codes")
+
+
+def replaced(df: DataFrame, path: str) -> None:
+    """The table at ``path`` written anew, even from itself: beside it first, then moved into
+    its place. A reader sees the old rows or the new ones; a job that stops before the move leaves the old."""
+    spark = df.sparkSession
+    fresh = path.rstrip("/") + ".new"
+    table(df, fresh)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = jvm(path.rstrip("/") + ".old")
+    fs.delete(old, True)
+    if fs.exists(jvm(path)):
+        fs.rename(jvm(path), old)
+    fs.rename(jvm(fresh), jvm(path))
+    fs.delete(old, True)

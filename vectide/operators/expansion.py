@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vectide.functions.vectors import SubspaceSpec
 from vectide.operators import retrieval, scan, solvers
 from vectide.operators.kernels import METRICS, cloud_matrix
-from vectide.operators.linalg import projection_matrix
+from vectide.operators.linalg import uniform_projections
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -42,29 +42,29 @@ def ad_rank(f: dict, k: int = 3, strength: float = 0.3, diffusion: float = 0.15,
     return _flow(f["q"], np.stack([p.mean(axis=0) for p in f["points"]]), k, strength, diffusion, most, eps)
 
 
-def _weighted(fields: list[np.ndarray], energies: list[float]) -> np.ndarray:
-    e = np.asarray(energies)
-    e = e / e.sum() if e.sum() > 0 else np.full(len(e), 1 / len(e))
-    return sum(w * c for w, c in zip(e, fields))
+def _weighted(fields: list[np.ndarray], lengths: list[float]) -> np.ndarray:
+    """Fields by the share of the query's length in each."""
+    total = sum(lengths) or 1.0
+    return sum(n / total * c for n, c in zip(lengths, fields))
 
 
-def ad_rank_projected(f: dict, heads: int = 8, width: int = 16, seed: int = 42) -> np.ndarray:
-    """Several random projections, weighted by the query's energy in each."""
+def ad_rank_projected(f: dict, heads: int = 8, width: int = 32, seed: int = 42) -> np.ndarray:
+    """Several random projections, weighted by the query's length in each."""
     docs = np.stack([p.mean(axis=0) for p in f["points"]])
-    fields, energies = [], []
-    for h in range(heads):
-        m = projection_matrix(docs.shape[1], width, seed + h)
+    fields, lengths = [], []
+    for m in uniform_projections(heads, width, docs.shape[1], seed):
         q = m @ f["q"]
         fields.append(_flow(q, docs @ m.T, 3, 0.3, 0.15, 50, 1e-3))
-        energies.append(float(q @ q))
-    return _weighted(fields, energies)
+        lengths.append(float(np.linalg.norm(q)))
+    return _weighted(fields, lengths)
 
 
 def ad_rank_blocks(f: dict, blocks: int = 8) -> np.ndarray:
-    """Contiguous blocks of dimensions, weighted by the query's energy in each."""
+    """Contiguous blocks of dimensions, the last with what is left over, weighted by the query's length in each."""
     docs = np.stack([p.mean(axis=0) for p in f["points"]])
-    cuts = np.array_split(np.arange(docs.shape[1]), blocks)
-    return _weighted([_flow(f["q"][b], docs[:, b], 3, 0.3, 0.15, 50, 1e-3) for b in cuts], [float(f["q"][b] @ f["q"][b]) for b in cuts])
+    size = docs.shape[1] // blocks
+    cuts = [np.arange(i * size, docs.shape[1] if i == blocks - 1 else (i + 1) * size) for i in range(blocks)]
+    return _weighted([_flow(f["q"][b], docs[:, b], 3, 0.3, 0.15, 50, 1e-3) for b in cuts], [float(np.linalg.norm(f["q"][b])) for b in cuts])
 
 
 def diagnose(c: np.ndarray, theta: float) -> str:

@@ -143,6 +143,18 @@ def projection_matrix(dim: int, out: int, seed: int = 42) -> np.ndarray:
     return draws.reshape(out, dim) / np.sqrt(out)
 
 
+def uniform_projections(heads: int, width: int, dim: int, seed: int = 42) -> np.ndarray:
+    """heads x width x dim: rows of unit length, drawn evenly from -0.5 to 0.5 by a 32-bit
+    linear congruential generator."""
+    # Multiplier and increment of the generator.
+    state, draws = seed, np.empty(heads * width * dim)
+    for i in range(len(draws)):
+        state = (state * 1664525 + 1013904223) % (1 << 32)
+        draws[i] = state / 4294967295 - 0.5
+    rows = draws.reshape(heads, width, dim)
+    return rows / (np.linalg.norm(rows, axis=2, keepdims=True) + 1e-8)
+
+
 def random_projection(points: DataFrame, dim: int, out: int = 16, seed: int = 42, unit: bool = True) -> DataFrame:
     """Adds ``projected``: the vector times a fixed random matrix, to unit length if asked."""
     matrix = projection_matrix(dim, out, seed)

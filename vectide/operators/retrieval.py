@@ -253,6 +253,20 @@ def shape_laplacian(c: Corpus, k: int, n: int, alpha: float = 0.02, steps: int =
     return graph_pipeline(c, k, n, lambda f, w: solvers.laplacian(f["c0"], w, alpha, steps))
 
 
+def shape_rerank(c: Corpus, pairs: DataFrame, k: int, query_metric: str = "query_to_cloud", doc_metric: str = "subspace_first", alpha: float = 0.3, diffusion: float = 0.15) -> DataFrame:
+    """Listed documents (query_id, doc_id) by advection on their graph; ``query_metric`` gives
+    the start field, ``doc_metric`` the graph. Unknown ids drop out."""
+    field = pair_values(pairs, c.queries, c.docs, query_metric, c.spec).select("query_id", "doc_id", similarity_of_distance(F.col("value")).alias("c0"))
+    spec = c.spec
+
+    def solve(f: dict) -> np.ndarray:
+        w = graph.graph_of(f, spec, 3, doc_metric)
+        u = solvers.advection_field(f["q"], np.stack([p.mean(axis=0) for p in f["points"]]), w, alpha)
+        return solvers.advection_diffusion(f["c0"], w, u, diffusion)
+
+    return _ranked(graph.solve_by_query(fetch(c, field.select("query_id", "doc_id"), field), solve), k)
+
+
 def laplacian_sweep(c: Corpus, n: int, steps: tuple[int, ...], alpha: float = 0.15) -> DataFrame:
     """``steps, query_id, doc_id, score`` for several numbers of steps: one graph a query, one run."""
     cands = scan(c.queries, c.docs, "centroid_cosine", c.spec, n)

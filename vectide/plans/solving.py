@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from vectide.functions.vectors import SubspaceSpec
 from vectide.operators import adaptive, expansion, fusion, graph, metrics, retrieval, scan, solvers
 from vectide.plans import base
 from vectide.plans.base import PTS, SPEC, SUB, chamfer_sql, top_sql
@@ -290,9 +291,34 @@ ORACLES["score_diagnosis"] = (
   x as (select *, coalesce(a0, th) - coalesce(b1, th) as gap, greatest(coalesce(a1 - a0, 0), coalesce(b1 - b0, 0)) as wide from g)
   select query_id, above, below, round(gap, 6) + 0.0 as gap, case when gap > 0.02 and gap > 0.3 * wide then 'C-type' when gap > 0.1 then 'A-type' else 'smooth' end as type from x"""
 )
-for _name, _solve in (("ad_rank_projections", expansion.ad_rank_projected), ("ad_rank_blocks", expansion.ad_rank_blocks), ("shape_v5_ensemble", expansion.shape_v5_ensemble)):
-    _by_graph(_name, _solve, "")
-    del ORACLES[_name]
+_by_graph("shape_v5_ensemble", expansion.shape_v5_ensemble, "")
+
+
+def _parts_sql(vectors: str) -> str:
+    """AD-rank in 8 views of the vectors at once: ``vectors`` gives CTE ``pv`` (doc_id, g, v)
+    and ``pq`` (query_id, g, v); a query's number is times 8, plus the view's."""
+    head = SUB + COS.replace("cham as", "cosd as") + _CANDS + vectors + """, vn as (select *, sqrt(list_dot_product(v, v)) as n from pv), qn as (select *, sqrt(list_dot_product(v, v)) as n from pq),
+  fp as (select c.query_id * 8 + d.g as query_id, c.doc_id, list_dot_product(q.v, d.v) / ((q.n + 1e-8) * (d.n + 1e-8)) as c from cands c join vn d on d.doc_id = c.doc_id join qn q on q.query_id = c.query_id and q.g = d.g),
+  pd as (select x.query_id * 8 + a.g as query_id, x.doc_id as src, y.doc_id as dst, 1 - list_dot_product(a.v, b.v) / ((a.n + 1e-8) * (b.n + 1e-8)) as d
+    from cands x join cands y on x.query_id = y.query_id and x.doc_id <> y.doc_id join vn a on a.doc_id = x.doc_id join vn b on b.doc_id = y.doc_id and b.g = a.g)""" + _edges(3, "pd") + """,
+  up as (select e.query_id, e.src, e.dst, 0.3 * (list_dot_product(b.v, q.v) - list_dot_product(a.v, q.v)) / (q.n + 1e-8) / (sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (b.v[i] - a.v[i]) * (b.v[i] - a.v[i])))) + 1e-8) as u
+    from edges e join vn a on a.doc_id = e.src and a.g = e.query_id % 8 join vn b on b.doc_id = e.dst and b.g = e.query_id % 8 join qn q on q.query_id = e.query_id // 8 and q.g = e.query_id % 8)"""
+    return (
+        iteration(head, _clip(f"{C} + s.dt * {_UPWIND}"), 50, 1e-3, "coalesce(v.u, 0.0)", _DT, u_table="up", field="fp")
+        + """, runs as (select query_id, arg_max(c, t) as c from it group by 1),
+  each as (select r.query_id // 8 as query_id, unnest(ids) as doc_id, unnest(r.c) as c, q.n from runs r join nodes using (query_id) join qn q on q.query_id = r.query_id // 8 and q.g = r.query_id % 8),
+  solved as (select query_id, doc_id, sum(n * c) / sum(n) as value from each group by all)"""
+        + top_sql("value", "solved", K, asc=False)
+    )
+
+
+_by_graph("ad_rank_blocks", expansion.ad_rank_blocks, _parts_sql(", pv as (select doc_id, g, c[8*g+1:8*g+8] as v from cent, range(0, 8) t(g)), pq as (select query_id, g, qv[8*g+1:8*g+8] as v from q, range(0, 8) t(g) where qi = 0)"))
+#: The generator of the projections, step by step.
+_UNIFORM = """, lcg as (select 1 as k, (42::bigint * 1664525 + 1013904223) % 4294967296 as s union all select k + 1, (s * 1664525 + 1013904223) % 4294967296 from lcg where k < 16384),
+  pr as (select (k - 1) // 2048 as g, (k - 1) // 64 % 32 as r, list(s / 4294967295.0::double - 0.5 order by k) as row from lcg group by all),
+  pu as (select g, r, list_transform(row, lambda x: x / (sqrt(list_dot_product(row, row)) + 1e-8)) as row from pr),
+  pv as (select doc_id, g, list(list_dot_product(c, row) order by r) as v from cent, pu group by all), pq as (select query_id, g, list(list_dot_product(qv, row) order by r) as v from q, pu where qi = 0 group by all)"""
+_by_graph("ad_rank_projections", expansion.ad_rank_projected, _parts_sql(_UNIFORM))
 #: All three settings at once: a query's number is times 4, plus the setting's.
 _THREE = _V5_HEAD + """, gs(g, dif, str, gam) as (values (0, 0.2, 0.05, 0.2), (1, 0.15, 0.1, 0.5), (2, 0.1, 0.15, 0.8)), f3 as (select query_id * 4 + g as query_id, doc_id, c from c0, gs),
   e3 as (select query_id * 4 + g as query_id, src, dst, w from edges, gs), u3 as (select query_id * 4 + g as query_id, src, dst, u * str / 0.1 as u from kept, gs)"""
@@ -322,3 +348,24 @@ ORACLES["graph_unaligned"] = "with " + SUB + COS.replace("cham as", "cosd as") +
     from cands x join cands y on x.query_id = y.query_id and x.doc_id <> y.doc_id join sn a on a.doc_id = x.doc_id join sn b on b.doc_id = y.doc_id),
   ta as (select query_id, src, dst, avg(m) as a from (select query_id, src, dst, i, min(x) as m from up group by all) group by all), tb as (select query_id, src, dst, avg(m) as b from (select query_id, src, dst, j, min(x) as m from up group by all) group by all)
   select query_id, src, dst, round(a + b, 6) + 0.0 as d from ta join tb using (query_id, src, dst)"""
+
+
+def shape_advection_whole(spark, folder):
+    """The cloud pipeline with one subspace: plain cosine everywhere."""
+    c = base.corpus(spark, folder)
+    return _out(retrieval.shape_advection(retrieval.Corpus(c.docs, c.queries, SubspaceSpec(1, SPEC.dim)), K, N))
+
+
+def shape_rerank(spark, folder):
+    """Listed documents, here the centroid's, on a graph of a distance of one's choice."""
+    c = base.corpus(spark, folder)
+    pairs = scan.scan(c.queries, c.docs, "centroid_cosine", SPEC, N).select("query_id", "doc_id")
+    return _out(retrieval.shape_rerank(c, pairs, K, "query_to_cloud", "plain_chamfer"))
+
+
+QUERIES |= {"shape_advection_whole": shape_advection_whole, "shape_rerank": shape_rerank}
+_WHOLE = GRAPH.replace("vec[8 * s + 1 : 8 * s + 8] as v from pts, range(0, 8) t(s)", "vec as v from pts, range(0, 1) t(s)")
+ORACLES["shape_advection_whole"] = iterated(_WHOLE + _ADVECTION.format(strength=0.3, query=_FIRST), _STEP, 50, 1e-3, "coalesce(v.u, 0.0)", _DT)
+ORACLES["shape_rerank"] = iterated(
+    SUB + COS.replace("cham as", "cosd as") + _CANDS + _FIELD + _PLAIN.split(",\n  ms as")[0] + _edges(3) + _ADVECTION.format(strength=0.3, query=_FIRST), _STEP, 50, 1e-3, "coalesce(v.u, 0.0)", _DT
+)

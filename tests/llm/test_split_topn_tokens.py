@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def test_tokens_equal_the_library(spark):
     whole = tk.Tokenizer.from_file(f"{tokens.DEFAULT_TOKENIZERS}/byte_bpe_50k.json")
     whole.encode_special_tokens = True
     rng = random.Random(5)
-    parts = ["word ", " ", "  ", "\n", "'s", "!'s", "'", "é", "好字", "ßx", " ", "　", "12", "<|endoftext|>", "ab", "\t", "x" * 3000, "é", "🙂", "龍", "䷀"]
+    parts = ["word ", " ", "  ", "\n", "'s", "!'s", "'", "é", "好字", "ßx", " ", "　", "12", "<|endoftext|>", "ab", "\t", "x" * 3000, "é", "🙂", "龍", "䷀", "при вет ", "λόγος ", "한국어 문장은", "ひらがなカタカナー゛", "สวัสดี", "\u00a0 ", "\u2003 ", "\u3000 ", "\u1680 ", "\u0085 ", "क्षत्रिय ", "שלום "]
     texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.choice([1, 5, 60, 400]))) for _ in range(300))]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("ids", F.lit("clash"))
     got = {r.k: r.ids for r in tokens.encode_corpus(df, "k", "text").collect()}
@@ -164,3 +165,22 @@ def test_tokens_equal_the_library(spark):
     counts = {r.k: r.tokens for r in tokens.count_tokens(df, ["k"], "text").collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert tokens.encode_corpus(df.limit(0), "k", "text").count() == 0
+
+
+def test_cuts_are_certain_and_found_in_many_scripts():
+    """Every certain cut, not only one in a block, leaves the ids as they are."""
+    code = tokens.encoder(tokens.tokenizer_file("byte_bpe_50k"))
+    rng = random.Random(6)
+    alphabets = ["абвгдежз иклмн ", "αβγδ εζηθ ", "한국어문장은길다 ", "ひらがなのカタカナーァヺ・゛", "中文文本没有空格的", "abc def é ", "\u00a0\u2003\u3000\u1680\u0085 x", "สวัสดีครับ ", "שלום עולם ", "क्षत्रिय ", "'s ll've re 12 ab3 -- !"]
+    met = dict.fromkeys(alphabets, 0)
+    for _ in range(300):
+        for letters in alphabets:
+            text = "".join(rng.choice(letters) for _ in range(rng.choice([3, 20, 200])))
+            if rng.random() < 0.3:
+                text += "".join(rng.choice(rng.choice(alphabets)) for _ in range(30))
+            data = text.encode()
+            edges = [0, *code.cuts(np.frombuffer(data, np.uint8)).tolist(), len(data)]
+            met[letters] += len(edges) - 2
+            parts = [data[a:b].decode() for a, b in zip(edges, edges[1:])]  # no cut inside a character
+            assert [i for p in parts for i in code.encoding.encode(p, disallowed_special=())] == code.encoding.encode(text, disallowed_special=())
+    assert all(n > 50 for k, n in met.items() if not k.startswith("\u00a0")), met

@@ -4,10 +4,14 @@ A byte pair that occurs inside no token of the vocabulary can never be joined by
 a merge, so a cut between its bytes is certain. A cut is taken where the pair is
 such a one *and* the tokenizer's pre-splitting cannot look across it:
 
-* a byte that is no white space, then a blank: a pre-token always ends there and
-  its pattern never looks back;
-* between two CJK ideographs: both lie in one run of letters, and a run of
-  letters is split by merges alone.
+* a character that is no white space, then a blank: a pre-token always ends there and
+  its pattern never looks back. ASCII, and all longer characters but those with a lead
+  byte under which some white space lies;
+* between two letters of one script written without blanks, that is two CJK ideographs,
+  two Hangul syllables or two kana: both lie in one run of letters, and a run of letters
+  is split by merges alone.
+
+Where neither occurs (a long run of ASCII letters, say) no cut is certain.
 
 The fragments are encoded independently and the ids are joined. Cutting is done on the whole batch's bytes at once.
 
@@ -63,12 +67,24 @@ class ForcedBoundaryEncoder:
             return np.zeros(0, dtype=np.int64)
         pairs = data[:-1].astype(np.uint16) * 256 + data[1:]
         certain = self.before_blank[pairs]
+        if not (data >= 0x80).any():
+            return np.flatnonzero(certain) + 1
+        # the end of a longer character, then a blank; white space has lead bytes C2 and E1 to E3
+        ends = (data[:-1] >= 0x80) & (data[1:] == 0x20)
+        for back, leads in ((1, (0xC2,)), (2, (0xE1, 0xE2, 0xE3))):
+            for byte in leads:
+                ends[back:] &= data[: -1 - back] != byte
+        certain |= ends & self.never[pairs]
         # lead bytes E5..E9: U+5000 to U+9FFF, ideographs throughout
-        lead = (data >= 0xE5) & (data <= 0xE9)
-        if lead.any():
-            both = np.zeros(len(pairs), dtype=bool)
-            both[2:] = lead[:-3] & lead[3:]
-            certain |= both & self.never[pairs]
+        # EB and EC: U+B000 to U+CFFF, Hangul syllables throughout
+        # E3 81 81 to E3 81 BF and E3 83 80 to E3 83 BA: kana
+        kana = np.zeros(len(data), dtype=bool)
+        kana[:-2] = (data[:-2] == 0xE3) & (((data[1:-1] == 0x81) & (data[2:] > 0x80)) | ((data[1:-1] == 0x83) & (data[2:] <= 0xBA)))
+        for lead in ((data >= 0xE5) & (data <= 0xE9), (data == 0xEB) | (data == 0xEC), kana):
+            if lead.any():
+                both = np.zeros(len(pairs), dtype=bool)
+                both[2:] = lead[:-3] & lead[3:]
+                certain |= both & self.never[pairs]
         return np.flatnonzero(certain) + 1
 
     def encode_batch(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -291,11 +291,11 @@ def test_tables_of_loops_are_released(spark):
 
     df = shared.stored(spark.range(5), "released")
     path = df._stored_at.removeprefix("file://")
-    assert os.path.isdir(path) and df.count() == 5
+    assert os.path.isdir(path) and df.count() == 5 and shared.is_there(df)
     shared.release(df)
     shared.release(df)  # once more does nothing
     shared.release(spark.range(2))
-    assert not os.path.exists(path)
+    assert not os.path.exists(path) and not shared.is_there(df)
     assert shared.spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectide.functions.vectors import SubspaceSpec
 from vectide.operators.clouds import nested
 from vectide.operators.retrieval import Corpus, Prepared, prepare
+from vectide.shared import is_there
 
 SPEC = SubspaceSpec(8, 8)
 POINTS_PER_CLOUD = 5
@@ -49,7 +50,7 @@ def prepared(spark: SparkSession, folder: str) -> tuple[Corpus, Prepared]:
     """The corpus of a folder and what it is prepared with: written at the first call of a
     session, read by all later ones, as an index is."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _PREPARED:
+    if key not in _PREPARED or not (is_there(_PREPARED[key][1].codes) and is_there(_PREPARED[key][1].counts)):
         c = corpus(spark, folder)
         _PREPARED[key] = c, prepare(c, codebook(spark, folder))
     return _PREPARED[key]

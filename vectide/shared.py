@@ -65,6 +65,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def is_there(df: DataFrame) -> bool:
+    """Whether the table behind a frame that ``stored`` gave still lies in the folder."""
+    path = getattr(df, "_stored_at", None)
+    if path is None:
+        return False
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def release(df: DataFrame) -> None:
     """Removes the table behind a frame that ``stored`` gave; nothing may read it any more."""
     path = getattr(df, "_stored_at", None)

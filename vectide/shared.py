@@ -9,6 +9,7 @@ of a loop by ``release`` as soon as their successor is written.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -90,4 +91,5 @@ def _drop_all() -> None:
         try:
             _delete(spark, path)
         except Exception:  # the session may be gone already
-            pass
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

@@ -42,6 +42,7 @@ ROUTE_BLOCK = 262_144
 #: Children of a node of the tree of cells; five levels fit a BIGINT.
 FAN = 4096
 MOST_LEVELS = 5
+MOST_TASKS = 100_000
 QUERIES = 8192
 
 _ROUTED = "id string, vec binary, node long, home boolean"
@@ -213,7 +214,8 @@ def nearest_of_classes(reps: DataFrame, count: int, dim: int, k: int, shard_cap:
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     one = F.array(F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
     rows = rows.select("node", F.explode(F.when(F.col("home"), every).otherwise(one)).alias("block"), F.when(F.col("home"), 0).otherwise(1).alias("kind"), "id", "vec")
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // (4 * shard_cap)))
+    # two tasks a shard, so that few shards share one; of very many shards several do
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-2 * count // shard_cap)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, current, waiting = None, None, 0

@@ -110,6 +110,35 @@ def test_cells_without_a_difference(spark):
     assert (knn.reached(same, ["a"] * 4, np.eye(DIM, dtype=np.float32)[:1], 0.1, 4)[1] == 0).all()
 
 
+@pytest.mark.parametrize("fan", [4, 4096])
+def test_more_like_vectors_than_a_shard_holds(spark, monkeypatch, fan):
+    """Different vectors that no centres part: cells divide all the same, and those without members answer nothing."""
+    monkeypatch.setattr(knn, "FAN", fan)
+    x = (np.ones((600, DIM)) + 1e-7 * np.random.default_rng(2).normal(size=(600, DIM))).astype(np.float32)
+    ids = [f"{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(a, blob(v)) for a, v in zip(ids, x)], "id string, vector binary")
+    placed, sizes = knn.cells_of(knn.usable_vectors(df, "id", "vector", DIM, "<f4"), len(x), DIM, 60, 0.12, 4)
+    assert sorted(r.id for r in placed.where("home").collect()) == ids
+    own = [r.own for r in sizes.collect()]
+    assert max(own) <= 120 and sum(own) == len(x)
+    rows = knn.most_similar(df, "id", "vector", DIM, k=5, shard_cap=60).collect()
+    assert {r.id for r in rows} == set(ids) and len(rows) >= 0.99 * 5 * len(x)
+    assert all(r.id != r.other and r.sim > 0.999999 for r in rows) and len({(r.id, r.other) for r in rows}) == len(rows)
+
+
+def test_asked_cells_without_members(spark, monkeypatch):
+    """Of equal centres the first gets all members; vectors reach the other too."""
+    x = topics(300, 2, 0.3, 3)
+    ids = [f"{i:05d}" for i in range(len(x))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(knn, "_centres_of", lambda *a: np.stack([u[0], u[0], -u[0]]))
+    df = spark.createDataFrame([(a, blob(v)) for a, v in zip(ids, x)], "id string, vector binary")
+    got: dict = {}
+    for r in knn.most_similar(df, "id", "vector", DIM, k=5, margin=3.0).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert np.mean([len(got[a] & {b for b, _ in w}) / 5 for a, w in brute(ids, x, 5).items()]) >= 0.95
+
+
 def test_bisecting_in_one_task():
     x = topics(500, 8, 0.25, 3).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -8,7 +8,9 @@
    vectors is divided again in the same way, from a sample of its own, until none
    does: the number of cells grows with the data, a shard does not. Below the first
    level the centres of a cell travel to its vectors through the shuffle, so no task
-   holds those of other cells.
+   holds those of other cells. A cell that a
+   division left whole, of vectors so alike that no centres part them, is dealt by a
+   hash of the id, and so is what the last division still finds overfull.
 3. A cell is a shard. Its task builds the graph as flat arrays, then searches in it:
    first its own members, each from its own node, then, as they stream by, the
    vectors of other cells that reach it. A vector reaches the cells whose centre is
@@ -54,17 +56,17 @@ def sample_rows(dim: int) -> int:
     return max(256, min(SAMPLE, SAMPLE_NUMBERS // dim))
 
 
-def hash_id(x: str) -> int:
+def hash_id(x: str, seed: int = 0) -> int:
     """A fixed 64-bit hash of a string (Python's own differs by process)."""
-    return xxhash.xxh64_intdigest(x)
+    return xxhash.xxh64_intdigest(x, seed)
 
 
-def reached(x: np.ndarray, ids: list[str], centres: np.ndarray, margin: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reached(x: np.ndarray, ids: list[str], centres: np.ndarray, margin: float, reach: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, nearest) of the cells that each vector reaches. Cells that do not
-    differ are told apart by a hash of the id."""
+    differ are told apart by a hash of the id, another one on each level."""
     if len(centres) > 1 and (centres == centres[0]).all():
         step = np.arange(min(reach, len(centres)))
-        cell = (np.fromiter((hash_id(i) % len(centres) for i in ids), np.int64, len(ids))[:, None] + step) % len(centres)
+        cell = (np.fromiter((hash_id(i, level) % len(centres) for i in ids), np.int64, len(ids))[:, None] + step) % len(centres)
         row = np.repeat(np.arange(len(ids)), len(step))
         return row, cell.ravel(), np.tile(step == 0, len(ids))
     rows, cells, homes = [], [], []
@@ -93,25 +95,25 @@ def _first_route(rows: DataFrame, centres: np.ndarray, margin: float, reach: int
     return rows.select("id", "vec").mapInArrow(run, _ROUTED)
 
 
-def _centres_of(sample: np.ndarray, size: int, cap: int, fan: int) -> np.ndarray:
-    """Centres for cells of about ``0.7 * cap`` of ``size`` vectors."""
-    centres = fit_cells(sample.astype(np.float64), max(8, int(0.7 * cap * len(sample) / max(1, size))), fan)
+def _centres_of(sample: np.ndarray, size: int, cap: int, fan: int, dealt: bool = False) -> np.ndarray:
+    """Centres for cells of about ``0.7 * cap`` of ``size`` vectors; with ``dealt`` equal ones."""
+    centres = fit_cells(sample.astype(np.float64), len(sample) if dealt else max(8, int(0.7 * cap * len(sample) / max(1, size))), fan)
     if len(centres) == 1 and size > 2 * cap:  # nothing to tell them apart by
         centres = np.repeat(centres, -(-size // cap), axis=0)
     return centres[:fan]
 
 
-def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float, reach: int) -> DataFrame:
-    """The vectors of overfull cells (``over``: node, own, far) routed to cells of these;
-    those that are at home elsewhere to the nearest only."""
+def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float, reach: int, level: int) -> DataFrame:
+    """The vectors of overfull cells (``over``: node, own, far, dealt) routed to cells of
+    these; those that are at home elsewhere to the nearest only."""
     fan, most = FAN, sample_rows(dim)
-    rows = deep.join(over.select("node", "own"), "node")
+    rows = deep.join(over.select("node", "own", "dealt"), "node")
     rate = F.lit(0.95 * most) / F.col("own")
     sample = rows.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < rate * (1 << 30)))
 
     def fit(table: pa.Table) -> pa.Table:
         x = as_matrix(table.column("vec"), dim)[np.argsort(table.column("id").to_pylist(), kind="stable")][:most]
-        centres = _centres_of(x, table.column("own")[0].as_py(), cap, fan)
+        centres = _centres_of(x, table.column("own")[0].as_py(), cap, fan, table.column("dealt")[0].as_py())
         return pa.table({"node": table.column("node").slice(0, 1), "centres": pa.array([centres.tobytes()], pa.binary())})
 
     # the sample of a node is bounded
@@ -134,7 +136,7 @@ def _divided(deep: DataFrame, over: DataFrame, dim: int, cap: int, margin: float
                 if kind[lo] == 0:
                     centres = as_matrix(part.column(4), dim)
                     continue
-                row, cell, nearest = reached(as_matrix(part.column(4), dim), part.column(3).to_pylist(), centres, margin, reach)
+                row, cell, nearest = reached(as_matrix(part.column(4), dim), part.column(3).to_pylist(), centres, margin, reach, level)
                 mine = part.column(5).to_numpy(zero_copy_only=False)[row]
                 row, cell, home = (v[mine | nearest] for v in (row, cell, mine & nearest))
                 picked = part.select([3, 4]).take(pa.array(row))
@@ -154,20 +156,26 @@ def cells_of(reps: DataFrame, count: int, dim: int, cap: int, margin: float, rea
     picked = sorted((r.id, bytes(r.vec)) for r in picked.select("id", "vec").limit(most).toLocalIterator())
     sample = np.frombuffer(b"".join(v for _, v in picked), np.float32).reshape(-1, dim)
     routed = _first_route(reps, _centres_of(sample, count, cap, FAN), margin, reach)
-    placed = sizes = None
-    for level in range(MOST_LEVELS):
+    placed = sizes = before = None
+    for level in range(1, MOST_LEVELS + 1):
         own = F.sum(F.col("home").cast("long"))
         counts = stored(routed.groupBy("node").agg(own.alias("own"), (F.count("*") - own).alias("far")), "knn-cells")
-        over = counts.where(F.col("own") > 2 * cap)
+        over = counts.where(F.col("own") > 2 * cap).withColumn("dealt", F.lit(level == MOST_LEVELS - 1))
+        if before is not None:
+            whole = F.col("dealt") | (F.col("own") > F.lit(0.9) * F.col("was"))
+            parents = before.select(F.col("node").alias("parent"), F.col("own").alias("was"))
+            over = over.withColumn("parent", F.expr(f"node div {FAN} - 1")).join(parents, "parent").select("node", "own", "far", whole.alias("dealt"))
+        before = counts
         fits = counts.where(F.col("own") <= 2 * cap)
         sizes = fits if sizes is None else sizes.unionByName(fits)
         if over.isEmpty():
             return routed if placed is None else placed.unionByName(routed), sizes
+        if level == MOST_LEVELS:
+            raise ValueError(f"cells still hold more than {2 * cap} vectors after {MOST_LEVELS} levels")
         done = routed.join(over.select("node"), "node", "left_anti").select("id", "vec", "node", "home")
         placed = done if placed is None else placed.unionByName(done)
         deep = routed.join(over.select("node"), "node", "left_semi").select("id", "vec", "node", "home")
-        routed = stored(_divided(deep, over, dim, cap, margin, reach), "knn-deeper")
-    raise ValueError(f"cells still hold more than {2 * cap} vectors after {MOST_LEVELS} levels")
+        routed = stored(_divided(deep, over, dim, cap, margin, reach, level), "knn-deeper")
 
 
 class _Shard:
@@ -209,7 +217,8 @@ class _Shard:
 def nearest_of_classes(reps: DataFrame, count: int, dim: int, k: int, shard_cap: int, margin: float, reach: int, ef: int, m: int, min_sim: float | None = None) -> DataFrame:
     """``id, other, sim``: candidates among different vectors (``reps``: id, vec), with ``min_sim`` only those as similar."""
     placed, sizes = cells_of(reps, count, dim, shard_cap, margin, reach)
-    blocks = sizes.select("node", F.greatest(F.lit(1), F.ceil(F.col("far") / F.lit(ASK_BLOCK))).cast("int").alias("blocks"))
+    # equal similarities go to one centre: a cell that vectors reach may have no members, and so no answers
+    blocks = sizes.where("own > 0").select("node", F.greatest(F.lit(1), F.ceil(F.col("far") / F.lit(ASK_BLOCK))).cast("int").alias("blocks"))
     rows = placed.join(blocks, "node")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     one = F.array(F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))

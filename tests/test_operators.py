@@ -128,6 +128,31 @@ def test_bootstrap(spark):
         stats.paired_bootstrap(pairs, 10, (1,), "other")
 
 
+def test_bootstrap_of_many_rows_with_few_values(spark):
+    import time
+
+    n = 3_000_000
+    pairs = spark.range(n).selectExpr("id as query_id", "0.0d as a", "cast(id % 4 as double) as b")
+    began = time.time()
+    got = np.array([r.delta for r in stats.bootstrap_means(pairs, 10_000, (7,)).collect()])
+    assert time.time() - began < 60  # row by row these are 3e10 draws
+    sd = np.sqrt(1.25 / n)
+    assert len(got) == 10_000 and abs(got.mean() - 1.5) < 5 * sd / 100 and abs(got.std() / sd - 1) < 0.05
+
+
+def test_bootstrap_draws_as_row_by_row():
+    rng = np.random.default_rng(1)
+    d, c = np.array([-1.0, 0.5, 2.0, 7.0, 30.0]), np.array([400, 90, 16, 3, 1])
+    rows = np.repeat(d, c)
+    got = stats._part_sums(d, c, np.full(20_000, len(rows)), rng) / len(rows)
+    single = rows[rng.integers(0, len(rows), (20_000, len(rows)))].mean(axis=1)
+    assert abs(got.mean() - rows.mean()) < 5 * single.std() / np.sqrt(20_000)
+    assert np.allclose(np.quantile(got, [0.025, 0.25, 0.5, 0.75, 0.975]), np.quantile(single, [0.025, 0.25, 0.5, 0.75, 0.975]), atol=0.08 * single.std())
+    assert (stats._part_sums(d, c, np.array([0, 5, 0]), rng)[[0, 2]] == 0).all()
+    some = np.isnan(stats._part_sums(np.array([1.0, np.nan]), np.array([99, 1]), np.full(4000, 100), rng)).mean()
+    assert abs(some - (1 - 0.99**100)) < 0.05  # a replicate without the NaN row is not NaN
+
+
 def test_bm25_null_and_empty(spark):
     d = spark.createDataFrame([(1, "red apple pie"), (2, "apple apple"), (3, None), (4, ""), (5, "blue sky 好 wide")], "doc_id int, text string")
     q = spark.createDataFrame([(1, "apple"), (2, None), (3, "zzz")], "query_id int, text string")

@@ -7,43 +7,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.shared import stored
 
-#: Values that one task draws from.
+#: Different values that one task draws from.
 PART_ROWS = 100_000
+#: A value that so many rows have is drawn as a number of times, any other row by row.
+FREQUENT = 16
+
+
+def _part_sums(d: np.ndarray, c: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sum of k[r] draws with replacement, for every r, from the rows that have the value d[i] c[i] times.
+
+    How often each frequent value is drawn is one multinomial draw, whose last cell is all
+    other rows; these are drawn singly. That is the distribution of drawing every row singly."""
+    often = (c >= FREQUENT) & np.isfinite(d)
+    rare = np.repeat(d[~often], c[~often])
+    cells = np.append(c[often], len(rare))
+    total = np.zeros(len(k))
+    room = max(1, (1 << 21) // max(len(cells), int(k.max(initial=0) * (len(rare) / c.sum()) * 1.1) + 1))
+    for at in range(0, len(k), room):
+        counts = rng.multinomial(k[at : at + room], cells / c.sum())
+        sums, left = counts[:, :-1] @ d[often], counts[:, -1]
+        if len(rare):
+            drawn = rare[rng.integers(0, len(rare), int(left.sum()))]
+            some = left > 0
+            sums[some] += np.add.reduceat(drawn, (np.cumsum(left) - left)[some]) if some.any() else 0.0
+        total[at : at + room] = sums
+    return total
 
 
 def bootstrap_means(pairs: DataFrame, replicates: int = 10_000, seeds: tuple[int, ...] = (0,)) -> DataFrame:
     """``seed, replicate, delta``: mean of b - a over n draws with replacement.
 
-    Values go to parts of about ``PART_ROWS`` by a hash of ``query_id``, which is unique. How many
-    draws of a replicate fall to each part is drawn first, by every part alike from the
-    seed; then each part draws among its own and sends one sum a replicate. The result
-    depends on the values, seeds and replicates alone, not on the cluster."""
+    Rows of one value are collapsed to it and their number. Values go to parts of about
+    ``PART_ROWS`` by their hash. How many draws of a replicate fall to each part is drawn
+    first, by every part alike from the seed; then each part draws among its own and sends
+    one sum a replicate. The result depends on the values, seeds and replicates alone, not
+    on the cluster."""
     rows = pairs.select("query_id", (F.col("b") - F.col("a")).cast("double").alias("d")).where("query_id is not null and d is not null")
-    n = rows.count()
-    parts = max(1, -(-n // PART_ROWS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    values = stored(rows.groupBy("d").agg(F.count("*").alias("c")), "bootstrap")
+    parts = max(1, -(-values.count() // PART_ROWS))
+    values = values.withColumn("part", F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int"))
     sizes = [0] * parts
-    for r in rows.groupBy("part").count().toLocalIterator():  # one row a part
-        sizes[r.part] = r["count"]
+    for r in values.groupBy("part").agg(F.sum("c").alias("n")).toLocalIterator():  # one row a part
+        sizes[r.part] = r.n
+    n = sum(sizes)
 
     def draw(table: pa.Table) -> pa.Table:
-        table = table.sort_by("query_id")
-        d = table.column("d").to_numpy()
+        table = table.sort_by("d")
         part, seed = table.column("part")[0].as_py(), table.column("seed")[0].as_py()
         share = np.random.default_rng([seed, n]).multinomial(n, np.asarray(sizes) / n, size=replicates)[:, part]
-        own = np.random.default_rng([seed, n, part])
-        total = np.empty(replicates)
-        room = max(1, (1 << 21) // max(1, int(share.max())))
-        for at in range(0, replicates, room):
-            k = share[at : at + room]
-            drawn = d[own.integers(0, len(d), int(k.sum()))]
-            ends = np.cumsum(k)
-            sums = np.concatenate([[0.0], np.cumsum(drawn)])
-            total[at : at + room] = sums[ends] - sums[ends - k]
+        total = _part_sums(table.column("d").to_numpy(), table.column("c").to_numpy(), share, np.random.default_rng([seed, n, part]))
         return pa.table({"seed": pa.array(np.full(replicates, seed), pa.int64()), "replicate": pa.array(np.arange(replicates), pa.int64()), "total": total})
 
-    asked = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
+    asked = values.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
+    # small rows with long work: a number of partitions that Spark does not merge
+    asked = asked.repartition(min(2 * parts * len(seeds), 1000), "part", "seed")
     drawn = asked.groupBy("part", "seed").applyInArrow(draw, "seed bigint, replicate bigint, total double")
     return drawn.groupBy("seed", "replicate").agg((F.sum("total") / F.lit(max(n, 1))).alias("delta"))
 

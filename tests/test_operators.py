@@ -525,3 +525,54 @@ def test_chunk_clouds_ask_with_all_points(spark, sf):
         values = {e: kernels.subspace_first(q, np.array(c), np.zeros(1, int), spec)[0] for e, c in clouds.items()}
         for e in sorted(values, key=lambda e: (values[e], e))[:10]:
             assert abs(got[d, e] - values[e]) < 1e-4
+
+
+def test_candidates_hold_the_nearest_and_cost_less_than_all_in_double():
+    import time
+
+    import pyarrow as pa
+
+    from vectide.operators import kernels
+    from vectide.plans.base import SPEC as spec
+
+    rng = np.random.default_rng(11)
+    made = [rng.normal(size=(n, 64)) for n in rng.integers(1, 12, 1500)]
+    made[3][0, :8] = 1e-5  # a small norm
+    made[8][0, :8] = 0.0
+    made[200:240] = [made[40]] * 40  # equal clouds
+    block = [(j * 5, made[j * 5]) for j in range(120)]
+    block[7] = (35, np.concatenate([rng.normal(size=(2500, 64)), made[35]]))  # more points than a piece
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(made))), pa.array([m.tolist() for m in made], pa.list_(pa.list_(pa.float64())))], names=["doc_id", "points"])
+    began = time.time()
+    out = pa.Table.from_batches(scan._candidates(block, spec, 10)(iter([batch.slice(0, 700), batch.slice(700)])))
+    fast = time.time() - began
+    got = {}
+    for q, d, v in zip(*(out.column(c).to_pylist() for c in ("query_id", "doc_id", "value"))):
+        got.setdefault(q, {})[d] = v
+    flat, starts = np.concatenate(made), np.cumsum([0, *[len(m) for m in made[:-1]]])
+    began = time.time()
+    for j, q in block:
+        values = kernels.subspace_first_pieces(q, flat, starts, spec)
+        near = sorted(range(len(made)), key=lambda i: (round(values[i], 9), i))[:10]
+        assert set(near) <= set(got[j]) and len(got[j]) < 40
+        assert all(abs(v - values[d]) < kernels.TOLERANCE for d, v in got[j].items())
+    assert fast < (time.time() - began) / 2
+
+
+def test_scan_points_of_small_norms_equal_clouds_and_hot_documents(spark):
+    from vectide.operators import kernels
+    from vectide.plans.base import SPEC as spec
+
+    rng = np.random.default_rng(12)
+    made = [rng.normal(size=(n, 64)) * 10.0 ** rng.integers(-6, 3) for n in rng.integers(1, 9, 60)]
+    made[10:20] = [made[10]] * 10
+    made[30] = np.concatenate([rng.normal(size=(90, 64)), made[0], made[40] + 0.01])  # above the cap
+    made[31] = np.concatenate([-made[0]] * 30)
+    points = spark.createDataFrame([(d, i, v.tolist()) for d, m in enumerate(made) for i, v in enumerate(m)], "doc_id bigint, point_idx int, vec array<double>")
+    asked = spark.createDataFrame([(j, made[j].tolist()) for j in (0, 10, 15, 30, 40)], "query_id bigint, points array<array<double>>")
+    got = {(r.query_id, r["rank"]): r for r in scan.scan_points(asked, points, spec, 8, cap=20).collect()}
+    assert len(got) == 40
+    for j in (0, 10, 15, 30, 40):
+        values = [float(kernels.subspace_first(made[j], m, np.zeros(1, int), spec)[0]) for m in made]
+        near = sorted(range(len(made)), key=lambda i: (round(values[i], 9), i))[:8]
+        assert [got[j, r].doc_id for r in range(1, 9)] == near and np.allclose([got[j, r].value for r in range(1, 9)], [values[i] for i in near], atol=1e-9)

@@ -75,6 +75,72 @@ def subspace_first_pieces(q, p, starts, spec, kernel=PLAIN, piece: int | None =
     return (least.mean(axis=1) + np.add.reduceat(back, starts, axis=1) / _sizes(starts, len(p))).mean(axis=0)
 
 
+#: Sub-vectors of smaller norms are not measured by ``unit_distances``.
+SMALL = 1 / 32
+#: How far ``unit_distances`` may lie from ``subspace_first`` with the plain kernel: twice its
+#: 1e-8 by the least product of norms, 1.1e-5, and twice the rounding of sums in single precision, 1.2e-6.
+TOLERANCE = 3e-5
+#: Document points and query points of a block of products: 2 MB, which the caches hold.
+ROWS, COLS = 256, 1920
+
+
+def units(p: np.ndarray, spec: SubspaceSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Points x parts x width in single precision, each sub-vector of norm 1, and which points have a smaller one than ``SMALL``."""
+    x = p.reshape(len(p), spec.parts, spec.width)
+    norms = np.sqrt((x * x).sum(axis=2))
+    odd = ~((norms >= SMALL) & (norms < np.inf)).all(axis=1)
+    return (x / np.where(odd[:, None], 1.0, norms)[:, :, None]).astype(np.float32), odd
+
+
+def unit_groups(queries: list[np.ndarray], spec: SubspaceSpec) -> tuple[list[tuple[np.ndarray, int, np.ndarray]], list[int]]:
+    """(numbers of the queries, points of each, parts x points x width x queries) of
+    groups of queries of as many points, and the queries that have a point of a small norm."""
+    made = [units(q, spec) for q in queries]
+    by: dict[int, list[int]] = {}
+    for j, (u, odd) in enumerate(made):
+        if not odd.any():
+            by.setdefault(len(u), []).append(j)
+    groups = []
+    for m, js in sorted(by.items()):
+        room = max(1, COLS // m)
+        for at in range(0, len(js), room):
+            part = js[at : at + room]
+            together = np.stack([made[j][0] for j in part])  # queries x points x parts x width
+            groups.append((np.asarray(part), m, np.ascontiguousarray(together.transpose(2, 1, 3, 0))))
+    return groups, [j for j, (_, odd) in enumerate(made) if odd.any()]
+
+
+def unit_distances(docs: np.ndarray, n: int, group: tuple[np.ndarray, int, np.ndarray], back_only: bool = False) -> np.ndarray:
+    """Documents x queries of a group: ``subspace_first`` of documents of n points each, within
+    ``TOLERANCE``. ``docs`` is parts x (n x documents) x width. With ``back_only`` its second
+    half alone, the mean of each document point's least distances.
+
+    Products lie as query points x document points x documents x queries, so that all
+    reductions run along long rows."""
+    js, m, q = group
+    parts, rows, _ = docs.shape
+    wide, step = len(js), max(1, COLS // len(js))
+    across = rows // n * wide
+    room = np.empty(min(m, step) * rows * wide, dtype=np.float32)
+    there = np.zeros((m, across), dtype=np.float32)
+    back = np.zeros((n, across), dtype=np.float32)
+    for s in range(parts):
+        most = None
+        for at in range(0, m, step):
+            end = min(m, at + step)
+            cos = room[: (end - at) * rows * wide].reshape(end - at, rows, wide)
+            np.matmul(docs[s], q[s, at:end], out=cos)
+            if not back_only:
+                there[at:end] += cos.reshape(end - at, n, across).max(axis=1)
+            near = cos.reshape(end - at, n, across).max(axis=0)
+            most = near if most is None else np.maximum(most, near)
+        back += most
+    value = 1 - back.sum(axis=0, dtype=np.float64) / (n * parts)
+    if not back_only:
+        value += 1 - there.sum(axis=0, dtype=np.float64) / (m * parts)
+    return value.reshape(-1, wide)
+
+
 def query_to_cloud(q, p, starts, spec, kernel=PLAIN):
     """One query vector: mean over the subspaces of nearest plus mean distance."""
     d = sub_distances(q[:1], p, spec, kernel)[:, 0, :]

@@ -8,7 +8,9 @@ those, partitions x queries x k rows, are shuffled.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import SubspaceSpec
 from vectide.operators.clouds import arrow_clouds
-from vectide.operators.kernels import METRICS, SIMILARITIES, TOGETHER, subspace_minima
+from vectide.operators.kernels import METRICS, ROWS, SIMILARITIES, TOGETHER, TOLERANCE, subspace_first_pieces, subspace_minima, unit_distances, unit_groups, units
+from vectide.shared import stored
 
 BLOCK_BYTES = 64 << 20
 #: Distances that are held at once.
@@ -113,6 +116,121 @@ def scan(queries: DataFrame, docs: DataFrame, metric: str, spec: SubspaceSpec, k
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _candidates(block: list, spec: SubspaceSpec, k: int):
+    """Of a partition of clouds the documents that may be among a query's k nearest: all within
+    twice the tolerance of the k-th fast distance. Of clouds that are equal the k smallest ids
+    at least remain; no more of them can be among the k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, odd_queries = unit_groups([q for _, q in block], spec)
+        edge = np.full(len(block), np.inf)
+        none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        found, waiting, kept = [none], 0, 0
+        equal: dict[bytes, list[int]] = {}
+
+        def take(js: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+            """``values``: documents x queries."""
+            nonlocal waiting
+            r, c = np.nonzero(values <= edge[js])
+            if len(r):
+                found.append((js[c], ids[r], values[r, c]))
+                waiting += len(r)
+                if waiting > max(1 << 18, kept):
+                    settle()
+
+        def settle() -> None:
+            nonlocal found, waiting, kept
+            j, i, d = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((d, j))
+            j, i, d = j[order], i[order], d[order]
+            first = np.searchsorted(j, np.arange(len(block)))
+            full = np.flatnonzero(np.diff(np.append(first, len(j))) >= k)
+            edge[full] = d[first[full] + k - 1] + 2 * TOLERANCE
+            near = d <= edge[j]
+            found, waiting, kept = [(j[near], i[near], d[near])], 0, int(near.sum())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, starts = arrow_clouds(batch.column(1))
+            ids, sizes = batch.column(0).to_numpy(), np.diff(np.append(starts, len(p)))
+            ask = np.ones(len(ids), dtype=bool)
+            for x in np.argsort(ids):
+                same = equal.setdefault(blake2b(p[starts[x] : starts[x] + sizes[x]].tobytes(), digest_size=16).digest(), [])
+                ask[x] = len(same) < k or ids[x] < same[k - 1]
+                if ask[x]:
+                    insort(same, int(ids[x]))
+            unit, odd = units(p, spec)
+            odd = np.logical_or.reduceat(odd, starts)
+            for n in np.unique(sizes[ask & ~odd]):
+                own = np.flatnonzero(ask & ~odd & (sizes == n))
+                for at in range(0, len(own), max(1, ROWS // n)):
+                    xs = own[at : at + max(1, ROWS // n)]
+                    docs = np.ascontiguousarray(unit[(starts[xs] + np.arange(n)[:, None]).ravel()].transpose(1, 0, 2))
+                    for g in groups:
+                        take(g[0], ids[xs], unit_distances(docs, int(n), g))
+            for x in np.flatnonzero(ask & odd):
+                doc, one = p[starts[x] : starts[x] + sizes[x]], np.zeros(1, dtype=np.int64)
+                for j, (_, q) in enumerate(block):
+                    take(np.array([j]), ids[x : x + 1], subspace_first_pieces(q, doc, one, spec)[:, None])
+            plain = np.flatnonzero(ask & ~odd)
+            for j in odd_queries if len(plain) else ():
+                take(np.array([j]), ids[plain], subspace_first_pieces(block[j][1], p, starts, spec)[plain, None])
+        settle()
+        j, i, d = found[0]
+        names = np.array([b[0] for b in block], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[j], pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "doc_id", "value"])
+
+    return run
+
+
+def _listed(block: list, spec: SubspaceSpec):
+    """``subspace_first`` of each document (doc_id, points, asked) with the queries it lists."""
+    clouds = dict(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.zeros(1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, starts = arrow_clouds(batch.column(1))
+            asked = batch.column(2).to_pylist()
+            out = [subspace_first_pieces(clouds[j], x, one, spec)[0] for x, js in zip(np.split(p, starts[1:]), asked) for j in js]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(js) for js in asked])
+            yield pa.RecordBatch.from_arrays([pa.array([j for js in asked for j in js], pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["query_id", "doc_id", "value"])
+
+    return run
+
+
+def _backs(block: list, spec: SubspaceSpec):
+    """Of points (doc_id, vec): for every query and document the sum of the points' least
+    distances to the query, and their number. Points and queries of small norms count 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, _ = unit_groups([q for _, q in block], spec)
+        sums: dict[int, np.ndarray] = {}
+        seen: dict[int, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column(1)
+            p, docs = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1), batch.column(0).to_numpy()
+            unit, odd = units(p, spec)
+            for doc in np.unique(docs):
+                total = sums.setdefault(int(doc), np.zeros(len(block)))
+                seen[int(doc)] = seen.get(int(doc), 0) + int((docs == doc).sum())
+                own = np.flatnonzero((docs == doc) & ~odd)
+                for at in range(0, len(own), ROWS):
+                    x = np.ascontiguousarray(unit[own[at : at + ROWS]].transpose(1, 0, 2))
+                    for g in groups:
+                        total[g[0]] += unit_distances(x, x.shape[1], g, back_only=True)[0] * x.shape[1]
+        names = [b[0] for b in block]
+        for doc, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([doc] * len(names), pa.int64()), pa.array(total), pa.array([seen[doc]] * len(names), pa.int64())], names=["query_id", "doc_id", "total", "n"])
+
+    return run
+
+
 def _block_part(asked: list, spec: SubspaceSpec):
     """Of a block of one document's points: for every query the least distances and their sum."""
 
@@ -141,28 +259,47 @@ def scan_points(queries: DataFrame, points: DataFrame, spec: SubspaceSpec, k: in
     """``scan`` with the subspace-first distance on long points (doc_id BIGINT, point_idx, vec),
     for documents of any size.
 
-    Documents of at most ``cap`` points are nested and scanned. A larger one stays in
-    blocks of about ``cap`` points: a task gives, per query and block, the minima of
-    each query point and the sum of the block's own minima, and these are merged
-    exactly; no task ever holds the document. Query clouds of any size are compared in
-    pieces of points; a task holds a query's points (and a block of queries), never its
-    distances to a batch. Null vectors and ids drop out.
+    Documents of at most ``cap`` points are nested and measured with all queries in single
+    precision, whose error is bounded; what may be among the k nearest by that is measured
+    again in double, and this alone counts. A larger document is never held by a task: the
+    mean of its points' least distances, a sum over its points, is at most its distance, and
+    only for queries where that is within the k-th of the others its blocks of about ``cap``
+    points are measured and their minima and sums merged exactly. Query clouds of any size
+    are compared in pieces of points; a task holds a block of queries, never its distances
+    to a batch. Null vectors and ids drop out. ``points`` is read several times.
     """
     from vectide.operators.clouds import nested
 
     rows = points.where(F.col("doc_id").isNotNull() & (F.size("vec") == spec.dim)).select("doc_id", "point_idx", "vec")
+    if k <= 0:
+        return scan(queries, nested(rows), "subspace_first", spec, 0)
     sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > cap).select("doc_id", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    cold = scan(queries, nested(rows.join(hot.select("doc_id"), "doc_id", "left_anti")), "subspace_first_pieces", spec, k).drop("rank")
-    if hot.isEmpty():
-        parts = cold
-    else:
-        blocks = rows.join(hot, "doc_id").select("doc_id", F.pmod(F.xxhash64("point_idx", F.lit(5)), "blocks").cast("int").alias("block"), F.col("vec").cast("array<double>").alias("vec"))
-        parts = cold
-        for asked in query_blocks(queries):
-            partial = blocks.groupBy("doc_id", "block").applyInArrow(_block_part(asked, spec), "query_id bigint, doc_id bigint, least binary, total double, n bigint")
-            parts = parts.unionByName(partial.groupBy("query_id", "doc_id").applyInArrow(_merge_blocks, "query_id bigint, doc_id bigint, value double"))
-    return top_k(parts, k)
+    spark = rows.sparkSession
+    # small rows with long work: a number of partitions that Spark does not merge; at the session's own it takes those of the join, merged
+    room = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    cold = nested(rows.join(hot.select("doc_id"), "doc_id", "left_anti").repartition(room, "doc_id"))
+    some_hot = not hot.isEmpty()
+    parts = None
+    for block in query_blocks(queries):
+        w = Window.partitionBy("query_id")
+        fast = cold.mapInArrow(_candidates(block, spec, k), "query_id bigint, doc_id bigint, value double")
+        ranked = fast.withColumn("r", F.row_number().over(w.orderBy("value", "doc_id"))).withColumn("edge", F.max(F.when(F.col("r") <= k, F.col("value"))).over(w))
+        pairs = ranked.where(F.col("value") <= F.col("edge") + 2 * TOLERANCE).groupBy("doc_id").agg(F.collect_list("query_id").alias("asked"))
+        near = cold.join(stored(pairs, "scan_pairs"), "doc_id").select("doc_id", "points", "asked").mapInArrow(_listed(block, spec), "query_id bigint, doc_id bigint, value double")
+        near = stored(top_k(near, k), "scan_near")
+        parts = near.drop("rank") if parts is None else parts.unionByName(near.drop("rank"))
+        if some_hot:
+            least = rows.join(hot.select("doc_id"), "doc_id").select("doc_id", F.col("vec").cast("array<double>").alias("vec")).repartition(room)
+            least = least.mapInArrow(_backs(block, spec), "query_id bigint, doc_id bigint, total double, n bigint").groupBy("query_id", "doc_id").agg((F.sum("total") / F.sum("n")).alias("least"))
+            last = near.where(F.col("rank") == k).select("query_id", F.col("value").alias("edge"))
+            open_ = {r.query_id for r in least.join(last, "query_id", "left").where(F.col("edge").isNull() | (F.col("least") - TOLERANCE <= F.col("edge"))).select("query_id").distinct().toLocalIterator()}
+            asked = [x for x in block if x[0] in open_]
+            if asked:
+                blocks = rows.join(hot, "doc_id").select("doc_id", F.pmod(F.xxhash64("point_idx", F.lit(5)), "blocks").cast("int").alias("block"), F.col("vec").cast("array<double>").alias("vec"))
+                partial = blocks.repartition(room, "doc_id", "block").groupBy("doc_id", "block").applyInArrow(_block_part(asked, spec), "query_id bigint, doc_id bigint, least binary, total double, n bigint")
+                parts = parts.unionByName(partial.groupBy("query_id", "doc_id").applyInArrow(_merge_blocks, "query_id bigint, doc_id bigint, value double"))
+    return scan(queries, nested(rows), "subspace_first", spec, 0) if parts is None else top_k(parts, k)
 
 
 def pair_values(pairs: DataFrame, queries: DataFrame, docs: DataFrame, metric: str, spec: SubspaceSpec, **options) -> DataFrame:

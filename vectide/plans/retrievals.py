@@ -241,12 +241,14 @@ ORACLES["index_search"] = (
 def chunk_clouds(spark, folder):
     """Chunk clouds, whatever their size: every file whose id is divisible by 20 asks with
     all its points, all files answer."""
+    from vectide.shared import stored
     from vectide.sources.blobs import decoded, usable
 
     rows = decoded(base.table(spark, folder, "chunks").select("id", "file_id", "vector"), "vector", 64).where(usable(F.col("vec")))
     rows = rows.groupBy("id").agg(F.min("file_id").alias("doc_id"), F.min_by("vec", "file_id").alias("vec")).withColumn("point_idx", F.col("id"))
-    asked = nested(rows.where("doc_id % 20 = 0").select("doc_id", "point_idx", "vec")).withColumnRenamed("doc_id", "query_id")
-    hits = scan.scan_points(asked, rows.select("doc_id", "point_idx", "vec"), SPEC, K, cap=1024)
+    rows = stored(rows.select("doc_id", "point_idx", "vec"), "chunk_points")
+    asked = nested(rows.where("doc_id % 20 = 0")).withColumnRenamed("doc_id", "query_id")
+    hits = scan.scan_points(asked, rows, SPEC, K, cap=1024)
     return hits.select("query_id", "doc_id", (F.round("value", 5) + 0.0).alias("score"), "rank")
 
 
